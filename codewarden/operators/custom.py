@@ -7,14 +7,16 @@ regex engine: they keep the syntax they were written in, and no pattern can over
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden import schemas
 from codewarden.functions import text as X
+from codewarden.operators.injection import HITS_DDL
 
 
 @dataclass(frozen=True)
@@ -91,11 +93,11 @@ def validate(raw: DataFrame) -> DataFrame:
     )
 
 
-def findings(files: DataFrame, rules: list[CustomRule]) -> DataFrame:
-    """Findings of the user's rules; comment lines are *not* skipped."""
+def before_lines(rules: Sequence[CustomRule]) -> list[tuple[str, Column]]:
+    """Hits of the user's rules in rule order; comment lines are *not* skipped."""
     compiled = [(r.pattern, set(r.suffixes) if r.suffixes is not None else None) for r in rules]
 
-    @F.pandas_udf("array<struct<rule:int,line:int,nth:int>>")
+    @F.pandas_udf(HITS_DDL)
     def match(suffix: pd.Series, content: pd.Series) -> pd.Series:
         patterns = [(i, re.compile(p), only) for i, (p, only) in enumerate(compiled)]
 
@@ -107,43 +109,24 @@ def findings(files: DataFrame, rules: list[CustomRule]) -> DataFrame:
                 line, at = 1, 0
                 for nth, found in enumerate(pattern.finditer(text)):
                     line, at = line + text.count("\n", at, found.start()), found.start()
-                    hits.append({"rule": i, "line": line, "nth": nth})
+                    hits.append({"rule": i, "line": line, "part": 0, "a": i, "b": nth, "c": 0, "reachable": None})
             return hits
 
         return pd.Series([one(s, t or "") for s, t in zip(suffix, content)])
 
-    scanned = (
-        files.withColumn("_suffix", X.suffix_of(F.col("path")))
-        .withColumn("_hits", match("_suffix", "content"))
-        .withColumn("_lines", F.when(F.size("_hits") > 0, X.split_lines(F.col("content"))))
-    )
-    rows = scanned.select(
-        "repo",
-        F.col("path").alias("file"),
-        "file_seq",
-        F.explode(
-            F.transform(
-                "_hits",
-                lambda h: F.struct(
-                    h["rule"].alias("rule"),
-                    h["line"].alias("line"),
-                    h["nth"].alias("nth"),
-                    X.snippet_at(F.col("_lines"), h["line"]).alias("snippet"),
-                    X.line_at(F.col("_lines"), h["line"]).alias("line_text"),
-                ),
-            )
-        ).alias("x"),
-    ).select("repo", "file", "file_seq", "x.*")
-    texts = files.sparkSession.createDataFrame(
-        [(i, r.id, r.severity.upper(), r.fix_phase, r.message, r.fix) for i, r in enumerate(rules)],
-        "rule int, title string, severity string, fix_phase int, description string, fix_summary string",
-    )
-    order = schemas.SCANNERS.index("custom")
-    return schemas.as_findings(
-        rows.join(F.broadcast(texts), "rule").withColumns(
-            {
-                "scanner": F.lit("custom"),
-                "emit_seq": schemas.emit_seq(order, F.col("file_seq"), 0, F.col("rule"), F.col("nth")),
-            }
-        )
-    )
+    return [("_cus_hits", match("_suffix", "content"))]
+
+
+def wants_lines() -> Column:
+    return F.size("_cus_hits") > 0
+
+
+def after_lines() -> list[tuple[str, Column]]:
+    return []
+
+
+def rule_rows(rules: Sequence[CustomRule]) -> list[tuple]:
+    return [(i, r.id, r.severity.upper(), r.fix_phase, r.message, r.fix) for i, r in enumerate(rules)]
+
+
+HITS = "_cus_hits"

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from codewarden import schemas
 from codewarden.functions import matching as M
 from codewarden.functions import text as X
+from codewarden.operators.injection import HITS_DDL
 from codewarden.rules import headers as R
-from codewarden.rules import taint as T
 
 CHECKS = ("django", "helmet", "flask", "fastapi", "cors")
 _LAST = (1 << 63) - 1
@@ -41,11 +41,11 @@ def placeholder(path: Column, text: str) -> Column:
 
 @cache
 def _checks() -> Column:
-    """array<struct<check,line>> of one file."""
+    """array<struct<ord,line>> of one file."""
     content = F.col("content")
 
     def check(order: int, condition: Column, line: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(order).alias("ord"), F.lit(CHECKS[order]).alias("check"), line.alias("line")))
+        return F.when(condition, F.struct(F.lit(order).alias("ord"), line.alias("line")))
 
     web = F.col("_web")
     found = [
@@ -77,49 +77,39 @@ def _checks() -> Column:
     return F.array_compact(F.array(*found))
 
 
-def rule_texts(spark) -> DataFrame:
-    rows = [(name, *texts) for name, texts in R.TEXTS.items()]
-    return spark.createDataFrame(
-        rows, "check string, title string, severity string, fix_phase int, description string, fix_summary string"
-    )
+def before_lines() -> list[tuple[str, Column]]:
+    return [
+        ("_web", F.col("_code") & any_framework(F.col("content"))),
+        ("_checks", F.when(F.col("_code"), _checks())),
+    ]
 
 
-def file_findings(files: DataFrame) -> DataFrame:
-    """Helmet, Flask, FastAPI, CORS and Django settings checks."""
-    scanned = (
-        files.where(X.suffix_of(F.col("path")).isin(*T.CODE_SUFFIXES))
-        .withColumn("_web", any_framework(F.col("content")))
-        .withColumn("_checks", _checks())
-        .withColumn("_lines", F.when(F.size("_checks") > 0, X.split_lines(F.col("content"))))
-    )
-    rows = scanned.select(
-        "repo",
-        F.col("path").alias("file"),
-        "file_seq",
-        F.explode(
-            F.transform(
-                "_checks",
-                lambda c: F.struct(
-                    c["ord"].alias("ord"),
-                    c["check"].alias("check"),
-                    c["line"].alias("line"),
-                    F.when(c["check"] == "helmet", placeholder(F.col("path"), R.HELMET_PLACEHOLDER))
-                    .otherwise(X.snippet_at(F.col("_lines"), c["line"]))
-                    .alias("snippet"),
-                    X.line_at(F.col("_lines"), c["line"]).alias("line_text"),
-                ),
-            )
-        ).alias("x"),
-    ).select("repo", "file", "file_seq", "x.*")
-    order = schemas.SCANNERS.index("headers")
-    return schemas.as_findings(
-        rows.join(F.broadcast(rule_texts(files.sparkSession)), "check").withColumns(
-            {
-                "scanner": F.lit("headers"),
-                "emit_seq": schemas.emit_seq(order, F.col("file_seq"), 0, F.col("ord")),
-            }
-        )
+def wants_lines() -> Column:
+    return F.coalesce(F.size("_checks") > 0, F.lit(False))
+
+
+@cache
+def after_lines() -> list[tuple[str, Column]]:
+    shaped = F.transform(
+        "_checks",
+        lambda c: F.struct(
+            c["ord"].alias("rule"),
+            c["line"].alias("line"),
+            F.lit(0).alias("part"),
+            c["ord"].cast("bigint").alias("a"),
+            F.lit(0).cast("bigint").alias("b"),
+            F.lit(0).cast("bigint").alias("c"),
+            F.lit(None).cast("boolean").alias("reachable"),
+        ),
     )
+    return [("_hdr_hits", F.coalesce(shaped, F.array().cast(HITS_DDL)).cast(HITS_DDL))]
+
+
+def rule_rows() -> list[tuple]:
+    return [(i, *R.TEXTS[check]) for i, check in enumerate(CHECKS)]
+
+
+HITS = "_hdr_hits"
 
 
 def csrf_signals(files: DataFrame) -> DataFrame:
@@ -163,7 +153,3 @@ def csrf_findings(files: DataFrame) -> DataFrame:
             schemas.emit_seq(order, _LAST, 1).alias("emit_seq"),
         )
     )
-
-
-def findings(files: DataFrame) -> DataFrame:
-    return file_findings(files).unionByName(csrf_findings(files))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codewarden import schemas
 from codewarden.functions.severity import severity_rank
-from codewarden.operators import secrets
+from codewarden.plans import file_pass
 from codewarden.sources.patches import added_lines
 
 
@@ -22,7 +22,7 @@ def secret_findings(log: DataFrame) -> DataFrame:
     texts = lines.select(
         "repo", "path", F.col("pos").alias("file_seq"), F.col("text").alias("content"), "sha", "new_line"
     )
-    hits = secrets.findings(texts, keep=("sha", "new_line"))
+    hits = file_pass.findings(texts, ("secrets",), keep=("sha", "new_line"))
     first = hits.groupBy("repo", "sha", "file", "new_line", "title").agg(
         F.min_by(F.struct("severity", "description", "line_text", "fix_phase", "fix_summary", "emit_seq"), "emit_seq").alias("f")
     )

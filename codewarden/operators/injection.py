@@ -1,8 +1,8 @@
-"""Injection scanner: pattern rules, weak randomness, JavaScript and Python sinks, one pass per file.
+"""Injection scanner: pattern rules, weak randomness, JavaScript and Python sinks.
 
-``scan_columns`` adds the columns step by step, each step reading the earlier ones, so Catalyst
-keeps every expensive value in its own projection instead of repeating it. Nothing here shuffles:
-the scan of a file needs only the file.
+The scanner is a list of columns for the file pass (``plans.file_pass``): each step reads earlier
+ones, so Catalyst keeps every expensive value in its own projection instead of repeating it. Nothing
+here shuffles: the scan of a file needs only the file.
 """
 
 from __future__ import annotations
@@ -12,15 +12,13 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codewarden import schemas
 from codewarden.functions import matching as M
 from codewarden.functions import text as X
 from codewarden.operators import facts_py, taint_js, taint_py
 from codewarden.rules import injection as R
 from codewarden.rules import taint as T
 
-_HIT = "struct<rule:int,line:int,part:int,a:bigint,b:bigint,c:bigint,reachable:boolean>"
-_NO_HITS = f"array<{_HIT}>"
+HITS_DDL = "array<struct<rule:int,line:int,part:int,a:bigint,b:bigint,c:bigint,reachable:boolean>>"
 
 
 def _empty(ddl: str) -> Column:
@@ -70,8 +68,20 @@ def taint_columns(files: DataFrame) -> DataFrame:
 
 
 @cache
-def _steps() -> list[tuple[str, Column]]:
-    """The scan's columns in order. Unresolved expressions, so they are built once per process."""
+def before_lines() -> list[tuple[str, Column]]:
+    return [
+        ("_facts", facts_py.facts(F.when(F.col("_suffix") == ".py", F.col("content")))),
+        ("_parsed", F.col("_facts").isNotNull() & F.col("_facts")["functions"].isNotNull()),
+    ]
+
+
+def wants_lines() -> Column:
+    return F.col("_code")
+
+
+@cache
+def after_lines() -> list[tuple[str, Column]]:
+    """The scan's columns in order; ``_inj_hits`` holds the hits of a file in emission order."""
     content = F.col("content")
     js = F.col("_suffix").isin(*T.JS_SUFFIXES)
     numbered = list(enumerate(R.PATTERN_RULES))
@@ -95,15 +105,9 @@ def _steps() -> list[tuple[str, Column]]:
     )
 
     def where(condition: Column, hits: Column) -> Column:
-        return F.coalesce(F.when(condition, hits), _empty(_NO_HITS)).cast(_NO_HITS)
+        return F.coalesce(F.when(condition, hits), _empty(HITS_DDL)).cast(HITS_DDL)
 
     return [
-        ("_suffix", X.suffix_of(F.col("path"))),
-        ("_code", F.col("_suffix").isin(*T.CODE_SUFFIXES)),
-        ("_low", F.when(F.col("_code"), M.fold_case(content))),
-        ("_facts", facts_py.facts(F.when(F.col("_suffix") == ".py", content))),
-        ("_parsed", F.col("_facts").isNotNull() & F.col("_facts")["functions"].isNotNull()),
-        ("_lines", F.when(F.col("_code"), X.split_lines(content))),
         # Files whose text the lexical rules read: code that is no generated bundle.
         ("_open", F.col("_code") & ((F.col("_suffix") == ".py") | ~looks_minified(F.col("path"), F.col("_lines")))),
         (
@@ -129,7 +133,7 @@ def _steps() -> list[tuple[str, Column]]:
             F.when(F.col("_parsed"), taint_py.constant_names(F.col("_facts"), F.col("_py_tainted"))),
         ),
         (
-            "_hits",
+            "_inj_hits",
             F.concat(
                 where(
                     F.col("_parsed"),
@@ -146,13 +150,6 @@ def _steps() -> list[tuple[str, Column]]:
     ]
 
 
-def scan_columns(files: DataFrame) -> DataFrame:
-    """``files`` plus ``_lines`` and ``_hits``, the injection hits of each file in emission order."""
-    for name, expression in _steps():
-        files = files.withColumn(name, expression)
-    return files
-
-
 def _flagged_line(h: Column) -> Column:
     return F.coalesce(X.line_at(F.col("_lines"), h["line"]), F.lit(""))
 
@@ -171,58 +168,9 @@ def _pattern_verdict(h: Column, js: Column) -> Column:
     )
 
 
-def rule_texts(spark) -> DataFrame:
-    """The fixed rule dimension (a few dozen rows): index, title, levels and texts."""
-    rows = [(i, r.title, r.severity, r.fix_phase, r.description, r.group) for i, r in enumerate(R.RULES)]
-    return spark.createDataFrame(
-        rows, "rule int, title string, severity string, fix_phase int, description string, rule_group string"
-    )
+def rule_rows() -> list[tuple]:
+    """(rule, title, severity, fix_phase, description, fix_summary) of every rule."""
+    return [(i, r.title, r.severity, r.fix_phase, r.description, R.FIX_SUMMARY) for i, r in enumerate(R.RULES)]
 
 
-def findings(files: DataFrame) -> DataFrame:
-    """Injection findings of ``files(repo, path, file_seq, content)``."""
-    return emit(scan_columns(files))
-
-
-@cache
-def _emitted() -> Column:
-    """Hits with their texts, exploded; an expression (not a bare column), so that no filter on its
-    size is derived and pushed below the scan, where it would run the scan twice."""
-    return F.explode(
-        F.transform(
-            F.col("_hits"),
-            lambda h: F.struct(
-                h.alias("hit"),
-                X.snippet_at(F.col("_lines"), h["line"]).alias("snippet"),
-                X.line_at(F.col("_lines"), h["line"]).alias("line_text"),
-            ),
-        )
-    ).alias("x")
-
-
-def emit(scanned: DataFrame) -> DataFrame:
-    """Findings rows of scanned files; the rule texts come from a broadcast of a fixed small table."""
-    spark = scanned.sparkSession
-    rows = scanned.select("repo", "path", "file_seq", _emitted()).select(
-        "repo", "path", "file_seq", "x.hit.*", "x.snippet", "x.line_text"
-    )
-    order = schemas.SCANNERS.index("injection")
-    return schemas.as_findings(
-        rows.join(F.broadcast(rule_texts(spark)), "rule").select(
-            "repo",
-            F.col("path").alias("file"),
-            "line",
-            "severity",
-            "title",
-            "description",
-            F.lit("injection").alias("scanner"),
-            "snippet",
-            "fix_phase",
-            F.lit(R.FIX_SUMMARY).alias("fix_summary"),
-            "reachable",
-            "line_text",
-            schemas.emit_seq(order, F.col("file_seq"), F.col("part"), F.col("a"), F.col("b"), F.col("c")).alias(
-                "emit_seq"
-            ),
-        )
-    )
+HITS = "_inj_hits"

@@ -1,22 +1,21 @@
 """Secrets scanner: every collected file, any language, minified bundles included.
 
 Comment lines, placeholder values and environment lookups never fire. Like the other per-file
-scanners it is one narrow pass: the whole text of a file is matched inside its own row.
+scanners it is a list of columns for the file pass: a whole text is matched inside its own row.
 """
 
 from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codewarden import schemas
 from codewarden.functions import matching as M
 from codewarden.functions import text as X
+from codewarden.operators.injection import HITS_DDL
 from codewarden.rules import secrets as R
 
-_HIT = "array<struct<rule:int,line:int,col:int,nth:int>>"
 
 
 def _line(h: Column) -> Column:
@@ -42,69 +41,37 @@ def is_placeholder(value: Column) -> Column:
     return F.lower(value).rlike(R.PLACEHOLDER)
 
 
+def before_lines() -> list[tuple[str, Column]]:
+    return [("_sec_marked", M.marked_lines("content", "_low", list(enumerate(R.RULES)), "true"))]
+
+
+def wants_lines() -> Column:
+    return F.size("_sec_marked") > 0
+
+
 @cache
-def _steps() -> list[tuple[str, Column]]:
-    content = F.col("content")
-    rules = list(enumerate(R.RULES))
+def after_lines() -> list[tuple[str, Column]]:
     hits = F.filter(
-        M.hits_of(F.col("_marked")),
+        M.hits_of(F.col("_sec_marked")),
         lambda h: ~X.is_comment(_line(h)) & ~_line(h).rlike(R.LOOKUP) & ~_matched(h).rlike(R.PLACEHOLDER),
     )
-    return [
-        ("_low", M.fold_case(content)),
-        ("_marked", M.marked_lines("content", "_low", rules, "true")),
-        ("_lines", F.when(F.size("_marked") > 0, X.split_lines(content))),
-        ("_hits", F.coalesce(F.when(F.size("_marked") > 0, hits), F.array().cast(_HIT))),
-    ]
-
-
-def scan_columns(files: DataFrame) -> DataFrame:
-    for name, expression in _steps():
-        files = files.withColumn(name, expression)
-    return files
+    shaped = F.transform(
+        hits,
+        lambda h: F.struct(
+            h["rule"].alias("rule"),
+            h["line"].alias("line"),
+            F.lit(1).alias("part"),
+            h["rule"].cast("bigint").alias("a"),
+            h["line"].cast("bigint").alias("b"),
+            h["nth"].cast("bigint").alias("c"),
+            F.lit(None).cast("boolean").alias("reachable"),
+        ),
+    )
+    return [("_sec_hits", F.coalesce(F.when(F.size("_sec_marked") > 0, shaped), F.array().cast(HITS_DDL)).cast(HITS_DDL))]
 
 
-def rule_texts(spark) -> DataFrame:
-    rows = [(i, r.title, r.severity, r.fix_phase, r.description) for i, r in enumerate(R.RULES)]
-    return spark.createDataFrame(rows, "rule int, title string, severity string, fix_phase int, description string")
+def rule_rows() -> list[tuple]:
+    return [(i, r.title, r.severity, r.fix_phase, r.description, R.FIX_SUMMARY) for i, r in enumerate(R.RULES)]
 
 
-@cache
-def _emitted() -> Column:
-    return F.explode(
-        F.transform(
-            F.col("_hits"),
-            lambda h: F.struct(
-                h["rule"].alias("rule"),
-                h["line"].alias("line"),
-                h["nth"].alias("nth"),
-                X.snippet_at(F.col("_lines"), h["line"]).alias("snippet"),
-                X.line_at(F.col("_lines"), h["line"]).alias("line_text"),
-            ),
-        )
-    ).alias("x")
-
-
-def findings(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Secret findings of ``files``; columns named in ``keep`` are carried through."""
-    rows = scan_columns(files).select("repo", "path", "file_seq", *keep, _emitted())
-    out = rows.select("repo", "path", "file_seq", *keep, "x.*").join(
-        F.broadcast(rule_texts(files.sparkSession)), "rule"
-    )
-    order = schemas.SCANNERS.index("secrets")
-    shaped = out.select(
-        "repo",
-        F.col("path").alias("file"),
-        "line",
-        "severity",
-        "title",
-        "description",
-        F.lit("secrets").alias("scanner"),
-        "snippet",
-        "fix_phase",
-        F.lit(R.FIX_SUMMARY).alias("fix_summary"),
-        "line_text",
-        schemas.emit_seq(order, F.col("file_seq"), 1, F.col("rule"), F.col("line"), F.col("nth")).alias("emit_seq"),
-        *keep,
-    )
-    return shaped if keep else schemas.as_findings(shaped)
+HITS = "_sec_hits"

@@ -68,8 +68,10 @@ def emit_seq(scanner, file_seq, part=0, a=0, b=0, c=0) -> Column:
     )
 
 
-def as_findings(df: DataFrame) -> DataFrame:
-    """Project ``df`` onto the findings layout; absent columns take the model's defaults."""
+def as_findings(df: DataFrame, keep=()) -> DataFrame:
+    """Project ``df`` onto the findings layout; absent columns take the model's defaults.
+
+    Columns named in ``keep`` are carried through."""
     defaults = {
         "snippet": F.lit(""),
         "fix_phase": F.lit(1),
@@ -82,5 +84,6 @@ def as_findings(df: DataFrame) -> DataFrame:
         *[
             (F.col(f.name) if f.name in have else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
             for f in FINDINGS.fields
-        ]
+        ],
+        *keep,
     )
