@@ -160,8 +160,7 @@ def collect(
     return kept.select(*files.columns)
 
 
-def single(files: DataFrame, repo: str, path: str) -> DataFrame:
+def single(files: DataFrame, path: str, repo: str | None = None) -> DataFrame:
     """One named file: excludes and .gitignore do not apply, the suffix or name rule does."""
-    return files.where((F.col("repo") == repo) & (F.col("path") == path) & is_scannable(F.col("path")))
-
-
+    named = files.where((F.col("path") == path) & is_scannable(F.col("path")))
+    return named if repo is None else named.where(F.col("repo") == repo)
