@@ -13,6 +13,7 @@ from codewarden.functions.ordering import carry_forward, running_count
 from codewarden.functions.text import strip
 
 COMMIT = "COMMIT "
+HUNK_START = r"^@@ -\S+ \+(\d+)"
 HUNK = r"^@@ -\S+ \+(\d+)(?:,(\d+))? @@"
 
 
@@ -40,7 +41,7 @@ def added_lines(log: DataFrame, block_rows: int = 100_000) -> DataFrame:
     counted = running_count(
         carried.withColumn("_added", F.coalesce(is_added, F.lit(False))), ["repo"], "pos", F.col("_added"), "_n", block_rows
     )
-    start = F.coalesce(F.regexp_extract(raw, HUNK, 1).try_cast("bigint"), F.lit(0))
+    start = F.coalesce(F.regexp_extract(raw, HUNK_START, 1).try_cast("bigint"), F.lit(0))
     # Line number before the next added line, minus the added lines counted so far.
     hunk = {"_base": F.when(is_hunk, start - F.col("_n"))}
     placed = carry_forward(counted, ["repo"], "pos", hunk, block_rows)
