@@ -154,10 +154,10 @@ def _secrets(rules) -> str:
     for rule in rules:
         rx = q(("(?i)" if rule.ignore_case else "") + rule.pattern)
         # Tokens are judged by what follows up to a quote or a blank, assignments by their value.
-        judged = f"regexp_extract(text, {rx}, 1)" if rule in S.VALUE_RULES else f"regexp_extract(substr(text, strpos(text, m)), {q(r'^[^\s' + chr(39) + chr(34) + r']+')})"
+        judged = f"regexp_extract(m, {rx}, 1)" if rule in S.VALUE_RULES else f"regexp_extract(substr(text, strpos(text, m)), {q(r'^[^\s' + chr(39) + chr(34) + r']+')})"
         parts.append(
             f"SELECT repo, path AS file, CAST(line AS INTEGER) AS line, 'CRITICAL' AS severity, {q(rule.title)} AS title, CAST(1 AS INTEGER) AS fix_phase, snippet "
-            f"FROM (SELECT *, regexp_extract(text, {rx}) AS m FROM lines) WHERE m <> '' AND NOT regexp_matches(text, {_COMMENT}) "
+            f"FROM (SELECT *, unnest(regexp_extract_all(text, {rx})) AS m FROM lines) WHERE NOT regexp_matches(text, {_COMMENT}) "
             f"AND NOT regexp_matches(text, {_LOOKUP}) AND NOT regexp_matches(lower({judged}), {_FAKE})"
         )
     return " UNION ALL ".join(parts)
