@@ -16,57 +16,56 @@ def block_rank(df: DataFrame, keys: list[str], blocks: list[Column], order: list
     """1-based position of each row within ``keys``, by ``blocks`` then ``order``.
 
     ``blocks`` must be a coarser prefix of the order (for instance severity and file number // 1000).
+    Keys and blocks must not be NULL.
     """
     names = [f"_b{i}" for i in range(len(blocks))]
     cut = df.withColumns(dict(zip(names, blocks)))
     totals = cut.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1))
-    offsets = totals.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    for name in [*keys, *names]:
-        offsets = offsets.withColumnRenamed(name, f"_o{name}")
+    offsets = totals.select(*keys, *names, F.coalesce(before, F.lit(0)).alias("_before"))
     local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order)))
-    same = [local[name].eqNullSafe(offsets[f"_o{name}"]) for name in [*keys, *names]]
-    joined = local.join(offsets, same, "left")
+    joined = local.join(offsets, [*keys, *names])
     return joined.withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint")).select(*df.columns, out)
 
 
-def carry_forward(
-    df: DataFrame, keys: list[str], pos: str, states: dict[str, Column], block_rows: int = 100_000
-) -> DataFrame:
-    """Per row, the last non-NULL value of each state at or before it, in ``pos`` order within ``keys``."""
-    marks = {f"_m_{name}": value for name, value in states.items()}
-    cut = df.withColumn("_block", F.floor(F.col(pos) / block_rows)).withColumns(marks)
-    by_block = W.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+BLOCK = "_block"
+
+
+def with_blocks(df: DataFrame, pos: str, rows: int = 100_000) -> DataFrame:
+    """Adds the block number of each row. The functions below keep it, so that windows and joins of
+    several steps share one hash partitioning by (keys, block) and the rows move once."""
+    return df.withColumn(BLOCK, F.floor(F.col(pos) / rows))
+
+
+def carry_forward(df: DataFrame, keys: list[str], pos: str, states: dict[str, Column]) -> DataFrame:
+    """Per row, the last non-NULL value of each state at or before it, in ``pos`` order within ``keys``.
+
+    ``df`` has blocks; keys must not be NULL.
+    """
+    cut = df.withColumns({f"_m_{name}": value for name, value in states.items()})
+    by_block = W.partitionBy(*keys, BLOCK).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
     local = cut.withColumns({name: F.last(f"_m_{name}", ignorenulls=True).over(by_block) for name in states})
-    ends = cut.groupBy(*keys, "_block").agg(
-        *[F.max_by(f"_m_{name}", F.when(F.col(f"_m_{name}").isNotNull(), F.col(pos))).alias(f"_e_{name}") for name in states]
+    ends = cut.groupBy(*keys, BLOCK).agg(
+        *[
+            F.max_by(f"_m_{name}", F.when(F.col(f"_m_{name}").isNotNull(), F.col(pos))).alias(f"_e_{name}")
+            for name in states
+        ]
     )
-    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_block").alias("_k_block"),
-        *[F.last(f"_e_{name}", ignorenulls=True).over(earlier).alias(f"_c_{name}") for name in states],
+        *keys, BLOCK, *[F.last(f"_e_{name}", ignorenulls=True).over(earlier).alias(f"_c_{name}") for name in states]
     )
-    same = [local[k].eqNullSafe(carried[f"_k_{k}"]) for k in keys] + [local["_block"] == carried["_k_block"]]
-    joined = local.join(carried, same, "left")
+    joined = local.join(carried, [*keys, BLOCK], "left")
     return joined.select(*df.columns, *[F.coalesce(F.col(n), F.col(f"_c_{n}")).alias(n) for n in states])
 
 
-def running_count(
-    df: DataFrame, keys: list[str], pos: str, flag: Column, out: str, block_rows: int = 100_000
-) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], pos: str, flag: Column, out: str) -> DataFrame:
     """Number of flagged rows at or before each row, in ``pos`` order within ``keys``."""
-    one = F.when(flag, F.lit(1)).otherwise(F.lit(0))
-    cut = df.withColumn("_block", F.floor(F.col(pos) / block_rows)).withColumn("_one", one)
-    by_block = W.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+    cut = df.withColumn("_one", F.when(flag, F.lit(1)).otherwise(F.lit(0)))
+    by_block = W.partitionBy(*keys, BLOCK).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
     local = cut.withColumn("_local", F.sum("_one").over(by_block))
-    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_block").agg(F.sum("_one").alias("_n"))
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_block").alias("_k_block"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-    )
-    same = [local[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys] + [local["_block"] == offsets["_k_block"]]
-    joined = local.join(offsets, same, "left")
+    earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, BLOCK).agg(F.sum("_one").alias("_n"))
+    offsets = totals.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = local.join(offsets, [*keys, BLOCK], "left")
     return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(out))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,9 @@ ROOT_MANIFESTS = ("requirements.txt", "pyproject.toml", "package.json", "Pipfile
 LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json")
 PIN = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*==\s*([^\s;#]+)"
 
-_LOCK = "struct<packages:map<string,struct<version:string,link:boolean>>>"
-_ENTRY = "array<struct<name:string,version:string,anchor:string>>"
+_ENTRY = "array<struct<name:string,version:string,line:int,raw:string>>"
+# A JSON key with its colon, and the brace that may open its value.
+KEYS = re.compile(r'("(?:[^"\\]|\\.)*":)( \{)?')
 
 
 def directory(path: Column) -> Column:
@@ -69,87 +71,66 @@ def pins(manifests: DataFrame) -> DataFrame:
     )
 
 
-def _nested(text: str | None) -> list[dict]:
-    """Entries of a nested (version 1) lockfile in document order."""
-    if text is None:
-        return []
+def _walk(document: dict):
+    """(name, version, anchor) of a lockfile's entries in document order: the flat layout, else the nested one."""
+    packages = document.get("packages")
+    if isinstance(packages, dict):
+        for key, meta in packages.items():
+            if key and isinstance(meta, dict) and not meta.get("link"):
+                yield key.rpartition("node_modules/")[2], meta.get("version"), f'"{key}":'
+        return
+    todo = [document]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, tuple):
+            name, meta = node
+            yield name, meta.get("version"), f'"{name}": {{'
+            node = meta
+        inner = node.get("dependencies")
+        if isinstance(inner, dict):
+            todo.extend((name, meta) for name, meta in reversed(inner.items()) if isinstance(meta, dict))
+
+
+def _parse_lock(text: str | None) -> list[dict]:
+    """Concrete entries, first occurrence per name and version, with the first line of their anchor.
+
+    Line numbers come from one index of the text's keys, not from a search per entry.
+    """
     try:
-        document = json.loads(text)
+        document = json.loads(text or "")
     except (ValueError, RecursionError):
         return []
-    out: list[dict] = []
-    todo = [iter((document.get("dependencies") or {}).items())] if isinstance(document, dict) and isinstance(document.get("dependencies"), dict) else []
-    while todo:
-        item = next(todo[-1], None)
-        if item is None:
-            todo.pop()
-        elif isinstance(item[1], dict):
-            name, meta = item
-            if isinstance(meta.get("version"), str):
-                out.append({"name": name, "version": meta["version"], "anchor": f'"{name}": {{'})
-            if isinstance(meta.get("dependencies"), dict):
-                todo.append(iter(meta["dependencies"].items()))
-    return out
+    if not isinstance(document, dict):
+        return []
+    found: dict[tuple[str, str], str] = {}
+    for name, version, anchor in _walk(document):
+        if isinstance(version, str) and re.match(V.CONCRETE, version):
+            found.setdefault((name, version), anchor)
+    at: dict[str, tuple[int, str]] = {}
+    for number, line in enumerate(text.splitlines() if found else [], start=1):
+        for key, opens in KEYS.findall(line):
+            for anchor in (key, key + opens) if opens else (key,):
+                at.setdefault(anchor, (number, line.strip()))
+    return [
+        {"name": name, "version": version, "line": at.get(anchor, (1, anchor))[0], "raw": at.get(anchor, (1, anchor))[1]}
+        for (name, version), anchor in found.items()
+    ]
 
 
 def lock_entries(lockfiles: DataFrame) -> DataFrame:
-    """Concrete entries of npm lockfiles ``(repo, path, content)``, first occurrence per name and version."""
+    """Concrete entries of npm lockfiles ``(repo, path, content)``, first occurrence per name and version.
+
+    Arbitrarily nested JSON with line numbers has no built-in operator, so an Arrow-batched helper
+    reads each lockfile inside its own row; nothing is shuffled.
+    """
 
     @F.pandas_udf(_ENTRY)
-    def nested(contents: pd.Series) -> pd.Series:
-        return contents.map(_nested)
-
-    content = F.col("content")
-    flat = F.transform(
-        F.filter(
-            F.map_entries("_lock.packages"),
-            lambda e: (e["key"] != "") & e["value"].isNotNull() & ~F.coalesce(e["value"]["link"], F.lit(False)) & e["value"]["version"].isNotNull(),
-        ),
-        lambda e: F.struct(
-            F.element_at(F.split(e["key"], "node_modules/"), -1).alias("name"),
-            e["value"]["version"].alias("version"),
-            F.concat(F.lit('"'), e["key"], F.lit('":')).alias("anchor"),
-        ),
-    )
-    is_flat = F.schema_of_variant(F.try_variant_get(F.try_parse_json(content), "$.packages", "variant")).startswith("OBJECT")
-    parsed = (
-        lockfiles.select("repo", "path", "content")
-        .withColumn("_flat", F.coalesce(is_flat, F.lit(False)))
-        .withColumn("_lock", F.when(F.col("_flat"), F.from_json(content, _LOCK)))
-        .withColumn("_deep", nested(F.when(~F.col("_flat"), content)))
-        .withColumn("_entries", F.when(F.col("_flat"), flat).otherwise(F.col("_deep")))
-        # Only lines that can hold an anchor are searched for one.
-        .withColumn(
-            "_lines",
-            F.filter(
-                F.transform(X.split_lines(content), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"))),
-                lambda x: F.contains(x["text"], F.lit('":')),
-            ),
-        )
-    )
-    found = F.transform(
-        F.filter("_entries", lambda e: e["version"].rlike(V.CONCRETE)),
-        lambda e, i: F.struct(
-            e["name"].alias("name"),
-            e["version"].alias("version"),
-            e["anchor"].alias("anchor"),
-            i.alias("ord"),
-            F.get(F.filter("_lines", lambda x: F.contains(x["text"], e["anchor"])), 0).alias("at"),
-        ),
-    )
-    rows = parsed.select("repo", "path", F.explode(found).alias("e"))
-    first = rows.groupBy("repo", "path", F.col("e.name").alias("name"), F.col("e.version").alias("version")).agg(
-        F.min_by("e", F.col("e.ord")).alias("e")
-    )
-    return first.select(
-        "repo",
-        "path",
-        F.coalesce(F.col("e.at.line"), F.lit(1)).alias("line"),
-        "name",
-        "version",
-        F.coalesce(X.strip(F.col("e.at.text")), F.col("e.anchor")).alias("raw"),
-        F.lit("npm").alias("ecosystem"),
-        F.col("e.ord").cast("bigint").alias("ord"),
+    def parse(contents: pd.Series) -> pd.Series:
+        return contents.map(_parse_lock)
+
+    rows = lockfiles.select("repo", "path", F.posexplode(parse("content")).alias("ord", "e"))
+    return rows.select(
+        "repo", "path", "e.line", "e.name", "e.version", "e.raw", F.lit("npm").alias("ecosystem"), F.col("ord").cast("bigint").alias("ord")
     )
 
 

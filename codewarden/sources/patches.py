@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.functions.ordering import carry_forward, running_count
+from codewarden.functions.ordering import carry_forward, running_count, with_blocks
 from codewarden.functions.text import strip
 
 COMMIT = "COMMIT "
@@ -36,15 +36,16 @@ def added_lines(log: DataFrame, block_rows: int = 100_000) -> DataFrame:
         "sha": F.when(is_commit, strip(F.substr(raw, F.lit(len(COMMIT) + 1)))),
         "path": F.when(is_commit, F.lit("")).when(is_file, _target(raw)),
     }
-    carried = carry_forward(log.select("repo", "pos", "raw"), ["repo"], "pos", states, block_rows)
+    blocks = with_blocks(log.select("repo", "pos", "raw"), "pos", block_rows)
+    carried = carry_forward(blocks, ["repo"], "pos", states)
     is_added = raw.startswith("+") & ~is_file & (F.col("path") != "") & (F.col("sha") != "")
     counted = running_count(
-        carried.withColumn("_added", F.coalesce(is_added, F.lit(False))), ["repo"], "pos", F.col("_added"), "_n", block_rows
+        carried.withColumn("_added", F.coalesce(is_added, F.lit(False))), ["repo"], "pos", F.col("_added"), "_n"
     )
     start = F.coalesce(F.regexp_extract(raw, HUNK_START, 1).try_cast("bigint"), F.lit(0))
     # Line number before the next added line, minus the added lines counted so far.
     hunk = {"_base": F.when(is_hunk, start - F.col("_n"))}
-    placed = carry_forward(counted, ["repo"], "pos", hunk, block_rows)
+    placed = carry_forward(counted, ["repo"], "pos", hunk)
     return placed.where("_added").select(
         "repo",
         "sha",
@@ -63,9 +64,8 @@ def changed_lines(diff: DataFrame, untracked: DataFrame | None = None, block_row
     """
     raw = F.col("raw")
     is_file = raw.startswith("+++ ")
-    carried = carry_forward(
-        diff.select("repo", "pos", "raw"), ["repo"], "pos", {"path": F.when(is_file, _target(raw))}, block_rows
-    )
+    blocks = with_blocks(diff.select("repo", "pos", "raw"), "pos", block_rows)
+    carried = carry_forward(blocks, ["repo"], "pos", {"path": F.when(is_file, _target(raw))})
     start = F.regexp_extract(raw, HUNK, 1).try_cast("int")
     count = F.coalesce(F.regexp_extract(raw, HUNK, 2).try_cast("int"), F.lit(1))
     hunk_lines = F.when(
