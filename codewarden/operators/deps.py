@@ -132,12 +132,16 @@ def findings_of(dependencies: DataFrame, matches: DataFrame, details: DataFrame)
     )
 
 
-def dependencies(files: DataFrame, collected: DataFrame) -> DataFrame:
-    """Pins and lockfile entries at each repository's project root (manifests come from all files)."""
-    roots = M.project_roots(files, collected)
-    return M.pins(M.requirement_files(files, roots)).unionByName(M.lock_entries(M.lockfiles_at(files, roots)))
+def dependencies(manifests: DataFrame, collected: DataFrame) -> DataFrame:
+    """Pins and lockfile entries at each repository's project root.
 
+    ``manifests`` holds (at least) all manifest files, also those that file selection leaves out;
+    of ``collected`` only paths are read.
+    """
+    roots = M.project_roots(manifests, collected)
+    return M.pins(M.requirement_files(manifests, roots)).unionByName(M.lock_entries(M.lockfiles_at(manifests, roots)))
 
-def findings(files: DataFrame, collected: DataFrame, advisories: DataFrame) -> DataFrame:
-    found = dependencies(files, collected)
+
+def findings(manifests: DataFrame, collected: DataFrame, advisories: DataFrame) -> DataFrame:
+    found = dependencies(manifests, collected)
     return findings_of(found, match(found, advisories), advisories)

@@ -106,34 +106,71 @@ def after_lines() -> list[tuple[str, Column]]:
 
 
 def rule_rows() -> list[tuple]:
-    return [(i, *R.TEXTS[check]) for i, check in enumerate(CHECKS)]
+    return [(i, *R.TEXTS[check]) for i, check in enumerate(CHECKS)] + [(SIGNAL, SIGNAL_TITLE, "", 0, "", "")]
 
 
 HITS = "_hdr_hits"
 
+# Signals travel as hits of a rule of their own: its position holds the flags as bits.
+SIGNAL = len(CHECKS)
+SIGNAL_TITLE = "(signals)"
 
-def csrf_signals(files: DataFrame) -> DataFrame:
-    """Per repository: first framework file, session signal, CSRF sign (all collected files count)."""
-    content = F.col("content")
-    flags = files.select(
-        "repo",
-        "path",
-        "file_seq",
-        any_framework(content).alias("framework"),
-        content.rlike(R.SESSION).alias("session"),
-        content.rlike(R.CSRF).alias("csrf"),
+
+def signal_step() -> tuple[str, Column]:
+    bits = sum(
+        (F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(signals(F.col("content")).values())),
+        F.lit(0),
     )
-    anchor = F.when(F.col("framework"), F.struct("file_seq", "path"))
-    return flags.groupBy("repo").agg(
-        F.min(anchor).alias("anchor"),
-        F.bool_or("session").alias("session"),
-        F.bool_or("csrf").alias("csrf"),
+    return "_signals", bits
+
+
+def signal_hits() -> Column:
+    hit = F.struct(
+        F.lit(SIGNAL).alias("rule"),
+        F.lit(0).alias("line"),
+        F.lit(0).alias("part"),
+        F.col("_signals").cast("bigint").alias("a"),
+        F.lit(0).cast("bigint").alias("b"),
+        F.lit(0).cast("bigint").alias("c"),
+        F.lit(None).cast("boolean").alias("reachable"),
+    )
+    return F.when(F.col("_signals") > 0, F.array(hit)).otherwise(F.array().cast(HITS_DDL)).cast(HITS_DDL)
+
+
+def signals_of(rows: DataFrame) -> DataFrame:
+    """``file_signals`` rows back from findings rows of the signal rule (files without a signal have none)."""
+    bit = lambda i: F.col("emit_seq.a").bitwiseAND(F.lit(1 << i).cast("bigint")) > 0
+    flags = [bit(i).alias(name) for i, name in enumerate(("framework", "session", "csrf"))]
+    return rows.where(F.col("title") == SIGNAL_TITLE).select(
+        "repo", F.col("file").alias("path"), F.col("emit_seq.file_seq").alias("file_seq"), *flags
     )
 
 
-def csrf_findings(files: DataFrame) -> DataFrame:
-    """At most one project-level finding per repository."""
-    bare = csrf_signals(files).where(F.col("anchor").isNotNull() & F.col("session") & ~F.col("csrf"))
+def signals(content: Column) -> dict[str, Column]:
+    """What a file says about the repository's need for CSRF protection (any suffix counts)."""
+    return {
+        "framework": any_framework(content),
+        "session": content.rlike(R.SESSION),
+        "csrf": content.rlike(R.CSRF),
+    }
+
+
+def file_signals(files: DataFrame) -> DataFrame:
+    """(repo, path, file_seq, framework, session, csrf) of every file."""
+    return files.select("repo", "path", "file_seq", *[c.alias(n) for n, c in signals(F.col("content")).items()])
+
+
+def csrf_findings(flags: DataFrame) -> DataFrame:
+    """At most one project-level finding per repository, from ``file_signals`` rows.
+
+    Flags and a minimum merge on the map side: a repository with a third of all files is one row per
+    task in the shuffle.
+    """
+    anchor = F.when(F.col("framework"), F.struct("file_seq", "path"))
+    merged = flags.groupBy("repo").agg(
+        F.min(anchor).alias("anchor"), F.bool_or("session").alias("session"), F.bool_or("csrf").alias("csrf")
+    )
+    bare = merged.where(F.col("anchor").isNotNull() & F.col("session") & ~F.col("csrf"))
     title, severity, phase, description, fix = R.TEXTS["csrf"]
     path = F.col("anchor.path")
     order = schemas.SCANNERS.index("headers")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codewarden import schemas
 from codewarden.functions.severity import severity_rank
+from codewarden.functions.sizes import broadcast_if_small
 from codewarden.plans import file_pass
 from codewarden.sources.patches import added_lines
 
@@ -62,7 +63,7 @@ def sorted_by_severity(findings: DataFrame) -> DataFrame:
 
 def only_changed_files(files: DataFrame, changed: DataFrame) -> DataFrame:
     """The files a diff touches, taken before the scan so that nothing else is read."""
-    touched = changed.select("repo", "path").distinct()
+    touched = broadcast_if_small(changed.select("repo", "path").distinct())
     return files.join(touched, ["repo", "path"], "left_semi").select(*files.columns)
 
 

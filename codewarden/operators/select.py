@@ -142,11 +142,13 @@ def collect(
     exclude: Sequence[str] = (),
     suffixes: Sequence[str] = SUFFIXES,
     gitignore: bool = True,
+    ignore_files: DataFrame | None = None,
 ) -> DataFrame:
     """Scannable files of each repository.
 
     Everything but .gitignore is a predicate on the path. The patterns are one row per repository:
-    broadcast when measured small, so that file contents do not move.
+    broadcast when measured small, so that file contents do not move. ``ignore_files`` may hold the
+    .gitignore rows where the caller has them apart.
     """
     path = F.col("path")
     keep = files.where(
@@ -154,7 +156,7 @@ def collect(
     )
     if not gitignore:
         return keep
-    patterns = broadcast_if_small(gitignore_patterns(files))
+    patterns = broadcast_if_small(gitignore_patterns(files if ignore_files is None else ignore_files))
     joined = keep.join(patterns, keep["repo"] == patterns["_repo"], "left")
     kept = joined.where(F.col("_patterns").isNull() | ~_ignored(path, F.col("_patterns")))
     return kept.select(*files.columns)

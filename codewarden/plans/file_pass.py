@@ -30,9 +30,12 @@ def _scanner(name: str) -> int:
 
 
 def scan_columns(
-    files: DataFrame, scanners: Sequence[str] = SCANNERS, rules: Sequence[custom.CustomRule] = ()
+    files: DataFrame,
+    scanners: Sequence[str] = SCANNERS,
+    rules: Sequence[custom.CustomRule] = (),
+    signals: bool = False,
 ) -> DataFrame:
-    """``files`` plus the columns of the chosen scanners."""
+    """``files`` plus the columns of the chosen scanners (and the CSRF signals, on request)."""
     parts = [(name, _MODULES[name]) for name in SCANNERS if name in scanners and name != "custom"]
     only_code = all(name in ("headers", "injection") for name, _ in parts) and "custom" not in scanners
     steps = [
@@ -51,13 +54,15 @@ def scan_columns(
     steps.append(("_lines", F.when(wants, X.split_lines(F.col("content")))))
     for _, module in parts:
         steps += module.after_lines()
+    if signals:
+        steps.append(headers.signal_step())
     for name, expression in steps:
         files = files.withColumn(name, expression)
     return files
 
 
 @cache
-def _emitted(names: tuple[str, ...]) -> Column:
+def _emitted(names: tuple[str, ...], signals: bool) -> Column:
     """Hits of all scanners as rows. The exploded value is an expression, not a bare column: from a
     bare column a filter on its size is derived and pushed below the pass, which would run it twice."""
 
@@ -83,7 +88,8 @@ def _emitted(names: tuple[str, ...]) -> Column:
                 X.line_at(F.col("_lines"), h["line"]).alias("line_text"),
             )
 
-        return F.transform(F.col(module.HITS), row)
+        hits = F.concat(F.col(module.HITS), headers.signal_hits()) if signals and name == "headers" else F.col(module.HITS)
+        return F.transform(hits, row)
 
     return F.explode(F.concat(*[tagged(name) for name in names])).alias("x")
 
@@ -105,14 +111,18 @@ def findings(
     scanners: Sequence[str] = SCANNERS,
     rules: Sequence[custom.CustomRule] = (),
     keep: Sequence[str] = (),
+    signals: bool = False,
 ) -> DataFrame:
-    """Findings of the chosen per-file scanners; columns named in ``keep`` are carried through."""
+    """Findings of the chosen per-file scanners; columns named in ``keep`` are carried through.
+
+    With ``signals``, rows of the signal rule are among them (``headers.signals_of`` reads them).
+    """
     names = tuple(name for name in SCANNERS if name in scanners and (name != "custom" or rules))
     if not names:
         return files.sparkSession.createDataFrame([], schemas.FINDINGS)
     rows = (
-        scan_columns(files, names, rules)
-        .select("repo", "path", "file_seq", *keep, _emitted(names))
+        scan_columns(files, names, rules, signals)
+        .select("repo", "path", "file_seq", *keep, _emitted(names, signals))
         .select("repo", "path", "file_seq", *keep, "x.*")
         .join(F.broadcast(rule_texts(files.sparkSession, names, rules)), "rule")
         .withColumnRenamed("path", "file")

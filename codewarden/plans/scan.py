@@ -14,7 +14,8 @@ from codewarden import schemas
 from codewarden.functions import text as X
 from codewarden.operators import baseline, custom, deps, headers, history, post, select
 from codewarden.plans import file_pass
-from codewarden.sources import reports
+from codewarden.session import cut_lineage
+from codewarden.sources import manifests, reports
 
 
 @dataclass(frozen=True)
@@ -106,25 +107,29 @@ def chosen_scanners(only: Sequence[str] | None) -> list[str]:
 
 
 def native_findings(
-    files: DataFrame,
+    special: DataFrame,
     collected: DataFrame,
     options: Options,
     advisories: DataFrame | None = None,
     touched: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of the chosen scanners; only their branches are in the plan.
+    """Findings of the chosen scanners, materialized once; only their branches are in the plan.
 
-    All per-file scanners share one pass over ``touched`` (by default all collected files).
+    All per-file scanners share one pass over ``touched`` (by default all collected files). The pass
+    also carries the CSRF signals, so the per-repository check reads its rows and not the contents.
     """
     names = chosen_scanners(options.scanners)
     per_file = collected if touched is None else touched
-    parts = [file_pass.findings(per_file, names, options.rules)]
-    if "headers" in names and touched is None:
-        parts.append(headers.csrf_findings(collected))
+    whole = "headers" in names and touched is None
+    rows = file_pass.findings(per_file, names, options.rules, signals=whole)
+    parts = [rows, *[_extra[name](per_file) for name in names if name in _extra]]
+    # Findings are small next to the contents they came from, and they are read several times below.
+    found = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+    if whole:
+        found = found.where(F.col("title") != headers.SIGNAL_TITLE).unionByName(headers.csrf_findings(headers.signals_of(found)))
     if "deps" in names and advisories is not None:
-        parts.append(deps.findings(files, collected, advisories))
-    parts += [_extra[name](per_file) for name in names if name in _extra]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        found = found.unionByName(deps.findings(special, collected, advisories))
+    return found
 
 
 def scan(
@@ -137,10 +142,12 @@ def scan(
 ) -> DataFrame:
     """Findings of all repositories in ``files``, one row per distinct finding.
 
-    Order them with ``post.sort``; the rows carry their order in ``emit_seq``.
+    Order them with ``post.sort``; the rows carry their order in ``emit_seq``. The contents are read
+    twice: once for the few special files, once for the scan.
     """
-    collected = select.collect(files, options.exclude)
-    found = native_findings(files, collected, options, advisories)
+    special = cut_lineage(manifests.special_files(files))
+    collected = select.collect(files, options.exclude, ignore_files=special)
+    found = native_findings(special, collected, options, advisories)
     readers = reports.engines(options.engines)
     reported = [reader(engine_reports[name]) for name, reader in readers.items() if engine_reports and name in engine_reports]
     if reported:
@@ -156,7 +163,8 @@ def scan(
 def scan_diff(files: DataFrame, changed: DataFrame, options: Options = Options(), advisories: DataFrame | None = None) -> DataFrame:
     """Findings on changed lines. The per-file scanners read changed files only; the project-level
     check is left out, since its finding would be dropped."""
-    collected = select.collect(files, options.exclude)
+    special = cut_lineage(manifests.special_files(files))
+    collected = select.collect(files, options.exclude, ignore_files=special)
     touched = history.only_changed_files(collected, changed)
-    found = native_findings(files, collected, options, advisories, touched)
+    found = native_findings(special, collected, options, advisories, touched)
     return history.on_changed_lines(post.dedupe(post.suppress(found, options.marker)), changed)

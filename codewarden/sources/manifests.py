@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
-from codewarden.functions import versions as V
+from codewarden.functions.versions import CONCRETE
 
 # Files that mark a project root, and lockfiles in order of preference.
 ROOT_MANIFESTS = ("requirements.txt", "pyproject.toml", "package.json", "Pipfile")
 LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json")
+GITIGNORE = ".gitignore"
 PIN = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*==\s*([^\s;#]+)"
 
 _ENTRY = "array<struct<name:string,version:string,line:int,raw:string>>"
@@ -22,6 +23,14 @@ _ENTRY = "array<struct<name:string,version:string,line:int,raw:string>>"
 KEYS = re.compile(r'("(?:[^"\\]|\\.)*":)( \{)?')
 
 
+def special_files(files: DataFrame) -> DataFrame:
+    """Manifests, lockfiles and .gitignore files: the few files read as a whole besides the scan.
+
+    Callers materialize this once; otherwise each use would read the contents of all files again.
+    """
+    return files.where(X.file_name(F.col("path")).isin(*ROOT_MANIFESTS, *LOCKFILES, GITIGNORE))
+
+
 def directory(path: Column) -> Column:
     """Directory of a repository-relative path, '' at the top."""
     return F.regexp_replace(path, r"(?s)/?[^/]*\z", "")
@@ -104,7 +113,7 @@ def _parse_lock(text: str | None) -> list[dict]:
         return []
     found: dict[tuple[str, str], str] = {}
     for name, version, anchor in _walk(document):
-        if isinstance(version, str) and re.match(V.CONCRETE, version):
+        if isinstance(version, str) and re.match(CONCRETE, version):
             found.setdefault((name, version), anchor)
     at: dict[str, tuple[int, str]] = {}
     for number, line in enumerate(text.splitlines() if found else [], start=1):

@@ -61,7 +61,7 @@ def hdr_frameworks(spark, sf):
 
 
 def hdr_csrf(spark, sf):
-    return headers.csrf_findings(corpus.files(spark, sf)).select(*COLUMNS, "project_level")
+    return headers.csrf_findings(headers.file_signals(corpus.files(spark, sf))).select(*COLUMNS, "project_level")
 
 
 RULES = [
