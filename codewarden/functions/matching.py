@@ -44,13 +44,15 @@ def gate(text: str, folded: str, anchors, ignore_case: bool) -> Column:
 def marked_sql(content: str, rule: int, regex: str) -> str:
     """array<struct<rule,line,marked>>: every "\\n"-line in which a match starts.
 
-    Written as one SQL expression per rule, so that a plan of many rules is one parse and not
-    thousands of calls into the JVM.
+    The text is only cut into lines when there is a match. Written as one SQL expression per rule, so
+    that a plan of many rules is one parse and not thousands of calls into the JVM.
     """
-    return (
-        f"filter(transform(split(regexp_replace({content}, {sql_text(regex)}, {sql_text(MARK + '$0')}), '\\n', -1), "
-        f"(t, i) -> named_struct('rule', {rule}, 'line', i + 1, 'marked', t)), x -> contains(x.marked, {sql_text(MARK)}))"
+    marked = f"array(regexp_replace({content}, {sql_text(regex)}, {sql_text(MARK + '$0')}))"
+    lines = (
+        f"filter(transform(split(m, '\\n', -1), (t, i) -> named_struct('rule', {rule}, 'line', i + 1, 'marked', t)), "
+        f"x -> contains(x.marked, {sql_text(MARK)}))"
     )
+    return f"flatten(transform(filter({marked}, m -> contains(m, {sql_text(MARK)})), m -> {lines}))"
 
 
 def marked_lines(content: str, folded: str, rules, wanted: str) -> Column:

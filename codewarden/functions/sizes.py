@@ -16,3 +16,22 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     """
     size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
     return F.broadcast(df) if size <= limit else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (no job)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_if_few(df: DataFrame, *keys: str, partition_bytes: int = 16 << 20) -> DataFrame:
+    """Repartition by ``keys`` when the input is too small to fill the cluster by itself.
+
+    A small table in one file is one task, however many cores wait; scanning it is CPU-bound, so moving
+    it once pays. A table with at least ``partition_bytes`` per core is returned as it is: its files
+    give enough tasks, and contents of that size must not be shuffled. ``keys`` should be unique per
+    row, so that no partition gets a hot key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) >= cores * partition_bytes:
+        return df
+    return df.repartition(2 * cores, *keys)

@@ -18,6 +18,8 @@ from codewarden import schemas
 from codewarden.functions import text as X
 from codewarden.operators.injection import HITS_DDL
 
+HITS = "_cus_hits"
+
 
 @dataclass(frozen=True)
 class CustomRule:
@@ -93,7 +95,7 @@ def validate(raw: DataFrame) -> DataFrame:
     )
 
 
-def before_lines(rules: Sequence[CustomRule]) -> list[tuple[str, Column]]:
+def before_lines(rules: Sequence[CustomRule]) -> list[dict[str, Column]]:
     """Hits of the user's rules in rule order; comment lines are *not* skipped."""
     compiled = [(r.pattern, set(r.suffixes) if r.suffixes is not None else None) for r in rules]
 
@@ -114,19 +116,13 @@ def before_lines(rules: Sequence[CustomRule]) -> list[tuple[str, Column]]:
 
         return pd.Series([one(s, t or "") for s, t in zip(suffix, content)])
 
-    return [("_cus_hits", match("_suffix", "content"))]
+    return [{HITS: match("_suffix", "content")}]
 
 
 def wants_lines() -> Column:
     return F.size("_cus_hits") > 0
 
 
-def after_lines() -> list[tuple[str, Column]]:
-    return []
-
-
 def rule_rows(rules: Sequence[CustomRule]) -> list[tuple]:
     return [(i, r.id, r.severity.upper(), r.fix_phase, r.message, r.fix) for i, r in enumerate(rules)]
 
-
-HITS = "_cus_hits"

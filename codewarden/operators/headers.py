@@ -18,6 +18,7 @@ from codewarden.functions import text as X
 from codewarden.operators.injection import HITS_DDL
 from codewarden.rules import headers as R
 
+HITS = "_hdr_hits"
 CHECKS = ("django", "helmet", "flask", "fastapi", "cors")
 _LAST = (1 << 63) - 1
 
@@ -77,10 +78,10 @@ def _checks() -> Column:
     return F.array_compact(F.array(*found))
 
 
-def before_lines() -> list[tuple[str, Column]]:
+def before_lines() -> list[dict[str, Column]]:
     return [
-        ("_web", F.col("_code") & any_framework(F.col("content"))),
-        ("_checks", F.when(F.col("_code"), _checks())),
+        {"_web": F.col("_code") & any_framework(F.col("content"))},
+        {"_checks": F.when(F.col("_code"), _checks())},
     ]
 
 
@@ -89,7 +90,7 @@ def wants_lines() -> Column:
 
 
 @cache
-def after_lines() -> list[tuple[str, Column]]:
+def after_lines() -> list[dict[str, Column]]:
     shaped = F.transform(
         "_checks",
         lambda c: F.struct(
@@ -102,26 +103,24 @@ def after_lines() -> list[tuple[str, Column]]:
             F.lit(None).cast("boolean").alias("reachable"),
         ),
     )
-    return [("_hdr_hits", F.coalesce(shaped, F.array().cast(HITS_DDL)).cast(HITS_DDL))]
+    return [{HITS: F.coalesce(shaped, F.array().cast(HITS_DDL)).cast(HITS_DDL)}]
 
 
 def rule_rows() -> list[tuple]:
     return [(i, *R.TEXTS[check]) for i, check in enumerate(CHECKS)] + [(SIGNAL, SIGNAL_TITLE, "", 0, "", "")]
 
 
-HITS = "_hdr_hits"
-
 # Signals travel as hits of a rule of their own: its position holds the flags as bits.
 SIGNAL = len(CHECKS)
 SIGNAL_TITLE = "(signals)"
 
 
-def signal_step() -> tuple[str, Column]:
+def signal_step() -> dict[str, Column]:
     bits = sum(
         (F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(signals(F.col("content")).values())),
         F.lit(0),
     )
-    return "_signals", bits
+    return {"_signals": bits}
 
 
 def signal_hits() -> Column:

@@ -18,6 +18,7 @@ from codewarden.operators import facts_py, taint_js, taint_py
 from codewarden.rules import injection as R
 from codewarden.rules import taint as T
 
+HITS = "_inj_hits"
 HITS_DDL = "array<struct<rule:int,line:int,part:int,a:bigint,b:bigint,c:bigint,reachable:boolean>>"
 
 
@@ -68,10 +69,10 @@ def taint_columns(files: DataFrame) -> DataFrame:
 
 
 @cache
-def before_lines() -> list[tuple[str, Column]]:
+def before_lines() -> list[dict[str, Column]]:
     return [
-        ("_facts", facts_py.facts(F.when(F.col("_suffix") == ".py", F.col("content")))),
-        ("_parsed", F.col("_facts").isNotNull() & F.col("_facts")["functions"].isNotNull()),
+        {"_facts": facts_py.facts(F.when(F.col("_suffix") == ".py", F.col("content")))},
+        {"_parsed": F.col("_facts").isNotNull() & F.col("_facts")["functions"].isNotNull()},
     ]
 
 
@@ -80,8 +81,8 @@ def wants_lines() -> Column:
 
 
 @cache
-def after_lines() -> list[tuple[str, Column]]:
-    """The scan's columns in order; ``_inj_hits`` holds the hits of a file in emission order."""
+def after_lines() -> list[dict[str, Column]]:
+    """The scan's columns, level by level; ``_inj_hits`` holds the hits of a file in emission order."""
     content = F.col("content")
     js = F.col("_suffix").isin(*T.JS_SUFFIXES)
     numbered = list(enumerate(R.PATTERN_RULES))
@@ -107,46 +108,38 @@ def after_lines() -> list[tuple[str, Column]]:
     def where(condition: Column, hits: Column) -> Column:
         return F.coalesce(F.when(condition, hits), _empty(HITS_DDL)).cast(HITS_DDL)
 
+    py = F.col("_parsed")
+    marked = F.size("_marked") > 0
     return [
-        # Files whose text the lexical rules read: code that is no generated bundle.
-        ("_open", F.col("_code") & ((F.col("_suffix") == ".py") | ~looks_minified(F.col("path"), F.col("_lines")))),
-        (
-            "_marked",
-            F.concat(
+        {
+            # Files whose text the lexical rules read: code that is no generated bundle.
+            "_open": F.col("_code") & ((F.col("_suffix") == ".py") | ~looks_minified(F.col("path"), F.col("_lines"))),
+            "_py_tainted": F.when(py, taint_py.tainted_names(F.col("_facts"))),
+        },
+        {
+            "_marked": F.concat(
                 M.marked_lines("content", "_low", regex_rules, "_open AND NOT _parsed"),
                 M.marked_lines("content", "_low", xss_rules, "_open"),
             ),
-        ),
-        ("_source", F.col("_open") & js & taint_js.source_gate("content", "_low") & taint_js.has_source(content)),
+            "_source": F.col("_open") & js & taint_js.source_gate("content", "_low") & taint_js.has_source(content),
+            "_py_constants": F.when(py, taint_py.constant_names(F.col("_facts"), F.col("_py_tainted"))),
+        },
         # The environment is only needed where a source occurs or where a hit asks for its verdict.
-        ("_defs", F.when(js & (F.col("_source") | (F.size("_marked") > 0)), taint_js.definitions(F.col("_lines")))),
-        ("_tainted", F.coalesce(F.when(F.col("_source"), taint_js.tainted_names(F.col("_defs"))), no_names)),
-        (
-            "_constants",
-            F.coalesce(
-                F.when(F.size("_marked") > 0, taint_js.constant_names(F.col("_defs"), F.col("_tainted"))), no_names
-            ),
-        ),
-        ("_py_tainted", F.when(F.col("_parsed"), taint_py.tainted_names(F.col("_facts")))),
-        (
-            "_py_constants",
-            F.when(F.col("_parsed"), taint_py.constant_names(F.col("_facts"), F.col("_py_tainted"))),
-        ),
-        (
-            "_inj_hits",
-            F.concat(
-                where(
-                    F.col("_parsed"),
-                    taint_py.sink_hits(F.col("_facts"), F.col("_py_tainted"), F.col("_py_constants")),
-                ),
-                where(F.size("_marked") > 0, pattern_hits),
-                where(
-                    (F.col("_open") | F.col("_parsed")) & F.contains(content, F.lit("andom")),
-                    _weak_random_hits(F.col("_lines")),
-                ),
+        {"_defs": F.when(js & (F.col("_source") | marked), taint_js.definitions(F.col("_lines")))},
+        {"_tainted": F.coalesce(F.when(F.col("_source"), taint_js.tainted_names(F.col("_defs"))), no_names)},
+        {
+            "_constants": F.coalesce(
+                F.when(marked, taint_js.constant_names(F.col("_defs"), F.col("_tainted"))), no_names
+            )
+        },
+        {
+            HITS: F.concat(
+                where(py, taint_py.sink_hits(F.col("_facts"), F.col("_py_tainted"), F.col("_py_constants"))),
+                where(marked, pattern_hits),
+                where((F.col("_open") | py) & F.contains(content, F.lit("andom")), _weak_random_hits(F.col("_lines"))),
                 where(F.col("_source"), taint_js.sink_hits(F.col("_lines"), F.col("_tainted"))),
-            ),
-        ),
+            )
+        },
     ]
 
 
@@ -172,5 +165,3 @@ def rule_rows() -> list[tuple]:
     """(rule, title, severity, fix_phase, description, fix_summary) of every rule."""
     return [(i, r.title, r.severity, r.fix_phase, r.description, R.FIX_SUMMARY) for i, r in enumerate(R.RULES)]
 
-
-HITS = "_inj_hits"

@@ -17,6 +17,8 @@ from codewarden.operators.injection import HITS_DDL
 from codewarden.rules import secrets as R
 
 
+HITS = "_sec_hits"
+
 
 def _line(h: Column) -> Column:
     return F.coalesce(X.line_at(F.col("_lines"), h["line"]), F.lit(""))
@@ -41,8 +43,8 @@ def is_placeholder(value: Column) -> Column:
     return F.lower(value).rlike(R.PLACEHOLDER)
 
 
-def before_lines() -> list[tuple[str, Column]]:
-    return [("_sec_marked", M.marked_lines("content", "_low", list(enumerate(R.RULES)), "true"))]
+def before_lines() -> list[dict[str, Column]]:
+    return [{"_sec_marked": M.marked_lines("content", "_low", list(enumerate(R.RULES)), "true")}]
 
 
 def wants_lines() -> Column:
@@ -50,7 +52,7 @@ def wants_lines() -> Column:
 
 
 @cache
-def after_lines() -> list[tuple[str, Column]]:
+def after_lines() -> list[dict[str, Column]]:
     hits = F.filter(
         M.hits_of(F.col("_sec_marked")),
         lambda h: ~X.is_comment(_line(h)) & ~_line(h).rlike(R.LOOKUP) & ~_matched(h).rlike(R.PLACEHOLDER),
@@ -67,11 +69,10 @@ def after_lines() -> list[tuple[str, Column]]:
             F.lit(None).cast("boolean").alias("reachable"),
         ),
     )
-    return [("_sec_hits", F.coalesce(F.when(F.size("_sec_marked") > 0, shaped), F.array().cast(HITS_DDL)).cast(HITS_DDL))]
+    none = F.array().cast(HITS_DDL)
+    return [{HITS: F.coalesce(F.when(F.size("_sec_marked") > 0, shaped), none).cast(HITS_DDL)}]
 
 
 def rule_rows() -> list[tuple]:
     return [(i, r.title, r.severity, r.fix_phase, r.description, R.FIX_SUMMARY) for i, r in enumerate(R.RULES)]
 
-
-HITS = "_sec_hits"

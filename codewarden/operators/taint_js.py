@@ -41,30 +41,34 @@ def _bound_name(part: Column) -> Column:
     return F.element_at(F.when(F.size(names) > 0, names), -1)
 
 
+_CUT = "\ufdd3"
+
+
 def definition(line: Column, number: Column) -> Column:
-    """struct<line,names,rhs>: what a line defines; no names where it defines nothing."""
-    group = lambda rx, i: F.regexp_extract(line, rx, i)
-    destructured = F.array_compact(F.transform(F.split(group(T.JS_DESTRUCT, 1), ","), _bound_name))
-    single = lambda rx: F.array(group(rx, 1))
-    usable = (F.length(line) <= TAINT_MAX_LINE) & F.contains(line, F.lit("="))
-    names = (
-        F.when(~usable, F.array().cast(_NO_TEXTS))
-        .when(line.rlike(T.JS_DESTRUCT), destructured)
-        .when(line.rlike(T.JS_DECL), single(T.JS_DECL))
-        .when(line.rlike(T.JS_REASSIGN), single(T.JS_REASSIGN))
-        .otherwise(F.array().cast(_NO_TEXTS))
-    )
-    rhs = (
-        F.when(line.rlike(T.JS_DESTRUCT), group(T.JS_DESTRUCT, 2))
-        .when(line.rlike(T.JS_DECL), group(T.JS_DECL, 2))
-        .otherwise(group(T.JS_REASSIGN, 2))
-    )
-    return F.struct(number.alias("line"), names.alias("names"), rhs.alias("rhs"))
+    """struct<line,names,rhs>: what a line defines; no names where it defines nothing.
+
+    One run of one pattern yields all its groups: the line is replaced by them and cut again.
+    """
+    groups = F.regexp_replace(line, T.JS_DEFINITION, _CUT + _CUT.join(f"${i}" for i in range(1, 7)))
+
+    def bound(parts: Column) -> Column:
+        group = lambda i: F.get(parts, i)
+        destructured = F.array_compact(F.transform(F.split(group(1), ","), _bound_name))
+        names = (
+            F.when(F.size(parts) < 7, F.array().cast(_NO_TEXTS))
+            .when(group(2) != "", destructured)
+            .otherwise(F.array(F.concat(group(3), group(5))))
+        )
+        return F.struct(number.alias("line"), names.alias("names"), F.concat(group(2), group(4), group(6)).alias("rhs"))
+
+    return F.get(F.transform(F.array(F.split(groups, _CUT, -1)), bound), 0)
 
 
 def definitions(lines: Column) -> Column:
     """array<struct<line,names,src,const,uses>> of a file, in line order."""
-    found = F.filter(F.transform(lines, lambda t, i: definition(t, i + 1)), lambda d: F.size(d["names"]) > 0)
+    numbered = F.transform(lines, lambda t, i: F.struct(t.alias("t"), (i + 1).alias("n")))
+    usable = F.filter(numbered, lambda x: F.contains(x["t"], F.lit("=")) & (F.length(x["t"]) <= TAINT_MAX_LINE))
+    found = F.filter(F.transform(usable, lambda x: definition(x["t"], x["n"])), lambda d: F.size(d["names"]) > 0)
     return F.transform(
         found,
         lambda d: F.struct(

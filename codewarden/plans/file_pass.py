@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import cache, reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,31 +37,33 @@ def scan_columns(
     signals: bool = False,
 ) -> DataFrame:
     """``files`` plus the columns of the chosen scanners (and the CSRF signals, on request)."""
-    parts = [(name, _MODULES[name]) for name in SCANNERS if name in scanners and name != "custom"]
-    only_code = all(name in ("headers", "injection") for name, _ in parts) and "custom" not in scanners
-    steps = [
-        ("_suffix", X.suffix_of(F.col("path"))),
-        ("_code", F.col("_suffix").isin(*T.CODE_SUFFIXES)),
-        ("_low", F.when(F.col("_code"), M.fold_case(F.col("content"))) if only_code else M.fold_case(F.col("content"))),
-    ]
-    wanted = []
+    modules = [_MODULES[name] for name in SCANNERS if name in scanners and name in _MODULES]
+    text = M.fold_case(F.col("content"))
+    only_code = secrets not in modules
+    before = [module.before_lines() for module in modules]
+    wanted = [module.wants_lines() for module in modules]
     if "custom" in scanners and rules:
-        steps += custom.before_lines(rules)
+        before.append(custom.before_lines(rules))
         wanted.append(custom.wants_lines())
-    for _, module in parts:
-        steps += module.before_lines()
-        wanted.append(module.wants_lines())
-    wants = reduce(lambda a, b: a | b, wanted, F.lit(False))
-    steps.append(("_lines", F.when(wants, X.split_lines(F.col("content")))))
-    for _, module in parts:
-        steps += module.after_lines()
-    if signals:
-        steps.append(headers.signal_step())
-    for name, expression in steps:
-        files = files.withColumn(name, expression)
+    after = [module.after_lines() for module in modules] + ([[headers.signal_step()]] if signals else [])
+    levels = [
+        {"_suffix": X.suffix_of(F.col("path"))},
+        {"_code": F.col("_suffix").isin(*T.CODE_SUFFIXES)},
+        {"_low": F.when(F.col("_code"), text) if only_code else text},
+        *_merged(before),
+        {"_lines": F.when(reduce(lambda a, b: a | b, wanted, F.lit(False)), X.split_lines(F.col("content")))},
+        *_merged(after),
+    ]
+    for level in levels:
+        files = files.withColumns(level)
     return files
 
 
+def _merged(parts: list[list[dict[str, Column]]]) -> list[dict[str, Column]]:
+    """Levels of several scanners side by side: columns of one level need only earlier levels."""
+    return [reduce(lambda a, b: a | b, [level or {} for level in row]) for row in zip_longest(*parts)]
+
+
 @cache
 def _emitted(names: tuple[str, ...], signals: bool) -> Column:
     """Hits of all scanners as rows. The exploded value is an expression, not a bare column: from a

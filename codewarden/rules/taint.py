@@ -17,9 +17,14 @@ JS_SOURCE = _j(
 )
 JS_SOURCE_ANCHORS = (("req", "ctx", "location.", "document.", "process.", "window.name"),)
 
-JS_DECL = _j(r"""^\s*(?:const|let|var)\s+([A-Za-z_$][\w$]*)(?:\s*:\s*[^=\n]+?)?\s*=\s*(\S.*)$""")
-JS_DESTRUCT = _j(r"""^\s*(?:const|let|var)\s*[{\[]\s*([^}\]]*)[}\]]\s*=\s*(\S.*)$""")
-JS_REASSIGN = _j(r"""^\s*([A-Za-z_$][\w$]*)\s*\+?=(?!=)\s*(\S.*)$""")
+# One definition per line: destructuring, else declaration, else (re)assignment.
+JS_DEFINITION = _j(
+    r"""^\s*(?:"""
+    r"""(?:const|let|var)\s*[{\[]\s*([^}\]]*)[}\]]\s*=\s*(\S.*)"""
+    r"""|(?:const|let|var)\s+([A-Za-z_$][\w$]*)(?:\s*:\s*[^=\n]+?)?\s*=\s*(\S.*)"""
+    r"""|([A-Za-z_$][\w$]*)\s*\+?=(?!=)\s*(\S.*)"""
+    r""")$"""
+)
 JS_IDENT = _j(r"""(?<![\w$.])[A-Za-z_$][\w$]*""")
 JS_OBJECT_KEY = _j(r"""[\w$]+\s*:""")
 JS_CONST_RHS = _j(r"""^(?:""" + CONST_STR + r"""|\d+(?:\.\d+)?|true|false|null|undefined)\s*;?\s*$""")

@@ -20,12 +20,12 @@ GENERIC, PASSWORD = (r.title for r in S.VALUE_RULES)
 
 def texts(spark, sf):
     """Documents, pages and conversation turns as files, with their whole texts."""
-    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    read = lambda name, *keys: corpus.table(spark, sf, name, *keys)
     number = lambda c: F.col(c).cast("string")
-    documents = from_texts(read("documents"), F.lit("documents"), number("doc_id"), F.col("doc_id"), F.col("text"))
-    pages = from_texts(read("pages"), F.lit("pages"), number("page_id"), F.col("page_id"), F.col("html"))
+    documents = from_texts(read("documents", "doc_id"), F.lit("documents"), number("doc_id"), F.col("doc_id"), F.col("text"))
+    pages = from_texts(read("pages", "page_id"), F.lit("pages"), number("page_id"), F.col("page_id"), F.col("html"))
     turns = from_texts(
-        read("conversations"), F.lit("conversations"), F.concat_ws("/", number("conv_id"), number("turn")), F.col("conv_id"), F.col("text")
+        read("conversations", "conv_id", "turn"), F.lit("conversations"), F.concat_ws("/", number("conv_id"), number("turn")), F.col("conv_id"), F.col("text")
     )
     return documents.unionByName(pages).unionByName(turns)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codewarden.functions.sizes import spread_if_few
+
 # (suffix, how the document's text joins the code, code). In the code, @HEX@ and @HEXU@ stand for
 # the digest of the document's number, and @ID@ for the number.
 #   raw: code, then the text as it is        comment: the text as comment lines, then the code
@@ -228,6 +230,12 @@ example: "api_key = 'your-key-your-key-your-key'"
 N = len(TEMPLATES)
 
 
+def table(spark: SparkSession, sf: str, name: str, *keys: str) -> DataFrame:
+    """A given table, spread by its row key while it is too small to fill the cores by itself."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_if_few(df, *keys) if keys else df
+
+
 def template_no(column: str = "doc_id") -> str:
     """SQL text, good on both sides: the number of the row's template."""
     return f"{column} % {N}"
@@ -270,7 +278,7 @@ def files_of(documents: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return files_of(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"))
+    return files_of(table(spark, sf, "documents", "doc_id").select("doc_id", "source", "text"))
 
 
 def files_sql() -> str:
@@ -314,7 +322,7 @@ def tree(spark: SparkSession, sf: str) -> DataFrame:
     def pick(values, index):
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(index).cast("int") + 1)
 
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     rows = lines.select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("repo"),
         F.concat(
@@ -345,7 +353,7 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     def pick(values, index):
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.expr(index).cast("int") + 1)
 
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_shipdate"
     )
     kind = "l_partkey % 6"

@@ -76,7 +76,7 @@ def _fill_sql(text: str) -> str:
 
 
 def files(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_size")
+    part = corpus.table(spark, sf, "part", "p_partkey").select("p_partkey", "p_name", "p_size")
     base = part.selectExpr("p_partkey", *[f"{sql.format(text='string')} AS {name}" for name, sql in PARTS.items()])
 
     def fill(text):

@@ -48,7 +48,7 @@ def ai_requests(spark, sf):
 
 
 def ai_parse(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
+    e = corpus.table(spark, sf, "events", "event_id")
     raw = F.expr(
         "CASE event_id % 7 WHEN 0 THEN concat('{\"confirmed\": false, \"k\": ', cast(user_id as string), '}') "
         "WHEN 1 THEN concat('```json\\n{\"confirmed\": true, \"severity\": \"', event_type, '\"}\\n```') "
@@ -142,7 +142,7 @@ def case_findings(spark, sf):
 
 
 def case_labels(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders = corpus.table(spark, sf, "orders", "o_orderkey")
     rows = orders.selectExpr(
         "concat('r', cast(o_custkey % 25 as string)) AS cve",
         "concat('/work/r/src/m', cast(o_orderkey % 60 as string), '.py') AS file",

@@ -29,7 +29,7 @@ DIFF = [
 
 
 def _stream(spark, sf, lines, repos):
-    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = corpus.table(spark, sf, "orders", "o_orderkey").select("o_orderkey", "o_custkey")
     raw = F.array(*[F.expr(x.format(text="string")) for x in lines])
     rows = orders.select(
         F.concat(F.lit("r"), F.expr(f"cast(o_custkey % {repos} as string)")).alias("repo"), "o_orderkey", F.posexplode(raw).alias("i", "raw")

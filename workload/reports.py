@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codewarden.sources import reports
+from workload import corpus
 
 # One document per order; some are broken or no object, and results hold malformed entries.
 SEMGREP = (
@@ -24,7 +25,7 @@ SARIF = (
 
 def docs(template):
     def table(spark, sf):
-        orders = spark.read.parquet(f"{sf}/orders.parquet")
+        orders = corpus.table(spark, sf, "orders", "o_orderkey")
         return orders.select(
             F.concat(F.lit("r"), F.expr("cast(o_custkey % 10 as string)")).alias("repo"),
             F.col("o_orderkey").alias("doc"),
