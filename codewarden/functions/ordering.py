@@ -59,13 +59,24 @@ def carry_forward(df: DataFrame, keys: list[str], pos: str, states: dict[str, Co
     return joined.select(*df.columns, *[F.coalesce(F.col(n), F.col(f"_c_{n}")).alias(n) for n in states])
 
 
-def running_count(df: DataFrame, keys: list[str], pos: str, flag: Column, out: str) -> DataFrame:
-    """Number of flagged rows at or before each row, in ``pos`` order within ``keys``."""
-    cut = df.withColumn("_one", F.when(flag, F.lit(1)).otherwise(F.lit(0)))
+def count_since(df: DataFrame, keys: list[str], pos: str, flag: Column, start: Column, out: str) -> DataFrame:
+    """``out`` = last non-NULL ``start`` at or before a row, plus the flagged rows after it up to this row.
+
+    One local pass and one summary row per block: the block's count, and its last start relative to it.
+    """
+    cut = df.withColumn("_one", F.when(flag, F.lit(1)).otherwise(F.lit(0))).withColumn("_start", start)
     by_block = W.partitionBy(*keys, BLOCK).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    local = cut.withColumn("_local", F.sum("_one").over(by_block))
+    counted = cut.withColumn("_n", F.sum("_one").over(by_block))
+    relative = counted.withColumn("_rel", F.col("_start") - F.col("_n"))
+    local = relative.withColumn("_base", F.last("_rel", ignorenulls=True).over(by_block))
+    ends = relative.groupBy(*keys, BLOCK).agg(
+        F.sum("_one").alias("_sum"), F.max_by("_rel", F.when(F.col("_rel").isNotNull(), F.col(pos))).alias("_end")
+    )
     earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, BLOCK).agg(F.sum("_one").alias("_n"))
-    offsets = totals.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    joined = local.join(offsets, [*keys, BLOCK], "left")
-    return joined.select(*df.columns, (F.col("_local") + F.col("_before")).alias(out))
+    offsets = ends.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    carried = offsets.withColumn("_carry", F.last(F.col("_end") - F.col("_before"), ignorenulls=True).over(earlier))
+    joined = local.join(carried.select(*keys, BLOCK, "_before", "_carry"), [*keys, BLOCK], "left")
+    value = F.coalesce(
+        F.col("_base") + F.col("_n"), F.col("_carry") + F.col("_before") + F.col("_n"), F.col("_before") + F.col("_n")
+    )
+    return joined.select(*df.columns, value.alias(out))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codewarden.session import cut_lineage
+
 LINE_TOLERANCE = 2
 
 # Titles and rule-id words of each weakness category.
@@ -106,7 +108,7 @@ def scores(findings: DataFrame, labels: DataFrame, entries: DataFrame) -> DataFr
     ``entries(cve, categories)``. A labelled weakness counts once for every category of its case;
     an unmatched finding is a false positive for each category it shares with its case.
     """
-    pairs = matches(findings, labels)
+    pairs = cut_lineage(matches(findings, labels))
     hit = pairs.select("cve", "weakness_id").distinct().withColumn("hit", F.lit(1))
     judged = labels.join(hit, ["cve", "weakness_id"], "left").select(
         F.explode("categories").alias("category"), F.coalesce("hit", F.lit(0)).alias("hit")

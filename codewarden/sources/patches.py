@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.functions.ordering import carry_forward, running_count, with_blocks
+from codewarden.functions.ordering import carry_forward, count_since, with_blocks
 from codewarden.functions.text import strip
+from codewarden.session import cut_lineage
 
 COMMIT = "COMMIT "
 HUNK_START = r"^@@ -\S+ \+(\d+)"
@@ -39,18 +40,14 @@ def added_lines(log: DataFrame, block_rows: int = 100_000) -> DataFrame:
     blocks = with_blocks(log.select("repo", "pos", "raw"), "pos", block_rows)
     carried = carry_forward(blocks, ["repo"], "pos", states)
     is_added = raw.startswith("+") & ~is_file & (F.col("path") != "") & (F.col("sha") != "")
-    counted = running_count(
-        carried.withColumn("_added", F.coalesce(is_added, F.lit(False))), ["repo"], "pos", F.col("_added"), "_n"
-    )
     start = F.coalesce(F.regexp_extract(raw, HUNK_START, 1).try_cast("bigint"), F.lit(0))
-    # Line number before the next added line, minus the added lines counted so far.
-    hunk = {"_base": F.when(is_hunk, start - F.col("_n"))}
-    placed = carry_forward(counted, ["repo"], "pos", hunk)
+    flagged = carried.withColumn("_added", F.coalesce(is_added, F.lit(False)))
+    placed = count_since(flagged, ["repo"], "pos", F.col("_added"), F.when(is_hunk, start), "_next")
     return placed.where("_added").select(
         "repo",
         "sha",
         "path",
-        (F.coalesce("_base", F.lit(0)) + F.col("_n") - 1).cast("int").alias("new_line"),
+        (F.col("_next") - 1).cast("int").alias("new_line"),
         F.substr(raw, F.lit(2)).alias("text"),
         "pos",
     )
@@ -80,4 +77,5 @@ def changed_lines(diff: DataFrame, untracked: DataFrame | None = None, block_row
         extra = untracked.where(strip(F.col("path")) != "").select("repo", strip(F.col("path")).alias("path")).distinct()
         out = out.join(extra, ["repo", "path"], "left_anti")
         entire = entire.unionByName(extra).distinct()
-    return out.unionByName(entire.withColumn("line", F.lit(None).cast("int")))
+    # A diff is small next to the files, and its lines are read several times by what follows.
+    return cut_lineage(out.unionByName(entire.withColumn("line", F.lit(None).cast("int"))))
