@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,8 @@ def _pattern_problem(pattern: str | None) -> str | None:
 def validate(raw: DataFrame) -> DataFrame:
     """Adds ``reason``: why a rule row is rejected, NULL where it is accepted.
 
+    Ids are unique per ``repo`` where the rows have one. A ``problem`` found while loading counts.
+
     The first otherwise valid row of an id wins. That row is found by an aggregate that combines on
     the map side (not a window over all rows of an id), so a much repeated id makes no hot task.
     """
@@ -62,10 +65,12 @@ def validate(raw: DataFrame) -> DataFrame:
     def _pattern_problems(patterns: pd.Series) -> pd.Series:
         return patterns.map(_pattern_problem)
 
+    loading = F.col("problem") if "problem" in raw.columns else F.lit(None).cast("string")
+    keys = [c for c in ("repo", "id") if c in raw.columns]
     phase = F.expr("try_cast(coalesce(fix_phase, '3') AS int)")
     checked = raw.withColumn("_regex", _pattern_problems("pattern")).withColumn(
         "_problem",
-        F.when(F.coalesce(F.col("pattern"), F.lit("")) == "", F.lit("missing pattern"))
+        F.when(F.coalesce(F.col("pattern"), F.lit("")) == "", F.coalesce(loading, F.lit("missing pattern")))
         .when(F.col("_regex").isNotNull(), F.col("_regex"))
         .when(F.coalesce(X.strip(F.col("message")), F.lit("")) == "", F.lit("missing message"))
         .when(~F.coalesce(F.upper("severity").isin(*schemas.SEVERITIES), F.lit(False)), F.lit("bad severity"))
@@ -75,26 +80,38 @@ def validate(raw: DataFrame) -> DataFrame:
         )
         .when(
             F.col("suffixes").isNotNull() & F.from_json("suffixes", "array<string>").isNull(), F.lit("bad suffixes")
-        ),
+        )
+        .otherwise(loading),
     ).withColumn("_no_id", F.coalesce(X.strip(F.col("id")), F.lit("")) == "")
     first = (
         checked.where(F.col("_problem").isNull() & ~F.col("_no_id"))
-        .groupBy(F.col("id").alias("_id"))
+        .groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys])
         .agg(F.min(F.struct("source", "pos")).alias("_first"))
     )
     here = F.struct("source", "pos")
     return (
-        checked.join(first, checked["id"] == first["_id"], "left")
+        checked.join(first, [checked[k] == first[f"_k_{k}"] for k in keys], "left")
         .withColumn(
             "reason",
-            F.when(F.col("_no_id"), F.lit("missing id"))
+            F.when(F.col("_no_id"), F.coalesce(loading, F.lit("missing id")))
             .when(F.col("_first").isNotNull() & (here > F.col("_first")), F.lit("duplicate id"))
             .otherwise(F.col("_problem")),
         )
-        .drop("_regex", "_problem", "_no_id", "_id", "_first")
+        .drop("_regex", "_problem", "_no_id", "_first", *[f"_k_{k}" for k in keys])
     )
 
 
+def _matches(text: str, patterns) -> list[tuple[int, int, int]]:
+    """(rule, line, n-th match) of every match of ``(rule, compiled pattern)`` pairs, in rule order."""
+    hits = []
+    for rule, pattern in patterns:
+        line, at = 1, 0
+        for nth, found in enumerate(pattern.finditer(text)):
+            line, at = line + text.count("\n", at, found.start()), found.start()
+            hits.append((rule, line, nth))
+    return hits
+
+
 def before_lines(rules: Sequence[CustomRule]) -> list[dict[str, Column]]:
     """Hits of the user's rules in rule order; comment lines are *not* skipped."""
     compiled = [(r.pattern, set(r.suffixes) if r.suffixes is not None else None) for r in rules]
@@ -104,15 +121,11 @@ def before_lines(rules: Sequence[CustomRule]) -> list[dict[str, Column]]:
         patterns = [(i, re.compile(p), only) for i, (p, only) in enumerate(compiled)]
 
         def one(name: str, text: str) -> list[dict]:
-            hits = []
-            for i, pattern, only in patterns:
-                if only is not None and name not in only:
-                    continue
-                line, at = 1, 0
-                for nth, found in enumerate(pattern.finditer(text)):
-                    line, at = line + text.count("\n", at, found.start()), found.start()
-                    hits.append({"rule": i, "line": line, "part": 0, "a": i, "b": nth, "c": 0, "reachable": None})
-            return hits
+            wanted = [(i, p) for i, p, only in patterns if only is None or name in only]
+            return [
+                {"rule": i, "line": line, "part": 0, "a": i, "b": nth, "c": 0, "reachable": None}
+                for i, line, nth in _matches(text, wanted)
+            ]
 
         return pd.Series([one(s, t or "") for s, t in zip(suffix, content)])
 
@@ -126,3 +139,61 @@ def wants_lines() -> Column:
 def rule_rows(rules: Sequence[CustomRule]) -> list[tuple]:
     return [(i, r.id, r.severity.upper(), r.fix_phase, r.message, r.fix) for i, r in enumerate(rules)]
 
+
+
+def rules_per_row(files: DataFrame) -> DataFrame:
+    """Findings of files that carry their own rules in ``_rules`` (an array of rule structs)."""
+
+    @F.pandas_udf("array<struct<rule:int,line:int,nth:int>>")
+    def match(suffix: pd.Series, content: pd.Series, rules: pd.Series) -> pd.Series:
+        compiled = lru_cache(maxsize=4096)(re.compile)
+
+        def one(name: str, text: str, mine) -> list[dict]:
+            wanted = [
+                (i, compiled(r["pattern"]))
+                for i, r in enumerate(mine)
+                if r["suffixes"] is None or name in list(r["suffixes"])
+            ]
+            return [{"rule": i, "line": line, "nth": nth} for i, line, nth in _matches(text, wanted)]
+
+        return pd.Series([one(s, t or "", r) for s, t, r in zip(suffix, content, rules)])
+
+    scanned = (
+        files.withColumn("_hits", match(X.suffix_of(F.col("path")), "content", "_rules"))
+        .withColumn("_lines", F.when(F.size("_hits") > 0, X.split_lines(F.col("content"))))
+    )
+    rows = scanned.select(
+        "repo",
+        F.col("path").alias("file"),
+        "file_seq",
+        F.explode(
+            F.transform(
+                "_hits",
+                lambda h: F.struct(
+                    h["line"].alias("line"),
+                    h["rule"].alias("nr"),
+                    h["nth"].alias("nth"),
+                    F.get("_rules", h["rule"]).alias("r"),
+                    X.snippet_at(F.col("_lines"), h["line"]).alias("snippet"),
+                    X.line_at(F.col("_lines"), h["line"]).alias("line_text"),
+                ),
+            )
+        ).alias("x"),
+    )
+    order = schemas.SCANNERS.index("custom")
+    return schemas.as_findings(
+        rows.select(
+            "repo",
+            "file",
+            "x.line",
+            "x.r.severity",
+            F.col("x.r.id").alias("title"),
+            F.col("x.r.message").alias("description"),
+            F.lit("custom").alias("scanner"),
+            "x.snippet",
+            "x.r.fix_phase",
+            F.col("x.r.fix").alias("fix_summary"),
+            "x.line_text",
+            schemas.emit_seq(order, F.col("file_seq"), 0, F.col("x.nr"), F.col("x.nth")).alias("emit_seq"),
+        )
+    )

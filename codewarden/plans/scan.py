@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -15,20 +15,21 @@ from codewarden.functions import text as X
 from codewarden.operators import baseline, custom, deps, headers, history, post, select
 from codewarden.plans import file_pass
 from codewarden.session import cut_lineage
-from codewarden.sources import manifests, reports
+from codewarden.sources import manifests, reports, rules
 
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a scan. ``scanners`` None runs all of them."""
+    """Settings of a scan. ``scanners`` None runs all of them; ``rules`` hold for every repository,
+    ``rule_files`` name the files in which repositories keep rules of their own."""
 
     exclude: tuple[str, ...] = ()
     scanners: tuple[str, ...] | None = None
     fail_on: str = "high"
     engines: tuple[str, ...] = ()
     rules: tuple[custom.CustomRule, ...] = ()
+    rule_files: tuple[str, ...] = ()
     marker: str = post.MARKER
-    extra: Mapping[str, object] = field(default_factory=dict)
 
     @classmethod
     def from_table(cls, table: Mapping[str, object], **overrides) -> tuple[Options, list[str]]:
@@ -49,6 +50,10 @@ class Options:
             if not isinstance(level, str) or level.lower() not in {*(s.lower() for s in schemas.SEVERITIES), "never"}:
                 raise ValueError("fail_on must be one of: critical, high, medium, low, never")
             values["fail_on"] = level.lower()
+        if "rules" in table:
+            if not isinstance(table["rules"], (list, tuple)) or not all(isinstance(x, str) for x in table["rules"]):
+                raise ValueError("rules must be an array of file paths")
+            values["rule_files"] = tuple(table["rules"])
         values.update({key: value for key, value in overrides.items() if value is not None})
         return cls(**values), warnings
 
@@ -123,6 +128,9 @@ def native_findings(
     whole = "headers" in names and touched is None
     rows = file_pass.findings(per_file, names, options.rules, signals=whole)
     parts = [rows, *[_extra[name](per_file) for name in names if name in _extra]]
+    if "custom" in names and options.rule_files:
+        accepted, _ = rules.repo_rules(special, options.rule_files)
+        parts.append(rules.repo_findings(per_file, accepted))
     # Findings are small next to the contents they came from, and they are read several times below.
     found = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     if whole:
@@ -145,7 +153,7 @@ def scan(
     Order them with ``post.sort``; the rows carry their order in ``emit_seq``. The contents are read
     twice: once for the few special files, once for the scan.
     """
-    special = cut_lineage(manifests.special_files(files))
+    special = cut_lineage(manifests.special_files(files, options.rule_files))
     collected = select.collect(files, options.exclude, ignore_files=special)
     found = native_findings(special, collected, options, advisories)
     readers = reports.engines(options.engines)
@@ -163,7 +171,7 @@ def scan(
 def scan_diff(files: DataFrame, changed: DataFrame, options: Options = Options(), advisories: DataFrame | None = None) -> DataFrame:
     """Findings on changed lines. The per-file scanners read changed files only; the project-level
     check is left out, since its finding would be dropped."""
-    special = cut_lineage(manifests.special_files(files))
+    special = cut_lineage(manifests.special_files(files, options.rule_files))
     collected = select.collect(files, options.exclude, ignore_files=special)
     touched = history.only_changed_files(collected, changed)
     found = native_findings(special, collected, options, advisories, touched)

@@ -15,6 +15,10 @@ _FIX = (
 )
 
 
+# An annotation between a name and its value, as in `NAME: str = ...`.
+_TYPE = r"(?:[ \t]*:[ \t]*[A-Za-z_][A-Za-z0-9_.]*)?"
+
+
 def _rule(kind: str, pattern: str, anchors, ignore_case: bool = False) -> Rule:
     return Rule(
         f"{kind} Detected",
@@ -48,13 +52,13 @@ TOKEN_RULES = [
 VALUE_RULES = [
     _rule(
         "Generic API Key",
-        r"(?:api[_\-]?key|token|secret)['\"]?[ \t]*[:=][ \t]*['\"]([0-9A-Za-z_\-]{20,})['\"]",
+        r"(?:api[_\-]?key|token|secret)['\"]?" + _TYPE + r"[ \t]*[:=][ \t]*['\"]([0-9A-Za-z_\-]{20,})['\"]",
         (("key", "token", "secret"),),
         True,
     ),
     _rule(
         "Hardcoded Password",
-        r"(?:password|passwd|pwd)['\"]?[ \t]*[:=][ \t]*['\"]([^'\"\s]{6,})['\"]",
+        r"(?:password|passwd|pwd)['\"]?" + _TYPE + r"[ \t]*[:=][ \t]*['\"]([^'\"\s]{6,})['\"]",
         (("password", "passwd", "pwd"),),
         True,
     ),

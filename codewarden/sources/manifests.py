@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,12 +24,13 @@ _ENTRY = "array<struct<name:string,version:string,line:int,raw:string>>"
 KEYS = re.compile(r'("(?:[^"\\]|\\.)*":)( \{)?')
 
 
-def special_files(files: DataFrame) -> DataFrame:
-    """Manifests, lockfiles and .gitignore files: the few files read as a whole besides the scan.
+def special_files(files: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
+    """Manifests, lockfiles, .gitignore and rule files: the few files read as a whole besides the scan.
 
     Callers materialize this once; otherwise each use would read the contents of all files again.
     """
-    return files.where(X.file_name(F.col("path")).isin(*ROOT_MANIFESTS, *LOCKFILES, GITIGNORE))
+    named = X.file_name(F.col("path")).isin(*ROOT_MANIFESTS, *LOCKFILES, GITIGNORE)
+    return files.where(named | F.col("path").isin(*paths) if paths else named)
 
 
 def directory(path: Column) -> Column:
