@@ -2,8 +2,8 @@
 
 Advisories are a table ``(id, summary, details, severity_label, affected)`` in the shape of the
 public vulnerability format. Distinct (ecosystem, name, version) triples are matched first: a package
-that a third of all projects pin is one row there. The match is then joined back to the dependency
-rows, a join whose hot keys adaptive execution splits.
+that a third of all projects pin is one row there. The matches are then joined back to the dependency
+rows, by broadcast when they are measured small.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from codewarden import schemas
 from codewarden.functions import text as X
 from codewarden.functions import versions as V
+from codewarden.functions.sizes import broadcast_if_small
 from codewarden.functions.text import lookup
+from codewarden.session import cut_lineage
 from codewarden.sources import manifests as M
 
 ADVISORIES_DDL = (
@@ -94,40 +96,52 @@ def match(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     return hits.select("ecosystem", "key", "version", "vuln_id").distinct()
 
 
-def findings_of(dependencies: DataFrame, matches: DataFrame, details: DataFrame) -> DataFrame:
-    """Findings for matched dependencies; a match without details is kept (left join)."""
+def advised(matches: DataFrame, details: DataFrame) -> DataFrame:
+    """Matches with severity, summary and fixed version; a match without details is kept (left join)."""
     d = details.select(
         F.col("id").alias("vuln_id"), F.lit(True).alias("_known"), "summary", "details", "severity_label", "affected"
     )
-    rows = (
-        dependencies.withColumn("key", V.canonical_name(F.col("name"), F.col("ecosystem")))
-        .join(matches, ["ecosystem", "key", "version"])
-        .join(d, "vuln_id", "left")
-    )
     known = F.col("_known").isNotNull()
+    return matches.join(d, "vuln_id", "left").select(
+        "ecosystem",
+        "key",
+        "version",
+        "vuln_id",
+        F.when(known, severity_of(F.col("severity_label"))).otherwise(F.lit("HIGH")).alias("severity"),
+        F.when(known, summary_of(F.col("summary"), F.col("details"))).otherwise(F.lit(NO_DETAILS)).alias("summary"),
+        F.when(known, first_fixed(F.col("affected"), F.col("ecosystem"), F.col("key"))).otherwise(F.lit("")).alias("fixed"),
+    )
+
+
+def findings_of(dependencies: DataFrame, matches: DataFrame, details: DataFrame) -> DataFrame:
+    """Findings for matched dependencies.
+
+    The matches (distinct vulnerable package versions) are completed and written once; when measured
+    small they are broadcast, so that the dependency rows neither move nor meet a hot key.
+    """
+    known = broadcast_if_small(cut_lineage(advised(matches, details)))
+    rows = dependencies.withColumn("key", V.canonical_name(F.col("name"), F.col("ecosystem"))).join(
+        known, ["ecosystem", "key", "version"]
+    )
     sign = F.when(F.col("ecosystem") == "npm", F.lit("@")).otherwise(F.lit("=="))
-    fixed = F.when(known, first_fixed(F.col("affected"), F.col("ecosystem"), F.col("name"))).otherwise(F.lit(""))
-    summary = F.when(known, summary_of(F.col("summary"), F.col("details"))).otherwise(F.lit(NO_DETAILS))
+    target = F.when(F.col("fixed") != "", F.concat(F.lit(" to >="), "fixed")).otherwise(F.lit(" to a patched release"))
     order = schemas.SCANNERS.index("deps")
+    ecosystem_order = F.when(F.col("ecosystem") == "PyPI", F.lit(0)).otherwise(F.lit(1))
     return schemas.as_findings(
-        rows.withColumn("_fixed", fixed).select(
+        rows.select(
             "repo",
             F.col("path").alias("file"),
             F.col("line").cast("int").alias("line"),
-            F.when(known, severity_of(F.col("severity_label"))).otherwise(F.lit("HIGH")).alias("severity"),
+            "severity",
             F.concat(F.lit("Vulnerable package: "), "name", sign, "version", F.lit(" ("), "vuln_id", F.lit(")")).alias("title"),
-            F.concat(summary, F.lit(" (source: OSV.dev)")).alias("description"),
+            F.concat("summary", F.lit(" (source: OSV.dev)")).alias("description"),
             F.lit("deps").alias("scanner"),
             F.col("raw").alias("snippet"),
             F.lit(1).alias("fix_phase"),
-            F.concat(
-                F.lit("Upgrade "),
-                "name",
-                F.when(F.col("_fixed") != "", F.concat(F.lit(" to >="), "_fixed")).otherwise(F.lit(" to a patched release")),
-            ).alias("fix_summary"),
+            F.concat(F.lit("Upgrade "), "name", target).alias("fix_summary"),
             F.array(F.concat(F.lit("https://osv.dev/vulnerability/"), "vuln_id")).alias("references"),
             F.col("raw").alias("line_text"),
-            schemas.emit_seq(order, F.when(F.col("ecosystem") == "PyPI", F.lit(0)).otherwise(F.lit(1)), 0, F.col("ord"), F.xxhash64("vuln_id")).alias("emit_seq"),
+            schemas.emit_seq(order, ecosystem_order, 0, F.col("ord"), F.xxhash64("vuln_id")).alias("emit_seq"),
         )
     )
 

@@ -28,15 +28,14 @@ def build_session(app_name: str = "codewarden", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode.
 
-    A cluster must name a folder all executors share: lineage that was cut into a
-    machine-local folder is lost with that machine.
+    A cluster must name a folder all executors share: what is written into a machine-local folder is
+    lost with that machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="codewarden-")
     spark.conf.set("spark.checkpoint.dir", folder)
