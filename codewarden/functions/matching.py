@@ -22,7 +22,7 @@ def java_regex(pattern: str, ignore_case: bool = False, multiline: bool = False)
 
 def fold_case(text: Column) -> Column:
     """Lower case, with the two letters that match ASCII letters only when case is ignored."""
-    return F.translate(F.lower(text), "\u017f\u0131", "si")
+    return F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
 
 
 def sql_text(value: str) -> str:

@@ -117,7 +117,7 @@ SIGNAL_TITLE = "(signals)"
 
 def signal_step() -> dict[str, Column]:
     bits = sum(
-        (F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(signals(F.col("content")).values())),
+        (F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(signals(F.col("content"), F.col("_low")).values())),
         F.lit(0),
     )
     return {"_signals": bits}
@@ -145,18 +145,25 @@ def signals_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def signals(content: Column) -> dict[str, Column]:
+def _any_word(folded: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(folded, F.lit(word)) for word in words])
+
+
+def signals(content: Column, folded: Column) -> dict[str, Column]:
     """What a file says about the repository's need for CSRF protection (any suffix counts)."""
+    form = F.contains(folded, F.lit(R.FORM)) & content.rlike(R.SESSION_FORM)
     return {
         "framework": any_framework(content),
-        "session": content.rlike(R.SESSION),
-        "csrf": content.rlike(R.CSRF),
+        "session": _any_word(folded, R.SESSION_WORDS) | form,
+        "csrf": _any_word(folded, R.CSRF_WORDS),
     }
 
 
 def file_signals(files: DataFrame) -> DataFrame:
     """(repo, path, file_seq, framework, session, csrf) of every file."""
-    return files.select("repo", "path", "file_seq", *[c.alias(n) for n, c in signals(F.col("content")).items()])
+    folded = files.withColumn("_low", M.fold_case(F.col("content")))
+    flags = signals(F.col("content"), F.col("_low"))
+    return folded.select("repo", "path", "file_seq", *[c.alias(n) for n, c in flags.items()])
 
 
 def csrf_findings(flags: DataFrame) -> DataFrame:

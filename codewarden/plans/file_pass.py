@@ -39,7 +39,7 @@ def scan_columns(
     """``files`` plus the columns of the chosen scanners (and the CSRF signals, on request)."""
     modules = [_MODULES[name] for name in SCANNERS if name in scanners and name in _MODULES]
     text = M.fold_case(F.col("content"))
-    only_code = secrets not in modules
+    only_code = secrets not in modules and not signals
     before = [module.before_lines() for module in modules]
     wanted = [module.wants_lines() for module in modules]
     if "custom" in scanners and rules:

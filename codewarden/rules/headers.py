@@ -13,13 +13,14 @@ FRAMEWORKS = {
 HELMET = _j(r"""require\s*\(\s*['"]helmet['"]\s*\)|from\s+['"]helmet['"]""")
 WILDCARD_CORS = _j(r"""cors\(\s*\)|origin:\s*['"]?\*['"]?|Access-Control-Allow-Origin.*\*""")
 CORS_ANCHORS = (("cors(", "origin:", "Access-Control-Allow-Origin"),)
-SESSION = _j(
-    r"set_cookie|response\.cookies|request\.cookies|session\[|flask_login|"
-    r"render_template|<form\b|app\.secret_key|SESSION_COOKIE|express-session|"
-    r"cookie-session|req\.session",
-    ignore_case=True,
-)
-CSRF = _j(r"csrf|csurf|CSRFProtect|csrf_protect", ignore_case=True)
+SESSION_FORM = _j(r"<form\b", ignore_case=True)
+# Literals of which a text with a session sign holds one (in lower case); only a form needs the pattern.
+SESSION_WORDS = (
+    "set_cookie response.cookies request.cookies session[ flask_login render_template app.secret_key session_cookie "
+    "express-session cookie-session req.session"
+).split()
+FORM = "<form"
+CSRF_WORDS = ("csrf", "csurf")
 FLASK_APP = _j(r"\bFlask\s*\(")
 FASTAPI_APP = _j(r"\bFastAPI\s*\(")
 SECURITY_HEADERS = _j(
