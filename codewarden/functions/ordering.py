@@ -1,8 +1,8 @@
-"""Order-dependent columns without one task per group: blocks, block totals, then a local window.
+"""Order-dependent columns without one task per group.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here the key is cut into blocks
-along the order; each block is a window partition of its own, and only one summary row per block is
-ordered per key.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key is cut along its order,
+into range partitions or blocks of positions; each piece is a window partition of its own, and only
+one summary row per piece is ordered per key.
 """
 
 from __future__ import annotations
@@ -11,21 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codewarden.session import cut_lineage
 
-def block_rank(df: DataFrame, keys: list[str], blocks: list[Column], order: list[Column], out: str) -> DataFrame:
-    """1-based position of each row within ``keys``, by ``blocks`` then ``order``.
 
-    ``blocks`` must be a coarser prefix of the order (for instance severity and file number // 1000).
-    Keys and blocks must not be NULL.
+def range_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """1-based position of each row within ``keys`` in the given order.
+
+    Rows are range-partitioned by key and order and written once with the number of their partition, so
+    that a key of any size spans as many partitions as it needs, whatever makes it large. One count per
+    (key, partition) gives each partition's offset; rows are then numbered inside their partition.
+    Keys must not be NULL.
     """
-    names = [f"_b{i}" for i in range(len(blocks))]
-    cut = df.withColumns(dict(zip(names, blocks)))
-    totals = cut.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1))
-    offsets = totals.select(*keys, *names, F.coalesce(before, F.lit(0)).alias("_before"))
-    local = cut.withColumn("_local", F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order)))
-    joined = local.join(offsets, [*keys, *names])
-    return joined.withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint")).select(*df.columns, out)
+    names = [f"_o{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(names, order))).repartitionByRange(*keys, *names)
+    stored = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    totals = stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = totals.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = stored.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*names)))
+    joined = local.join(offsets, [*keys, "_part"])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_local")).cast("bigint").alias(out))
 
 
 BLOCK = "_block"

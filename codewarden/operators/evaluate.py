@@ -81,26 +81,34 @@ def categories_of(scanner: Column, title: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[category(name) for name in CATEGORY_TITLES])))
 
 
-def matches(findings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(weakness_id, finding_id) pairs: same case and file, lines close, categories in common.
+def line_matches(findings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled lines and finding lines that match: same case and file, close, categories in common.
 
-    A band join: both sides meet in line buckets as wide as the tolerance allows, so a file with a
-    third of all rows is spread over its buckets instead of being joined line by line.
+    A band join of *distinct* lines: copies of a finding or label collapse first, so no pairs of copies
+    are made. Both sides meet in line buckets as wide as the tolerance allows, so a file with a third of
+    all lines is spread over its buckets. ``n`` counts the findings on the finding line.
     """
     width = 2 * LINE_TOLERANCE + 1
-    f = findings.select(
-        "cve", "file", "finding_id", F.col("line").alias("f_line"), F.col("cats").alias("f_cats"), F.floor(F.col("line") / width).alias("bucket")
+    f = findings.groupBy("cve", "file", F.col("line").alias("f_line"), F.col("cats").alias("f_cats")).agg(
+        F.count_distinct("finding_id").alias("n")
     )
-    near = F.sequence(F.floor((F.col("line") - LINE_TOLERANCE) / width), F.floor((F.col("line") + LINE_TOLERANCE) / width))
-    w = labels.select("cve", "file", "weakness_id", F.col("line").alias("w_line"), "categories", F.explode(near).alias("bucket"))
+    w = labels.select("cve", "file", F.col("line").alias("w_line"), "categories").distinct()
+    near = F.sequence(F.floor((F.col("w_line") - LINE_TOLERANCE) / width), F.floor((F.col("w_line") + LINE_TOLERANCE) / width))
     return (
-        w.join(f, ["cve", "file", "bucket"])
+        w.withColumn("bucket", F.explode(near))
+        .join(f.withColumn("bucket", F.floor(F.col("f_line") / width)), ["cve", "file", "bucket"])
         .where(F.abs(F.col("f_line") - F.col("w_line")) <= LINE_TOLERANCE)
         .where(F.arrays_overlap("categories", "f_cats"))
-        .select("cve", "weakness_id", "finding_id")
+        .select("cve", "file", "w_line", "categories", "f_line", "f_cats", "n")
     )
 
 
+def matches(findings: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cve, weakness_id, n): matched weaknesses and the number of findings that match each."""
+    per_line = line_matches(findings, labels).groupBy("cve", "file", F.col("w_line").alias("line"), "categories").agg(F.sum("n").alias("n"))
+    return labels.join(per_line, ["cve", "file", "line", "categories"]).select("cve", "weakness_id", "n")
+
+
 def scores(findings: DataFrame, labels: DataFrame, entries: DataFrame) -> DataFrame:
     """TP, FP, FN, precision and recall per category, and a total row ``all``.
 
@@ -108,13 +116,15 @@ def scores(findings: DataFrame, labels: DataFrame, entries: DataFrame) -> DataFr
     ``entries(cve, categories)``. A labelled weakness counts once for every category of its case;
     an unmatched finding is a false positive for each category it shares with its case.
     """
-    pairs = cut_lineage(matches(findings, labels))
-    hit = pairs.select("cve", "weakness_id").distinct().withColumn("hit", F.lit(1))
-    judged = labels.join(hit, ["cve", "weakness_id"], "left").select(
+    pairs = cut_lineage(line_matches(findings, labels))
+    label_key, finding_key = ["cve", "file", "line", "categories"], ["cve", "file", "line", "cats"]
+    hit = pairs.select("cve", "file", F.col("w_line").alias("line"), "categories").distinct().withColumn("hit", F.lit(1))
+    matched = pairs.select("cve", "file", F.col("f_line").alias("line"), F.col("f_cats").alias("cats")).distinct()
+    judged = labels.join(hit, label_key, "left").select(
         F.explode("categories").alias("category"), F.coalesce("hit", F.lit(0)).alias("hit")
     )
     positives = judged.groupBy("category").agg(F.sum("hit").alias("tp"), F.sum(1 - F.col("hit")).alias("fn"))
-    unmatched = findings.join(pairs.select("cve", "finding_id").distinct(), ["cve", "finding_id"], "left_anti")
+    unmatched = findings.join(matched, finding_key, "left_anti")
     shared = unmatched.join(entries.withColumnRenamed("categories", "wanted"), "cve").select(
         F.explode(F.array_intersect("cats", "wanted")).alias("category")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
-from codewarden.functions.ordering import block_rank
+from codewarden.functions.ordering import range_rank
 
 ASSIGNMENT = r"""^(\s*)([A-Za-z_][A-Za-z0-9_]*)\s*(?::[^=]+)?=\s*(['"])(.+?)\3\s*$"""
 UPGRADE = r"^Upgrade (\S+) to >=(\S+)$"
@@ -89,7 +89,7 @@ def secret_fixes(findings: DataFrame, files: DataFrame) -> DataFrame:
 def env_entries(fixes: DataFrame) -> DataFrame:
     """`.env` lines that the secret fixes append, in finding order per repository."""
     lines = fixes.withColumn("entry", F.concat("env_name", F.lit("="), "env_value"))
-    ranked = block_rank(lines, ["repo"], [F.col("emit_seq.scanner"), F.expr("emit_seq.file_seq div 1000")], [F.col("emit_seq"), F.col("entry")], "pos")
+    ranked = range_rank(lines, ["repo"], [F.col("emit_seq"), F.col("entry")], "pos")
     return ranked.select("repo", F.lit(".env").alias("path"), "pos", "entry")
 
 

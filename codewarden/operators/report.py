@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
-from codewarden.functions.ordering import block_rank
+from codewarden.functions.ordering import range_rank
 from codewarden.functions.severity import severity_rank
 from codewarden.functions.text import lookup
 from codewarden.operators import post
@@ -56,25 +56,10 @@ def badge(severity: Column) -> Column:
     return lookup(severity, BADGES, "⚪")
 
 
-def numbered(findings: DataFrame, rows_per_block: int = 50_000) -> DataFrame:
-    """Adds ``seq``, the 1-based position of a finding in its repository's sorted report.
-
-    Positions come from blocks of (severity, scanner, file number), sized by one small aggregate, so
-    no repository is sorted in one task.
-    """
-    file_seq = F.col("emit_seq.file_seq")
-    span = findings.where(file_seq < _END).agg(
-        F.min(file_seq).alias("lo"), F.max(file_seq).alias("hi"), F.count(F.lit(1)).alias("n")
-    ).first()
-    blocks = max(1, (span["n"] or 0) // rows_per_block)
-    width = max(1, ((span["hi"] or 0) - (span["lo"] or 0)) // blocks + 1)
-    return block_rank(
-        findings,
-        ["repo"],
-        [severity_rank(F.col("severity")), F.col("emit_seq.scanner"), F.expr(f"emit_seq.file_seq div {width}")],
-        [F.col("emit_seq"), F.col("file"), F.col("line"), F.col("title")],
-        "seq",
-    )
+def numbered(findings: DataFrame) -> DataFrame:
+    """Adds ``seq``, the 1-based position of a finding in its repository's sorted report."""
+    order = [severity_rank(F.col("severity")), F.col("emit_seq"), F.col("file"), F.col("line"), F.col("title")]
+    return range_rank(findings, ["repo"], order, "seq")
 
 
 def finding_json(root: str = "") -> Column:
@@ -143,7 +128,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
         F.min(seen).alias("seen"),
         F.min_by(F.struct("title", "description", "severity", "fix_summary", "references", "scanner"), seen).alias("f"),
     )
-    ranked = block_rank(first, ["repo"], [F.col("seen.r"), F.col("seen.s.scanner")], [F.col("seen"), F.col("rule_id")], "n")
+    ranked = range_rank(first, ["repo"], [F.col("seen"), F.col("rule_id")], "n")
     return ranked.select("repo", "rule_id", (F.col("n") - 1).cast("int").alias("rule_index"), "f.*")
 
 

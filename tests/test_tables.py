@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from codewarden.functions.ordering import block_rank
+from codewarden.functions.ordering import range_rank
 from codewarden.operators import deps, evaluate, fix, history
 from codewarden.sources import manifests, patches
 from codewarden.streaming import watch
@@ -62,11 +62,11 @@ def test_history_names_the_commit_and_drops_copies(spark):
     assert row[0].description.startswith("Committed in " + "a" * 40) and "rotate the credential" in row[0].description
 
 
-def test_block_rank_is_the_rank(spark):
+def test_range_rank_is_the_rank(spark):
     rng = random.Random(1)
     rows = [(rng.choice("aaab"), rng.randrange(300), i) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, v int, i int")
-    got = block_rank(df, ["k"], [F.floor(F.col("v") / 17)], [F.col("v"), F.col("i")], "n").collect()
+    got = range_rank(df, ["k"], [F.col("v"), F.col("i")], "n").collect()
     for key in "ab":
         want = sorted((v, i) for k, v, i in rows if k == key)
         assert [(r.v, r.i) for r in sorted((r for r in got if r.k == key), key=lambda r: r.n)] == want
@@ -159,8 +159,10 @@ def test_scores_by_hand(spark):
 def test_close_lines_match_over_bucket_borders(spark):
     f = spark.createDataFrame([("c", "a", n, f"f{n}", ["xss"]) for n in range(40)], "cve string, file string, line int, finding_id string, cats array<string>")
     w = spark.createDataFrame([("c", "a", n, n, ["xss"]) for n in range(40)], "cve string, file string, line int, weakness_id int, categories array<string>")
-    got = {(r.weakness_id, r.finding_id) for r in evaluate.matches(f, w).collect()}
-    assert got == {(a, f"f{b}") for a in range(40) for b in range(40) if abs(a - b) <= 2}
+    got = {(r.w_line, r.f_line) for r in evaluate.line_matches(f, w).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(40) if abs(a - b) <= 2}
+    counts = {r.weakness_id: r.n for r in evaluate.matches(f, w).collect()}
+    assert counts == {a: sum(abs(a - b) <= 2 for b in range(40)) for a in range(40)}
 
 
 def test_fixes_keep_line_ends_and_refuse_calls(files_of):

@@ -28,7 +28,7 @@ def seq(df):
 
 def post_sort(spark, sf):
     """The rank every finding has in its repository's sorted list."""
-    return report.numbered(found(spark, sf), 500).select("repo", "file", "line", "title", "severity", "seq")
+    return report.numbered(found(spark, sf)).select("repo", "file", "line", "title", "severity", "seq")
 
 
 def post_dedupe(spark, sf):
@@ -160,8 +160,7 @@ def _case_categories():
 
 
 def eval_match(spark, sf):
-    pairs = evaluate.matches(case_findings(spark, sf), case_labels(spark, sf))
-    return pairs.groupBy("cve", "weakness_id").agg(F.count_distinct("finding_id").alias("n"))
+    return evaluate.matches(case_findings(spark, sf), case_labels(spark, sf))
 
 
 def eval_scores(spark, sf):
