@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
 from codewarden.functions.ordering import range_rank
+from codewarden.functions.sizes import broadcast_if_small
 
 ASSIGNMENT = r"""^(\s*)([A-Za-z_][A-Za-z0-9_]*)\s*(?::[^=]+)?=\s*(['"])(.+?)\3\s*$"""
 UPGRADE = r"^Upgrade (\S+) to >=(\S+)$"
@@ -33,8 +34,11 @@ def _rejoin(lines: Column, content: Column) -> Column:
 
 
 def _with_file(findings: DataFrame, files: DataFrame) -> DataFrame:
-    f = files.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), "content")
-    joined = findings.join(f, (F.col("repo") == F.col("_r")) & (F.col("file") == F.col("_p")))
+    """Findings with the text of their file. The few files that some finding names are picked first, so
+    that no other contents move."""
+    named = broadcast_if_small(findings.select(F.col("repo").alias("_r"), F.col("file").alias("_p")).distinct())
+    picked = files.join(named, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p"))).select("_r", "_p", "content")
+    joined = findings.join(picked, (F.col("repo") == F.col("_r")) & (F.col("file") == F.col("_p")))
     return joined.withColumn("_lines", X.split_lines(F.col("content"))).withColumn(
         "_text", X.line_at(F.col("_lines"), F.col("line"))
     )

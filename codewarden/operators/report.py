@@ -169,9 +169,9 @@ def _sarif_result() -> Column:
     )
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
+def sarif_results(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(repo, seq, rule_id, rule_index, result): SARIF result objects in report order."""
-    rules = sarif_rules(findings).select("repo", "rule_id", "rule_index")
+    rules = (sarif_rules(findings) if rules is None else rules).select("repo", "rule_id", "rule_index")
     rows = numbered(findings).withColumn("rule_id", X.finding_id(F.col("scanner"), F.col("title")))
     return rows.join(rules, ["repo", "rule_id"]).select("repo", "seq", "rule_id", "rule_index", _sarif_result().alias("result"))
 
@@ -179,7 +179,7 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def sarif_document(findings: DataFrame, files_scanned: DataFrame | None = None) -> DataFrame:
     """SARIF 2.1.0 log: head, rule rows, separator, result rows, tail."""
     rules = sarif_rules(findings)
-    results = sarif_results(findings)
+    results = sarif_results(findings, rules)
     repos = _files_scanned(findings.select("repo").distinct(), files_scanned)
     driver = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","version":"{VERSION}","rules":['
     properties = F.coalesce(
@@ -259,6 +259,7 @@ def markdown_document(
     return head.unionByName(body).unionByName(tail)
 
 
+# Fixed value: the closing instructions of a prompt.
 _PROMPT_TAIL = """
 
 Please:
