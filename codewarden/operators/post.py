@@ -55,7 +55,7 @@ def suppress(findings: DataFrame, marker: str = MARKER) -> DataFrame:
     """Drop findings whose flagged line carries the ignore marker (only its first marker counts)."""
     pattern = rf"{marker}:\s*ignore(?:\[([^\]]+)\])?"
     text = F.col("line_text")
-    scope = F.trim(F.regexp_extract(text, pattern, 1))
+    scope = X.strip(F.regexp_extract(text, pattern, 1))
     scoped = F.regexp_extract(text, pattern, 0).endswith("]")
     silenced = text.rlike(pattern) & (
         ~scoped | (scope == F.col("scanner")) | (scope == X.finding_id(F.col("scanner"), F.col("title")))

@@ -9,7 +9,6 @@ from codewarden.operators.facts_py import RETURN, ROOT
 from codewarden.rules import taint as T
 from codewarden.rules.injection import INDEX
 
-NO_NAMES = F.array
 _TEXTS = "array<string>"
 
 

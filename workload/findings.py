@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
-from codewarden.functions.severity import severity_rank
 from codewarden.operators import baseline, evaluate, fix, post, report
 from codewarden.session import shared_dir
 from workload import corpus
@@ -22,7 +21,7 @@ def own(spark, sf):
     return found(spark, sf).where(F.col("scanner") != "semgrep")
 
 
-def seq(df):
+def seq():
     return F.col("emit_seq.file_seq").alias("e2")
 
 
@@ -32,7 +31,7 @@ def post_sort(spark, sf):
 
 
 def post_dedupe(spark, sf):
-    return post.dedupe(found(spark, sf)).select("repo", "file", "line", "scanner", "title", "severity", seq(None))
+    return post.dedupe(found(spark, sf)).select("repo", "file", "line", "scanner", "title", "severity", seq())
 
 
 def merge_engines(spark, sf):
@@ -40,7 +39,7 @@ def merge_engines(spark, sf):
     merged = post.merge_engines(
         all_of_them.where("scanner <> 'semgrep' AND line <> 3"), all_of_them.where(F.col("scanner") == "semgrep")
     )
-    return merged.select("repo", "file", "line", "scanner", "title", seq(None))
+    return merged.select("repo", "file", "line", "scanner", "title", seq())
 
 
 def ai_requests(spark, sf):
@@ -70,7 +69,7 @@ def ai_apply(spark, sf):
     keys = rows.select("repo", "file", "line", "title", X.finding_id(F.col("scanner"), F.col("title")).alias("finding_id")).distinct()
     verdicts = keys.withColumn("raw", F.expr(_RAW)).withColumn("error", F.expr(f"CASE WHEN {_CASE} = 5 THEN 'timeout' END"))
     applied = post.apply_verdicts(rows, verdicts.drop("title"))
-    return applied.select("repo", "file", "line", "title", "severity", "ai_confirmed", seq(None))
+    return applied.select("repo", "file", "line", "title", "severity", "ai_confirmed", seq())
 
 
 def baseline_keys(spark, sf):
@@ -89,7 +88,7 @@ def baseline_write(spark, sf):
 
 def baseline_filter(spark, sf):
     kept = baseline.filter_known(found(spark, sf), known(spark, sf), ROOT)
-    return kept.select("repo", "file", "line", "title", "severity", seq(None))
+    return kept.select("repo", "file", "line", "title", "severity", seq())
 
 
 def documents_of(document):
@@ -189,14 +188,14 @@ QUERIES = {
     "agg_phase": lambda spark, sf: post.phase_counts(found(spark, sf)),
     "agg_headline": lambda spark, sf: post.headline(post.severity_counts(found(spark, sf))).select("repo", "critical", "high", "medium", "low", "headline"),
     "merge_engines": merge_engines,
-    "ai_reviewable": lambda spark, sf: found(spark, sf).where(post.reviewable()).select("repo", "file", "line", "title", seq(None)),
+    "ai_reviewable": lambda spark, sf: found(spark, sf).where(post.reviewable()).select("repo", "file", "line", "title", seq()),
     "ai_requests": ai_requests,
     "ai_parse": ai_parse,
     "ai_apply": ai_apply,
     "baseline_keys": baseline_keys,
     "baseline_write": baseline_write,
     "baseline_filter": baseline_filter,
-    "fix_candidates": lambda spark, sf: fix.candidates(found(spark, sf)).select("repo", "file", "line", "title", seq(None)),
+    "fix_candidates": lambda spark, sf: fix.candidates(found(spark, sf)).select("repo", "file", "line", "title", seq()),
     "report_json": report_json,
     "report_sarif": report_sarif,
     "report_sarif_rules": report_sarif_rules,

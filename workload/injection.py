@@ -113,7 +113,7 @@ def py_facts(spark, sf):
 
 def py_env(spark, sf):
     names = F.array_distinct(F.concat(F.transform(F.col("_facts")["assigns"], lambda a: a["name"]), "_tainted"))
-    rows = py_modules(spark, sf).where("_parsed").select("repo", "path", "_tainted", "_constants", F.explode(names).alias("name"))
+    rows = py_modules(spark, sf).select("repo", "path", "_tainted", "_constants", F.explode(names).alias("name"))
     state = F.when(F.array_contains("_tainted", F.col("name")), F.lit(True)).when(F.array_contains("_constants", F.col("name")), F.lit(False))
     kept = rows.where((F.col("name") != facts_py.ROOT) & ~F.col("name").startswith(facts_py.RETURN))
     return kept.select("repo", "path", "name", state.alias("state"))
@@ -123,7 +123,7 @@ def py_xfn(step):
     """Propagation edges that carried taint: 2 argument to parameter, 3 body to return value."""
 
     def query(spark, sf):
-        rows = py_modules(spark, sf).where("_parsed").select("repo", "path", "_tainted", F.explode(F.col("_facts")["edges"]).alias("e"))
+        rows = py_modules(spark, sf).select("repo", "path", "_tainted", F.explode(F.col("_facts")["edges"]).alias("e"))
         live = rows.where((F.col("e.step") == step) & F.array_contains("_tainted", F.col("e.src")))
         return live.select("repo", "path", F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
 
