@@ -28,7 +28,7 @@ from codewarden.llm.text import map_rows, worker_store
 from codewarden.session import cut_lineage
 
 # White space as the tokenizer's pattern has it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _CACHE_WORDS = 400_000
 
@@ -165,13 +165,14 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_col
         histogram[row["left"]] = row["n"] if row["left"] else 0
     intervals, taken, line, line_first = _places(histogram, window, whole)
     before = lambda keys, value: F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lefts = counts.withColumn("left_before", before(["left"], "n")).select("part", "left", "left_before")
+    lefts = cut_lineage(counts.withColumn("left_before", before(["left"], "n")).select("part", "left", "left_before"))
     # One row per input partition; summed in blocks, so no task gets all of them.
     block = F.floor(F.col("part") / 1000).cast("int")
     parts = counts.groupBy("part").agg(F.sum("full").alias("full")).withColumn("block", block)
     blocks = parts.groupBy("block").agg(F.sum("full").alias("block_full"))
     earlier = blocks.alias("x").join(blocks.alias("y"), F.col("y.block") < F.col("x.block"), "left").groupBy(F.col("x.block").alias("block")).agg(F.coalesce(F.sum("y.block_full"), F.lit(0)).alias("block_before"))
-    fulls = parts.withColumn("full_before", before(["block"], "full")).join(earlier, "block").select("part", (F.col("full_before") + F.col("block_before")).alias("full_before"))
+    fulls = parts.withColumn("full_before", before(["block"], "full")).join(earlier, "block")
+    fulls = cut_lineage(fulls.select("part", (F.col("full_before") + F.col("block_before")).alias("full_before")))
     ranked = encoded.join(lefts, ["part", "left"]).join(fulls, "part").select(
         "doc_id", "text_key", "doc_tokens", "crcs", "left", (F.col("full_rank") + F.col("full_before")).alias("full_at"), (F.col("left_rank") + F.col("left_before")).alias("left_at")
     )

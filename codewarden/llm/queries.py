@@ -25,3 +25,85 @@ def op2_pack(spark: SparkSession, sf: str) -> DataFrame:
     from codewarden.llm import packing
 
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("text_key")
+
+
+@_query
+def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import neardup
+
+    return neardup.near_duplicates(_table(spark, sf, "documents"))
+
+
+@_query
+def op6_passages(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import passages
+
+    return passages.passages(_table(spark, sf, "documents"))
+
+
+@_query
+def op7_top_inner_products(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import topk
+
+    return topk.top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op7_top_inner_products"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
+@_query
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import fingerprint
+
+    return fingerprint.with_neighbours(_table(spark, sf, "documents"))
+
+
+@_query
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import warc
+
+    return warc.round_trip(_table(spark, sf, "pages")).drop("payload")
+
+
+@_query
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import entropy
+
+    return entropy.scan(_table(spark, sf, "documents"))
+
+
+@_query
+def op9_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import wrappers
+
+    return wrappers.main_text(_table(spark, sf, "pages"))
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import toxicity
+
+    docs = _table(spark, sf, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, _table(spark, sf, "labels")))
+
+
+@_query
+def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from codewarden.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.encode(_table(spark, sf, "documents"), path), path)
