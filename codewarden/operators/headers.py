@@ -136,11 +136,16 @@ def signal_hits() -> Column:
     return F.when(F.col("_signals") > 0, F.array(hit)).otherwise(F.array().cast(HITS_DDL)).cast(HITS_DDL)
 
 
+def is_signal() -> Column:
+    """Rows of the signal rule; a user's rule of the same name is another scanner's."""
+    return (F.col("scanner") == "headers") & (F.col("title") == SIGNAL_TITLE)
+
+
 def signals_of(rows: DataFrame) -> DataFrame:
     """``file_signals`` rows back from findings rows of the signal rule (files without a signal have none)."""
     bit = lambda i: F.col("emit_seq.a").bitwiseAND(F.lit(1 << i).cast("bigint")) > 0
     flags = [bit(i).alias(name) for i, name in enumerate(("framework", "session", "csrf"))]
-    return rows.where(F.col("title") == SIGNAL_TITLE).select(
+    return rows.where(is_signal()).select(
         "repo", F.col("file").alias("path"), F.col("emit_seq.file_seq").alias("file_seq"), *flags
     )
 

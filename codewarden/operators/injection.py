@@ -26,9 +26,20 @@ def _empty(ddl: str) -> Column:
     return F.array().cast(ddl)
 
 
+def named_bundle(path: Column) -> Column:
+    """Generated bundle by its name: the lexical rules leave it out (see ``skipped``)."""
+    return X.file_name(path).rlike(R.MINIFIED_NAME)
+
+
 def looks_minified(path: Column, lines: Column) -> Column:
-    """Generated bundle, by its name or by a very long line."""
-    return X.file_name(path).rlike(R.MINIFIED_NAME) | F.exists(lines, lambda t: F.length(t) > R.MINIFIED_MAX_LINE)
+    """Generated bundle, by its name or by a very long line: a flag, which by itself skips nothing."""
+    return named_bundle(path) | F.exists(lines, lambda t: F.length(t) > R.MINIFIED_MAX_LINE)
+
+
+def skipped(files: DataFrame) -> DataFrame:
+    """(repo, path, reason) of code files that the lexical rules do not read."""
+    code = X.suffix_of(F.col("path")).isin(*T.CODE_SUFFIXES) & (X.suffix_of(F.col("path")) != ".py")
+    return files.where(code & named_bundle(F.col("path"))).select("repo", "path", F.lit("generated bundle").alias("reason"))
 
 
 def _weak_random_hits(lines: Column) -> Column:
@@ -37,7 +48,6 @@ def _weak_random_hits(lines: Column) -> Column:
     weak = F.filter(
         numbered,
         lambda x: F.contains(x["t"], F.lit("andom"))
-        & (F.length(x["t"]) <= R.TAINT_MAX_LINE)
         & x["t"].rlike(M.java_regex(R.WEAK_RANDOM_CALL))
         & x["t"].rlike(keyword)
         & ~X.is_comment(x["t"]),
@@ -113,7 +123,7 @@ def after_lines() -> list[dict[str, Column]]:
     return [
         {
             # Files whose text the lexical rules read: code that is no generated bundle.
-            "_open": F.col("_code") & ((F.col("_suffix") == ".py") | ~looks_minified(F.col("path"), F.col("_lines"))),
+            "_open": F.col("_code") & ((F.col("_suffix") == ".py") | ~named_bundle(F.col("path"))),
             "_py_tainted": F.when(py, taint_py.tainted_names(F.col("_facts"))),
         },
         {
@@ -152,13 +162,9 @@ def _on_comment(h: Column) -> Column:
 
 
 def _pattern_verdict(h: Column, js: Column) -> Column:
-    """Verdict on the text from the match to its line's end (JavaScript, lines of bounded length)."""
-    line = _flagged_line(h)
-    rest = F.substr(line, h["col"] + 1)
-    return F.when(
-        js & (F.length(line) <= R.TAINT_MAX_LINE),
-        taint_js.reachable(rest, F.col("_tainted"), F.col("_constants")),
-    )
+    """Verdict on the text from the match to its line's end (JavaScript)."""
+    rest = F.substr(_flagged_line(h), h["col"] + 1)
+    return F.when(js, taint_js.reachable(rest, F.col("_tainted"), F.col("_constants")))
 
 
 def rule_rows() -> list[tuple]:

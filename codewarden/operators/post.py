@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def attach_line_text(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 def suppress(findings: DataFrame, marker: str = MARKER) -> DataFrame:
     """Drop findings whose flagged line carries the ignore marker (only its first marker counts)."""
-    pattern = rf"{marker}:\s*ignore(?:\[([^\]]+)\])?"
+    pattern = rf"{re.escape(marker)}:\s*ignore(?:\[([^\]]+)\])?"
     text = F.col("line_text")
     scope = X.strip(F.regexp_extract(text, pattern, 1))
     scoped = F.regexp_extract(text, pattern, 0).endswith("]")

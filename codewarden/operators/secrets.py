@@ -1,6 +1,7 @@
 """Secrets scanner: every collected file, any language, minified bundles included.
 
-Comment lines, placeholder values and environment lookups never fire. Like the other per-file
+Comment lines, placeholder values and environment lookups never fire; the literal that a lookup falls
+back to does, since the flagged value is judged and not its line. Like the other per-file
 scanners it is a list of columns for the file pass: a whole text is matched inside its own row.
 """
 
@@ -34,7 +35,7 @@ def _value(h: Column) -> Column:
 
 
 def _matched(h: Column) -> Column:
-    """Text judged against the placeholder list: the value, or what follows a token's start."""
+    """Text judged against the placeholder and lookup lists: the value, or what follows a token's start."""
     rest = F.regexp_extract(F.substr(_line(h), h["col"] + 1), r"^[^\s'\"]+", 0)
     return F.lower(F.when(h["rule"].isin(*R.VALUE_INDEXES), _value(h)).otherwise(rest))
 
@@ -55,7 +56,7 @@ def wants_lines() -> Column:
 def after_lines() -> list[dict[str, Column]]:
     hits = F.filter(
         M.hits_of(F.col("_sec_marked")),
-        lambda h: ~X.is_comment(_line(h)) & ~_line(h).rlike(R.LOOKUP) & ~_matched(h).rlike(R.PLACEHOLDER),
+        lambda h: ~X.is_comment(_line(h)) & ~_matched(h).rlike(f"{R.LOOKUP}|{R.PLACEHOLDER}"),
     )
     shaped = F.transform(
         hits,

@@ -43,13 +43,19 @@ def in_skipped_dir(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in SKIP_DIRS]))
 
 
-def _glob(segment: str, star: str, one: str) -> str:
-    """Regular expression of a shell glob; ``star`` and ``one`` say what the wildcards cross."""
+def _glob(segment: str, star: str, one: str, escapes: bool = False) -> str:
+    """Regular expression of a shell glob; ``star`` and ``one`` say what the wildcards cross.
+
+    With ``escapes`` a backslash takes the next character as it is.
+    """
     out, i = [], 0
     while i < len(segment):
         ch = segment[i]
         i += 1
-        if ch == "*":
+        if escapes and ch == "\\" and i < len(segment):
+            out.append(re.sub(r"([^\w/ -])", r"\\\1", segment[i]))
+            i += 1
+        elif ch == "*":
             out.append(star)
         elif ch == "?":
             out.append(one)
@@ -105,7 +111,7 @@ def gitignore_line(line: str) -> tuple[str, bool] | None:
             if last:
                 return regex + "$", negated
         else:
-            body = "[^/]+" if segment == "*" else _glob(segment.replace("\\ ", " "), "[^/]*", "[^/]")
+            body = "[^/]+" if segment == "*" else _glob(segment, "[^/]*", "[^/]", escapes=True)
             regex += ("/" if slash else "") + body
         slash = True
     return regex + ("/.*$" if inside_only else "(?:/.*)?$"), negated

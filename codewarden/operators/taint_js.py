@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codewarden.functions.matching import gate
 from codewarden.functions.text import is_comment
 from codewarden.rules import taint as T
-from codewarden.rules.injection import INDEX, TAINT_MAX_LINE
+from codewarden.rules.injection import INDEX
 
 _NO_TEXTS = "array<string>"
 HITS_DDL = "array<struct<rule:int,line:int,part:int,a:bigint,b:bigint,c:bigint,reachable:boolean>>"
@@ -67,7 +67,7 @@ def definition(line: Column, number: Column) -> Column:
 def definitions(lines: Column) -> Column:
     """array<struct<line,names,src,const,uses>> of a file, in line order."""
     numbered = F.transform(lines, lambda t, i: F.struct(t.alias("t"), (i + 1).alias("n")))
-    usable = F.filter(numbered, lambda x: F.contains(x["t"], F.lit("=")) & (F.length(x["t"]) <= TAINT_MAX_LINE))
+    usable = F.filter(numbered, lambda x: F.contains(x["t"], F.lit("=")))
     found = F.filter(F.transform(usable, lambda x: definition(x["t"], x["n"])), lambda d: F.size(d["names"]) > 0)
     return F.transform(
         found,
@@ -175,6 +175,6 @@ def sink_hits(lines: Column, tainted: Column) -> Column:
 
     eligible = F.filter(
         F.transform(lines, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
-        lambda x: (F.length(x["t"]) <= TAINT_MAX_LINE) & F.contains(x["t"], F.lit("(")) & ~is_comment(x["t"]),
+        lambda x: F.contains(x["t"], F.lit("(")) & ~is_comment(x["t"]),
     )
     return F.flatten(F.transform(eligible, lambda x: on_line(x["t"], x["i"])))

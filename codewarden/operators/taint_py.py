@@ -5,47 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codewarden.operators.facts_py import RETURN, ROOT
 from codewarden.rules import taint as T
 from codewarden.rules.injection import INDEX
 
-_TEXTS = "array<string>"
-
-
 def tainted_names(facts: Column) -> Column:
-    """Names (and returns, prefixed) that untrusted input can reach, in bounded ordered passes.
-
-    The edges of a module are followed in the order of a pass: assignments, call arguments, return
-    values. Everything happens inside the module's own row, so no shuffle and no loop on the driver.
-    """
-    assigned = F.flatten(
-        F.transform(
-            facts["assigns"],
-            lambda a: F.concat(
-                F.when(a["src"], F.array(F.struct(F.lit(ROOT).alias("src"), a["name"].alias("dst")))).otherwise(
-                    F.array().cast("array<struct<src:string,dst:string>>")
-                ),
-                F.transform(
-                    a["calls"], lambda f: F.struct(F.concat(F.lit(RETURN), f).alias("src"), a["name"].alias("dst"))
-                ),
-            ),
-        )
-    )
-    later = F.transform(
-        F.array_sort(F.transform(facts["edges"], lambda e: F.struct(e["step"], e["ord"], e["src"], e["dst"]))),
-        lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst")),
-    )
-    edges = F.concat(assigned, later)
-
-    def step(state: Column, edge: Column) -> Column:
-        reached = F.array_contains(state, edge["src"]) & ~F.array_contains(state, edge["dst"])
-        return F.when(reached, F.array_append(state, edge["dst"])).otherwise(state)
-
-    passes = F.least(facts["functions"] + 2, F.lit(T.PY_MAX_PASSES))
-    start = F.array(F.lit(ROOT)).cast(_TEXTS)
-    return F.aggregate(
-        F.sequence(F.lit(1), passes), start, lambda state, _: F.aggregate(edges, state, step)
-    )
+    """Names (and returns, prefixed) that untrusted input can reach."""
+    return facts["reached"]
 
 
 def constant_names(facts: Column, tainted: Column) -> Column:

@@ -23,7 +23,6 @@ from codewarden.rules import taint as T
 
 SCANNERS = ("custom", "headers", "injection", "secrets")
 _MODULES = {"headers": headers, "injection": injection, "secrets": secrets}
-_RULE_SPACE = 100_000
 
 
 def _scanner(name: str) -> int:
@@ -79,7 +78,7 @@ def _emitted(names: tuple[str, ...], signals: bool) -> Column:
                 helmet = headers.placeholder(F.col("path"), header_texts.HELMET_PLACEHOLDER)
                 snippet = F.when(h["rule"] == headers.CHECKS.index("helmet"), helmet).otherwise(snippet)
             return F.struct(
-                (h["rule"] + F.lit(order * _RULE_SPACE)).alias("rule"),
+                h["rule"].alias("rule"),
                 F.lit(order).alias("scanner_no"),
                 h["line"].alias("line"),
                 h["part"].alias("part"),
@@ -102,10 +101,10 @@ def rule_texts(spark, scanners: Sequence[str], rules: Sequence[custom.CustomRule
     rows = []
     for name in scanners:
         found = custom.rule_rows(rules) if name == "custom" else _MODULES[name].rule_rows()
-        rows += [(number + _scanner(name) * _RULE_SPACE, name, *texts) for number, *texts in found]
+        rows += [(_scanner(name), number, name, *texts) for number, *texts in found]
     return spark.createDataFrame(
         rows,
-        "rule int, scanner string, title string, severity string, fix_phase int, description string, fix_summary string",
+        "scanner_no int, rule int, scanner string, title string, severity string, fix_phase int, description string, fix_summary string",
     )
 
 
@@ -127,7 +126,7 @@ def findings(
         scan_columns(files, names, rules, signals)
         .select("repo", "path", "file_seq", *keep, _emitted(names, signals))
         .select("repo", "path", "file_seq", *keep, "x.*")
-        .join(F.broadcast(rule_texts(files.sparkSession, names, rules)), "rule")
+        .join(F.broadcast(rule_texts(files.sparkSession, names, rules)), ["scanner_no", "rule"])
         .withColumnRenamed("path", "file")
         .withColumn(
             "emit_seq",

@@ -134,7 +134,7 @@ def native_findings(
     # Findings are small next to the contents they came from, and they are read several times below.
     found = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     if whole:
-        found = found.where(F.col("title") != headers.SIGNAL_TITLE).unionByName(headers.csrf_findings(headers.signals_of(found)))
+        found = found.where(~headers.is_signal()).unionByName(headers.csrf_findings(headers.signals_of(found)))
     if "deps" in names and advisories is not None:
         found = found.unionByName(deps.findings(special, collected, advisories))
     return found

@@ -66,5 +66,3 @@ PY_SSRF_RECEIVERS = ("requests", "httpx", "urllib", "session", "aiohttp", "urlop
 PY_DESERIALIZE_METHODS = ("loads", "load")
 PY_DESERIALIZE_RECEIVERS = ("pickle", "cPickle", "_pickle", "marshal", "dill", "shelve")
 PY_REDIRECT_NAMES = ("redirect", "HttpResponseRedirect", "RedirectResponse")
-# Upper bound on propagation passes over one module.
-PY_MAX_PASSES = 8

@@ -138,7 +138,7 @@ QUERIES = {
 # --- DuckDB side ----------------------------------------------------------------------------------
 
 _COMMENT = q(r"^\s*(?:#|//|\*|/\*)")
-_LOOKUP = q(r"os\.environ|os\.getenv|getenv\s*\(|process\.env|ENV\[")
+_LOOKUP = q(r"os\.environ|os\.getenv|getenv\s*\(|process\.env|env\[")
 _FAKE = q(S.PLACEHOLDER)
 
 
@@ -158,7 +158,7 @@ def _secrets(rules) -> str:
         parts.append(
             f"SELECT repo, path AS file, CAST(line AS INTEGER) AS line, 'CRITICAL' AS severity, {q(rule.title)} AS title, CAST(1 AS INTEGER) AS fix_phase, snippet "
             f"FROM (SELECT *, unnest(regexp_extract_all(text, {rx})) AS m FROM lines) WHERE NOT regexp_matches(text, {_COMMENT}) "
-            f"AND NOT regexp_matches(text, {_LOOKUP}) AND NOT regexp_matches(lower({judged}), {_FAKE})"
+            f"AND NOT regexp_matches(lower({judged}), {_LOOKUP}) AND NOT regexp_matches(lower({judged}), {_FAKE})"
         )
     return " UNION ALL ".join(parts)
 

@@ -224,6 +224,22 @@ url: postgres://app:p@HEX@@db.internal/app
 api_key: "@HEX@"
 password: "pw-@ID@-long"
 example: "api_key = 'your-key-your-key-your-key'"
+one: AIza@HEX@abc
+two: ghp_@HEX@abcd
+three: glpat-@HEX@
+four: sk-ant-@HEX@
+five: sk-@HEX@
+six: xoxb-@HEX@
+seven: npm_@HEX@abcd
+eight: pypi-@HEX@@HEX@
+nine: sk_live_@HEX@
+ten: -----BEGIN RSA PRIVATE"""
+        + """ KEY-----
+eleven: AIzayour-placeholder-key-of-35-letters-long
+twelve: ghp_exampleexampleexampleexampleexample1
+key = os.getenv("KEY") or "AKIA@HEXU@"
+secret = getenv("SECRET") or "x"
+password = "process.env.DB_PASSWORD"
 """,
     ),
 ]

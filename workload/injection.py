@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
-from codewarden.operators import facts_py, taint_js, taint_py
+from codewarden.operators import facts_py, injection, taint_js, taint_py
 from codewarden.operators.injection import looks_minified, taint_columns
 from codewarden.plans import file_pass
 from codewarden.rules import injection as R
@@ -68,7 +68,7 @@ def js_env(spark, sf):
 
 def js_reachable(spark, sf):
     rows = js_files(spark, sf).select("repo", "path", "_tainted", "_constants", F.posexplode("_lines").alias("i", "text"))
-    usable = rows.where((F.length("text") <= R.TAINT_MAX_LINE) & F.contains("text", F.lit("(")))
+    usable = rows.where(F.contains("text", F.lit("(")))
     verdict = taint_js.reachable(F.col("text"), F.col("_tainted"), F.col("_constants"))
     return usable.select("repo", "path", (F.col("i") + 1).alias("line"), verdict.alias("reachable"))
 
@@ -147,6 +147,7 @@ QUERIES = {
     "inj_xss": of_group("xss"),
     "inj_weak_random": of_group("weak_random"),
     "inj_minified": inj_minified,
+    "inj_skipped": lambda spark, sf: injection.skipped(corpus.files(spark, sf)),
     "js_sources": js_sources,
     "js_defs": js_defs,
     "js_uses": js_uses,
@@ -229,6 +230,7 @@ def code_ctes() -> str:
     return f"""WITH RECURSIVE files AS ({corpus.files_sql()}),
 cut AS (SELECT *, string_split(CASE WHEN content LIKE '%' || chr(10) THEN content[:-2] ELSE content END, chr(10)) AS ls FROM files),
 code AS (SELECT *, {_PY_SUFFIXED} AS py,
+  NOT ({_PY_SUFFIXED}) AND t = 3 AS bundle,
   NOT ({_PY_SUFFIXED}) AND (t = 3 OR list_max(list_transform(ls, lambda s: length(s))) > 2000) AS minified
   FROM cut WHERE t <> 11),
 lines AS (SELECT * EXCLUDE (ls), ls[line] AS text,
@@ -251,7 +253,7 @@ def env_ctes() -> str:
     CASE WHEN regexp_matches(text, {destruct}) THEN regexp_extract(text, {destruct}, 2)
          WHEN regexp_matches(text, {decl}) THEN regexp_extract(text, {decl}, 2)
          ELSE regexp_extract(text, {again}, 2) || regexp_extract(text, {again}, 3) END AS rhs
-  FROM lines WHERE NOT py AND length(text) <= 500) WHERE len(names) > 0),
+  FROM lines WHERE NOT py) WHERE len(names) > 0),
 named AS (SELECT repo, path, line, unnest(names) AS name, is_const, src FROM defs),
 used AS (SELECT repo, path, line, unnest(uses) AS name FROM defs),
 taint(repo, path, line, name) AS (
@@ -279,7 +281,7 @@ def pattern_hits_sql(groups) -> str:
     for title, severity, phase, group, rx, veto in _RE2:
         if group not in groups:
             continue
-        scope = "(py OR NOT minified)" if group == "xss" else "(t = 10 OR (NOT py AND NOT minified))"
+        scope = "(py OR NOT bundle)" if group == "xss" else "(t = 10 OR (NOT py AND NOT bundle))"
         no_veto = f" AND NOT regexp_matches(substr(text, strpos(text, m)), {q(veto)})" if veto else ""
         parts.append(
             f"SELECT repo, path, py, line, text, snippet, {q(title)} AS title, '{severity}' AS severity, {phase} AS fix_phase, "
@@ -337,7 +339,7 @@ def py_sql(titles=None) -> str:
 
 def group_sql(groups, py_titles) -> str:
     return f"""{code_ctes()}, {env_ctes()}, hits AS ({pattern_hits_sql(groups)}),
-judged AS (SELECT h.*, CASE WHEN NOT py AND length(text) <= 500 THEN {verdict_sql('tail')} END AS reachable FROM hits h JOIN env e ON e.repo = h.repo AND e.path = h.path),
+judged AS (SELECT h.*, CASE WHEN NOT py THEN {verdict_sql('tail')} END AS reachable FROM hits h JOIN env e ON e.repo = h.repo AND e.path = h.path),
 found AS (SELECT repo, path, line, severity, title, fix_phase, reachable, snippet FROM judged WHERE NOT (grp = 'xss' AND coalesce(reachable = false, false))
   UNION ALL {py_sql(py_titles)})
 SELECT {_OUT} FROM found"""
@@ -368,7 +370,7 @@ def sink_sql(name: str) -> str:
         reaches = "list_contains(tainted, a)"
     return f"""{code_ctes()}, {env_ctes()},
 calls AS (SELECT *, unnest(regexp_extract_all(text, {q(rx)}, 1)) AS a FROM lines
-  WHERE NOT py AND NOT minified AND length(text) <= 500 AND NOT regexp_matches(text, {_COMMENT})),
+  WHERE NOT py AND NOT bundle AND NOT regexp_matches(text, {_COMMENT})),
 found AS (SELECT c.repo, c.path, line, '{severity}' AS severity, {q(title)} AS title, 4 AS fix_phase, true AS reachable, snippet
   FROM calls c JOIN env e ON e.repo = c.repo AND e.path = c.path WHERE ({reaches}){extra})
 SELECT {_OUT} FROM found"""
@@ -402,7 +404,7 @@ def _by_template(columns: str, rows: list[str]) -> str:
 _WEAK = f"""{code_ctes()}
 SELECT repo, path AS file, CAST(line AS INTEGER) AS line, 'MEDIUM' AS severity, 'Weak randomness for security value' AS title,
   CAST(3 AS INTEGER) AS fix_phase, CAST(NULL AS BOOLEAN) AS reachable, snippet FROM lines
-WHERE (py OR NOT minified) AND length(text) <= 500 AND NOT regexp_matches(text, {_COMMENT})
+WHERE (py OR NOT bundle) AND NOT regexp_matches(text, {_COMMENT})
   AND regexp_matches(text, {q(r'\bMath\.random\s*\(|(?:^|[^\w.])random\.(?:random|randint|randrange|randbytes|choice|choices|getrandbits|uniform|sample|shuffle)\s*\(')})
   AND regexp_matches(text, {q(r'(?i)\b(?:token|secret|password|passwd|api[_-]?key|otp|csrf|nonce|salt)\w*')})"""
 
@@ -420,12 +422,13 @@ ORACLES = {
     "inj_cmd_const": group_sql(("cmd_const",), ["shell=True with constant command"]),
     "inj_xss": group_sql(("xss",), ["-"]),
     "inj_weak_random": _WEAK,
+    "inj_skipped": f"{code_ctes()} SELECT repo, path, 'generated bundle' AS reason FROM code WHERE bundle",
     "inj_minified": f"{code_ctes()} SELECT repo, path, minified FROM code WHERE NOT py",
     "js_sources": f"{code_ctes()} SELECT repo, path, CAST(line AS INTEGER) AS line, text FROM lines WHERE NOT py AND regexp_matches(text, {q(_SOURCE)})",
     "js_defs": f"{code_ctes()}, {env_ctes()} SELECT repo, path, CAST(line AS INTEGER) AS line, array_to_string(names, ',') AS names, src, is_const FROM defs",
     "js_uses": f"{code_ctes()}, {env_ctes()} SELECT repo, path, CAST(line AS INTEGER) AS line, name FROM used",
     "js_env": f"{code_ctes()}, {env_ctes()}, all_names AS (SELECT DISTINCT repo, path, name FROM named) SELECT n.repo, n.path, name, CASE WHEN list_contains(tainted, name) THEN true WHEN list_contains(constants, name) THEN false END AS state FROM all_names n JOIN env e ON e.repo = n.repo AND e.path = n.path",
-    "js_reachable": f"{code_ctes()}, {env_ctes()} SELECT l.repo, l.path, CAST(line AS INTEGER) AS line, {verdict_sql('text')} AS reachable FROM lines l JOIN env e ON e.repo = l.repo AND e.path = l.path WHERE NOT py AND length(text) <= 500 AND contains(text, '(')",
+    "js_reachable": f"{code_ctes()}, {env_ctes()} SELECT l.repo, l.path, CAST(line AS INTEGER) AS line, {verdict_sql('text')} AS reachable FROM lines l JOIN env e ON e.repo = l.repo AND e.path = l.path WHERE NOT py AND contains(text, '(')",
     "js_xss_const_drop": f"SELECT repo, file, title, count(*) AS kept, count(*) FILTER (WHERE reachable = false) AS constant FROM ({group_sql(('xss',), ['-'])}) GROUP BY ALL",
     **{name: sink_sql(name) for name in _SINKS},
     "py_facts": _by_template(
