@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Numeric parts kept for a comparison.
-WIDTH = 6
 CONCRETE = r"^\d+\.\d+\.\d+"
+# The published grammar of PyPI versions, and the stage words in their order.
+_PYPI = (
+    r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(a|b|c|rc|alpha|beta|pre|preview)[-_.]?(\d*))?"
+    r"(?:-(\d+)|[-_.]?(post|rev|r)[-_.]?(\d*))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+.*)?\s*$"
+)
+_STAGES = {"a": "0", "alpha": "0", "b": "1", "beta": "1", "c": "2", "rc": "2", "pre": "2", "preview": "2"}
 
 
 def canonical_name(name: Column, ecosystem: Column) -> Column:
@@ -15,17 +19,52 @@ def canonical_name(name: Column, ecosystem: Column) -> Column:
     return F.when(ecosystem == "PyPI", F.lower(F.regexp_replace(name, r"[-_.]+", "-"))).otherwise(name)
 
 
-def version_key(version: Column) -> Column:
-    """array<bigint> that sorts like the version: padded numeric parts, then a release flag.
+def _number(digits: Column) -> Column:
+    """Text that sorts like a number of any length: how many digits, then the digits."""
+    plain = F.regexp_replace(digits, r"^0+", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 4, "0"), plain)
 
-    A pre-release (`1.0.0-rc.1`, `1.0rc1`) sorts before its release; build metadata is ignored.
+
+def _release(numbers: Column) -> Column:
+    """Keys of the dotted numbers; zeros at the end do not count."""
+    return F.transform(F.filter(F.split(F.regexp_replace(numbers, r"(?:\.0+)+$", ""), r"\."), lambda p: p != ""), _number)
+
+
+def _key(epoch: Column, release: Column, stage: Column) -> Column:
+    return F.struct(epoch.alias("epoch"), release.alias("release"), stage.alias("stage"))
+
+
+def _pypi_key(version: Column) -> Column:
+    """Epoch, release, then pre-release, post-release and development marks."""
+    group = lambda i: F.regexp_extract(version, _PYPI, i)
+    word, dev = F.lower(group(3)), group(8) != ""
+    post = (group(5) != "") | (group(6) != "")
+    rank = F.lit("2")
+    for name, value in _STAGES.items():
+        rank = F.when(word == name, F.lit(value)).otherwise(rank)
+    # A development release of a final one comes before all its pre-releases; no mark is after them.
+    pre = F.when(word != "", F.concat(F.lit("1"), rank, _number(group(4)))).when(dev & ~post, F.lit("0")).otherwise(F.lit("2"))
+    after = F.when(post, F.concat(F.lit("1"), _number(F.concat(group(5), group(7))))).otherwise(F.lit("0"))
+    stage = F.array(pre, after, F.when(dev, F.concat(F.lit("0"), _number(group(9)))).otherwise(F.lit("1")))
+    return _key(_number(group(1)), _release(group(2)), stage)
+
+
+def _semver_key(version: Column) -> Column:
+    """Release, then the identifiers of a pre-release: numbers before words, fewer before more."""
+    numbers = F.regexp_extract(version, r"^\s*[vV=]?\s*(\d+(?:\.\d+)*)", 1)
+    tail = F.regexp_extract(version, r"^\s*[vV=]?\s*\d+(?:\.\d+)*-?([^+\s]*)", 1)
+    parts = F.transform(
+        F.split(tail, r"\."), lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("0"), _number(p))).otherwise(F.concat(F.lit("1"), p))
+    )
+    return _key(F.lit("0000"), _release(numbers), F.when(tail == "", F.array(F.lit("2"))).otherwise(parts))
+
+
+def version_key(version: Column, ecosystem: Column | None = None) -> Column:
+    """A struct that sorts like the version under its ecosystem's rules; numbers of any length.
+
+    PyPI versions that its grammar does not take, and all other ecosystems, compare by semantic
+    versioning; build metadata and local parts do not count.
     """
-    numbers = F.regexp_extract(version, r"^[vV]?(\d+(?:\.\d+)*)", 1)
-    tail = F.regexp_extract(version, r"^[vV]?\d+(?:\.\d+)*([^+]*)", 1)
-    parts = F.transform(F.filter(F.split(numbers, r"\."), lambda p: p != ""), lambda p: p.try_cast("bigint"))
-    padded = F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), WIDTH)), 1, WIDTH)
-    prerelease = tail.rlike(r"(?i)^[-._]?(?:a|b|c|rc|alpha|beta|pre|preview|dev|canary|next)|^-")
-    number = F.coalesce(F.regexp_extract(tail, r"(\d+)[^\d]*$", 1), F.lit(""))
-    rank = F.when(prerelease, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    order = F.when(prerelease & (number != ""), number.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return F.concat(padded, F.array(rank, order))
+    if ecosystem is None:
+        return _semver_key(version)
+    return F.when((ecosystem == "PyPI") & version.rlike(_PYPI), _pypi_key(version)).otherwise(_semver_key(version))

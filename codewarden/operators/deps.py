@@ -1,14 +1,14 @@
 """Dependencies against advisories.
 
-Advisories are a table ``(id, summary, details, severity_label, affected)`` in the shape of the
-public vulnerability format. Distinct (ecosystem, name, version) triples are matched first: a package
+Advisories are a table in the shape of the public vulnerability format (``ADVISORIES_DDL``); its files
+are read as they are published. Distinct (ecosystem, name, version) triples are matched first: a package
 that a third of all projects pin is one row there. The matches are then joined back to the dependency
 rows, by broadcast when they are measured small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewarden import schemas
@@ -19,11 +19,20 @@ from codewarden.functions.text import lookup
 from codewarden.session import cut_lineage
 from codewarden.sources import manifests as M
 
+# The published advisory format, as far as it is read here.
 ADVISORIES_DDL = (
-    "id string, summary string, details string, severity_label string, affected array<struct<"
-    "ecosystem:string,name:string,versions:array<string>,"
-    "events:array<struct<introduced:string,fixed:string,last_affected:string>>>>"
+    "id string, summary string, details string, database_specific struct<severity:string>, affected array<struct<"
+    "package:struct<ecosystem:string,name:string>,versions:array<string>,"
+    "ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>>>"
 )
+# Fixed value: ranges of commits are no ranges of versions.
+COMMIT_RANGE = "GIT"
+
+
+def read_advisories(spark: SparkSession, path: str) -> DataFrame:
+    """Published advisory files (one JSON object per file); unknown fields are ignored."""
+    return spark.read.schema(ADVISORIES_DDL).option("multiLine", "true").json(path).where(F.col("id").isNotNull())
+
 
 # Severity of an advisory's own label; anything else counts as HIGH.
 LABELS = {"CRITICAL": "CRITICAL", "HIGH": "HIGH", "MODERATE": "MEDIUM", "MEDIUM": "MEDIUM", "LOW": "LOW"}
@@ -42,46 +51,51 @@ def summary_of(summary: Column, details: Column) -> Column:
     return F.when(text == "", F.lit(DEFAULT_SUMMARY)).otherwise(F.get(F.split(text, X.LINE_BREAK, 2), 0))
 
 
+def _version_ranges(entry: Column) -> Column:
+    return F.filter(F.coalesce(entry["ranges"], F.array()), lambda r: F.coalesce(r["type"], F.lit("")) != COMMIT_RANGE)
+
+
 def first_fixed(affected: Column, ecosystem: Column, name: Column) -> Column:
-    """First ``fixed`` event listed for the package, '' where there is none."""
+    """First ``fixed`` version listed for the package, '' where there is none."""
     mine = F.filter(
         affected,
-        lambda a: (a["ecosystem"] == ecosystem)
-        & (V.canonical_name(a["name"], ecosystem) == V.canonical_name(name, ecosystem)),
-    )
-    fixed = F.flatten(
-        F.transform(mine, lambda a: F.transform(F.filter(a["events"], lambda e: e["fixed"].isNotNull()), lambda e: e["fixed"]))
+        lambda a: (a["package"]["ecosystem"] == ecosystem)
+        & (V.canonical_name(a["package"]["name"], ecosystem) == V.canonical_name(name, ecosystem)),
     )
+    events = F.flatten(F.transform(F.flatten(F.transform(mine, _version_ranges)), lambda r: r["events"]))
+    fixed = F.filter(F.transform(events, lambda e: e["fixed"]), lambda v: v.isNotNull())
     return F.coalesce(F.get(fixed, 0), F.lit(""))
 
 
-def is_affected(version: Column, versions: Column, events: Column) -> Column:
-    """Listed explicitly, or the latest range event at or before the version is an introduction."""
-    key = V.version_key(version)
+def in_range(version: Column, ecosystem: Column, events: Column) -> Column:
+    """The latest event of one range at or before the version is an introduction."""
+    key = V.version_key(version, ecosystem)
     from_start = F.exists(events, lambda e: e["introduced"] == "0")
-    passed = lambda field: F.filter(
-        F.transform(F.filter(events, lambda e: e[field].isNotNull() & (e[field] != "0")), lambda e: V.version_key(e[field])),
-        lambda k: k <= key,
-    )
-    introduced, fixed = F.array_max(passed("introduced")), F.array_max(passed("fixed"))
-    beyond_last = F.exists(
-        events, lambda e: e["last_affected"].isNotNull() & (V.version_key(e["last_affected"]) < key)
-    )
-    open_range = F.when(fixed.isNull(), from_start | introduced.isNotNull()).otherwise(
-        F.coalesce(introduced > fixed, F.lit(False))
+    keys = lambda field: F.transform(
+        F.filter(events, lambda e: e[field].isNotNull() & (e[field] != "0")), lambda e: V.version_key(e[field], ecosystem)
     )
+    passed = lambda field: F.array_max(F.filter(keys(field), lambda k: k <= key))
+    introduced, fixed = passed("introduced"), passed("fixed")
+    beyond_last = F.exists(keys("last_affected"), lambda k: k < key)
+    opened = F.when(fixed.isNull(), from_start | introduced.isNotNull()).otherwise(F.coalesce(introduced > fixed, F.lit(False)))
+    return F.coalesce(opened, F.lit(False)) & ~F.coalesce(beyond_last, F.lit(False))
+
+
+def is_affected(version: Column, ecosystem: Column, versions: Column, ranges: Column) -> Column:
+    """Listed explicitly, or inside one of the ranges; each range stands for itself."""
     listed = F.coalesce(F.array_contains(versions, version), F.lit(False))
-    return listed | (F.coalesce(open_range, F.lit(False)) & ~F.coalesce(beyond_last, F.lit(False)))
+    return listed | F.coalesce(F.exists(ranges, lambda r: in_range(version, ecosystem, r["events"])), F.lit(False))
 
 
 def affected_packages(advisories: DataFrame) -> DataFrame:
     """One row per advisory and package entry."""
+    ecosystem = F.col("a.package.ecosystem")
     return advisories.select("id", F.explode("affected").alias("a")).select(
         F.col("id").alias("vuln_id"),
-        F.col("a.ecosystem").alias("ecosystem"),
-        V.canonical_name(F.col("a.name"), F.col("a.ecosystem")).alias("key"),
+        ecosystem.alias("ecosystem"),
+        V.canonical_name(F.col("a.package.name"), ecosystem).alias("key"),
         F.col("a.versions").alias("versions"),
-        F.col("a.events").alias("events"),
+        _version_ranges(F.col("a")).alias("ranges"),
     )
 
 
@@ -91,7 +105,7 @@ def match(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
         "ecosystem", V.canonical_name(F.col("name"), F.col("ecosystem")).alias("key"), "version"
     ).distinct()
     hits = distinct.join(affected_packages(advisories), ["ecosystem", "key"]).where(
-        is_affected(F.col("version"), F.col("versions"), F.col("events"))
+        is_affected(F.col("version"), F.col("ecosystem"), F.col("versions"), F.col("ranges"))
     )
     return hits.select("ecosystem", "key", "version", "vuln_id").distinct()
 
@@ -99,7 +113,7 @@ def match(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
 def advised(matches: DataFrame, details: DataFrame) -> DataFrame:
     """Matches with severity, summary and fixed version; a match without details is kept (left join)."""
     d = details.select(
-        F.col("id").alias("vuln_id"), F.lit(True).alias("_known"), "summary", "details", "severity_label", "affected"
+        F.col("id").alias("vuln_id"), F.lit(True).alias("_known"), "summary", "details", "database_specific", "affected"
     )
     known = F.col("_known").isNotNull()
     return matches.join(d, "vuln_id", "left").select(
@@ -107,7 +121,7 @@ def advised(matches: DataFrame, details: DataFrame) -> DataFrame:
         "key",
         "version",
         "vuln_id",
-        F.when(known, severity_of(F.col("severity_label"))).otherwise(F.lit("HIGH")).alias("severity"),
+        F.when(known, severity_of(F.col("database_specific.severity"))).otherwise(F.lit("HIGH")).alias("severity"),
         F.when(known, summary_of(F.col("summary"), F.col("details"))).otherwise(F.lit(NO_DETAILS)).alias("summary"),
         F.when(known, first_fixed(F.col("affected"), F.col("ecosystem"), F.col("key"))).otherwise(F.lit("")).alias("fixed"),
     )

@@ -104,10 +104,26 @@ def test_python_taint_reaches_the_end_of_a_chain(spark):
     assert {f"a{i}" for i in range(hops)} <= tainted
 
 
-def test_versions_sort(spark):
-    order = ["0.9", "1.0.0-alpha", "1.0.0-rc.1", "1.0.0-rc.2", "1.0", "1.0.1", "1.2", "1.10", "2.0rc1", "2.0", "10"]
-    rows = spark.createDataFrame([(v,) for v in reversed(order)], "v string").orderBy(V.version_key(F.col("v"))).collect()
-    assert [r.v for r in rows] == order
+def _sorted_versions(spark, order, ecosystem):
+    rows = spark.createDataFrame([(v, i) for i, v in reversed(list(enumerate(order)))], "v string, i int")
+    return [r.v for r in rows.orderBy(V.version_key(F.col("v"), F.lit(ecosystem)), F.col("i")).collect()]
+
+
+def test_semantic_versions_sort(spark):
+    order = (
+        "0.9 1.0.0-1 1.0.0-2 1.0.0-11 1.0.0-alpha 1.0.0-alpha.1 1.0.0-alpha.1.0 1.0.0-alpha.2 1.0.0-alpha.beta 1.0.0-beta.1 1.0.0-beta.2 1.0.0-beta.11 1.0.0-rc.1 1.0 "
+        "1.0.1 1.2 1.2.3.4.5.6.7 1.2.3.4.5.6.8 1.10 10 99999999999999999999998 99999999999999999999999.1"
+    ).split()
+    assert _sorted_versions(spark, order, "npm") == order
+
+
+def test_pypi_versions_sort(spark):
+    order = (
+        "0.9 1.0.dev1 1.0.dev2 1.0a1.dev1 1.0a1 1.0a2 1.0b1 1.0rc1.dev3 1.0rc1 1.0rc2 1.0 1.0.post1.dev1 1.0.post1 1.0-2 1.0.1 1.1 1.10 2.0rc1 2.0 10 1!0.1 1!1.0.dev1 1!1.0"
+    ).split()
+    assert _sorted_versions(spark, order, "PyPI") == order
+    same = spark.createDataFrame([("1.0", "1.0.0"), ("v1.0", "1"), ("1.0+local", "1.0"), ("1.0ALPHA2", "1.0a2"), ("1.0-post.3", "1.0.post3")], "a string, b string")
+    assert all(r.s for r in same.select((V.version_key(F.col("a"), F.lit("PyPI")) == V.version_key(F.col("b"), F.lit("PyPI"))).alias("s")).collect())
 
 
 def test_slugs(spark):

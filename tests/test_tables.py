@@ -1,5 +1,6 @@
 """Order-dependent operators and matching against brute force, with hot keys."""
 
+import json
 import random
 import re
 
@@ -104,7 +105,7 @@ def test_version_ranges(spark):
         for i, (v, vs, es) in enumerate(cases)
     ]
     ddl = "i int, v string, vs array<string>, es array<struct<introduced:string,fixed:string,last_affected:string>>"
-    got = spark.createDataFrame(rows, ddl).select("i", deps.is_affected(F.col("v"), F.col("vs"), F.col("es")).alias("x")).collect()
+    got = spark.createDataFrame(rows, ddl).select("i", deps.is_affected(F.col("v"), F.lit("npm"), F.col("vs"), F.array(F.struct(F.col("es").alias("events")))).alias("x")).collect()
     for row in got:
         assert row.x == affected_by_hand(*cases[row.i]), cases[row.i]
 
@@ -130,7 +131,7 @@ def test_unknown_details_and_shrinkwrap_preference(files_of, spark):
     lock = '{"dependencies": {"x": {"version": "1.0.0"}}}'
     files = files_of({"a.js": "", "package.json": "{}", "npm-shrinkwrap.json": lock.replace("x", "y"), "package-lock.json": lock})
     advisory = spark.createDataFrame(
-        [("V1", None, None, None, [("npm", "x", ["1.0.0"], []), ("npm", "y", ["1.0.0"], [])])], deps.ADVISORIES_DDL
+        [("V1", None, None, None, [(("npm", "x"), ["1.0.0"], []), (("npm", "y"), ["1.0.0"], None)])], deps.ADVISORIES_DDL
     )
     row = deps.findings(files, files.where("path = 'a.js'"), advisory).collect()
     assert [(r.file, r.title, r.severity, r.description, r.fix_summary) for r in row] == [
@@ -138,6 +139,32 @@ def test_unknown_details_and_shrinkwrap_preference(files_of, spark):
     ]
 
 
+def test_published_advisories(files_of, spark, tmp_path):
+    """Files as published: two ranges that overlap, commit ranges, pre-releases, an epoch; hits worked out by hand."""
+    events = lambda *pairs: [{k: v} for k, v in pairs]
+    advisory = {
+        "id": "OSV-1", "modified": "2024-01-01T00:00:00Z", "summary": "One line\nmore", "database_specific": {"severity": "LOW", "x": [1]},
+        "affected": [
+            {"package": {"ecosystem": "npm", "name": "a", "purl": "pkg:npm/a"}, "ranges": [
+                {"type": "GIT", "repo": "r", "events": events(("introduced", "0"), ("fixed", "abc"))},
+                {"type": "SEMVER", "events": events(("introduced", "1.0.0-alpha.2"), ("fixed", "1.2.0"))},
+                {"type": "SEMVER", "events": events(("introduced", "1.1.0"), ("fixed", "1.4.0-beta.11"))}]},
+            {"package": {"ecosystem": "PyPI", "name": "B.b"}, "versions": ["0.1"], "ranges": [
+                {"type": "ECOSYSTEM", "events": events(("introduced", "1.0.post1"), ("last_affected", "1!2.0"))}]},
+        ],
+    }
+    (tmp_path / "a.json").write_text(json.dumps(advisory, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"id": "OSV-2", "affected": [{"package": {"ecosystem": "npm", "name": "zz"}}]}))
+    pins = {"a": "1.0.0-alpha.1 1.0.0-alpha.beta 1.0.0 1.3.0 1.4.0-beta.2 1.4.0-beta.11 1.4.0".split(), "b-B": "0.1 1.0 1.0.post1 1.0.dev1 9.0 1!1.5 1!2.0.dev1 1!2.1".split()}
+    rows = [("r", "p", i, name, v, "npm" if name == "a" else "PyPI", "raw", i) for name, vs in pins.items() for i, v in enumerate(vs)]
+    found = spark.createDataFrame(rows, "repo string, path string, line int, name string, version string, ecosystem string, raw string, ord int")
+    known = deps.read_advisories(spark, str(tmp_path))
+    hits = {(r.ecosystem, r.version) for r in deps.match(found, known).collect()}
+    assert hits == {("npm", v) for v in "1.0.0-alpha.beta 1.0.0 1.3.0 1.4.0-beta.2".split()} | {("PyPI", v) for v in "0.1 1.0.post1 9.0 1!1.5 1!2.0.dev1".split()}
+    row = deps.advised(deps.match(found, known), known).where("ecosystem = 'npm'").first()
+    assert (row.severity, row.summary, row.fixed) == ("LOW", "One line", "1.2.0")
+
+
 def test_scores_by_hand(spark):
     labels = spark.createDataFrame(
         [("c1", "a", 10, 1, ["sqli", "xss"]), ("c1", "b", 5, 2, ["sqli", "xss"]), ("c2", "a", 1, 3, ["cmdi"])],

@@ -108,22 +108,30 @@ def advisories(spark, sf, named=True):
     names = part.distinct().withColumn("n", F.length("p_name"))
     event = lambda i, f, a="null": f"named_struct('introduced', {i}, 'fixed', {f}, 'last_affected', cast({a} as string))"
     none = "cast(null as string)"
-    pypi = (
-        "named_struct('ecosystem', 'PyPI', 'name', upper(replace(p_name, ' ', '.')), 'versions', cast(array() as array<string>), "
-        f"'events', array({event(chr(39) + '1.10.0' + chr(39), none)}, {event(none, chr(39) + '1.25.0' + chr(39))}))"
+    q1 = lambda v: f"'{v}'"
+    span = lambda kind, *events: f"named_struct('type', '{kind}', 'events', array({', '.join(events)}))"
+    entry = lambda eco, name, versions, *ranges: (
+        f"named_struct('package', named_struct('ecosystem', '{eco}', 'name', {name}), 'versions', {versions}, 'ranges', array({', '.join(ranges)}))"
     )
-    npm = (
-        "named_struct('ecosystem', 'npm', 'name', replace(p_name, ' ', '-'), 'versions', array('1.30.0'), "
-        f"'events', array({event(chr(39) + '0' + chr(39), none)}, {event(none, chr(39) + '1.5.0' + chr(39))}, {event(chr(39) + '1.40.0-rc.1' + chr(39), none)}, "
-        f"{event(none, none, chr(39) + '1.45.9' + chr(39))}))"
+    # Two ranges that overlap, one of commits that must not count, a pre-release and a last affected version.
+    pypi = entry(
+        "PyPI", "upper(replace(p_name, ' ', '.'))", "cast(array() as array<string>)",
+        span("ECOSYSTEM", event(q1("1.10.0.dev1"), none), event(none, q1("1.25.0"))),
+        span("GIT", event(q1("0"), none), event(none, q1("ffff"))),
+    )
+    npm = entry(
+        "npm", "replace(p_name, ' ', '-')", "array('1.30.0')",
+        span("SEMVER", event(q1("0"), none), event(none, q1("1.5.0-rc.1"))),
+        span("SEMVER", event(q1("1.40.0-rc.1"), none), event(none, none, q1("1.45.9"))),
+        span("SEMVER", event(q1("1.42.0"), none), event(none, q1("1.43.0"))),
     )
     return names.selectExpr(
         "concat('GHSA-', replace(p_name, ' ', '-')) AS id",
         "CASE n % 3 WHEN 0 THEN cast(null AS string) WHEN 1 THEN ' Bad thing\\nmore' ELSE '' END AS summary",
         "CASE n % 2 WHEN 0 THEN 'Details first\\nsecond' END AS details",
-        "CASE n % 5 WHEN 0 THEN 'MODERATE' WHEN 1 THEN 'low' WHEN 2 THEN 'weird' WHEN 3 THEN 'CRITICAL' END AS severity_label",
+        "CASE n % 5 WHEN 0 THEN 'MODERATE' WHEN 1 THEN 'low' WHEN 2 THEN 'weird' WHEN 3 THEN 'CRITICAL' END AS label",
         f"array({pypi}, {npm}) AS affected",
-    )
+    ).withColumn("database_specific", F.struct(F.col("label").alias("severity")))
 
 
 def found(spark, sf):
@@ -137,7 +145,7 @@ def deps_no_details(spark, sf):
     everything = deps.dependencies(files(spark, sf), collected(spark, sf))
     known = advisories(spark, sf)
     matches = deps.match(everything, known)
-    return deps.findings_of(everything, matches, known.where("length(id) < 0")).select(*COLUMNS)
+    return deps.findings_of(everything, matches, known.where("length(id) % 2 = 0")).select(*COLUMNS)
 
 
 def deps_first_fix(spark, sf):
@@ -196,7 +204,7 @@ hit AS (SELECT *, length(p_name) AS n, 'GHSA-' || replace(p_name, ' ', '-') AS i
 _TITLE = "'Vulnerable package: ' || name || CASE eco WHEN 'npm' THEN '@' ELSE '==' END || version || ' (' || id || ')'"
 _SEVERITY = "CASE n % 5 WHEN 0 THEN 'MEDIUM' WHEN 1 THEN 'LOW' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'CRITICAL' ELSE 'HIGH' END"
 _SUMMARY = "CASE WHEN n % 3 = 1 THEN 'Bad thing' WHEN n % 2 = 0 THEN 'Details first' ELSE 'Known vulnerability.' END"
-_FIXED = "CASE eco WHEN 'PyPI' THEN '1.25.0' ELSE '1.5.0' END"
+_FIXED = "CASE eco WHEN 'PyPI' THEN '1.25.0' ELSE '1.5.0-rc.1' END"
 _ENTRY = "repo, path, CAST(line AS INTEGER) AS line, name, version, raw"
 
 ORACLES = {
@@ -206,8 +214,8 @@ ORACLES = {
     "deps_lock_v1": f"{_P} SELECT {_ENTRY} FROM ({_V1})",
     "deps_missing_lock": f"{_P} SELECT repo, regexp_replace(dir, '/$', '') AS root, 'package.json without a lockfile; npm dependencies not scanned (generate one with `npm install --package-lock-only`)' AS warning FROM p WHERE {_PKG} AND NOT ({_FLAT}) AND NOT ({_NEST})",
     "deps_vulns": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_SEVERITY} AS severity, {_TITLE} AS title, {_SUMMARY} || ' (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || ' to >=' || {_FIXED} AS fix_summary FROM hit",
-    "deps_first_fix": "SELECT 'GHSA-' || replace(p_name, ' ', '-') AS id, eco AS ecosystem, CASE eco WHEN 'PyPI' THEN '1.25.0' ELSE '1.5.0' END AS fixed FROM (SELECT DISTINCT p_name FROM part), (VALUES ('PyPI'), ('npm')) AS e(eco)",
-    "deps_no_details": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, 'HIGH' AS severity, {_TITLE} AS title, 'Known vulnerability (details unavailable). (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || ' to a patched release' AS fix_summary FROM hit",
+    "deps_first_fix": "SELECT 'GHSA-' || replace(p_name, ' ', '-') AS id, eco AS ecosystem, CASE eco WHEN 'PyPI' THEN '1.25.0' ELSE '1.5.0-rc.1' END AS fixed FROM (SELECT DISTINCT p_name FROM part), (VALUES ('PyPI'), ('npm')) AS e(eco)",
+    "deps_no_details": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, CASE WHEN length(id) % 2 = 0 THEN {_SEVERITY} ELSE 'HIGH' END AS severity, {_TITLE} AS title, CASE WHEN length(id) % 2 = 0 THEN {_SUMMARY} ELSE 'Known vulnerability (details unavailable).' END || ' (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || CASE WHEN length(id) % 2 = 0 THEN ' to >=' || {_FIXED} ELSE ' to a patched release' END AS fix_summary FROM hit",
     "fix_pin": f"""{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_TITLE} AS title, raw AS old_line, name || '==1.25.0' AS new_line,
   replace({_fill_sql(REQUIREMENTS)}, raw || chr(10), name || '==1.25.0' || chr(10)) AS new_content, {_TITLE} || ': pin ' || name || '==1.25.0 (first fixed release)' AS summary
   FROM (SELECT h.*, p.under, p.dash, p.size, p.patch FROM hit h JOIN p ON p.repo = h.repo) WHERE eco = 'PyPI'""",
