@@ -107,9 +107,9 @@ def search_cell(q_ids, q, floors, c_ids, c, turn, k: int):
 def _cells(queries: DataFrame, candidates: DataFrame, turn: np.ndarray, dim: int, k: int) -> DataFrame:
     """Both sides carry (chunk, block); a cell holds at most QUERIES by BLOCK vectors."""
 
-    def matrix(frame):
-        out = np.zeros((len(frame), dim))
-        for i, v in enumerate(frame["v"]):
+    def matrix(column):
+        out = np.zeros((len(column), dim))
+        for i, v in enumerate(column):
             out[i, : len(v)] = v
         return out
 
@@ -117,15 +117,16 @@ def _cells(queries: DataFrame, candidates: DataFrame, turn: np.ndarray, dim: int
         import pandas as pd
 
         c = c.sort_values("norm2", ascending=False, kind="stable")
-        rows = []
+        rows, found = [], matrix(c["v"])
         for at in range(0, len(q), STEP):
             part = q.iloc[at : at + STEP]
-            rows += search_cell(part["vec_id"].to_numpy(np.int64), matrix(part), part["low"].to_numpy(float), c["vec_id"].to_numpy(np.int64), matrix(c), turn, k)
+            rows += search_cell(part["q_id"].to_numpy(np.int64), matrix(part["q"]), part["low"].to_numpy(float), c["vec_id"].to_numpy(np.int64), found, turn, k)
         return pd.DataFrame(rows, columns=["query_id", "score", "vec_id"])
 
-    keys = ["chunk", "block"]
-    left = queries.select(*keys, "vec_id", "v", "low").groupBy(*keys)
-    return left.cogroup(candidates.select(*keys, "vec_id", "v", "norm2").groupBy(*keys)).applyInPandas(run, "query_id long, score long, vec_id long")
+    # Both sides come from one table: other names keep their columns apart.
+    left = queries.select(F.col("chunk").alias("q_chunk"), F.col("block").alias("q_block"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"), "low")
+    right = candidates.select("chunk", "block", "vec_id", "v", "norm2")
+    return left.groupBy("q_chunk", "q_block").cogroup(right.groupBy("chunk", "block")).applyInPandas(run, "query_id long, score long, vec_id long")
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

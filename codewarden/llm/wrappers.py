@@ -233,14 +233,17 @@ def extract(html: str, rule: str) -> str:
     blocks: list[str] = []
     held: list[str] = []
     trail: list[str] = []
-    inside = outside = 0
+    inside = outside = links = linked = 0
     seen = False
 
     def close_block():
+        nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
-        if text:
+        # Where no element marks the main text, a block that is mostly links is a menu.
+        if text and not (kind == "path" and 2 * linked > len(text)):
             blocks.append(text)
+        linked = 0
 
     def main(label):
         name = label.rstrip("*!")
@@ -256,10 +259,12 @@ def extract(html: str, rule: str) -> str:
         if token == "t":
             if inside and not outside:
                 held.append(value_)
+                linked += len(value_.strip()) if links else 0
             continue
         name = value_.rstrip("*!") if token == "<" else value_
         if name in BLOCKS and inside:
             close_block()
+        links += (name == "a") * (1 if token == "<" else -1)
         if token == "<":
             trail.append(value_)
             if inside or main(value_):
