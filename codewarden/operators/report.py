@@ -91,13 +91,27 @@ def _files_scanned(df: DataFrame, files_scanned: DataFrame | None) -> DataFrame:
     return df.join(files_scanned, "repo", "left")
 
 
-def json_document(findings: DataFrame, files_scanned: DataFrame | None = None, root: str = "") -> DataFrame:
-    """JSON report: a head row, one row per finding, a tail row; texts joined in order are the document."""
+def _everyone(counts: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """Counts per repository, with zeros for those of ``repos`` that have no findings."""
+    if repos is None:
+        return counts
+    every = repos.select("repo").unionByName(counts.select("repo")).distinct()
+    return every.join(counts, "repo", "left").na.fill(0)
+
+
+def json_document(
+    findings: DataFrame, files_scanned: DataFrame | None = None, root: str = "", repos: DataFrame | None = None
+) -> DataFrame:
+    """JSON report: a head row, one row per finding, a tail row; texts joined in order are the document.
+
+    ``repos`` names the repositories that get a document; those without findings get an empty one.
+    """
     sorted_rows = numbered(findings)
     counts = findings.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in BADGES],
     )
+    counts = _everyone(counts, repos)
     present = F.to_json(F.struct(*[F.when(F.col(s) > 0, F.col(s)).alias(s) for s in BADGES]))
     head = _files_scanned(counts, files_scanned).select(
         "repo",
@@ -176,11 +190,12 @@ def sarif_results(findings: DataFrame, rules: DataFrame | None = None) -> DataFr
     return rows.join(rules, ["repo", "rule_id"]).select("repo", "seq", "rule_id", "rule_index", _sarif_result().alias("result"))
 
 
-def sarif_document(findings: DataFrame, files_scanned: DataFrame | None = None) -> DataFrame:
-    """SARIF 2.1.0 log: head, rule rows, separator, result rows, tail."""
+def sarif_document(findings: DataFrame, files_scanned: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """SARIF 2.1.0 log: head, rule rows, separator, result rows, tail; ``repos`` as in ``json_document``."""
     rules = sarif_rules(findings)
     results = sarif_results(findings, rules)
-    repos = _files_scanned(findings.select("repo").distinct(), files_scanned)
+    named = findings.select("repo") if repos is None else findings.select("repo").unionByName(repos.select("repo"))
+    repos = _files_scanned(named.distinct(), files_scanned)
     driver = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","version":"{VERSION}","rules":['
     properties = F.coalesce(
         F.concat(F.lit(',"properties":{"filesScanned":'), F.col("files_scanned").cast("string"), F.lit("}")), F.lit("")
@@ -209,13 +224,20 @@ def _line(*parts) -> Column:
 
 
 def markdown_document(
-    findings: DataFrame, files_scanned: DataFrame | None = None, scan_date: str | None = None
+    findings: DataFrame,
+    files_scanned: DataFrame | None = None,
+    scan_date: str | None = None,
+    repos: DataFrame | None = None,
 ) -> DataFrame:
-    """Markdown report: a head row with summary and counts, one block per finding, a closing row."""
+    """Markdown report: a head row with summary and counts, one block per finding, a closing row.
+
+    ``repos`` as in ``json_document``.
+    """
     n = lambda name: F.col(name).cast("string")
     date = F.lit(scan_date) if scan_date else F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
     phases = findings.groupBy("repo").agg(*[F.count_if(F.col("fix_phase") == p).alias(f"phase{p}") for p, _, _ in PHASES])
-    counts = _files_scanned(post.headline(post.severity_counts(findings)), files_scanned).join(phases, "repo")
+    totals = _everyone(post.severity_counts(findings).join(phases, "repo"), repos)
+    counts = _files_scanned(post.headline(totals), files_scanned)
     phase_rows = [_line(f"| {p} | {what} | {risk} | ", n(f"phase{p}"), " |\n") for p, what, risk in PHASES]
     head = counts.select(
         "repo",
@@ -306,11 +328,20 @@ def prompt_document(findings: DataFrame, repos: DataFrame | None = None) -> Data
     return head.unionByName(body)
 
 
+def by_file(diagnostics: DataFrame) -> DataFrame:
+    """Diagnostics grouped by file: ranged and sorted by path, with each one's number in its file.
+
+    A file's rows follow each other in one range of the output; no file is collected into one value.
+    """
+    order = [F.col("line"), F.col("severity"), F.col("message"), F.col("code")]
+    ranked = range_rank(diagnostics, ["repo", "path"], order, "nth")
+    return ranked.repartitionByRange("repo", "path", "nth").sortWithinPartitions("repo", "path", "nth")
+
+
 def diagnostics(findings: DataFrame, scan_root: str, single_file: str | None = None) -> DataFrame:
     """Editor diagnostics: 0-based line, rank, message; findings without a real location are dropped.
 
-    Grouping by ``path`` is left to the reader of the rows: they can be written partitioned or sorted
-    by path without collecting a file's rows into one value.
+    ``by_file`` groups them.
     """
     file = F.col("file")
     absolute = F.contains(file, F.lit(":")) | file.startswith("/")

@@ -88,13 +88,9 @@ def semgrep(reports: DataFrame) -> DataFrame:
     rule = F.coalesce(F.when(text(r, "check_id") != "", text(r, "check_id")), F.lit("semgrep-rule"))
     line = integer(r, "start.line")
     message = strip(F.coalesce(text(r, "extra.message"), F.lit("")))
-    refs = F.slice(
-        F.transform(
-            F.filter(elements(field(r, "extra.metadata.references")), lambda e: kind(e) == "STRING"),
-            lambda e: F.try_variant_get(e, "$", "string"),
-        ),
-        1,
-        3,
+    refs = F.transform(
+        F.filter(elements(field(r, "extra.metadata.references")), lambda e: kind(e) == "STRING"),
+        lambda e: F.try_variant_get(e, "$", "string"),
     )
     return schemas.as_findings(
         rows.select(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codewarden.operators import custom, headers, post
+from codewarden.operators import baseline, custom, headers, post
 from codewarden.plans import file_pass
-from codewarden.plans.scan import Options, scan
+from codewarden.plans.scan import Options, scan, scan_diff
 from codewarden.rules import headers as H
 from codewarden.rules import secrets as S
+from codewarden.sources import patches
 from codewarden.sources.files import from_texts
-from workload import corpus, injection
+from workload import corpus, dependencies, injection
 from workload.corpus import quoted as q
 
 COLUMNS = ["repo", "file", "line", "severity", "title", "fix_phase", "snippet"]
@@ -100,6 +101,48 @@ def scan_all(spark, sf):
     return found.groupBy("repo", "scanner", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _path(spark, sf, *templates):
+    """(repo, path, doc_id) of the documents that some templates make into files."""
+    documents = corpus.table(spark, sf, "documents", "doc_id").select("doc_id", "source", F.expr(corpus.template_no()).alias("t"))
+    suffix = F
+    for i in templates:
+        suffix = suffix.when(F.col("t") == i, F.lit(corpus.TEMPLATES[i][0]))
+    rows = documents.where(F.col("t").isin(*templates))
+    return rows.select(F.col("source").alias("repo"), F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), suffix).alias("path"), "doc_id")
+
+
+def engine_reports(spark, sf):
+    """One report per TypeScript file: a finding on a line of its own, and one where a native finding is."""
+    result = lambda line: (
+        f"""concat('{{"check_id": "x.engine-rule", "path": "', path, '", "start": {{"line": {line}}}, "extra": {{"message": "m", "severity": "ERROR"}}}}')"""
+    )
+    body = f"""concat('{{"results": [', {result(2)}, ', ', {result(10)}, ']}}')"""
+    return _path(spark, sf, 2).select("repo", F.col("doc_id").alias("doc"), F.expr(body).alias("json"))
+
+
+def scan_full(spark, sf):
+    """Everything at once: five scanners, rules, advisories, an engine's reports, verdicts, a baseline, an exclude."""
+    files = corpus.files(spark, sf).unionByName(dependencies.files(spark, sf))
+    verdicts = _path(spark, sf, 0).select(
+        "repo", F.col("path").alias("file"), F.lit(7).alias("line"), F.lit("injection/eval_usage").alias("finding_id"),
+        F.lit('{"confirmed": false}').alias("raw"), F.lit(None).cast("string").alias("error"),
+    )
+    known = baseline.entries(injection.scanned(spark, sf).where(F.col("title") == "Path traversal"))
+    options = Options(exclude=("*.min.js",), engines=("semgrep",), rules=tuple(RULES))
+    found = scan(files, options, dependencies.advisories(spark, sf), {"semgrep": engine_reports(spark, sf)}, verdicts, known)
+    return found.select("repo", "file", "line", "scanner", "title", "severity")
+
+
+def scan_changed(spark, sf):
+    """Findings on the changed lines of every other document's file."""
+    changed = _path(spark, sf, *range(corpus.N)).where("doc_id % 2 = 0")
+    head = F.array(F.concat(F.lit("+++ b/"), "path"), F.lit("@@ -1,0 +5,10 @@"))
+    raw = changed.select("repo", "doc_id", F.posexplode(head).alias("i", "raw"))
+    lines = patches.changed_lines(raw.select("repo", F.expr("doc_id * 2 + i").alias("pos"), "raw"))
+    found = scan_diff(corpus.files(spark, sf), lines)
+    return found.select("repo", "file", "line", "scanner", "title", "severity")
+
+
 def scan_select(spark, sf):
     found = scan(corpus.files(spark, sf), Options(scanners=("secrets", "headers")))
     return found.groupBy("scanner", "title").agg(F.count(F.lit(1)).alias("n"))
@@ -107,7 +150,7 @@ def scan_select(spark, sf):
 
 def post_suppress(spark, sf):
     found = post.suppress(injection.scanned(spark, sf))
-    return found.where(F.col("title") == "eval() usage").select(*COLUMNS)
+    return found.select(*COLUMNS)
 
 
 def agg_severity(spark, sf):
@@ -117,6 +160,8 @@ def agg_severity(spark, sf):
 
 QUERIES = {
     "scan_all": scan_all,
+    "scan_full": scan_full,
+    "scan_diff": scan_changed,
     "scan_select": scan_select,
     "sec_tokens": secrets_titled(*TOKENS),
     "sec_generic": sec_generic,
@@ -237,7 +282,20 @@ _EVERYTHING = " UNION ALL ".join(
 )
 _DISTINCT = f"(SELECT repo, file, line, scanner, title, min(severity) AS severity FROM ({_EVERYTHING}) GROUP BY repo, file, line, scanner, title)"
 
+_KINDS = [f"SELECT * FROM {_DISTINCT}", f"SELECT DISTINCT repo, file, line, 'custom' AS scanner, title, severity FROM ({_CUSTOM})"]
+_NATIVE = " UNION ALL ".join(
+    [f"SELECT repo, file, line, scanner, title, severity FROM ({sql})" for sql in _KINDS]
+    + [f"SELECT repo, file, line, 'deps', title, severity FROM ({dependencies.ORACLES['deps_vulns']})"]
+)
+_FULL = f"""WITH native AS (SELECT * FROM ({_NATIVE}) WHERE file NOT LIKE '%.min.js' AND NOT (scanner = 'custom' AND {_SILENCED})),
+reported AS (SELECT source AS repo, 'src/f' || CAST(doc_id AS VARCHAR) || '.ts' AS file, unnest([2, 10]) AS line, 'semgrep' AS scanner, 'engine-rule' AS title, 'HIGH' AS severity
+  FROM documents WHERE {corpus.template_no()} = 2)
+SELECT * FROM native WHERE title <> 'Path traversal' AND NOT (title = 'eval() usage' AND line = 7 AND file LIKE '%.js')
+UNION ALL SELECT * FROM reported r WHERE NOT EXISTS (SELECT 1 FROM native n WHERE n.repo = r.repo AND n.file = r.file AND n.line = r.line)"""
+
 ORACLES = {
+    "scan_full": _FULL,
+    "scan_diff": f"SELECT * FROM {_DISTINCT} WHERE line BETWEEN 5 AND 14 AND title <> 'No CSRF protection detected' AND CAST(regexp_extract(file, 'f(\\d+)\\.', 1) AS BIGINT) % 2 = 0",
     "scan_all": f"SELECT repo, scanner, severity, count(*) AS n FROM {_DISTINCT} GROUP BY ALL",
     "scan_select": f"SELECT scanner, title, count(*) AS n FROM {_DISTINCT} WHERE scanner IN ('secrets', 'headers') GROUP BY ALL",
     "sec_tokens": f"{_FILES} {_secrets(S.TOKEN_RULES)}",
@@ -249,7 +307,7 @@ ORACLES = {
     "hdr_csrf": _CSRF,
     "custom_scan": _CUSTOM,
     "rules_rejected": _RULES,
-    "post_suppress": f"SELECT {', '.join(COLUMNS)} FROM ({injection.group_sql(('cmd',), ['eval() usage'])}) WHERE title = 'eval() usage' AND NOT {_SILENCED}",
+    "post_suppress": " UNION ALL ".join(f"SELECT {', '.join(COLUMNS)} FROM ({sql}) WHERE NOT {_SILENCED}" for sql in [_INJECTED, injection._WEAK, *[injection.sink_sql(name) for name in injection._SINKS]]),
     "agg_severity": f"""SELECT repo, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
   count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low, count(*) AS total FROM {_DISTINCT} GROUP BY repo""",
 }

@@ -37,13 +37,13 @@ def post_dedupe(spark, sf):
 def merge_engines(spark, sf):
     all_of_them = found(spark, sf)
     merged = post.merge_engines(
-        all_of_them.where("scanner <> 'semgrep' AND line <> 3"), all_of_them.where(F.col("scanner") == "semgrep")
+        all_of_them.where("scanner <> 'semgrep'"), all_of_them.where(F.col("scanner") == "semgrep")
     )
     return merged.select("repo", "file", "line", "scanner", "title", seq())
 
 
 def ai_requests(spark, sf):
-    return post.review_requests(found(spark, sf).where(F.col("scanner") == "secrets"))
+    return post.review_requests(found(spark, sf))
 
 
 def ai_parse(spark, sf):
@@ -82,7 +82,7 @@ def known(spark, sf):
 
 def baseline_write(spark, sf):
     path = f"{shared_dir(spark)}/baseline-{spark.sparkContext.applicationId}"
-    baseline.write(found(spark, sf).where("severity IN ('LOW', 'HIGH')"), path, ROOT)
+    baseline.write(found(spark, sf), path, ROOT)
     return baseline.read(spark, path)
 
 
@@ -105,8 +105,14 @@ def files_scanned(spark, sf):
     return found(spark, sf).groupBy("repo").agg(F.count_distinct("file").alias("files_scanned"))
 
 
+def repos(spark, sf):
+    """Every repository, and one per region that has no findings."""
+    clean = spark.read.parquet(f"{sf}/region.parquet").select(F.concat(F.lit("clean-"), F.lower("r_name")).alias("repo"))
+    return found(spark, sf).select("repo").distinct().unionByName(clean)
+
+
 def report_json(spark, sf):
-    return report.json_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), ROOT)
+    return report.json_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), ROOT, repos(spark, sf))
 
 
 def report_sarif(spark, sf):
@@ -119,12 +125,16 @@ def report_sarif_rules(spark, sf):
     return rules.select("repo", "rule_id", "rule_index", "title", "severity")
 
 
+def report_sarif_document(spark, sf):
+    return report.sarif_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), repos(spark, sf))
+
+
 def report_markdown(spark, sf):
-    return report.markdown_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), "2024-01-01 00:00 UTC")
+    return report.markdown_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), "2024-01-01 00:00 UTC", repos(spark, sf))
 
 
 def report_prompts(spark, sf):
-    return report.prompt_document(post.dedupe(own(spark, sf)))
+    return report.prompt_document(post.dedupe(own(spark, sf)), repos(spark, sf))
 
 
 def case_findings(spark, sf):
@@ -198,10 +208,12 @@ QUERIES = {
     "fix_candidates": lambda spark, sf: fix.candidates(found(spark, sf)).select("repo", "file", "line", "title", seq()),
     "report_json": report_json,
     "report_sarif": report_sarif,
+    "report_sarif_document": report_sarif_document,
     "report_sarif_rules": report_sarif_rules,
     "report_markdown": report_markdown,
     "report_prompts": report_prompts,
     "report_diagnostics": lambda spark, sf: report.diagnostics(found(spark, sf), "/ws"),
+    "report_by_file": lambda spark, sf: report.by_file(report.diagnostics(found(spark, sf), "/ws").distinct()).select("repo", "path", "nth", "line", "severity", "message", "code"),
     "fn_finding_id": names,
     "eval_categories": eval_categories,
     "eval_match": eval_match,
@@ -216,10 +228,10 @@ _ID = corpus.finding_id_sql()
 _UNIQUE = f"""{_F}, own AS (SELECT * FROM found WHERE scanner <> 'semgrep'),
 uniq AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY repo, file, line, scanner, title ORDER BY {_ORDER}) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}, file, line, title) AS seq FROM uniq),
-scanned AS (SELECT repo, count(DISTINCT file) AS files_scanned FROM found GROUP BY repo),
-counts AS (SELECT repo, count(*) AS total, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
+scanned AS (SELECT repo, count(DISTINCT file) AS files_scanned FROM found GROUP BY repo UNION ALL SELECT 'clean-' || lower(r_name), NULL FROM region),
+counts AS (SELECT repo, count(title) AS total, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
   count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low,
-  {', '.join(f'count(*) FILTER (WHERE fix_phase = {p}) AS phase{p}' for p, _, _ in report.PHASES)} FROM uniq GROUP BY repo)"""
+  {', '.join(f'count(*) FILTER (WHERE fix_phase = {p}) AS phase{p}' for p, _, _ in report.PHASES)} FROM (SELECT * FROM uniq UNION ALL BY NAME SELECT 'clean-' || lower(r_name) AS repo FROM region) GROUP BY repo)"""
 _REVIEWABLE = "snippet <> '' AND NOT project_level AND scanner <> 'deps'"
 _HASH_TEXT = "CASE WHEN line >= 1 AND NOT project_level AND line_text IS NOT NULL THEN line_text ELSE snippet END"
 _KEYED = f"""{_F}, keyed AS (SELECT *, {_ID} AS id, substr(sha256(regexp_replace({_HASH_TEXT}, '^\\s+|\\s+$', '', 'g')), 1, 16) AS hash,
@@ -251,7 +263,7 @@ def _lit(text: str) -> str:
 
 _MD_HEAD = " || ".join(
     [
-        _lit("# Security Report — "), "repo", _lit("\n\n**Scanned:** 2024-01-01 00:00 UTC\n**Files scanned:** "), "files_scanned",
+        _lit("# Security Report — "), "repo", _lit("\n\n**Scanned:** 2024-01-01 00:00 UTC\n**Files scanned:** "), "coalesce(CAST(files_scanned AS VARCHAR), '—')",
         _lit("\n**Total issues:** "), "total", _lit("\n\n---\n\n## Executive Summary\n\n"), f"({_HEADLINE})",
         _lit("\n\n| Severity | Count |\n|----------|-------|\n| 🔴 Critical | "), "critical", _lit(" |\n| 🟠 High | "), "high",
         _lit(" |\n| 🟡 Medium | "), "medium", _lit(" |\n| 🔵 Low | "), "low",
@@ -302,6 +314,13 @@ labels_cve AS (SELECT 'r' || CAST(o_custkey % 25 AS VARCHAR) AS cve, '/work/r/sr
   CASE WHEN o_custkey % 25 % 3 = 0 THEN ['codei'] WHEN o_custkey % 25 % 3 = 1 THEN ['pathtrav', 'xss'] ELSE ['cmdi', 'sqli'] END AS categories FROM orders),
 pairs AS (SELECT l.cve, l.weakness_id, f.finding_id FROM labels_cve l JOIN cf f ON f.cve = l.cve AND f.file = l.file AND abs(f.line - l.line) <= 2 AND list_has_any(f.cats, l.categories))"""
 
+_SARIF_RESULT = f"""'{{"ruleId":' || to_json(rule_id) || ',"ruleIndex":' || rule_index || ',"level":"' || {_SARIF_LEVEL}
+  || '","message":{{"text":' || to_json(title || ': ' || description) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(file)
+  || ',"uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || greatest(1, line) || '}}}}}}]}}'"""
+_SARIF_HEAD = (
+    f'{{"$schema":"{report.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{report.TOOL}","version":"{report.VERSION}","rules":['
+)
+
 ORACLES = {
     "post_sort": f"{_F} SELECT repo, file, line, title, severity, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}, file, line, title) AS seq FROM found",
     "post_dedupe": f"{_F} SELECT repo, file, line, scanner, title, severity, e2 FROM found QUALIFY row_number() OVER (PARTITION BY repo, file, line, scanner, title ORDER BY {_ORDER}) = 1",
@@ -310,33 +329,44 @@ ORACLES = {
     "agg_headline": f"""{_F}, counts AS (SELECT repo, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
   count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low FROM found GROUP BY repo)
 SELECT *, {_HEADLINE} AS headline FROM counts""",
-    "merge_engines": f"""{_F}, native AS (SELECT * FROM found WHERE scanner <> 'semgrep' AND line <> 3)
+    "merge_engines": f"""{_F}, native AS (SELECT * FROM found WHERE scanner <> 'semgrep')
 SELECT repo, file, line, scanner, title, e2 FROM native UNION ALL SELECT repo, file, line, scanner, title, e2 FROM found f
 WHERE scanner = 'semgrep' AND NOT EXISTS (SELECT 1 FROM native n WHERE n.repo = f.repo AND n.file = f.file AND n.line = f.line)""",
     "ai_reviewable": f"{_F} SELECT repo, file, line, title, e2 FROM found WHERE {_REVIEWABLE}",
     "ai_requests": f"""{_F} SELECT repo, file, line, {_ID} AS finding_id, '{{"file":' || to_json(file) || ',"lines":"' || line || '","issue_type":' || to_json({_ID}) || ',"code":' || to_json(snippet) || '}}' AS request
-FROM found WHERE scanner = 'secrets' AND {_REVIEWABLE}""",
+FROM found WHERE {_REVIEWABLE}""",
     "ai_parse": "SELECT event_id, event_id % 7 IN (0, 1, 6) AS parsed, event_id % 7 = 0 AS dismissed, CASE WHEN event_id % 7 = 1 THEN upper(event_type) END AS verdict_severity FROM events",
     "ai_apply": f"""{_F}, judged AS (SELECT *, {_REVIEWABLE} AS reviewed, {_CASE} AS c FROM found)
 SELECT repo, file, line, title, CASE WHEN reviewed AND c = 1 AND srank <= 3 THEN 'LOW' WHEN reviewed AND c = 2 AND srank = 0 THEN 'CRITICAL' ELSE severity END AS severity,
   CASE WHEN reviewed AND c IN (0, 1, 2, 4) THEN true END AS ai_confirmed, e2 FROM judged WHERE NOT (reviewed AND c = 0)""",
     "baseline_keys": f"{_KEYED} SELECT repo, id, rel AS file, line, hash FROM keyed",
-    "baseline_write": f"{_KEYED} {_KNOWN}",
+    "baseline_write": f"{_KEYED} SELECT DISTINCT repo, id, rel AS file, hash FROM keyed",
     "baseline_filter": f"""{_KEYED}, known AS ({_KNOWN}) SELECT repo, rel AS file, line, title, severity, e2 FROM keyed k
 WHERE NOT EXISTS (SELECT 1 FROM known n WHERE n.repo = k.repo AND n.id = k.id AND n.file = k.rel AND n.hash = k.hash)""",
     "fix_candidates": f"{_F} SELECT repo, file, line, title, e2 FROM found WHERE fix_phase = 1 AND NOT project_level AND scanner IN ('secrets', 'deps')",
-    "report_json": f"""{_UNIQUE} SELECT repo, CAST(0 AS BIGINT) AS seq, '{{"tool":"{report.TOOL}","version":"{report.VERSION}","project":' || to_json(repo) || ',"files_scanned":' || files_scanned
+    "report_json": f"""{_UNIQUE} SELECT repo, CAST(0 AS BIGINT) AS seq, '{{"tool":"{report.TOOL}","version":"{report.VERSION}","project":' || to_json(repo) || ',"files_scanned":' || coalesce(CAST(files_scanned AS VARCHAR), 'null')
   || ',"total_issues":' || total || ',"severity_counts":{{' || concat_ws(',', CASE WHEN critical > 0 THEN '"CRITICAL":' || critical END, CASE WHEN high > 0 THEN '"HIGH":' || high END,
   CASE WHEN medium > 0 THEN '"MEDIUM":' || medium END, CASE WHEN low > 0 THEN '"LOW":' || low END) || '}},"findings":[' AS text FROM counts JOIN scanned USING (repo)
 UNION ALL SELECT repo, seq, CASE WHEN seq > 1 THEN ',' ELSE '' END || {_JSON} FROM ranked
 UNION ALL SELECT repo, {_END}, ']}}' FROM counts""",
-    "report_sarif": f"""{_SARIF} SELECT repo, seq, rule_id, rule_index, '{{"ruleId":' || to_json(rule_id) || ',"ruleIndex":' || rule_index || ',"level":"' || {_SARIF_LEVEL}
-  || '","message":{{"text":' || to_json(title || ': ' || description) || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(file)
-  || ',"uriBaseId":"%SRCROOT%"}},"region":{{"startLine":' || greatest(1, line) || '}}}}}}]}}' AS result FROM seen JOIN rules USING (repo, rule_id)""",
+    "report_sarif": f"""{_SARIF} SELECT repo, seq, rule_id, rule_index, {_SARIF_RESULT} AS result FROM seen JOIN rules USING (repo, rule_id)""",
+    "report_sarif_document": f"""{_SARIF}, texts AS (
+SELECT repo, -1 AS seq, {_lit(_SARIF_HEAD)} AS text FROM counts
+UNION ALL SELECT r.repo, rule_index, CASE WHEN rule_index > 0 THEN ',' ELSE '' END || '{{"id":' || to_json(r.rule_id) || ',"name":' || to_json(title) || ',"shortDescription":{{"text":' || to_json(title)
+  || '}},"fullDescription":{{"text":' || to_json(description) || '}},"defaultConfiguration":{{"level":"' || {_SARIF_LEVEL} || '"}},"properties":{{"tags":["security"],"security-severity":"'
+  || {_case('severity', report.SARIF_SCORES, '5.5')} || '"}},"help":{{"text":' || to_json(fix_summary) || '}}' || coalesce(',"helpUri":' || nullif({_REFS}, ''), '') || '}}'
+  FROM rules r JOIN seen s ON s.repo = r.repo AND s.seq = r.first
+UNION ALL SELECT repo, {1 << 40}, ']}}}},"results":[' FROM counts
+UNION ALL SELECT repo, seq + {1 << 40}, CASE WHEN seq > 1 THEN ',' ELSE '' END || {_SARIF_RESULT} FROM seen JOIN rules USING (repo, rule_id)
+UNION ALL SELECT repo, {_END}, ']' || coalesce(',"properties":{{"filesScanned":' || files_scanned || '}}', '') || '}}]}}' FROM counts JOIN scanned USING (repo))
+SELECT repo, CAST(seq AS BIGINT) AS seq, text FROM texts""",
+    "report_by_file": f"""{_F}, d AS (SELECT DISTINCT repo, file AS path, CAST(greatest(0, line - 1) AS INTEGER) AS line, CAST({_case('severity', report.DIAGNOSTIC_RANK, 1)} AS INTEGER) AS severity,
+  title || CASE WHEN reachable THEN ' [reachable from user input]' ELSE '' END || ' — ' || description AS message, {_ID} AS code FROM found)
+SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line, severity, message, code) AS nth FROM d""",
     "report_sarif_rules": f"{_SARIF} SELECT r.repo, r.rule_id, r.rule_index, s.title, s.severity FROM rules r JOIN seen s ON s.repo = r.repo AND s.seq = r.first",
     "report_markdown": f"""{_UNIQUE} SELECT repo, CAST(0 AS BIGINT) AS seq, {_MD_HEAD} AS text FROM counts JOIN scanned USING (repo)
 UNION ALL SELECT repo, seq, {_MD_BODY} FROM ranked UNION ALL SELECT repo, {_END}, {_MD_TAIL} FROM counts""",
-    "report_prompts": f"""{_UNIQUE} SELECT repo, CAST(0 AS BIGINT) AS seq, {_lit(f"# {report.TOOL} — AI Fix Prompts" + chr(10) * 2 + "Paste each block below into your AI assistant. Each prompt is self-contained." + chr(10))} AS text FROM counts
+    "report_prompts": f"""{_UNIQUE} SELECT repo, CAST(0 AS BIGINT) AS seq, CASE WHEN total = 0 THEN {_lit(f"# {report.TOOL} — AI Fix Prompts" + chr(10) * 2 + "Paste each block below into your AI assistant. Each prompt is self-contained." + chr(10) * 2 + "No vulnerabilities found. Nothing to fix." + chr(10))} ELSE {_lit(f"# {report.TOOL} — AI Fix Prompts" + chr(10) * 2 + "Paste each block below into your AI assistant. Each prompt is self-contained." + chr(10))} END AS text FROM counts
 UNION ALL SELECT repo, seq, CASE WHEN seq > 1 THEN {_lit(chr(10) * 2 + '---' + chr(10) * 2)} ELSE {_lit(chr(10) + '---' + chr(10) * 2)} END || '## ' || seq || '. ' || {_BADGE} || ' ' || severity || ' — ' || title || {_lit(chr(10) * 2)} || {_PROMPT} FROM ranked""",
     "report_diagnostics": f"""{_F} SELECT repo, file AS path, CAST(greatest(0, line - 1) AS INTEGER) AS line, CAST({_case('severity', report.DIAGNOSTIC_RANK, 1)} AS INTEGER) AS severity,
   title || CASE WHEN reachable THEN ' [reachable from user input]' ELSE '' END || ' — ' || description AS message, {_ID} AS code FROM found""",

@@ -56,7 +56,7 @@ ORACLES = {
     "ingest_semgrep": f"""WITH o AS ({_BASE} WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0)
 SELECT repo, 'src/m' || CAST(o_custkey % 9 AS VARCHAR) || '.py' AS file, CAST(CASE WHEN o_orderkey % 5 = 0 OR o_custkey % 40 = 0 THEN 1 ELSE o_custkey % 40 END AS INTEGER) AS line,
   CASE o_orderkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE 'MEDIUM' END AS severity, 'rule-' || o_orderstatus AS title, 'm ' || o_orderpriority AS description, 'semgrep' AS scanner,
-  '' AS snippet, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END AS INTEGER) AS fix_phase, 'See semgrep rule py.lang.rule-' || o_orderstatus || '.' AS fix_summary, 'a,b,c' AS refs, doc FROM o
+  '' AS snippet, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 3 END AS INTEGER) AS fix_phase, 'See semgrep rule py.lang.rule-' || o_orderstatus || '.' AS fix_summary, 'a,b,c,d' AS refs, doc FROM o
 UNION ALL SELECT repo, '.', 1, 'MEDIUM', 'semgrep-rule', 'Semgrep rule semgrep-rule matched.', 'semgrep', '', 3, 'See semgrep rule semgrep-rule.', '', doc FROM o""",
     "ingest_sarif": f"""WITH o AS ({_BASE} WHERE o_orderkey % 7 <> 0)
 SELECT repo, 'src/m' || CAST(o_custkey % 9 AS VARCHAR) || '.js' AS file, CAST(greatest(1, o_custkey % 30) AS INTEGER) AS line,
