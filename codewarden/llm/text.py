@@ -92,6 +92,15 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out + _U(width))
 
 
+def sequence_hash(words: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole sequence of word hashes; 0 if there are none."""
+    n = len(words)
+    if not n:
+        return 0
+    total = (words * _powers(n + 1)[0][1 : n + 1]).sum(dtype=_U)
+    return int(mix(np.array([total + _U(n)], _U)).view(np.int64)[0])
+
+
 def char_shingles(text: str, width: int) -> np.ndarray:
     """The hash of every run of ``width`` code points; of the whole text if it is shorter."""
     if not text:
