@@ -1,9 +1,13 @@
 """Continuous scan of file versions with Structured Streaming.
 
-Saves arrive as append-only version rows ``(repo, path, file_seq, content, mtime, deleted)``. Each
-micro-batch scans the latest version of every path in it and writes its result under its own batch
-folder with overwrite, so a batch that is run again after a lost executor or driver replaces its own
-output. The current state is a view over the written versions: the newest version of a path wins.
+Saves arrive as append-only version rows ``(repo, path, file_seq, content, mtime, deleted)``, with a
+``version`` number where there is one. A micro-batch writes its newest versions, takes the current files
+of the repositories it touches, and runs the whole scan on them, project-level checks included. All of its
+output lies in folders of its own number and is written with overwrite, so a batch that runs again after
+a lost executor or driver replaces its own output.
+
+The state is one row per path: every ``SNAPSHOT`` batches it is written whole, and a batch reads the last
+snapshot and the few batches after it, of the touched repositories only.
 """
 
 from __future__ import annotations
@@ -14,66 +18,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codewarden.functions.sizes import broadcast_if_small
 from codewarden.operators import baseline, post
 from codewarden.plans import file_pass
+from codewarden.plans.scan import Options, scan
 
 VERSIONS_DDL = (
     "repo string, path string, file_seq bigint, content string, mtime timestamp, deleted boolean"
 )
+STATE_DDL = f"{VERSIONS_DDL}, version bigint"
+SNAPSHOT = 20
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """Newest version per (repo, path): an aggregate that combines on the map side."""
+    """Newest version per (repo, path): an aggregate that combines on the map side.
+
+    Later times win, then larger version numbers; what is still equal is told apart by its content.
+    """
     rest = [c for c in versions.columns if c not in ("repo", "path")]
-    return versions.groupBy("repo", "path").agg(F.max_by(F.struct(*rest), F.col("mtime")).alias("v")).select("repo", "path", "v.*")
+    number = [F.col("version")] if "version" in rest else []
+    newest = F.struct(F.col("mtime"), *number, F.xxhash64("content"))
+    return versions.groupBy("repo", "path").agg(F.max_by(F.struct(*rest), newest).alias("v")).select("repo", "path", "v.*")
 
 
 def without_repeats(versions: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Extension: drop saves that repeat a path's content inside the watermark."""
+    """Extension: drop rows that deliver a version again inside the watermark. The same content saved at
+    another time is another version: a file that goes back to it is in that state again."""
     hashed = versions.withColumn("content_hash", F.sha2(F.col("content"), 256))
-    return hashed.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["repo", "path", "content_hash"]).drop("content_hash")
+    return hashed.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["repo", "path", "mtime", "content_hash"]).drop("content_hash")
 
 
 def scan_versions(versions: DataFrame, known: DataFrame | None = None, scanners: Sequence[str] = file_pass.SCANNERS) -> DataFrame:
-    """Findings of file versions, with the version's ``mtime``; only new ones where a baseline is given."""
+    """Findings of the per-file scanners on file versions, with the version's ``mtime``."""
     live = versions.where(~F.coalesce(F.col("deleted"), F.lit(False)))
     found = file_pass.findings(live, scanners, keep=("mtime",))
     kept = post.dedupe(post.suppress(found))
     return kept if known is None else baseline.filter_known(kept, known)
 
 
+def _state(spark: SparkSession, out: str, before: int) -> DataFrame | None:
+    """Newest version of every path in the batches below a number."""
+    if before <= 0:
+        return None
+    snapshot = (before - 1) // SNAPSHOT * SNAPSHOT
+    deltas = spark.read.schema(f"{STATE_DDL}, batch int").parquet(f"{out}/versions").where(F.col("batch") < before)
+    if snapshot:
+        whole = spark.read.schema(STATE_DDL).parquet(f"{out}/snapshots/batch={snapshot}")
+        return whole.unionByName(deltas.where(F.col("batch") > snapshot).drop("batch"))
+    return deltas.drop("batch")
+
+
 def watch(
     versions: DataFrame,
     out: str,
     checkpoint: str,
     known: DataFrame | None = None,
     skip_paths: Sequence[str] = (),
-    scanners: Sequence[str] = ("headers", "injection", "secrets"),
+    options: Options = Options(),
+    advisories: DataFrame | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start the scan of a stream of file versions; results go below ``out``."""
     source = versions.where(~F.col("path").isin(*skip_paths)) if skip_paths else versions
+    if "version" not in source.columns:
+        source = source.withColumn("version", F.lit(None).cast("bigint"))
 
     def one_batch(batch: DataFrame, epoch: int) -> None:
-        latest = latest_versions(batch)
-        found = scan_versions(latest, known, scanners)
-        folder = f"batch={epoch}"
-        latest.select("repo", "path", "mtime", F.coalesce("deleted", F.lit(False)).alias("deleted")).write.mode("overwrite").parquet(
-            f"{out}/versions/{folder}"
-        )
-        found.write.mode("overwrite").parquet(f"{out}/findings/{folder}")
+        spark = batch.sparkSession
+        folder = f"{out}/versions/batch={epoch}"
+        fresh = batch.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+        latest_versions(fresh.select("repo", "path", "file_seq", "content", "mtime", "deleted", "version")).write.mode("overwrite").parquet(folder)
+        latest = spark.read.schema(STATE_DDL).parquet(folder)
+        touched = latest.select("repo").distinct()
+        touched.write.mode("overwrite").parquet(f"{out}/repos/batch={epoch}")
+        before = _state(spark, out, epoch)
+        if epoch and epoch % SNAPSHOT == 0:
+            latest_versions(before.unionByName(latest)).write.mode("overwrite").parquet(f"{out}/snapshots/batch={epoch}")
+        if before is not None:
+            latest = before.join(broadcast_if_small(touched), "repo", "left_semi").unionByName(latest)
+        files = latest_versions(latest).where(~F.col("deleted")).select("repo", "path", "file_seq", "content")
+        found = scan(files, options, advisories, known=known)
+        found.write.mode("overwrite").parquet(f"{out}/findings/batch={epoch}")
         if on_batch:
-            on_batch(found, epoch)
+            on_batch(spark.read.schema(found.schema).parquet(f"{out}/findings/batch={epoch}"), epoch)
 
     writer = source.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def current_findings(spark: SparkSession, out: str) -> DataFrame:
-    """Findings of the newest version of every path; nothing for deleted paths."""
-    versions = spark.read.parquet(f"{out}/versions")
-    newest = versions.groupBy("repo", "path").agg(F.max(F.struct("mtime", "deleted")).alias("v"))
-    live = newest.where(~F.col("v.deleted")).select("repo", F.col("path").alias("file"), F.col("v.mtime").alias("mtime"))
-    found = spark.read.parquet(f"{out}/findings")
-    return found.join(live, ["repo", "file", "mtime"], "left_semi").select(*found.columns)
+    """Findings of the current files: each repository's newest scan."""
+    newest = spark.read.parquet(f"{out}/repos").groupBy("repo").agg(F.max("batch").alias("batch"))
+    found = spark.read.option("mergeSchema", "false").parquet(f"{out}/findings")
+    return found.join(newest, ["repo", "batch"], "left_semi").drop("batch")

@@ -244,12 +244,44 @@ def test_watch_replaces_versions_and_forgets_deleted_files(spark, tmp_path):
         assert got == ([("a.py", "eval() usage"), ("b.py", "eval() usage")] if n == 0 else [("a.py", "exec() usage")])
 
 
-def test_repeated_saves_are_dropped_inside_the_watermark(spark, tmp_path):
+def test_watch_scans_whole_repositories(spark, tmp_path):
+    """Project-level and dependency findings follow the current files; A, B, A ends as A; a repeat changes nothing."""
     import datetime as dt
 
-    rows = [("r", "a.py", 1, "x", dt.datetime(2024, 1, 1, 0, 0, n), False) for n in range(5)]
+    from codewarden.plans.scan import Options
+
+    at = lambda n: dt.datetime(2024, 1, 1, 0, 0, n)
+    app, safe = "from flask import Flask\napp = Flask(__name__)\nsession['a'] = 1\n", "csrf = CSRFProtect(app)\n"
+    pin = ("r", "requirements.txt", 9, "x==1.0.0\n", at(1), False)
+    steps = [
+        [("r", "app.py", 1, app, at(1), False), pin, ("s", "a.py", 1, "eval(x)\n", at(1), False)],
+        [("r", "safe.py", 2, safe, at(2), False), ("s", "a.py", 1, "exec(x)\n", at(2), False)],
+        [("r", "safe.py", 2, "", at(3), True), ("s", "a.py", 1, "eval(x)\n", at(3), False), ("s", "a.py", 1, "exec(x)\n", at(2), False)],
+        [("s", "a.py", 1, "exec(x)\n", at(2), False), ("r", "vendor/v.py", 3, "eval(x)\n", at(4), False)],
+    ]
+    advisory = spark.createDataFrame([("V1", None, None, None, [(("PyPI", "x"), ["1.0.0"], [])])], deps.ADVISORIES_DDL)
+    csrf, flask, pinned = ("app.py", "No CSRF protection detected"), ("app.py", "Flask"), ("requirements.txt", "Vulnerable package: x==1.0.0 (V1)")
+    want = [
+        {csrf, pinned, ("a.py", "eval() usage")}, {pinned, ("a.py", "exec() usage")}, {csrf, pinned, ("a.py", "eval() usage")}, {csrf, pinned, ("a.py", "eval() usage")},
+    ]
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    watch.SNAPSHOT, old = 2, watch.SNAPSHOT
+    for step, expected in zip(steps, want):
+        spark.createDataFrame(step, watch.VERSIONS_DDL).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(watch.VERSIONS_DDL).parquet(str(source))
+        watch.watch(stream, out, f"{out}-checkpoint", options=Options(exclude=("vendor",)), advisories=advisory, availableNow=True).awaitTermination()
+        got = {(r.file, r.title) for r in watch.current_findings(spark, out).collect() if not r.title.startswith(flask[1])}
+        assert got == expected
+    watch.SNAPSHOT = old
+
+
+def test_repeated_deliveries_are_dropped_and_states_kept(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda n: dt.datetime(2024, 1, 1, 0, 0, n)
+    rows = [("r", "a.py", 1, "x", at(1), False)] * 5 + [("r", "a.py", 1, "y", at(2), False), ("r", "a.py", 1, "x", at(3), False)]
     spark.createDataFrame(rows, watch.VERSIONS_DDL).write.parquet(str(tmp_path / "in"))
     stream = watch.without_repeats(spark.readStream.schema(watch.VERSIONS_DDL).parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("saves").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert spark.table("saves").count() == 1
+    assert sorted((r.content, r.mtime.second) for r in spark.table("saves").collect()) == [("x", 1), ("x", 3), ("y", 2)]

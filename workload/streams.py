@@ -7,13 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from codewarden.operators import baseline
+from codewarden.plans.scan import Options, scan
 from codewarden.session import shared_dir
 from codewarden.streaming import watch
 from workload import checks, corpus
 
-SCANNERS = ("injection", "secrets")
-
-
 def event_versions(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     return e.select(
@@ -25,28 +23,36 @@ def event_versions(spark, sf):
     )
 
 
-def _versions(documents):
-    """Two versions of every file: each even document's second one is empty, some are deleted."""
+def _versions(documents, wave):
+    """A wave of saves: all files, then a second version, then the last one again.
+
+    In the second wave even documents become empty and some files go; the third delivers the first
+    versions once more (they are old by then) and takes every fifth file to a text and back.
+    """
     files = corpus.files_of(documents)
-    nth = F.explode(F.array(F.lit(0), F.lit(1))).alias("nth")
-    both = files.select("repo", "path", "file_seq", "content", nth)
-    return both.select(
-        "repo",
-        "path",
-        "file_seq",
-        F.when((F.col("nth") == 1) & (F.col("file_seq") % 2 == 0), F.lit("")).otherwise(F.col("content")).alias("content"),
-        F.timestamp_seconds(F.col("file_seq") * 10 + F.col("nth")).alias("mtime"),
-        ((F.col("nth") == 1) & (F.col("file_seq") % 17 == 0)).alias("deleted"),
+    second = wave == 1
+    text = F.when(F.col("file_seq") % 2 == 0, F.lit("")).otherwise(F.col("content")) if second else F.col("content")
+    gone = (F.col("file_seq") % 17 == 0) if second else F.lit(False)
+    rows = files.select(
+        "repo", "path", "file_seq", text.alias("content"), F.timestamp_seconds(F.col("file_seq") * 10 + int(second)).alias("mtime"), gone.alias("deleted")
     )
+    if wave < 2:
+        return rows
+    some = rows.where("file_seq % 5 = 0 AND file_seq % 2 = 1 AND file_seq % 17 <> 0")
+    there = some.withColumns({"content": F.lit("eval(x)"), "mtime": F.timestamp_seconds(F.col("file_seq") * 10 + 2)})
+    back = some.withColumn("mtime", F.timestamp_seconds(F.col("file_seq") * 10 + 3))
+    return rows.unionByName(there).unionByName(back)
 
 
 def _run(spark, sf, known=None):
-    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    stream = spark.readStream.schema(columns).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    """Three waves, each a micro-batch or more, with the whole scan of the repositories they touch."""
     out = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
-    query = watch.watch(_versions(stream), out, f"{out}/checkpoint", known, scanners=SCANNERS, availableNow=True)
-    query.awaitTermination()
-    return watch.current_findings(spark, out)
+    documents = corpus.table(spark, sf, "documents", "doc_id").select("doc_id", "source", "text")
+    for wave in range(3):
+        _versions(documents, wave).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(watch.VERSIONS_DDL).parquet(f"{out}/in")
+        watch.watch(stream, f"{out}/state", f"{out}/checkpoint", known, availableNow=True).awaitTermination()
+    return watch.current_findings(spark, f"{out}/state")
 
 
 def stream_scan(spark, sf):
@@ -54,8 +60,7 @@ def stream_scan(spark, sf):
 
 
 def stream_new(spark, sf):
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
-    before = watch.scan_versions(_versions(documents), scanners=SCANNERS)
+    before = scan(corpus.files(spark, sf), Options(scanners=("injection",)))
     known = baseline.entries(before.where(F.col("title").isin("eval() usage", "Path traversal")))
     return _run(spark, sf, known).select("repo", "file", "line", "scanner", "title", "severity")
 
@@ -67,9 +72,11 @@ def stream_latest(spark, sf):
 
 QUERIES = {"stream_scan": stream_scan, "stream_new": stream_new, "stream_latest": stream_latest}
 
-_DOC = "CAST(regexp_extract(file, 'f(\\d+)\\.', 1) AS BIGINT)"
-_LIVE = f"""SELECT repo, file, line, scanner, title, severity FROM {checks._DISTINCT}
-WHERE scanner IN ('injection', 'secrets') AND {_DOC} % 2 = 1 AND {_DOC} % 17 <> 0"""
+# The batch scan of what is left in the end: odd documents, without those that are gone.
+_FILES = corpus.files_sql()
+_LIVE = "SELECT repo, file, line, scanner, title, severity FROM " + checks._DISTINCT.replace(
+    _FILES, f"SELECT * FROM ({_FILES}) WHERE file_seq % 2 = 1 AND file_seq % 17 <> 0"
+)
 
 ORACLES = {
     "stream_scan": _LIVE,
