@@ -30,7 +30,7 @@ from codewarden.session import cut_lineage
 CHUNK = 8192
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 900_000
 CUT = (0, 0)  # boundary state: a piece ends exactly here, and nothing is asked of what follows
 
 
@@ -48,7 +48,7 @@ class Vocabulary:
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
         self.stable: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.whole = {p: True for p in self.ids if self.merged(p) == [p]}  # pieces that the merges arrive at
         self.words: dict[str, bytes] = {}
         self.text = [b""] * n
         for p, i in self.ids.items():
@@ -58,33 +58,29 @@ class Vocabulary:
 
     def merged(self, text: str) -> list[str]:
         """The model's merges on a short text: always the neighbours whose union has the best score, leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        parts, score, none = list(text), self.score.get, -np.inf
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], none)
         return parts
 
     def is_piece(self, text: str) -> bool:
         """A single character, or a piece that the merges arrive at."""
-        if len(text) == 1:
-            return True
-        if text not in self.ids:
-            return False
-        known = self.whole.get(text)
-        if known is None:
-            known = self.whole[text] = self.merged(text) == [text]
-        return known
+        return len(text) == 1 or text in self.whole
 
     def is_stable(self, a: str, b: str) -> bool:
         known = self.stable.get((a, b))
         if known is None:
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) > 600_000:
                 self.stable.clear()
             known = self.stable[a, b] = self.merged(a + b) == [a, b]
         return known
@@ -92,14 +88,19 @@ class Vocabulary:
     def segment(self, word: str) -> list[str]:
         """Pieces of a text between two cuts. Every beginning of it has one last piece, which is stable after the one before."""
         last: list[str] = [""]
+        whole, stable = self.whole, self.stable
         for end in range(1, len(word) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                piece = word[end - size : end]
-                if self.is_piece(piece) and (end == size or self.is_stable(last[end - size], piece)):
-                    last.append(piece)
-                    break
+            for start in range(max(0, end - self.longest), end):
+                piece = word[start:end]
+                if piece in whole or start == end - 1:
+                    if not start:
+                        break
+                    before = stable.get((last[start], piece))
+                    if before or (before is None and self.is_stable(last[start], piece)):
+                        break
             else:
                 raise ValueError(f"no segmentation of {word[:end]!r}")
+            last.append(piece)
         out, end = [], len(word)
         while end:
             out.append(last[end])
