@@ -4,6 +4,8 @@ Every topic has a few here; the rest run with ALL_QUERIES=1 or with ``python -m
 """
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -26,6 +28,12 @@ def con():
     return check.connect(SF)
 
 
+def test_the_registry_needs_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=root, check=True, timeout=120)
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

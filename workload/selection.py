@@ -12,11 +12,10 @@ from workload.corpus import quoted as q
 
 EXCLUDE = ["*.min.JS", "a\\b/", "env/app.d.ts", "tests/[ef]*/READ?E.py", ""]
 COLUMNS = ["repo", "path", "file_seq"]
-PATH = F.col("path")
 
 
 def paths(spark, sf):
-    return corpus.tree(spark, sf).where(PATH != ".gitignore")
+    return corpus.tree(spark, sf).where(F.col("path") != ".gitignore")
 
 
 def where(condition):
@@ -29,17 +28,17 @@ def collected(spark, sf):
 
 QUERIES = {
     "src_collect": lambda spark, sf: collected(spark, sf).select(*COLUMNS),
-    "src_named": where(lambda: select.is_named(PATH)),
-    "src_skipdirs": where(lambda: ~select.in_skipped_dir(PATH)),
-    "src_exclude": where(lambda: ~select.is_excluded(PATH, EXCLUDE)),
+    "src_named": where(lambda: select.is_named(F.col("path"))),
+    "src_skipdirs": where(lambda: ~select.in_skipped_dir(F.col("path"))),
+    "src_exclude": where(lambda: ~select.is_excluded(F.col("path"), EXCLUDE)),
     "src_gitignore": lambda spark, sf: select.collect(corpus.tree(spark, sf)).select(*COLUMNS),
     "src_single": lambda spark, sf: select.single(paths(spark, sf), "node_modules/lib/app.py").select(*COLUMNS),
     "scan_scope": lambda spark, sf: collected(spark, sf).select(
-        *COLUMNS, X.suffix_of(PATH).isin(*T.CODE_SUFFIXES).alias("code"), X.suffix_of(PATH).alias("suffix")
+        *COLUMNS, X.suffix_of(F.col("path")).isin(*T.CODE_SUFFIXES).alias("code"), X.suffix_of(F.col("path")).alias("suffix")
     ),
     "agg_files": lambda spark, sf: post.files_scanned(collected(spark, sf)),
     "agg_languages": lambda spark, sf: post.languages(collected(spark, sf)).select("repo", F.array_join("languages", ",").alias("languages")),
-    "fn_language": lambda spark, sf: paths(spark, sf).select(*COLUMNS, X.language_of(PATH).alias("language")),
+    "fn_language": lambda spark, sf: paths(spark, sf).select(*COLUMNS, X.language_of(F.col("path")).alias("language")),
 }
 
 _SUFFIX = "lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1))"
