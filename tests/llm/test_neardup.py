@@ -58,6 +58,13 @@ def test_a_large_group_of_near_copies(docs_of, prose):
     assert {r.component_id for r in neardup.near_duplicates(docs_of(rows)).collect()} == {0}
 
 
+def test_an_id_with_two_texts_is_one_node(docs_of, prose):
+    a, b, c = prose(100, 1), prose(100, 2), prose(100, 3)
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, c)]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs_of(rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_empty_table(docs_of):
     assert neardup.near_duplicates(docs_of([])).count() == 0
 
