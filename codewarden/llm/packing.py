@@ -30,35 +30,67 @@ from codewarden.session import cut_lineage
 # White space as the tokenizer's pattern has it.
 _SPACE = "\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_CACHE_WORDS = 400_000
+# Fixed value: the pattern of byte-level pre-tokenizers.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CACHE_WORDS = 1_000_000
 
 
-def token_bytes(texts, path: str):
-    """Ids of each text as little-endian unsigned 32-bit bytes.
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that a byte-level vocabulary has for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    The tokenizer never joins across the chunks of ``_CHUNK``, so each distinct chunk is encoded once
-    per worker (the store is emptied when full) and a text is its chunks' ids put together.
+
+def _chunk_encoder(path: str):
+    """A function from chunks to their ids.
+
+    A byte-level tokenizer's own model is called on the pieces of its pattern, which spares the
+    bookkeeping of whole encodings; any other tokenizer is called as it is.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    kind = str(whole.pre_tokenizer)
+    if whole.normalizer is not None or not kind.startswith("ByteLevel(add_prefix_space=False") or "use_regex=True" not in kind:
+        return lambda chunks: [e.ids for e in whole.encode_batch(chunks, add_special_tokens=False)]
+    letters, find, model = _byte_letters(), regex.compile(_BYTE_LEVEL).findall, whole.model
+
+    def encode(chunks):
+        for chunk in chunks:
+            yield [t.id for piece in find(chunk) for t in model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+
+    return encode
+
+
+def token_bytes(texts, path: str):
+    """Ids of each text as little-endian unsigned 32-bit bytes.
+
+    The tokenizer never joins across the chunks of ``_CHUNK``, so each distinct chunk is encoded once
+    per worker (the store is emptied when full) and a text is its chunks' ids put together.
+    """
     store = worker_store(f"tokens {path}")
-    if "model" not in store:
-        store["model"] = Tokenizer.from_file(path)
-        store["model"].encode_special_tokens = True
+    if "words" not in store:
+        store["encode"] = _chunk_encoder(path)
         store["words"] = {}
-    model, words = store["model"], store["words"]
+    encode, words = store["encode"], store["words"]
     for text in texts:
         chunks = _CHUNK.findall(text or "")
+        try:
+            yield b"".join(map(words.__getitem__, chunks))
+            continue
+        except KeyError:
+            pass
+        if len(words) > _CACHE_WORDS:
+            words.clear()
         missing = list({c for c in chunks if c not in words})
-        if missing:
-            if len(words) > _CACHE_WORDS:
-                words.clear()
-                missing = list(set(chunks))
-            for chunk, encoded in zip(missing, model.encode_batch(missing, add_special_tokens=False)):
-                words[chunk] = np.array(encoded.ids, "<u4").tobytes()
+        for chunk, ids in zip(missing, encode(missing)):
+            words[chunk] = np.array(ids, "<u4").tobytes()
         yield b"".join(map(words.__getitem__, chunks))
 
 
