@@ -49,6 +49,10 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.stable: dict[tuple[str, str], bool] = {}
         self.whole = {p: True for p in self.ids if self.merged(p) == [p]}  # pieces that the merges arrive at
+        # Two characters that stand together in no piece are never merged: a word is cut between them.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # Ends of pieces, and which of them are pieces: a longer piece needs all its shorter ends here.
+        self.ends = {p[k:]: False for p in self.whole for k in range(1, len(p))} | self.whole
         self.words: dict[str, bytes] = {}
         self.text = [b""] * n
         for p, i in self.ids.items():
@@ -88,16 +92,22 @@ class Vocabulary:
     def segment(self, word: str) -> list[str]:
         """Pieces of a text between two cuts. Every beginning of it has one last piece, which is stable after the one before."""
         last: list[str] = [""]
-        whole, stable = self.whole, self.stable
+        ends, stable = self.ends, self.stable
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+            starts = [end - 1]
+            for start in range(end - 2, -1, -1):
+                kind = ends.get(word[start:end])
+                if kind is None:
+                    break
+                if kind:
+                    starts.append(start)
+            for start in reversed(starts):  # the longest first
                 piece = word[start:end]
-                if piece in whole or start == end - 1:
-                    if not start:
-                        break
-                    before = stable.get((last[start], piece))
-                    if before or (before is None and self.is_stable(last[start], piece)):
-                        break
+                if not start:
+                    break
+                before = stable.get((last[start], piece))
+                if before or (before is None and self.is_stable(last[start], piece)):
+                    break
             else:
                 raise ValueError(f"no segmentation of {word[:end]!r}")
             last.append(piece)
@@ -123,9 +133,20 @@ class Vocabulary:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = self.piece_ids(self.segment(w))
+                    known[w] = self._new_word(w)
             return b"".join(map(known.__getitem__, words))
 
+    def _new_word(self, word: str) -> bytes:
+        joined, known = self.joined, self.words
+        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined), len(word)]
+        if len(cuts) == 2:
+            return self.piece_ids(self.segment(word))
+        parts = [word[a:b] for a, b in zip(cuts, cuts[1:])]
+        for part in parts:
+            if part not in known:
+                known[part] = self.piece_ids(self.segment(part))
+        return b"".join(map(known.__getitem__, parts))
+
     def normalized(self, text: str) -> str:
         return self.model.normalize(text) if text else ""
 
