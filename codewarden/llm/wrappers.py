@@ -9,7 +9,9 @@ merged per host; a host with a third of all pages is a few wrappers by then.
 
 From a host's wrapper follow the paths of its main text: the article or main element if the host has one,
 else the group with most text outside links. Menus, headers, footers, asides, notices, adverts, forms,
-scripts, styles and reader comments are groups of their own label and never part of it.
+scripts, styles and reader comments are groups of their own label and never part of it. Elements tell this by
+their tag; a class, id or role only says so ('?', or '~' beside words that say something else), and the host's
+wrapper decides: see ``judged``.
 
 Defined results: null or empty html has an empty text; a page without any tag is its own main text; repeated
 rows are rows of their own; a null id or address is carried (pages without a host share a wrapper); an empty
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,29 +47,57 @@ ASIDE_WORDS = frozenset(
     "footer form header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related reply replies respond "
     "share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that leave what stands beside them its meaning, and words before (or, of "free", after) that deny it.
+PLAIN_WORDS = frozenset(
+    "area bar block body box btn button buttons container content div inner item items left link links list main meta outer page panel right "
+    "row section site slot text title top bottom unit user wrap wrapper".split()
+)
+DENIED = frozenset("no not non without has have with is hide show free".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
 MAIN_TAGS = ("article", "main")
+#: In headings, paragraphs and tables these are no parts of a page.
+INNER_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p table caption thead tbody tfoot tr th td".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<(?=[^a-zA-Z/!?]|$)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"""(?:\b|(?<=["']))(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_MARKED = re.compile(r"[!*?~]")
 
 
 def _label(name: str, tag: str) -> str:
-    """The tag, with '!' if it stands outside the main text and '*' if it is marked as the main one."""
+    """The tag with '!' if it stands outside the main text, with '?' and words if its marks say so, with '~' and
+    words if they may say so, and with '*' if it is marked as the main one."""
     if name in ASIDE_TAGS:
         return name + "!"
     if "=" in tag:
-        words = {w.lower() for m in _MARKS.finditer(tag) for w in _WORDS.findall(m[1] or m[2] or m[3] or "")}
-        if name not in ("body", "html", "article", "main") and words & ASIDE_WORDS:
-            return name + "!"
-        if "hidden" in words and name == "div":
+        clear: set[str] = set()
+        maybe: set[str] = set()
+        said: set[str] = set()
+        for m in _MARKS.finditer(tag):
+            for token in (m[1] or m[2] or m[3] or "").split():
+                words = {w.lower() for w in _WORDS.findall(token)}
+                said |= words
+                aside = words & ASIDE_WORDS
+                if name in INNER_TAGS:
+                    aside -= {"header", "footer"}
+                if aside and not words & DENIED:
+                    (maybe if name == "h1" or words - ASIDE_WORDS - PLAIN_WORDS else clear).update(aside)
+        if name not in ("body", "html", "article", "main") and clear:
+            return name + "?" + "+".join(sorted(clear))
+        if "hidden" in said and name == "div":
             return name + "!"
-        if name not in MAIN_TAGS and "main" in words:
+        if name not in MAIN_TAGS and "main" in said:
             return name + "*"
+        if name not in ("body", "html", "article", "main") and maybe:
+            return name + "~" + "+".join(sorted(maybe))
     return name
 
 
+def _tag(label: str) -> str:
+    return _MARKED.split(label, maxsplit=1)[0]
+
+
 def stream(html: str):
     """(kind, value) tokens of a page: '<' label, '>' name, 't' text (references decoded). Well-formed."""
     open_tags: list[str] = []
@@ -122,12 +153,12 @@ def stream(html: str):
     yield from close(0)
 
 
-# A wrapper group: [label, optional, repeated, pages, texts, chars, link chars, inner groups].
-LABEL, OPTIONAL, REPEATED, PAGES, TEXTS, CHARS, LINKS, INNER = range(8)
+# A wrapper group: [label, optional, repeated, pages, texts, chars, link chars, inner groups, hash of its text, whether it was always that].
+LABEL, OPTIONAL, REPEATED, PAGES, TEXTS, CHARS, LINKS, INNER, HASH, SAME = range(10)
 
 
 def _group(label: str) -> list:
-    return [label, False, False, 1, 0, 0, 0, []]
+    return [label, False, False, 1, 0, 0, 0, [], 0, True]
 
 
 def wrapper_of(html: str) -> list:
@@ -141,12 +172,13 @@ def wrapper_of(html: str) -> list:
                 stack[-1][TEXTS] += 1
                 stack[-1][CHARS] += n
                 stack[-1][LINKS] += n if links else 0
+                stack[-1][HASH] = zlib.crc32(value.strip().encode("utf-8", "surrogatepass"), stack[-1][HASH])
         elif kind == "<":
             stack.append(_group(value))
-            links += value.rstrip("!*") == "a"
+            links += _tag(value) == "a"
         else:
             done = stack.pop()
-            links -= done[LABEL].rstrip("!*") == "a"
+            links -= _tag(done[LABEL]) == "a"
             inner = stack[-1][INNER]
             same = next((g for g in inner if g[LABEL] == done[LABEL]), None)
             if same is None:
@@ -171,6 +203,7 @@ def align(a: list, b: list) -> list:
     a[REPEATED] |= b[REPEATED]
     for field in (PAGES, TEXTS, CHARS, LINKS):
         a[field] += b[field]
+    a[SAME] = a[SAME] and b[SAME] and a[HASH] == b[HASH]
     own = {g[LABEL]: g for g in a[INNER]}
     theirs = {g[LABEL] for g in b[INNER]}
     for group in a[INNER]:
@@ -187,47 +220,109 @@ def align(a: list, b: list) -> list:
     return a
 
 
-def _text_chars(group: list) -> tuple[int, int]:
+def _text_chars(group: list, dropped=frozenset()) -> tuple[int, int]:
     """Characters and link characters of a group's main parts."""
-    if group[LABEL].endswith("!"):
+    if group[LABEL].endswith("!") or id(group) in dropped:
         return 0, 0
-    sums = [_text_chars(g) for g in group[INNER]]
+    sums = [_text_chars(g, dropped) for g in group[INNER]]
     return group[CHARS] + sum(c for c, _ in sums), group[LINKS] + sum(x for _, x in sums)
 
 
+def _is_main(group: list) -> bool:
+    return _tag(group[LABEL]) in MAIN_TAGS or group[LABEL].endswith("*")
+
+
+def _holds_main(group: list) -> bool:
+    return any(not g[LABEL].endswith("!") and (_is_main(g) and _text_chars(g)[0] > 0 or _holds_main(g)) for g in group[INNER])
+
+
+def _always_same(group: list) -> bool:
+    return group[SAME] and all(_always_same(g) for g in group[INNER])
+
+
+def judged(wrapper: list) -> tuple[set[int], list[str]]:
+    """Of the groups whose marks put them outside: those that are (by ``id``), and the paths of those that are not.
+
+    A group that holds the main element is inside, and so is one that has most of the text outside links of the
+    main element around it (of comments: nearly all of it), unless three pages or more that differ all say the
+    same there. What else is marked is outside; a group whose marks have other words too ('~') only if it is
+    mostly links or says the same on each page.
+    """
+    dropped: set[int] = set()
+    kept: list[str] = []
+    differ = not _always_same(wrapper)
+
+    def outside(group, around) -> bool:
+        if _holds_main(group):
+            return False
+        chars, links = _text_chars(group)
+        if differ and group[PAGES] >= 3 and _always_same(group):
+            return True
+        label = group[LABEL]
+        comments = set(label.rpartition("?")[2].split("+")) <= COMMENT_WORDS
+        if chars - links > (0.9 if comments else 0.5) * around:
+            return False
+        return "?" in label or 2 * links > chars
+
+    def plain(group):
+        return (lambda c, x: c - x)(*_text_chars(group))
+
+    def look(group, path, around):
+        for inner in group[INNER]:
+            label = inner[LABEL]
+            if label.endswith("!"):
+                continue
+            here = [*path, label]
+            if "?" in label or "~" in label:
+                if outside(inner, around):
+                    dropped.add(id(inner))
+                    continue
+                kept.append("/".join(here))
+            look(inner, here, plain(inner) if _is_main(inner) else around)
+
+    look(wrapper, [], plain(wrapper))
+    return dropped, kept
+
+
 def region(wrapper: list) -> str:
-    """What to extract: 'tag:article', 'tag:main', 'mark' or 'path:' with labels from the root."""
+    """What to extract: 'tag:article', 'tag:main', 'mark' or 'path:' with labels from the root; then, a line each,
+    the paths of marked groups that are part of it all the same."""
     found: set[str] = set()
+    dropped, kept = judged(wrapper)
 
     def look(group):
-        if group[LABEL].endswith("!"):
+        if group[LABEL].endswith("!") or id(group) in dropped:
             return
-        name = group[LABEL].rstrip("*")
-        if name in MAIN_TAGS and _text_chars(group)[0]:
+        name = _tag(group[LABEL])
+        if name in MAIN_TAGS and _text_chars(group, dropped)[0]:
             found.add(name)
-        if group[LABEL].endswith("*") and _text_chars(group)[0]:
+        if group[LABEL].endswith("*") and _text_chars(group, dropped)[0]:
             found.add("*")
         for inner in group[INNER]:
             look(inner)
 
+    def rule(text):
+        return "\n".join([text, *kept])
+
     look(wrapper)
     for name in MAIN_TAGS:
         if name in found:
-            return f"tag:{name}"
+            return rule(f"tag:{name}")
     if "*" in found:
-        return "mark"
+        return rule("mark")
     path, group = [], wrapper
     while True:  # down to the smallest group that still holds nearly all text outside links
-        worth = lambda g: (lambda c, x: c - 2 * x)(*_text_chars(g))
+        worth = lambda g: (lambda c, x: c - 2 * x)(*_text_chars(g, dropped))
         best = max(group[INNER], key=worth, default=None)
-        if best is None or worth(best) < 0.8 * max(1, worth(group)) or best[LABEL].rstrip("*") in ("p", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "a", "li", "tr", "td"):
-            return "path:" + "/".join(path)
+        if best is None or worth(best) < 0.8 * max(1, worth(group)) or _tag(best[LABEL]) in ("p", "h1", "h2", "h3", "span", "b", "i", "em", "strong", "a", "li", "tr", "td"):
+            return rule("path:" + "/".join(path))
         path.append(best[LABEL])
         group = best
 
 
 def extract(html: str, rule: str) -> str:
     """The main text of a page under a host's rule; under 'path:' (the whole page) if the page lacks the region."""
+    rule, *kept = rule.split("\n")
     kind, _, value = rule.partition(":")
     path = value.split("/") if value else []
     blocks: list[str] = []
@@ -235,6 +330,7 @@ def extract(html: str, rule: str) -> str:
     trail: list[str] = []
     inside = outside = links = linked = 0
     seen = False
+    inner_marks = set(kept)
 
     def close_block():
         nonlocal linked
@@ -245,8 +341,11 @@ def extract(html: str, rule: str) -> str:
             blocks.append(text)
         linked = 0
 
+    def aside(label):
+        return label.endswith("!") or ("?" in label or "~" in label) and "/".join(trail) not in inner_marks
+
     def main(label):
-        name = label.rstrip("*!")
+        name = _tag(label)
         if kind == "tag":
             return name == value
         if kind == "mark":
@@ -261,28 +360,29 @@ def extract(html: str, rule: str) -> str:
                 held.append(value_)
                 linked += len(value_.strip()) if links else 0
             continue
-        name = value_.rstrip("*!") if token == "<" else value_
+        name = _tag(value_) if token == "<" else value_
         if name in BLOCKS and inside:
             close_block()
         links += (name == "a") * (1 if token == "<" else -1)
         if token == "<":
             trail.append(value_)
             if inside or main(value_):
-                if value_.endswith("!"):
+                if aside(value_):
                     outside += 1
                 inside += 1
                 seen = True
         else:
-            label = trail.pop()
+            out = aside(trail[-1])
+            trail.pop()
             if inside and not (kind == "path" and not path and not trail and inside == 1):
                 inside -= 1
-                if label.endswith("!"):
+                if out:
                     outside -= 1
                 if not inside:
                     close_block()
     close_block()
     if not seen:
-        return extract(html, "path:")
+        return extract(html, "\n".join(["path:", *kept]))
     return "\n".join(blocks)
 
 

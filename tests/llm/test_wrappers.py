@@ -26,6 +26,20 @@ def test_main_by_mark_and_by_text():
     assert _one(body).split("\n")[-1] == "Second one." and "Home" not in _one(body) and "link" not in _one(body)
 
 
+def test_marks_are_judged_by_the_host():
+    words = [f"Words of page {k} that are long enough to be the body of it. " * 3 for k in range(4)]
+    held = ['<body><div class="content has-sidebar"><article><p>{0}</p></article></div><div class="sidebar">S</div></body>', "<article><div class='long-form'>{0}</div></article>"]
+    held += ['<article><h1 class="page-header">{0}</h1><p class="lead ad-free">more {0}</p></article>', '<body><div class="notice"><main>{0}</main></div></body>']
+    held += ['<body><div id="share-wrapper"><p>{0}</p></div><div class="menu"><a href=1>Home</a></div></body>', "<article><p>{0}</p><p class='form-factor'>more {0}</p></article>"]
+    for page in held:
+        for others in ([], words[1:]):
+            text = _one(page.format(words[0]), [page.format(w) for w in others])
+            assert text.split("\n") == [words[0].strip()] + ["more " + words[0].strip()] * page.count("more"), (page, text)
+    # What is marked and short, mostly links, or the same on each page is outside, whatever else its class says.
+    page = "<article><p>{}</p><div class='ad'>Buy {}</div><div class='share-tools'><a href=1>X</a></div><section class='comments'>{}</section><p class='promo-line'>Read us.</p></article>"
+    assert _one(page.format(words[0], 0, words[0]), [page.format(w, w[:16], w) for w in words[1:]]) == words[0].strip()
+
+
 def test_tables_lists_and_broken_markup():
     assert _one("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></b></article>") == "a\nb\nc\nd"
     assert _one("plain words &amp; more") == "plain words & more"
