@@ -3,7 +3,8 @@
 A candidate is a run of token characters. For each character class (hex digits, base64 characters) a window
 slides over the candidate's stretches of that class; counts change by one character in and one out, and with
 them the sum of ``c * log2(c)`` that the entropy needs. Windows above the class's bound are joined into spans.
-An allow-list drops candidates that are no secrets, and spans that a fixed pattern has found already.
+An allow-list drops candidates that are no secrets. Of a span, what a fixed pattern has found already is left out
+and the rest stays, unless the list drops it too or it lacks the letters and digits that a span must have.
 
 Defined results: a null text is empty and has no span; repeated rows are rows of their own; a null id is
 carried; an empty table gives no rows; other columns are ignored. Positions are code points, end exclusive.
@@ -76,6 +77,20 @@ def windows(text: str, start: int, end: int, width: int, bits: float) -> list[tu
     return out
 
 
+def _mixed(text: str) -> bool:
+    return any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
+
+
+def _rest(lo: int, hi: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``taken`` leaves of a span."""
+    out = []
+    for a, b in sorted(t for t in taken if t[0] < hi and lo < t[1]):
+        if a > lo:
+            out.append((lo, a))
+        lo = max(lo, b)
+    return out + [(lo, hi)] if lo < hi else out
+
+
 def entropy_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     taken = [(a, b) for _, a, b in known]
@@ -86,9 +101,13 @@ def entropy_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[st
             for run in characters.finditer(text, m.start(), m.end()):
                 for lo, hi in windows(text, run.start(), run.end(), width, bits):
                     inner = text[lo:hi]
-                    if any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner) and not any(a < hi and lo < b for a, b in taken):
-                        out.append((kind, lo, hi))
-                        taken.append((lo, hi))
+                    if not _mixed(inner):
+                        continue
+                    rest = _rest(lo, hi, taken)
+                    if rest != [(lo, hi)]:  # what stands beside a known span may be its name
+                        rest = [(a, b) for a, b in rest if not any(p.fullmatch(text[a:b].strip("+/_.=-")) for p in ALLOW) and _mixed(text[a:b])]
+                    out += [(kind, a, b) for a, b in rest]
+                    taken += rest
     return out
 
 

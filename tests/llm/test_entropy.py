@@ -41,6 +41,23 @@ def test_kinds_and_allow_list():
     assert kinds("123e4567-e89b-12d3-a456-426614174000 " + "xyz123" * 8 + " thequickbrownfoxjumpsoverthelazydog org.apache.spark2.sql.functions4.column") == []
 
 
+def test_what_a_known_span_leaves_of_a_run():
+    rnd = random.Random(3)
+    tail = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    access, hexa = "AKIA" + "ABCDEFGH12345678", hashlib.md5(b"x").hexdigest()
+    for text, kind, n in ((f"{access}/{tail}", "access", 20), (f"{hexa}-{tail[:30]}", "hex", 32)):
+        found = entropy.spans(text)
+        assert found[0] == (kind, 0, n) and found[1][0] == "entropy_base64" and found[-1][2] == len(text), found
+        covered = {i for _, a, b in found for i in range(a, b)}
+        assert set(range(len(text))) - covered <= {n}
+        base = entropy.base_spans(text)
+        assert all(b <= lo or hi <= a for _, lo, hi in base for k, a, b in found if k.startswith("entropy"))
+    assert [k for k, _, _ in entropy.spans("my_client_pass" + "word=" + KEY)] == ["assign"]
+    # Both sides of a known span.
+    text = f"{tail}/{access}/{tail[::-1]}"
+    assert [k for k, _, _ in entropy.spans(text)] == ["entropy_base64", "access", "entropy_base64"]
+
+
 def test_whole_texts_against_the_contract(spark, docs_of, odd, prose):
     secret = "TOK" + "EN: '" + KEY + "'"
     rows = [*odd, (20, secret), (21, "x " * 60_000 + secret + " ſecret=" + "a" * 9 + " api" + "key=short to" + "ken=" + "a" * 8), (22, "0" * 31 + " " + "f" * 40 + "é" + "a" * 32)]
@@ -63,6 +80,8 @@ def test_whole_texts_against_the_contract(spark, docs_of, odd, prose):
 def test_redacted(docs_of):
     texts = [r.text for r in entropy.redacted(docs_of([(1, f"a tok" + f"en={KEY} b"), (2, None), (3, "clean")])).orderBy("doc_id").collect()]
     assert texts == ["a [SECRET] b", None, "clean"]
+    both = "AKIA" + "ABCDEFGH12345678/" + KEY + "Yc0QfUs4Vg7Xe"
+    assert [r.text for r in entropy.redacted(docs_of([(1, f"a {both} b")])).collect()] == ["a [SECRET][SECRET] b"]
 
 
 def test_empty_table(docs_of):
