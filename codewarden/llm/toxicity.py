@@ -3,8 +3,8 @@
 The lexicon is learned from a bounded sample of labelled rows: words and word beginnings that occur in toxic
 documents and hardly in others. It is one trie; the Levenshtein automaton of all its words at once is a set of
 (node, edits) that is made deterministic while texts are read, so a known word costs a look-up and a misspelled
-one a step per letter. Words of 5 letters may miss by one edit, of 9 by two; beginnings match exactly, and so do
-words that ordinary words of the sample come that near to.
+one a step per letter. Words of 5 letters may miss by one edit, of 9 by two; beginnings match exactly. Words near to
+one of the lexicon that ordinary documents of the sample hold themselves are no misspellings of it.
 
 Every match is judged in its context: whether quotation marks enclose it or a word of reporting stands in the
 window before it. What a match of each kind means for a document is a logistic regression, fitted on
@@ -100,9 +100,11 @@ class Automaton:
         self.next: list[dict[str, int]] = [{}]
         self.stem: dict[int, float] = {}
         self.word: dict[int, tuple[float, int]] = {}
-        self.name: dict[int, str] = {}
         self.edits = [0]  # most edits that any word below a node may still use
+        self.ordinary = {term[1:] for term in lexicon if term[0] == "~"}  # no misspellings
         for term, weight in lexicon.items():
+            if term[0] == "~":
+                continue
             text = term.lstrip("=!")
             most = (0 if len(text) < 5 else 1 if len(text) < 9 else 2) if term[0] == "=" else 0
             node = 0
@@ -116,7 +118,6 @@ class Automaton:
                 self.edits[node] = max(self.edits[node], most)
             if term[0] in "=!":
                 self.word[node] = (weight, most)
-                self.name[node] = text
             else:
                 self.stem[node] = weight
         self._reset()
@@ -161,16 +162,6 @@ class Automaton:
         self.steps[state][c] = out
         return out
 
-    def near_words(self, word: str) -> list[str]:
-        """Words of the lexicon that a text's word misses by few enough edits, but misses."""
-        state = self.start
-        for c in word:
-            after = self.steps[state].get(c)
-            state = self._step(state, c) if after is None else after
-            if state < 0:
-                return []
-        return [self.name[n] for n, e in self.sets[state] if 0 < e <= self.word.get(n, (0, 0))[1]]
-
     def match(self, word: str) -> tuple[float, float]:
         """Weights of the best exact match (a word, or a beginning) and of the best misspelled word; 0 if none."""
         if len(self.sets) > self.LIMIT:
@@ -183,7 +174,7 @@ class Automaton:
                 return stem, 0.0
             stem = max(stem, self.stems[state])
         exact, near = self.ends[state]
-        return max(exact, stem), near
+        return max(exact, stem), 0.0 if near and word in self.ordinary else near
 
 
 def _quoted(text: str, start: int, end: int) -> bool:
@@ -244,11 +235,11 @@ def _featured(sample: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return map_rows(sample.select("toxic", "text"), rows, "toxic int, x array<double>")
 
 
-def _strict(sample: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
-    """The lexicon, with words ('!' instead of '=') that match exactly because others come near to them.
+def _with_ordinary(sample: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
+    """The lexicon, and ('~' before them) words near to one of it that are no misspellings.
 
-    Counts, per word, the toxic and other documents of the sample that hold a word near to it and not in
-    the lexicon; where others prevail, a near word says nothing.
+    Counts, per near word that is not in the lexicon, the toxic and other documents of the sample that hold it;
+    where others prevail, the word says nothing. Every other misspelling of the same term still counts.
     """
     if not any(t[0] == "=" for t in lexicon):
         return lexicon
@@ -256,20 +247,20 @@ def _strict(sample: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
     def rows(it):
         automaton, known, held = Automaton(lexicon), {}, {}
         for toxic, text in it:
-            found = set()
             for word in set(_WORD.findall((text or "").lower())):
-                if word not in known:
+                near = known.get(word)
+                if near is None:
                     if len(known) > 600_000:
                         known.clear()
-                    known[word] = () if automaton.match(word)[0] else tuple(automaton.near_words(word))
-                found.update(known[word])
-            for word in found:
-                held.setdefault(word, [0, 0])[0 if toxic else 1] += 1
+                    exact, weight = automaton.match(word)
+                    near = known[word] = not exact and weight > 0
+                if near:
+                    held.setdefault(word, [0, 0])[0 if toxic else 1] += 1
         yield from ((w, *c) for w, c in held.items())
 
     near = map_rows(sample.select("toxic", "text"), rows, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    bad = {r["word"] for r in near.where(f"n1 < {MIN_SHARE} * (n1 + n0)").collect()}  # at most one row per term
-    return {("!" + t[1:] if t[0] == "=" and t[1:] in bad else t): w for t, w in lexicon.items()}
+    # At most the distinct near words of the bounded sample.
+    return lexicon | {"~" + r["word"]: 0.0 for r in near.where(f"n1 < {MIN_SHARE} * (n1 + n0)").orderBy("word").collect()}
 
 
 class Model:
@@ -301,13 +292,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for term, (n1, n0) in half.items():
             a, b = both.get(term, (0, 0))
             both[term] = (a + n1, b + n0)
-    first = _strict(sample.where("half = 0"), choose(halves[0], base, tried))
+    first = _with_ordinary(sample.where("half = 0"), choose(halves[0], base, tried))
     rows = _featured(sample.where("half = 1"), first).collect()
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return Model({}, None)
     weights = fit(np.array([r["x"] for r in rows]), y)
-    return Model(_strict(sample, choose(both, base, tried)), weights)
+    return Model(_with_ordinary(sample, choose(both, base, tried)), weights)
 
 
 def held_out(doc_id) -> F.Column:

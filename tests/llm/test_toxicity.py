@@ -75,6 +75,16 @@ def test_held_out_accuracy(spark, docs_of, odd, prose):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_an_ordinary_word_near_a_term_spares_only_itself(spark, docs_of, prose):
+    rows, labels = _corpus(prose, 600)
+    rows = [(i, text + " trobian") if i % 8 == 1 else (i, text) for i, text in rows]
+    more = [(10_000, "a trobian"), (10_001, "a grobiam"), (10_002, "a")]
+    model = T.learn(docs_of(rows), _labels(spark, labels))
+    assert "=grobian" in model.lexicon and "~trobian" in model.lexicon
+    by = {r.doc_id: r.score for r in T.scored(docs_of(more), model).collect()}
+    assert by[10_001] > by[10_000] == by[10_002]
+
+
 def test_without_labels(spark, docs_of):
     docs = docs_of([(1, "x"), (2, None)])
     for labels in ([], [(1, 0), (2, 0)]):
