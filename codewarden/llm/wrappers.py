@@ -1,4 +1,4 @@
-"""Main text of web pages by wrapper inference: union-free regular expressions per host.
+"""Main text of web pages by what the pages of a host have in common.
 
 A page is a stream of tags and text slots, made well-formed on the way. A wrapper is a sequence of groups,
 each a tag with its own inner sequence, marked optional or repeated. Two wrappers are aligned by their
@@ -8,7 +8,8 @@ Alignment is associative in what it counts, so wrappers are inferred per input p
 merged per host; a host with a third of all pages is a few wrappers by then.
 
 From a host's wrapper follow the paths of its main text: the article or main element if the host has one,
-else the group with most text outside links. Menus, headers, footers, asides, notices, adverts, forms,
+else the group with most text outside links, without the host's template: the texts that stand at one place (by
+tags, marks and classes) on most of its pages, at least three, where the pages differ. Menus, headers, footers, asides, notices, adverts, forms,
 scripts, styles and reader comments are groups of their own label and never part of it. Elements tell this by
 their tag; a class, id or role only says so ('?', or '~' beside words that say something else), and the host's
 wrapper decides: see ``judged``.
@@ -20,6 +21,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -55,6 +57,7 @@ PLAIN_WORDS = frozenset(
 DENIED = frozenset("no not non without has have with is hide show free".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
 MAIN_TAGS = ("article", "main")
+TEMPLATE_PAGES = 3
 #: In headings, paragraphs and tables these are no parts of a page.
 INNER_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p table caption thead tbody tfoot tr th td".split())
 
@@ -320,12 +323,23 @@ def region(wrapper: list) -> str:
         group = best
 
 
-def extract(html: str, rule: str) -> str:
+def extract(html: str, rule: str, template=frozenset()) -> str:
     """The main text of a page under a host's rule; under 'path:' (the whole page) if the page lacks the region."""
+    return "\n".join(text for place, text in blocks_of(html, rule) if not template or slot(place, text) not in template)
+
+
+def slot(place: str, text: str) -> int:
+    """A text at its place, as a 64-bit number."""
+    return int.from_bytes(hashlib.blake2b(f"{place}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def blocks_of(html: str, rule: str) -> list[tuple[str, str]]:
+    """The blocks of a page's main text, each with its place: under 'path:' the labels from the root, else ''."""
     rule, *kept = rule.split("\n")
     kind, _, value = rule.partition(":")
     path = value.split("/") if value else []
-    blocks: list[str] = []
+    blocks: list[tuple[str, str]] = []
+    at = ""
     held: list[str] = []
     trail: list[str] = []
     inside = outside = links = linked = 0
@@ -338,7 +352,7 @@ def extract(html: str, rule: str) -> str:
         held.clear()
         # Where no element marks the main text, a block that is mostly links is a menu.
         if text and not (kind == "path" and 2 * linked > len(text)):
-            blocks.append(text)
+            blocks.append((at, text))
         linked = 0
 
     def aside(label):
@@ -357,6 +371,8 @@ def extract(html: str, rule: str) -> str:
     for token, value_ in stream(html):
         if token == "t":
             if inside and not outside:
+                if kind == "path" and not held:
+                    at = "/".join(trail)
                 held.append(value_)
                 linked += len(value_.strip()) if links else 0
             continue
@@ -382,8 +398,8 @@ def extract(html: str, rule: str) -> str:
                     close_block()
     close_block()
     if not seen:
-        return extract(html, "\n".join(["path:", *kept]))
-    return "\n".join(blocks)
+        return blocks_of(html, "\n".join(["path:", *kept]))
+    return blocks
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -413,6 +429,28 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return some.groupBy("host").applyInPandas(whole, "host string, wrapper string, rule string")
 
 
+def templates(own: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, template): of hosts whose rule is a path, the slots that most of their pages have; pages alike count once.
+
+    Each page has some slots, so at most twice as many as a page has on average are on half of the pages.
+    """
+    loose = own.join(rules.where("rule LIKE 'path:%'"), "host").select("host", "html", "rule")
+
+    def rows(it):
+        for host, html, rule in it:
+            blocks = blocks_of(html or "", rule)
+            if blocks:
+                slots = sorted({slot(place, text) for place, text in blocks})
+                yield host, slot("", "\n".join(text for _, text in blocks)), slots
+
+    pages = map_rows(loose, rows, "host string, page long, slots array<long>")
+    pages = cut_lineage(pages.groupBy("host", "page").agg(F.min("slots").alias("slots")))
+    sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(f"pages >= {TEMPLATE_PAGES}")
+    counted = pages.select("host", F.explode("slots").alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n")).where(f"n >= {TEMPLATE_PAGES}")
+    often = counted.join(sizes, "host").where("2 * n > pages")
+    return often.groupBy("host").agg(F.collect_list("slot").alias("template"))
+
+
 def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
@@ -422,9 +460,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rules = cut_lineage(wrappers(pages, url_col, html_col).select("host", "rule"))
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
 
+    rules = cut_lineage(rules.join(templates(own, rules), "host", "left"))
+
     def rows(it):
-        for page_id, url, html, rule in it:
-            text = extract(html or "", rule)
+        for page_id, url, html, rule, template in it:
+            text = extract(html or "", rule, frozenset(template) if template else frozenset())
             yield page_id, url, text, len(text)
 
-    return map_rows(own.join(rules, "host").select("page_id", "url", "html", "rule"), rows, "page_id long, url string, text string, n_chars long")
+    return map_rows(own.join(rules, "host").select("page_id", "url", "html", "rule", "template"), rows, "page_id long, url string, text string, n_chars long")

@@ -66,6 +66,20 @@ def test_a_table(spark):
     assert W.main_text(pages.limit(0)).count() == 0
 
 
+def test_texts_that_a_host_repeats_are_its_template(spark):
+    page = "<html><body><div>Site name</div><div><p>Story {0} is about the number {0} and others.</p><p>It ends with {0}. Same end.</p></div><div><p>All rights reserved by the paper.</p></div></body></html>"
+    rows = [(k, "http://a.org/", page.format(k)) for k in range(9)]
+    rows += [(20 + k, "http://same.org/", page.format(5)) for k in range(6)] + [(30, "http://one.org/", page.format(7))]
+    rows += [(40 + k, "http://art.org/", f"<article><p>Often said.</p><p>{k}</p></article>") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in W.main_text(pages).collect()}
+    story = "Story {0} is about the number {0} and others.\nIt ends with {0}. Same end."
+    for k in range(9):
+        assert got[k] == story.format(k)
+    assert all(story.format(5) in got[20 + k] for k in range(6)) and story.format(7) in got[30]
+    assert all(got[40 + k] == f"Often said.\n{k}" for k in range(6))
+
+
 def test_merging_is_associative():
     pages = [f"<body>{'<p>a</p>' * (k % 3)}{'<div><span>x</span></div>' if k % 2 else ''}<article>{'t' * k}</article></body>" for k in range(9)]
 
