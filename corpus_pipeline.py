@@ -29,9 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id, and all texts of that id.
+
+    Of rows of one id and text, the one with the smallest language, source and size stays.
+    """
     gone = neardup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti")
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    named = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*").join(gone, "doc_id", "left_anti")
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

@@ -51,3 +51,11 @@ def test_run_and_names(spark, tmp_path, prose):
     assert [n for n, _ in C.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "secrets", "packing"] and C.ORACLE_SQL is None
     _corpus(spark, tmp_path, prose)
     assert C.run(spark, str(tmp_path)).count() > 300
+
+
+def test_rows_of_one_id(spark, prose):
+    texts = [prose(60, 1), prose(60, 2), prose(60, 3)]
+    rows = [(1, texts[0], "en", "b"), (1, texts[0], "en", "a"), (1, texts[0], "fr", "a"), (1, texts[1], "en", "b"), (2, texts[2], "en", "s"), (3, texts[2], "en", "s"), (4, None, "en", "s"), (4, None, "en", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text, r.lang, r.source) for r in C.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, texts[0], "en", "a"), (1, texts[1], "en", "b"), (2, texts[2], "en", "s"), (4, None, "en", "s")], key=str)
