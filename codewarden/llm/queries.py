@@ -107,3 +107,13 @@ def op10_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.digest(pieces.encode(_table(spark, sf, "documents"), path), path)
+
+
+@_query
+def op11_align(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from codewarden.llm import align
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.linked(_table(spark, sf, "documents"), *paths)
