@@ -32,10 +32,13 @@ def brute():
                 at += len(table[i])
                 ends[at] = i
             sides.append(ends)
-        out, before = [], 0
-        for end in sorted(sides[0].keys() & sides[1].keys()):
-            out.append(tuple([i for e, i in s.items() if before < e <= end] for s in sides))
-            before = end
+        out, now = [], ([], [])
+        for end in sorted(sides[0].keys() | sides[1].keys()):
+            for ids, side in zip(now, sides):
+                ids += [side[end]] if end in side else []
+            if all(end in side for side in sides):
+                out.append(now)
+                now = ([], [])
         return out
 
     return groups
