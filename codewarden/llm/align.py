@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -94,10 +95,11 @@ class Vocabularies:
             b"" if special[i] else bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(_META, " ").encode() for i, p in enumerate(pieces)
         ]
         joined = {p[k : k + 2] for i, p in enumerate(pieces) if not (special[i] or m.is_byte(i)) for k in range(len(p) - 1)}
+        self.names_a, self.names_b = ([str(i).encode() for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
         self.encode_a = _chunk_encoder(path_a)
         self.stretches = _stretches(joined)
         self.pairs = _pair_numbers(self.bytes_a, self.bytes_b)
-        self.units: dict[str, tuple[bytes, bytes, bytes] | None] = {}
+        self.units: dict[str, tuple[bytes, bytes, int, int] | None] = {}
 
     def ids_b(self, units: list[str]) -> list[list[int]]:
         """B's ids of each stretch; the space that B sets in front is the stretch's own, or is taken off."""
@@ -106,23 +108,24 @@ class Vocabularies:
         found = self.model.encode([u[1:] if o else u for u, o in zip(units, own)], num_threads=1)
         return [[blank] if u == " " else ids if o else ids[1:] for u, ids, o in zip(units, found, own)]
 
-    def align(self, data: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes] | None:
-        """Groups as text, link numbers, and the numbers of A and B tokens; None where the bytes differ."""
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+    def align(self, data: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes, int, int] | None:
+        """Groups as text, link numbers, and how many A and B tokens; None where the bytes differ."""
+        parts_a, parts_b = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
         if b"".join(parts_a) != data or b"".join(parts_b) != data:
             return None
         if len(a) == 1 or len(b) == 1:
             cuts = [(len(a) - 1, len(b) - 1)]  # only the end of the stretch is left to share
         else:
             cuts = common_ends(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
+        name_a, name_b = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
         texts, links, from_a, from_b = [], [], 0, 0
         for i, j in cuts:
-            texts.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
+            texts.append(b",".join(name_a[from_a : i + 1]) + b"|" + b",".join(name_b[from_b : j + 1]))
             links.append(self.pairs[a[i], b[j]])
             from_a, from_b = i + 1, j + 1
-        return ";".join(texts).encode(), np.array(links, "<i4").tobytes(), np.array([len(a), len(b)], "<i8").tobytes()
+        return b";".join(texts), array("i", links).tobytes(), len(a), len(b)
 
-    def aligned(self, text: str) -> list[tuple[bytes, bytes, bytes]] | None:
+    def aligned(self, text: str) -> list[tuple[bytes, bytes, int, int]] | None:
         """The stretches of a text, each aligned; None for a text that a vocabulary does not give back."""
         stretches, known = self.stretches(" " + text), self.units
         try:
@@ -195,10 +198,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
             if not found:
                 yield doc_id, 0, 0, 0, "", none, none, "" if keep_groups else None
                 continue
-            groups, links, sizes = map(list, zip(*found))
+            groups, links, sizes_a, sizes_b = zip(*found)
             whole = b";".join(groups)
-            n_a, n_b = np.frombuffer(b"".join(sizes), "<i8").reshape(-1, 2).sum(0).tolist()
-            numbers = np.frombuffer(b"".join(links), "<i4")
+            n_a, n_b = sum(sizes_a), sum(sizes_b)
+            numbers = np.frombuffer(b"".join(links), np.int32)
             pairs, times = np.unique(numbers, return_counts=True)
             yield doc_id, n_a, n_b, len(numbers), hashlib.sha256(whole).hexdigest(), pairs, times.astype(np.int32), whole.decode() if keep_groups else None
 
