@@ -117,3 +117,74 @@ def op11_align(spark: SparkSession, sf: str) -> DataFrame:
 
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return align.linked(_table(spark, sf, "documents"), *paths)
+
+
+@_query
+def op12_curriculum(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import curriculum
+
+    mixed = curriculum.mix(_table(spark, sf, "documents"))
+    first, again = (F.get("positions", F.lit(k)) for k in (0, 1))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"), again.alias("position_again"))
+
+
+# Curves of the three schedules: part due by a time, and the time at which a part is due.
+_DUE = (
+    "(0.0::DOUBLE + 1.5::DOUBLE * {t} + (-0.5)::DOUBLE * {t} * {t})",
+    "CASE WHEN {t} >= 0.5::DOUBLE THEN 0.5::DOUBLE + 1.5::DOUBLE * ({t} - 0.5::DOUBLE) + (-1.0)::DOUBLE * ({t} - 0.5::DOUBLE) * ({t} - 0.5::DOUBLE)"
+    " ELSE 0.5::DOUBLE * {t} + 1.0::DOUBLE * {t} * {t} END",
+    "(0.5::DOUBLE * {t} + 0.5::DOUBLE * {t} * {t})",
+)
+_ROOT = "{start}::DOUBLE + CASE WHEN {c} <= 0 THEN 0 ELSE 2.0::DOUBLE * {c} / ({h}::DOUBLE + sqrt(greatest(0.0::DOUBLE, {hh}::DOUBLE + ({s})::DOUBLE * {c}))) END"
+_TIME = (
+    _ROOT.format(start="0.0", c="{p}", h="1.5", hh="2.25", s="-2.0"),
+    "CASE WHEN {p} >= 0.5::DOUBLE THEN " + _ROOT.format(start="0.5", c="({p} - 0.5::DOUBLE)", h="1.5", hh="2.25", s="-4.0") + " ELSE " + _ROOT.format(start="0.0", c="{p}", h="0.5", hh="0.25", s="4.0") + " END",
+    _ROOT.format(start="0.0", c="{p}", h="0.5", hh="0.25", s="2.0"),
+)
+
+
+def _time_sql(demand: str) -> str:
+    part = f"(({demand})::DOUBLE / wanted::DOUBLE)"
+    cases = " ".join(f"WHEN {turn} THEN {_TIME[turn].format(p=part)}" for turn in range(3))
+    return f"CASE WHEN {demand} < wanted THEN CASE turn {cases} END END"
+
+
+def _position_sql(time: str) -> str:
+    return "CAST(floor(0.0::DOUBLE + " + " + ".join(f"w{turn}::DOUBLE * ({_DUE[turn].format(t=time)})" for turn in range(3)) + ") AS BIGINT)"
+
+
+ORACLES["op12_curriculum"] = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS spot FROM documents
+), s AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size FROM d GROUP BY source)
+), w AS (
+  SELECT *, CASE turn WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, sum(source_size) OVER () AS total FROM s
+), o AS (
+  SELECT *, CAST(coalesce(sum(source_size) OVER (ORDER BY source_size / weight::DOUBLE, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) AS filled,
+    CAST(sum(weight) OVER (ORDER BY source_size / weight::DOUBLE, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS HUGEINT) AS open FROM w
+), level AS (
+  SELECT 3 * total - 4 * filled AS num, 2 * open AS den FROM o WHERE weight * (3 * total - 4 * filled) <= 4 * source_size * open
+  ORDER BY source_size / weight::DOUBLE, source LIMIT 1
+), t AS (
+  SELECT source, source_size, turn, CASE WHEN weight * num > 2 * source_size * den THEN (2 * source_size)::DOUBLE ELSE (weight * num)::DOUBLE / den::DOUBLE END AS target FROM o, level
+), u AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS wanted FROM t
+), c AS (SELECT coalesce(sum(wanted) FILTER (turn = 0), 0) AS w0, coalesce(sum(wanted) FILTER (turn = 1), 0) AS w1, coalesce(sum(wanted) FILTER (turn = 2), 0) AS w2 FROM u
+), b AS (
+  SELECT d.doc_id, d.size, CAST(u.source_size AS BIGINT) AS source_size, target, wanted, turn, CAST(coalesce(sum(d.size) OVER (
+    PARTITION BY d.source ORDER BY spot, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), x AS (SELECT *, {_time_sql("before")} AS time0, {_time_sql("(before + source_size)")} AS time1 FROM b)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(wanted - before, size)) + greatest(0, least(wanted - before - source_size, size)) AS BIGINT) AS taken,
+  {_position_sql("time0")} AS position, {_position_sql("time1")} AS position_again
+FROM x, c
+"""
+
+
+@_query
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from codewarden.llm import conversations
+
+    return conversations.digest(conversations.repair(conversations.damaged(_table(spark, sf, "conversations"))))
