@@ -81,8 +81,9 @@ def taint_columns(files: DataFrame) -> DataFrame:
 @cache
 def before_lines() -> list[dict[str, Column]]:
     return [
-        {"_facts": facts_py.facts(F.when(F.col("_suffix") == ".py", F.col("content")))},
-        {"_parsed": F.col("_facts").isNotNull() & F.col("_facts")["functions"].isNotNull()},
+        {"_syntax": facts_py.facts(F.when(F.col("_suffix") == ".py", F.col("content")))},
+        {"_facts": taint_py.judged(F.col("_syntax"))},
+        {"_parsed": F.col("_facts").isNotNull()},
     ]
 
 
@@ -124,7 +125,7 @@ def after_lines() -> list[dict[str, Column]]:
         {
             # Files whose text the lexical rules read: code that is no generated bundle.
             "_open": F.col("_code") & ((F.col("_suffix") == ".py") | ~named_bundle(F.col("path"))),
-            "_py_tainted": F.when(py, taint_py.tainted_names(F.col("_facts"))),
+            "_py_tainted": taint_py.reached(F.col("_facts")),
         },
         {
             "_marked": F.concat(
@@ -136,7 +137,7 @@ def after_lines() -> list[dict[str, Column]]:
         },
         # The environment is only needed where a source occurs or where a hit asks for its verdict.
         {"_defs": F.when(js & (F.col("_source") | marked), taint_js.definitions(F.col("_lines")))},
-        {"_tainted": F.coalesce(F.when(F.col("_source"), taint_js.tainted_names(F.col("_defs"))), no_names)},
+        {"_tainted": F.coalesce(taint_js.tainted_names(F.when(F.col("_source"), F.col("_defs"))), no_names)},
         {
             "_constants": F.coalesce(
                 F.when(marked, taint_js.constant_names(F.col("_defs"), F.col("_tainted"))), no_names

@@ -1,8 +1,8 @@
 """Lexical taint of JavaScript/TypeScript files, as expressions inside the file's row.
 
-The environment is one forward pass over the file's definitions. That is a fold, so it is written
-as one: ``aggregate`` over the array of definitions, carrying the tainted names. A file is one row
-already, so the pass is order-exact without a join, a shuffle or a fixpoint loop.
+The environment is one forward pass over the file's definitions, with the tainted names in a hash set
+(``closure.forward``): linear in the definitions, in the file's row, without a join, a shuffle or a
+fixpoint loop. Definitions, sources, literals and uses are columns.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codewarden.functions.matching import gate
 from codewarden.functions.text import is_comment
+from codewarden.operators.closure import forward_names
 from codewarden.rules import taint as T
 from codewarden.rules.injection import INDEX
 
@@ -83,13 +84,7 @@ def definitions(lines: Column) -> Column:
 
 def tainted_names(defs: Column) -> Column:
     """Names that a source reached by the end of the file; taint is sticky."""
-    return F.aggregate(
-        defs,
-        F.array().cast(_NO_TEXTS),
-        lambda seen, d: F.when(d["src"] | F.arrays_overlap(seen, d["uses"]), F.array_union(seen, d["names"])).otherwise(
-            seen
-        ),
-    )
+    return forward_names(defs)
 
 
 def constant_names(defs: Column, tainted: Column) -> Column:

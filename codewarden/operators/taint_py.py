@@ -1,16 +1,95 @@
-"""Taint verdicts and sinks of Python modules, as expressions over the syntax facts."""
+"""Taint verdicts and sinks of Python modules, as expressions over the tables of their syntax."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codewarden.operators.closure import ROOT, reached_names
+from codewarden.operators.facts_py import RETURN
 from codewarden.rules import taint as T
 from codewarden.rules.injection import INDEX
 
-def tainted_names(facts: Column) -> Column:
-    """Names (and returns, prefixed) that untrusted input can reach."""
-    return facts["reached"]
+
+def _is_source(n: Column) -> Column:
+    """Attributes of a request, program arguments, the environment, and console input."""
+    dotted = F.concat_ws(".", n["owner"], n["text"])
+    attribute = (n["root"] == T.PY_SOURCE_ROOT) | dotted.isin(*T.PY_SOURCE_ATTRIBUTES)
+    call = F.when(n["kind"] == "Call:Attribute", dotted.isin(*T.PY_SOURCE_CALLS)).when(n["kind"] == "Call:Name", n["text"].isin(*T.PY_SOURCE_CALLS))
+    return F.coalesce(F.when(n["kind"] == "Attribute", attribute).otherwise(call), F.lit(False))
+
+
+def _builds_text(inner: Column) -> Column:
+    """A text literal in a chain of operators that begins with + or %, a filled-in f-string, or a call of format."""
+    top = F.get(inner, 0)
+    text = lambda n: (n["kind"] == "JoinedStr") | ((n["kind"] == "Constant") & (n["text"] == "str"))
+    chained = F.array_contains(F.transform(inner, lambda n, i: (n["chain"] == i) & F.coalesce(text(n), F.lit(False))), True)
+    return (
+        F.when(top["kind"] == "BinOp", top["text"].isin("Add", "Mod") & chained)
+        .when(top["kind"] == "JoinedStr", F.exists(inner, lambda n: n["kind"] == "FormattedValue"))
+        .otherwise((top["kind"] == "Call:Attribute") & (top["text"] == "format"))
+    )
+
+
+def _expression(nodes: Column, span: Column) -> Column:
+    """struct<src,call,const,builds,fstring,names,calls> of the expression at a span."""
+
+    def traits(inner: Column) -> Column:
+        return F.struct(
+            F.exists(inner, _is_source).alias("src"),
+            F.exists(inner, lambda n: n["kind"].startswith("Call")).alias("call"),
+            F.forall(inner, lambda n: n["kind"].isin("Constant", "List", "Tuple")).alias("const"),
+            F.coalesce(_builds_text(inner), F.lit(False)).alias("builds"),
+            (F.get(inner, 0)["kind"] == "JoinedStr").alias("fstring"),
+            F.transform(F.filter(inner, lambda n: n["kind"] == "Name"), lambda n: n["text"]).alias("names"),
+            F.transform(F.filter(inner, lambda n: n["kind"] == "Call:Name"), lambda n: n["text"]).alias("calls"),
+        )
+
+    return F.get(F.transform(F.array(F.slice(nodes, span["at"] + 1, span["n"])), traits), 0)
+
+
+def _from_root(src: Column) -> Column:
+    return F.when(src, F.array(F.lit(ROOT))).otherwise(F.array().cast("array<string>"))
+
+
+def judged(syntax: Column) -> Column:
+    """struct<functions,calls,assigns,edges>: the calls with the traits of their arguments, the assignments with those
+    of their values, and the edges along which input travels (from ``srcs`` to ``dst``): 2 argument to parameter, 3 body
+    to return value. No inner function reads a variable of an outer one: Spark would not take such input to Python."""
+    nodes = syntax["nodes"]
+
+    def fields(value: Column, *names: str) -> list[Column]:
+        return [value[name].alias(name) for name in names]
+
+    def call(c: Column) -> Column:
+        args = F.transform(c["args"], lambda span: _expression(nodes, span))
+        return F.struct(*fields(c, "seq", "line", "name", "bare", "recv", "root"), args.alias("args"), *fields(c, "has_kw", "shell_true", "safe_loader"))
+
+    def feed(f: Column) -> Column:
+        srcs = F.get(F.transform(F.array(_expression(nodes, f["value"])), lambda e: F.concat(_from_root(e["src"]), e["names"])), 0)
+        return F.struct(*fields(f, "step", "ord"), srcs.alias("srcs"), f["dst"].alias("dst"))
+
+    valued = F.transform(syntax["assigns"], lambda a: F.struct(a["name"].alias("name"), _expression(nodes, a["value"]).alias("value")))
+    assigns = F.transform(valued, lambda a: F.struct(a["name"].alias("name"), *fields(a["value"], "src", "const", "calls")))
+    calls, edges = F.transform(syntax["calls"], call), F.transform(syntax["feeds"], feed)
+    whole = F.struct(syntax["functions"].alias("functions"), calls.alias("calls"), assigns.alias("assigns"), edges.alias("edges"))
+    return F.when(syntax["functions"].isNotNull(), whole)
+
+
+def reached(facts: Column) -> Column:
+    """Names (and returns, prefixed) that untrusted input can reach, of judged facts."""
+
+    def into(a: Column) -> Column:
+        srcs = F.concat(_from_root(a["src"]), F.transform(a["calls"], lambda f: F.concat(F.lit(RETURN), f)))
+        return F.struct(srcs.alias("srcs"), a["name"].alias("dst"))
+
+    handed = F.transform(facts["edges"], lambda e: F.struct(e["srcs"].alias("srcs"), e["dst"].alias("dst")))
+    return reached_names(F.concat(F.transform(facts["assigns"], into), handed))
+
+
+def tainted_names(syntax: Column) -> Column:
+    """:func:`reached` of a module's syntax."""
+    return reached(judged(syntax))
 
 
 def constant_names(facts: Column, tainted: Column) -> Column:

@@ -58,6 +58,9 @@ JS_DESERIALIZE_SINK = _j(r"""\bunserialize\s*\(\s*([^,)\n]+)""")
 JS_REDIRECT_SINK = _j(r"""(?<![\w.])(?:res|response|reply|ctx)\s*\.\s*redirect\s*\(\s*([^)\n]+)""")
 
 # Python ----------------------------------------------------------------------------------------
+PY_SOURCE_ROOT = "request"
+PY_SOURCE_ATTRIBUTES = ("sys.argv", "os.environ")
+PY_SOURCE_CALLS = ("os.getenv", "input")
 PY_SQL_SINKS = ("execute", "executemany", "query", "raw")
 PY_SUBPROCESS_NAMES = ("run", "call", "Popen", "check_call", "check_output")
 PY_PATH_SINKS = ("open", "send_file", "send_from_directory")

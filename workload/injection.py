@@ -90,9 +90,10 @@ def inj_minified(spark, sf):
 def py_modules(spark, sf):
     f = corpus.files(spark, sf).where(X.suffix_of(F.col("path")) == ".py")
     return (
-        f.withColumn("_facts", facts_py.facts(F.col("content")))
-        .withColumn("_parsed", F.col("_facts").isNotNull() & F.col("_facts")["functions"].isNotNull())
-        .withColumn("_tainted", taint_py.tainted_names(F.col("_facts")))
+        f.withColumn("_syntax", facts_py.facts(F.col("content")))
+        .withColumn("_facts", taint_py.judged(F.col("_syntax")))
+        .withColumn("_parsed", F.col("_facts").isNotNull())
+        .withColumn("_tainted", taint_py.reached(F.col("_facts")))
         .withColumn("_constants", taint_py.constant_names(F.col("_facts"), F.col("_tainted")))
     )
 
@@ -124,8 +125,8 @@ def py_xfn(step):
 
     def query(spark, sf):
         rows = py_modules(spark, sf).select("repo", "path", "_tainted", F.explode(F.col("_facts")["edges"]).alias("e"))
-        live = rows.where((F.col("e.step") == step) & F.array_contains("_tainted", F.col("e.src")))
-        return live.select("repo", "path", F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
+        ways = rows.where(F.col("e.step") == step).select("repo", "path", "_tainted", F.explode("e.srcs").alias("src"), F.col("e.dst").alias("dst"))
+        return ways.where(F.array_contains("_tainted", F.col("src"))).select("repo", "path", "src", "dst").distinct()
 
     return query
 
