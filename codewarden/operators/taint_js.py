@@ -48,11 +48,13 @@ _CUT = "\ufdd3"
 def definition(line: Column, number: Column) -> Column:
     """struct<line,names,rhs>: what a line defines; no names where it defines nothing.
 
-    One run of one pattern yields all its groups: the line is replaced by them and cut again.
+    One run of one pattern yields all its groups: the line is replaced by them and cut again. No inner function
+    reads a variable of an outer one: Spark would not take such a value to Python.
     """
     groups = F.regexp_replace(line, T.JS_DEFINITION, _CUT + _CUT.join(f"${i}" for i in range(1, 7)))
 
-    def bound(parts: Column) -> Column:
+    def bound(cut: Column) -> Column:
+        parts = cut["parts"]
         group = lambda i: F.get(parts, i)
         destructured = F.array_compact(F.transform(F.split(group(1), ","), _bound_name))
         names = (
@@ -60,9 +62,10 @@ def definition(line: Column, number: Column) -> Column:
             .when(group(2) != "", destructured)
             .otherwise(F.array(F.concat(group(3), group(5))))
         )
-        return F.struct(number.alias("line"), names.alias("names"), F.concat(group(2), group(4), group(6)).alias("rhs"))
+        return F.struct(cut["line"].alias("line"), names.alias("names"), F.concat(group(2), group(4), group(6)).alias("rhs"))
 
-    return F.get(F.transform(F.array(F.split(groups, _CUT, -1)), bound), 0)
+    cut = F.struct(number.alias("line"), F.split(groups, _CUT, -1).alias("parts"))
+    return F.get(F.transform(F.array(cut), bound), 0)
 
 
 def definitions(lines: Column) -> Column:

@@ -6,15 +6,17 @@ of the repositories it touches, and runs the whole scan on them, project-level c
 output lies in folders of its own number and is written with overwrite, so a batch that runs again after
 a lost executor or driver replaces its own output.
 
-The state is one row per path: every ``SNAPSHOT`` batches it is written whole, and a batch reads the last
-snapshot and the few batches after it, of the touched repositories only.
+The state is one row per path, laid out by a hash of the repository: all files of versions lie in the folder of
+their repository's bucket, so a batch reads the buckets that it touches and no other file. Every ``SNAPSHOT``
+batches the buckets that got versions since the last time are written anew; a bucket that nothing touches keeps
+its older snapshot. A batch reads a bucket's last snapshot and the few batches after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +30,7 @@ VERSIONS_DDL = (
 )
 STATE_DDL = f"{VERSIONS_DDL}, version bigint"
 SNAPSHOT = 20
+BUCKETS = 256  # folders of the state; the driver sees at most so many bucket numbers
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
@@ -56,16 +59,51 @@ def scan_versions(versions: DataFrame, known: DataFrame | None = None, scanners:
     return kept if known is None else baseline.filter_known(kept, known)
 
 
-def _state(spark: SparkSession, out: str, before: int) -> DataFrame | None:
-    """Newest version of every path in the batches below a number."""
+def bucket_of(repo: Column) -> Column:
+    return F.pmod(F.xxhash64(repo), F.lit(BUCKETS)).cast("int")
+
+
+def _write_state(rows: DataFrame, folder: str) -> None:
+    """Rows below a folder per bucket. A bucket's rows meet in few files, and a hot one is split."""
+    placed = rows.withColumn("bucket", bucket_of(F.col("repo")))
+    placed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def _buckets(rows: DataFrame) -> list[int]:
+    return sorted(row["bucket"] for row in rows.select("bucket").distinct().collect())  # at most BUCKETS
+
+
+def _versions(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(f"{STATE_DDL}, batch int, bucket int").parquet(f"{out}/versions")
+
+
+def _state(spark: SparkSession, out: str, before: int, buckets: Sequence[int]) -> DataFrame | None:
+    """Versions among which the newest of every path is, in batches below a number and in some buckets only.
+
+    Folders of other buckets are not listed among the files to read.
+    """
     if before <= 0:
         return None
     snapshot = (before - 1) // SNAPSHOT * SNAPSHOT
-    deltas = spark.read.schema(f"{STATE_DDL}, batch int").parquet(f"{out}/versions").where(F.col("batch") < before)
-    if snapshot:
-        whole = spark.read.schema(STATE_DDL).parquet(f"{out}/snapshots/batch={snapshot}")
-        return whole.unionByName(deltas.where(F.col("batch") > snapshot).drop("batch"))
-    return deltas.drop("batch")
+    rows = _versions(spark, out).where((F.col("batch") > (snapshot or -1)) & (F.col("batch") < before) & F.col("bucket").isin(*buckets))
+    rows = rows.drop("batch", "bucket")
+    if not snapshot:
+        return rows
+    index = spark.read.schema("bucket int, batch int").parquet(f"{out}/snapshot-index")
+    newest = index.where((F.col("batch") <= snapshot) & F.col("bucket").isin(*buckets)).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
+    folders = [f"{out}/snapshots/batch={row['batch']}/bucket={row['bucket']}" for row in newest]
+    return rows.unionByName(spark.read.schema(STATE_DDL).parquet(*folders)) if folders else rows
+
+
+def _snapshot(spark: SparkSession, out: str, epoch: int) -> None:
+    """The buckets that got versions after the last snapshot, written anew with the batches up to this one."""
+    fresh = _versions(spark, out).where((F.col("batch") > max(0, epoch - SNAPSHOT) - (epoch == SNAPSHOT)) & (F.col("batch") <= epoch))
+    buckets = _buckets(fresh)
+    before = _state(spark, out, epoch, buckets)
+    last = fresh.where(F.col("batch") == epoch).drop("batch", "bucket")
+    _write_state(latest_versions(before.unionByName(last)), f"{out}/snapshots/batch={epoch}")
+    index = spark.createDataFrame([(b,) for b in buckets], "bucket int")
+    index.coalesce(1).write.mode("overwrite").parquet(f"{out}/snapshot-index/batch={epoch}")
 
 
 def watch(
@@ -88,15 +126,17 @@ def watch(
         spark = batch.sparkSession
         folder = f"{out}/versions/batch={epoch}"
         fresh = batch.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-        latest_versions(fresh.select("repo", "path", "file_seq", "content", "mtime", "deleted", "version")).write.mode("overwrite").parquet(folder)
-        latest = spark.read.schema(STATE_DDL).parquet(folder)
+        _write_state(latest_versions(fresh.select("repo", "path", "file_seq", "content", "mtime", "deleted", "version")), folder)
+        placed = spark.read.schema(f"{STATE_DDL}, bucket int").parquet(folder)
+        latest = placed.drop("bucket")
         touched = latest.select("repo").distinct()
         touched.write.mode("overwrite").parquet(f"{out}/repos/batch={epoch}")
-        before = _state(spark, out, epoch)
+        before = _state(spark, out, epoch, _buckets(placed))
         if epoch and epoch % SNAPSHOT == 0:
-            latest_versions(before.unionByName(latest)).write.mode("overwrite").parquet(f"{out}/snapshots/batch={epoch}")
+            _snapshot(spark, out, epoch)
         if before is not None:
-            latest = before.join(broadcast_if_small(touched), "repo", "left_semi").unionByName(latest)
+            named = broadcast_if_small(spark.read.schema("repo string").parquet(f"{out}/repos/batch={epoch}"))
+            latest = before.join(named, "repo", "left_semi").unionByName(latest)
         files = latest_versions(latest).where(~F.col("deleted")).select("repo", "path", "file_seq", "content")
         found = scan(files, options, advisories, known=known)
         found.write.mode("overwrite").parquet(f"{out}/findings/batch={epoch}")
