@@ -14,8 +14,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     The measurement is one aggregate over ``df``; callers pass sides that are cheap to compute twice. Without the hint the join is a
     shuffle join, which adaptive execution splits where a key is hot.
     """
-    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows, written as JSON: one aggregate over ``df``."""
+    return df.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
 
 
 def estimated_bytes(df: DataFrame) -> int:

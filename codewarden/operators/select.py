@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
-from codewarden.functions.sizes import broadcast_if_small
+from codewarden.functions.sizes import BROADCAST_LIMIT, broadcast_if_small, measured_bytes
 
 # Suffixes of scannable files.
 SUFFIXES = (
@@ -143,6 +143,18 @@ def _ignored(path: Column, patterns: Column) -> Column:
     )
 
 
+def by_path(files: DataFrame, exclude: Sequence[str] = (), suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """Files that their path alone lets in: a filter of the scan, which moves nothing."""
+    path = F.col("path")
+    return files.where(is_scannable(path, suffixes) & ~in_skipped_dir(path) & ~is_excluded(path, exclude))
+
+
+def _without(keep: DataFrame, patterns: DataFrame) -> DataFrame:
+    joined = keep.join(patterns, keep["repo"] == patterns["_repo"], "left")
+    kept = joined.where(F.col("_patterns").isNull() | ~_ignored(F.col("path"), F.col("_patterns")))
+    return kept.select(*keep.columns)
+
+
 def collect(
     files: DataFrame,
     exclude: Sequence[str] = (),
@@ -153,19 +165,42 @@ def collect(
     """Scannable files of each repository.
 
     Everything but .gitignore is a predicate on the path. The patterns are one row per repository:
-    broadcast when measured small, so that file contents do not move. ``ignore_files`` may hold the
-    .gitignore rows where the caller has them apart.
+    broadcast when measured small, so that file contents do not move; else the join moves the columns of ``files``
+    (a scan goes by ``Selection``, which moves no contents). ``ignore_files`` may hold the .gitignore rows where the
+    caller has them apart.
     """
-    path = F.col("path")
-    keep = files.where(
-        is_scannable(path, suffixes) & ~in_skipped_dir(path) & ~is_excluded(path, exclude)
-    )
+    keep = by_path(files, exclude, suffixes)
     if not gitignore:
         return keep
-    patterns = broadcast_if_small(gitignore_patterns(files if ignore_files is None else ignore_files))
-    joined = keep.join(patterns, keep["repo"] == patterns["_repo"], "left")
-    kept = joined.where(F.col("_patterns").isNull() | ~_ignored(path, F.col("_patterns")))
-    return kept.select(*files.columns)
+    return _without(keep, broadcast_if_small(gitignore_patterns(files if ignore_files is None else ignore_files)))
+
+
+class Selection:
+    """The files of a scan, without moving contents however large the .gitignore patterns of all repositories are.
+
+    Patterns that are measured small are broadcast, and ``files`` leaves ignored files out before they are scanned.
+    Larger ones never meet the contents: ``files`` is then all that paths let in, and ``rows`` drops what was found
+    in ignored files, by a join of the distinct paths of those rows with their repository's patterns.
+    """
+
+    def __init__(self, files: DataFrame, exclude: Sequence[str], ignore_files: DataFrame, limit: int = BROADCAST_LIMIT):
+        self._patterns = gitignore_patterns(ignore_files)
+        self._small = measured_bytes(self._patterns) <= limit
+        keep = by_path(files, exclude)
+        self.files = _without(keep, F.broadcast(self._patterns)) if self._small else keep
+
+    def rows(self, found: DataFrame, path: str = "file") -> DataFrame:
+        """``found`` (with repo and a path) without rows of ignored files."""
+        if self._small:
+            return found
+        named = found.select("repo", F.col(path).alias("_path")).distinct()
+        met = named.join(self._patterns, named["repo"] == self._patterns["_repo"]).where(_ignored(F.col("_path"), F.col("_patterns")))
+        gone = met.select(F.col("repo").alias("_gone"), "_path")
+        return found.join(gone, (F.col("repo") == F.col("_gone")) & (F.col(path) == F.col("_path")), "left_anti")
+
+    def paths(self) -> DataFrame:
+        """(repo, path, file_seq) of the selected files; only these columns are read."""
+        return self.rows(self.files.select("repo", "path", "file_seq"), "path")
 
 
 def single(files: DataFrame, path: str, repo: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codewarden import schemas
 from codewarden.functions import text as X
+from codewarden.functions.sizes import BROADCAST_LIMIT
 from codewarden.operators import baseline, custom, deps, headers, history, post, select
 from codewarden.plans import file_pass
 from codewarden.session import cut_lineage
@@ -21,7 +22,8 @@ from codewarden.sources import manifests, reports, rules
 @dataclass(frozen=True)
 class Options:
     """Settings of a scan. ``scanners`` None runs all of them; ``rules`` hold for every repository,
-    ``rule_files`` name the files in which repositories keep rules of their own."""
+    ``rule_files`` name the files in which repositories keep rules of their own, and ``ignore_limit`` says up to how
+    many bytes the .gitignore patterns of all repositories are broadcast."""
 
     exclude: tuple[str, ...] = ()
     scanners: tuple[str, ...] | None = None
@@ -30,6 +32,7 @@ class Options:
     rules: tuple[custom.CustomRule, ...] = ()
     rule_files: tuple[str, ...] = ()
     marker: str = post.MARKER
+    ignore_limit: int = BROADCAST_LIMIT
 
     @classmethod
     def from_table(cls, table: Mapping[str, object], **overrides) -> tuple[Options, list[str]]:
@@ -113,18 +116,18 @@ def chosen_scanners(only: Sequence[str] | None) -> list[str]:
 
 def native_findings(
     special: DataFrame,
-    collected: DataFrame,
+    selected: select.Selection,
     options: Options,
     advisories: DataFrame | None = None,
     touched: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of the chosen scanners, materialized once; only their branches are in the plan.
 
-    All per-file scanners share one pass over ``touched`` (by default all collected files). The pass
+    All per-file scanners share one pass over ``touched`` (by default all selected files). The pass
     also carries the CSRF signals, so the per-repository check reads its rows and not the contents.
     """
     names = chosen_scanners(options.scanners)
-    per_file = collected if touched is None else touched
+    per_file = selected.files if touched is None else touched
     whole = "headers" in names and touched is None
     rows = file_pass.findings(per_file, names, options.rules, signals=whole)
     parts = [rows, *[_extra[name](per_file) for name in names if name in _extra]]
@@ -132,11 +135,11 @@ def native_findings(
         accepted, _ = rules.repo_rules(special, options.rule_files)
         parts.append(rules.repo_findings(per_file, accepted))
     # Findings are small next to the contents they came from, and they are read several times below.
-    found = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+    found = selected.rows(cut_lineage(reduce(lambda a, b: a.unionByName(b), parts)))
     if whole:
         found = found.where(~headers.is_signal()).unionByName(headers.csrf_findings(headers.signals_of(found)))
     if "deps" in names and advisories is not None:
-        found = found.unionByName(deps.findings(special, collected, advisories))
+        found = found.unionByName(deps.findings(special, selected.paths(), advisories))
     return found
 
 
@@ -154,8 +157,7 @@ def scan(
     twice: once for the few special files, once for the scan.
     """
     special = cut_lineage(manifests.special_files(files, options.rule_files))
-    collected = select.collect(files, options.exclude, ignore_files=special)
-    found = native_findings(special, collected, options, advisories)
+    found = native_findings(special, select.Selection(files, options.exclude, special, options.ignore_limit), options, advisories)
     readers = reports.engines(options.engines)
     reported = [reader(engine_reports[name]) for name, reader in readers.items() if engine_reports and name in engine_reports]
     if reported:
@@ -172,7 +174,7 @@ def scan_diff(files: DataFrame, changed: DataFrame, options: Options = Options()
     """Findings on changed lines. The per-file scanners read changed files only; the project-level
     check is left out, since its finding would be dropped."""
     special = cut_lineage(manifests.special_files(files, options.rule_files))
-    collected = select.collect(files, options.exclude, ignore_files=special)
-    touched = history.only_changed_files(collected, changed)
-    found = native_findings(special, collected, options, advisories, touched)
+    selected = select.Selection(files, options.exclude, special, options.ignore_limit)
+    touched = history.only_changed_files(selected.files, changed)
+    found = native_findings(special, selected, options, advisories, touched)
     return history.on_changed_lines(post.dedupe(post.suppress(found, options.marker)), changed)

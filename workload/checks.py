@@ -133,6 +133,18 @@ def scan_full(spark, sf):
     return found.select("repo", "file", "line", "scanner", "title", "severity")
 
 
+IGNORE = "*.min.js\n/src/f*1.js\n!/src/f*21.js\nf*2.py\n"
+
+
+def scan_gitignore(spark, sf):
+    """With a .gitignore in every repository, decided on what was found: no contents meet the patterns."""
+    files = corpus.files(spark, sf)
+    ignore = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("repo")).distinct()
+    rows = ignore.select("repo", F.lit(".gitignore").alias("path"), F.lit(-1).cast("bigint").alias("file_seq"), F.lit(IGNORE).alias("content"))
+    found = scan(files.unionByName(rows.select(*files.columns)), Options(ignore_limit=0))
+    return found.select("repo", "file", "line", "scanner", "title", "severity")
+
+
 def scan_changed(spark, sf):
     """Findings on the changed lines of every other document's file."""
     changed = _path(spark, sf, *range(corpus.N)).where("doc_id % 2 = 0")
@@ -162,6 +174,7 @@ QUERIES = {
     "scan_all": scan_all,
     "scan_full": scan_full,
     "scan_diff": scan_changed,
+    "scan_gitignore": scan_gitignore,
     "scan_select": scan_select,
     "sec_tokens": secrets_titled(*TOKENS),
     "sec_generic": sec_generic,
@@ -293,8 +306,12 @@ reported AS (SELECT source AS repo, 'src/f' || CAST(doc_id AS VARCHAR) || '.ts'
 SELECT * FROM native WHERE title <> 'Path traversal' AND NOT (title = 'eval() usage' AND line = 7 AND file LIKE '%.js')
 UNION ALL SELECT * FROM reported r WHERE NOT EXISTS (SELECT 1 FROM native n WHERE n.repo = r.repo AND n.file = r.file AND n.line = r.line)"""
 
+_NOT_IGNORED = f"""SELECT * FROM ({corpus.files_sql()}) WHERE path NOT LIKE '%.min.js' AND NOT regexp_matches(path, '^src/f[^/]*2\\.py$')
+AND NOT (regexp_matches(path, '^src/f[^/]*1\\.js$') AND NOT regexp_matches(path, '^src/f[^/]*21\\.js$'))"""
+
 ORACLES = {
     "scan_full": _FULL,
+    "scan_gitignore": f"SELECT * FROM {_DISTINCT.replace(corpus.files_sql(), _NOT_IGNORED)}",
     "scan_diff": f"SELECT * FROM {_DISTINCT} WHERE line BETWEEN 5 AND 14 AND title <> 'No CSRF protection detected' AND CAST(regexp_extract(file, 'f(\\d+)\\.', 1) AS BIGINT) % 2 = 0",
     "scan_all": f"SELECT repo, scanner, severity, count(*) AS n FROM {_DISTINCT} GROUP BY ALL",
     "scan_select": f"SELECT scanner, title, count(*) AS n FROM {_DISTINCT} WHERE scanner IN ('secrets', 'headers') GROUP BY ALL",
