@@ -167,6 +167,19 @@ def fix_pin(spark, sf):
     return fix.pin_fixes(found(spark, sf), files(spark, sf)).select("repo", "file", "line", "title", "old_line", "new_line", "new_content", "summary")
 
 
+def fix_pin_verify(spark, sf):
+    """Pins as raised, and as they would be with a release of their own name only: a line that stays is not fixed."""
+    fixes = fix.pin_fixes(found(spark, sf), files(spark, sf))
+    kept = F.expr("length(repo) % 2 = 0")
+    some = fixes.withColumn("new_content", F.when(kept, F.replace("new_content", F.concat("new_line", F.lit(NL)), F.concat("old_line", F.lit(NL)))).otherwise(F.col("new_content")))
+    return fix.verify_pin_fixes(some).select("repo", "file", "line", "title", "fixed")
+
+
+def fix_pin_composed(spark, sf):
+    all_files = files(spark, sf)
+    return fix.compose(fix.line_edits(found(spark, sf), all_files), all_files).select("repo", "path", "new_content")
+
+
 QUERIES = {
     "deps_root": lambda spark, sf: M.project_roots(files(spark, sf), collected(spark, sf)),
     "deps_pins": lambda spark, sf: M.pins(files(spark, sf).where(F.col("path").endswith("requirements.txt"))).select("repo", "path", "line", "name", "version", "raw"),
@@ -177,6 +190,8 @@ QUERIES = {
     "deps_first_fix": deps_first_fix,
     "deps_no_details": deps_no_details,
     "fix_pin": fix_pin,
+    "fix_pin_verify": fix_pin_verify,
+    "fix_pin_composed": fix_pin_composed,
 }
 
 # --- DuckDB side ----------------------------------------------------------------------------------
@@ -216,6 +231,9 @@ ORACLES = {
     "deps_vulns": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_SEVERITY} AS severity, {_TITLE} AS title, {_SUMMARY} || ' (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || ' to >=' || {_FIXED} AS fix_summary FROM hit",
     "deps_first_fix": "SELECT 'GHSA-' || replace(p_name, ' ', '-') AS id, eco AS ecosystem, CASE eco WHEN 'PyPI' THEN '1.25.0' ELSE '1.5.0-rc.1' END AS fixed FROM (SELECT DISTINCT p_name FROM part), (VALUES ('PyPI'), ('npm')) AS e(eco)",
     "deps_no_details": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, CASE WHEN length(id) % 2 = 0 THEN {_SEVERITY} ELSE 'HIGH' END AS severity, {_TITLE} AS title, CASE WHEN length(id) % 2 = 0 THEN {_SUMMARY} ELSE 'Known vulnerability (details unavailable).' END || ' (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || CASE WHEN length(id) % 2 = 0 THEN ' to >=' || {_FIXED} ELSE ' to a patched release' END AS fix_summary FROM hit",
+    "fix_pin_verify": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_TITLE} AS title, length(repo) % 2 <> 0 AS fixed FROM hit WHERE eco = 'PyPI'",
+    "fix_pin_composed": f"""{_DEPS} SELECT repo, path, replace({_fill_sql(REQUIREMENTS)}, raw || chr(10), name || '==1.25.0' || chr(10)) AS new_content
+  FROM (SELECT h.*, p.under, p.dash, p.size, p.patch FROM hit h JOIN p ON p.repo = h.repo) WHERE eco = 'PyPI'""",
     "fix_pin": f"""{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_TITLE} AS title, raw AS old_line, name || '==1.25.0' AS new_line,
   replace({_fill_sql(REQUIREMENTS)}, raw || chr(10), name || '==1.25.0' || chr(10)) AS new_content, {_TITLE} || ': pin ' || name || '==1.25.0 (first fixed release)' AS summary
   FROM (SELECT h.*, p.under, p.dash, p.size, p.patch FROM hit h JOIN p ON p.repo = h.repo) WHERE eco = 'PyPI'""",
