@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.functions.ordering import carry_forward, count_since, with_blocks
+from codewarden.functions.ordering import carry_forward, count_since, range_rank, with_blocks
 from codewarden.functions.text import strip
 from codewarden.session import cut_lineage
 
@@ -53,11 +53,41 @@ def added_lines(log: DataFrame, block_rows: int = 100_000) -> DataFrame:
     )
 
 
+def added_texts(log: DataFrame, lines: int = 2000, halo: int = 100, block_rows: int = 100_000) -> DataFrame:
+    """(repo, sha, path, pos, own, entries): what a commit adds to a file, as stretches of lines.
+
+    ``entries`` are (nth, new_line, text) in order: up to ``lines`` of its own, the first ``own`` of them, and then
+    up to ``halo`` lines of the next stretch, which a match that begins here may run into. A commit or file of any
+    size is many stretches, and no window spans one.
+    """
+    if not 0 <= halo <= lines:
+        raise ValueError("a halo reaches into the next stretch only")
+    ranked = range_rank(added_lines(log, block_rows), ["repo", "sha", "path"], [F.col("pos")], "nth")
+    added = ranked.withColumn("nth", F.col("nth") - 1)
+    number = F.floor(F.col("nth") / lines)
+    before = F.when((F.col("nth") % lines < halo) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))
+    dealt = added.withColumn("_part", F.explode(before))
+    entry = F.struct("nth", "new_line", "text", "pos", (number > F.col("_part")).alias("halo"))
+    parts = dealt.groupBy("repo", "sha", "path", "_part").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    own = F.size(F.filter("entries", lambda e: ~e["halo"]))
+    return parts.select("repo", "sha", "path", F.get("entries", 0)["pos"].alias("pos"), own.alias("own"), "entries").where("own > 0")
+
+
 def changed_lines(diff: DataFrame, untracked: DataFrame | None = None, block_rows: int = 100_000) -> DataFrame:
     """(repo, path, line) of every changed line; line is NULL where the whole file counts as changed.
 
-    A file whose hunks only delete has no changed line and counts as wholly changed, like an
-    untracked file.
+    For a listing: a range of a hunk becomes a row per line. What compares with changes takes ``changed_ranges``.
+    """
+    ranges = changed_ranges(diff, untracked, block_rows)
+    one = F.explode_outer(F.when(F.col("first").isNotNull(), F.sequence("first", "last"))).alias("line")
+    return ranges.select("repo", "path", one).distinct()
+
+
+def changed_ranges(diff: DataFrame, untracked: DataFrame | None = None, block_rows: int = 100_000) -> DataFrame:
+    """(repo, path, first, last) of changed lines, a hunk's range as one row; NULLs where the whole file counts as changed.
+
+    A file whose hunks only delete has no changed line and counts as wholly changed, like an untracked file. Ranges
+    may overlap; equal ones are one row.
     """
     raw = F.col("raw")
     is_file = raw.startswith("+++ ")
@@ -65,17 +95,15 @@ def changed_lines(diff: DataFrame, untracked: DataFrame | None = None, block_row
     carried = carry_forward(blocks, ["repo"], "pos", {"path": F.when(is_file, _target(raw))})
     start = F.regexp_extract(raw, HUNK, 1).try_cast("int")
     count = F.coalesce(F.regexp_extract(raw, HUNK, 2).try_cast("int"), F.lit(1))
-    hunk_lines = F.when(
-        raw.startswith("@@") & start.isNotNull() & (count > 0), F.sequence(start, start + count - 1)
-    )
-    marked = carried.where((F.col("path") != "") & (is_file | raw.startswith("@@"))).select("repo", "path", hunk_lines.alias("lines"))
-    lines = marked.where(F.col("lines").isNotNull()).select("repo", "path", F.explode("lines").alias("line")).distinct()
-    whole = marked.groupBy("repo", "path").agg(F.count("lines").alias("n")).where("n = 0")
-    out = lines
-    entire = whole.select("repo", "path")
+    first = F.when(raw.startswith("@@") & (count > 0), start)
+    end = F.least(first.cast("bigint") + count - 1, F.lit((1 << 31) - 1)).cast("int")
+    marked = carried.where((F.col("path") != "") & (is_file | raw.startswith("@@"))).select("repo", "path", first.alias("first"), end.alias("last"))
+    ranges = marked.where(F.col("first").isNotNull()).distinct()
+    entire = marked.groupBy("repo", "path").agg(F.count("first").alias("n")).where("n = 0").select("repo", "path")
     if untracked is not None:
         extra = untracked.where(strip(F.col("path")) != "").select("repo", strip(F.col("path")).alias("path")).distinct()
-        out = out.join(extra, ["repo", "path"], "left_anti")
+        ranges = ranges.join(extra, ["repo", "path"], "left_anti")
         entire = entire.unionByName(extra).distinct()
-    # A diff is small next to the files, and its lines are read several times by what follows.
-    return cut_lineage(out.unionByName(entire.withColumn("line", F.lit(None).cast("int"))))
+    none = F.lit(None).cast("int")
+    # A diff is small next to the files, and its ranges are read several times by what follows.
+    return cut_lineage(ranges.unionByName(entire.select("repo", "path", none.alias("first"), none.alias("last"))))

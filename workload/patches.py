@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codewarden.operators import history
+from codewarden.operators import custom, history
 from codewarden.sources import patches
 from workload import corpus
 
@@ -58,17 +58,35 @@ def hist_secrets(spark, sf):
     return history.secret_findings(log(spark, sf)).select("repo", "file", "line", "severity", "title", "snippet", "description")
 
 
+RULES = [
+    custom.CustomRule("token-then-password", r'token = "[0-9a-f]{32}"\npassword = ', "Two in a row.", "HIGH"),
+    custom.CustomRule("empty-then-token", r"\n(?=token = )", "A line before a token.", "LOW", 2, (".py",), "Look."),
+]
+
+
+def hist_rules(spark, sf):
+    """Rules over several added lines, with stretches so short that matches run over their ends."""
+    found = history.secret_findings(log(spark, sf), RULES, lines=3, halo=2).where("scanner = 'custom'")
+    return found.select("repo", "file", "line", "severity", "title", "snippet", "fix_phase", "fix_summary")
+
+
+def ranges(spark, sf):
+    return patches.changed_ranges(diff(spark, sf), untracked(spark, sf), BLOCK)
+
+
 def diff_filter(spark, sf):
     rows = corpus.findings(spark, sf).withColumn("file", F.regexp_replace("file", "^/work/r/", ""))
-    kept = history.on_changed_lines(rows, changed(spark, sf))
+    kept = history.on_changed_lines(rows, ranges(spark, sf))
     return kept.select("repo", "file", "line", "title", F.col("emit_seq.file_seq").alias("e2"))
 
 
 QUERIES = {
     "hist_added_lines": lambda spark, sf: patches.added_lines(log(spark, sf), BLOCK),
     "hist_secrets": hist_secrets,
+    "hist_rules": hist_rules,
     "hist_files": lambda spark, sf: history.diffs_scanned(log(spark, sf)),
     "diff_changed_lines": changed,
+    "diff_changed_ranges": ranges,
     "diff_filter": diff_filter,
 }
 
@@ -112,7 +130,14 @@ SELECT DISTINCT repo, path || ' @ ' || substr(sha, 1, 12) AS file, new_line AS l
   'Committed in ' || sha || '. ' || kind || ' found in the source. Anyone who can read this file can use the credential. Deleting it from the current code does not un-leak it — rotate the credential.' AS description
 FROM hits WHERE v <> ''
 QUALIFY row_number() OVER (PARTITION BY repo, sha, path, new_line, kind ORDER BY pos) = 1""",
+    "hist_rules": f"""{_ADDED}, pairs AS (SELECT *, lead(text) OVER (PARTITION BY repo, sha, path ORDER BY pos) AS next FROM added), hits AS (
+  SELECT *, 'token-then-password' AS title, 'HIGH' AS severity, 3 AS fix_phase, '' AS fix_summary FROM pairs WHERE regexp_matches(text, 'token = "[0-9a-f]{{32}}"$') AND starts_with(next, 'password = ')
+  UNION ALL SELECT *, 'empty-then-token', 'LOW', 2, 'Look.' FROM pairs WHERE starts_with(next, 'token = '))
+SELECT repo, path || ' @ ' || substr(sha, 1, 12) AS file, new_line AS line, severity, title, text AS snippet, CAST(fix_phase AS INTEGER) AS fix_phase, fix_summary FROM hits
+QUALIFY row_number() OVER (PARTITION BY repo, sha, path, new_line, title ORDER BY pos) = 1""",
     "hist_files": f"{_ADDED} SELECT repo, count(DISTINCT sha || path) AS files_scanned FROM added GROUP BY repo",
+    "diff_changed_ranges": f"""WITH {_CHANGED} SELECT DISTINCT repo, path, start AS first, CAST(start + n - 1 AS INTEGER) AS last FROM hunks h WHERE raw LIKE '@@%' AND n > 0
+  AND NOT EXISTS (SELECT 1 FROM extra e WHERE e.repo = h.repo AND e.path = h.path) UNION ALL SELECT repo, path, NULL, NULL FROM changed WHERE line IS NULL""",
     "diff_changed_lines": f"WITH {_CHANGED} SELECT * FROM changed",
     "diff_filter": f"""WITH {_CHANGED}, found AS (SELECT * REPLACE (replace(file, '/work/r/', '') AS file) FROM ({corpus.findings_sql()}))
 SELECT repo, file, line, title, e2 FROM found f WHERE NOT project_level
