@@ -2,6 +2,8 @@
 
 Rules are user input, so their patterns run in an Arrow-batched Python worker with Python's own
 regex engine: they keep the syntax they were written in, and no pattern can overflow a JVM stack.
+Only texts go there that some rule can match: of a suffix that it names, holding a literal that every match
+of it must hold (``functions.literals``). All other texts are NULL for the worker.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from codewarden import schemas
 from codewarden.functions import text as X
+from codewarden.functions.literals import Occurring, required
 from codewarden.operators.injection import HITS_DDL
 
 HITS = "_cus_hits"
@@ -112,24 +115,57 @@ def _matches(text: str, patterns) -> list[tuple[int, int, int]]:
     return hits
 
 
+# Up to so many literals are looked for in the JVM before a text is sent; of more, the worker's automaton decides.
+MAX_GATE = 64
+
+
+def can_match(rules: Sequence[CustomRule], suffix: str = "_suffix", content: str = "content") -> Column:
+    """Whether some rule names the suffix, or none, and has one of its necessary literals in the text."""
+    by_suffixes: dict[tuple[str, ...] | None, list[CustomRule]] = {}
+    for rule in rules:
+        by_suffixes.setdefault(None if rule.suffixes is None else tuple(sorted(set(rule.suffixes))), []).append(rule)
+    conditions = []
+    for suffixes, mine in by_suffixes.items():
+        needs = [required(rule.pattern) for rule in mine]
+        literals = {(literal, folded) for group, folded in needs if group for literal in group}
+        met = F.lit(True)
+        if all(group for group, _ in needs) and len(literals) <= MAX_GATE:
+            met = F.lit(False)
+            for folded in (False, True):
+                wanted = sorted(literal for literal, low in literals if low == folded)
+                text = F.lower(F.col(content)) if folded else F.col(content)
+                for literal in wanted:
+                    met = met | F.contains(text, F.lit(literal))
+        conditions.append(met if suffixes is None else F.col(suffix).isin(*suffixes) & met if suffixes else F.lit(False))
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
 def before_lines(rules: Sequence[CustomRule]) -> list[dict[str, Column]]:
     """Hits of the user's rules in rule order; comment lines are *not* skipped."""
     compiled = [(r.pattern, set(r.suffixes) if r.suffixes is not None else None) for r in rules]
 
     @F.pandas_udf(HITS_DDL)
     def match(suffix: pd.Series, content: pd.Series) -> pd.Series:
-        patterns = [(i, re.compile(p), only) for i, (p, only) in enumerate(compiled)]
-
-        def one(name: str, text: str) -> list[dict]:
-            wanted = [(i, p) for i, p, only in patterns if only is None or name in only]
+        patterns = [(i, re.compile(p), only, *required(p)) for i, (p, only) in enumerate(compiled)]
+        plain = Occurring({x for _, _, _, group, folded in patterns if group and not folded for x in group})
+        lower = Occurring({x for _, _, _, group, folded in patterns if group and folded for x in group})
+
+        def one(name: str, text: str | None) -> list[dict]:
+            if text is None:
+                return []
+            there, there_low = plain.of(text), lower.of(text.lower()) if lower.literals else set()
+            wanted = [
+                (i, p) for i, p, only, group, folded in patterns
+                if (only is None or name in only) and (group is None or not group.isdisjoint(there_low if folded else there))
+            ]
             return [
                 {"rule": i, "line": line, "part": 0, "a": i, "b": nth, "c": 0, "reachable": None}
                 for i, line, nth in _matches(text, wanted)
             ]
 
-        return pd.Series([one(s, t or "") for s, t in zip(suffix, content)])
+        return pd.Series([one(s, t) for s, t in zip(suffix, content)], dtype=object)
 
-    return [{HITS: match("_suffix", "content")}]
+    return [{HITS: match("_suffix", F.when(can_match(rules), F.col("content")))}]
 
 
 def wants_lines() -> Column:
@@ -141,8 +177,31 @@ def rule_rows(rules: Sequence[CustomRule]) -> list[tuple]:
 
 
 
+def with_needs(rules: DataFrame) -> DataFrame:
+    """Adds ``needs`` to rule rows: literals of which a match must hold one, as they are and in lower case, or ``open``."""
+
+    @F.pandas_udf("struct<open:boolean,plain:array<string>,low:array<string>>")
+    def needs(patterns: pd.Series) -> pd.DataFrame:
+        found = [required(p) for p in patterns]
+        sides = {name: [sorted(group) if group and folded == low else [] for group, low in found] for name, folded in (("plain", False), ("low", True))}
+        return pd.DataFrame({"open": [group is None for group, _ in found], **sides})
+
+    return rules.withColumn("needs", needs("pattern"))
+
+
 def rules_per_row(files: DataFrame) -> DataFrame:
-    """Findings of files that carry their own rules in ``_rules`` (an array of rule structs)."""
+    """Findings of files that carry their own rules in ``_rules`` (an array of rule structs, see :func:`with_needs`).
+
+    A file is sent to the worker when the suffix and a literal of one of its own rules let it match.
+    """
+    suffix, content = X.suffix_of(F.col("path")), F.col("content")
+
+    def possible(r: Column) -> Column:
+        fits = r["suffixes"].isNull() | F.array_contains(r["suffixes"], suffix)
+        plain = F.exists(r["needs"]["plain"], lambda x: F.contains(content, x))
+        return fits & (r["needs"]["open"] | plain | F.exists(r["needs"]["low"], lambda x: F.contains(F.lower(content), x)))
+
+    files = files.withColumn("_sent", F.when(F.exists("_rules", possible), content))
 
     @F.pandas_udf("array<struct<rule:int,line:int,nth:int>>")
     def match(suffix: pd.Series, content: pd.Series, rules: pd.Series) -> pd.Series:
@@ -156,10 +215,10 @@ def rules_per_row(files: DataFrame) -> DataFrame:
             ]
             return [{"rule": i, "line": line, "nth": nth} for i, line, nth in _matches(text, wanted)]
 
-        return pd.Series([one(s, t or "", r) for s, t, r in zip(suffix, content, rules)])
+        return pd.Series([[] if t is None else one(s, t, r) for s, t, r in zip(suffix, content, rules)], dtype=object)
 
     scanned = (
-        files.withColumn("_hits", match(X.suffix_of(F.col("path")), "content", "_rules"))
+        files.withColumn("_hits", match(X.suffix_of(F.col("path")), "_sent", "_rules"))
         .withColumn("_lines", F.when(F.size("_hits") > 0, X.split_lines(F.col("content"))))
     )
     rows = scanned.select(

@@ -108,6 +108,6 @@ def repo_findings(files: DataFrame, accepted: DataFrame) -> DataFrame:
     """
     rule = F.struct("source", "pos", "id", "pattern", "message", F.upper("severity").alias("severity"),
                     F.coalesce(F.col("fix_phase").cast("int"), F.lit(3)).alias("fix_phase"),
-                    F.from_json("suffixes", "array<string>").alias("suffixes"), F.coalesce("fix", F.lit("")).alias("fix"))
-    rules = accepted.groupBy("repo").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
+                    F.from_json("suffixes", "array<string>").alias("suffixes"), F.coalesce("fix", F.lit("")).alias("fix"), "needs")
+    rules = custom.with_needs(accepted).groupBy("repo").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
     return custom.rules_per_row(files.join(broadcast_if_small(rules), "repo"))

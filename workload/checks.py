@@ -77,6 +77,22 @@ def custom_scan(spark, sf):
     return found.select(*COLUMNS, "description", "fix_summary")
 
 
+RULE_FILE = """rules:
+  - {id: no-const, pattern: '\\bconst \\w+', message: "Avoid it.", severity: low, fix_phase: 2, suffixes: [".JS", ".ts"], fix: "Rename."}
+  - {id: hex-value, pattern: '(?P<quote>")[0-9a-f]{32,40}(?P=quote)', message: "Looks like a digest.", severity: HIGH}
+  - {id: broken, pattern: '(', message: "Never runs.", severity: HIGH}
+"""
+
+
+def scan_rule_files(spark, sf):
+    """Every second repository keeps rules of its own in a file; the others have none."""
+    files = corpus.files(spark, sf)
+    repos = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("repo")).distinct().where("length(repo) = 5")
+    own = repos.select("repo", F.lit("conf/rules.yml").alias("path"), F.lit(-1).cast("bigint").alias("file_seq"), F.lit(RULE_FILE).alias("content"))
+    found = scan(files.unionByName(own.select(*files.columns)), Options(scanners=("custom",), rule_files=("conf/rules.yml",)))
+    return found.select("repo", "file", "line", "title", "severity", "description", "fix_phase", "fix_summary")
+
+
 def raw_rules(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")
     return part.selectExpr(
@@ -189,6 +205,7 @@ QUERIES = {
     "hdr_csrf": hdr_csrf,
     "custom_scan": custom_scan,
     "rules_rejected": rules_rejected,
+    "scan_rule_files": scan_rule_files,
     "post_suppress": post_suppress,
     "agg_severity": agg_severity,
 }
@@ -324,6 +341,8 @@ ORACLES = {
     "hdr_csrf": _CSRF,
     "custom_scan": _CUSTOM,
     "rules_rejected": _RULES,
+    "scan_rule_files": f"""SELECT DISTINCT repo, file, line, title, severity, description, fix_phase, fix_summary FROM ({_CUSTOM})
+WHERE title <> 'run-on' AND length(repo) = 5 AND NOT (file LIKE '%.js' AND file NOT LIKE '%.min.js' AND line IN (24, 26))""",
     "post_suppress": " UNION ALL ".join(f"SELECT {', '.join(COLUMNS)} FROM ({sql}) WHERE NOT {_SILENCED}" for sql in [_INJECTED, injection._WEAK, *[injection.sink_sql(name) for name in injection._SINKS]]),
     "agg_severity": f"""SELECT repo, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
   count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low, count(*) AS total FROM {_DISTINCT} GROUP BY repo""",
