@@ -68,3 +68,13 @@ def version_key(version: Column, ecosystem: Column | None = None) -> Column:
     if ecosystem is None:
         return _semver_key(version)
     return F.when((ecosystem == "PyPI") & version.rlike(_PYPI), _pypi_key(version)).otherwise(_semver_key(version))
+
+
+def sort_key(version: Column, ecosystem: Column) -> Column:
+    """:func:`version_key` as one text that sorts by its bytes; no version's key is empty."""
+    plain = F.translate(version, "\x00\x01", "")
+    key = version_key(plain, ecosystem)
+    # A part ends below every character, and parts of one list are set apart just above that: fewer come before more.
+    return F.get(
+        F.transform(F.array(key), lambda k: F.concat(k["epoch"], F.lit("\x00"), F.array_join(k["release"], "\x01"), F.lit("\x00"), F.array_join(k["stage"], "\x01"), F.lit("\x00"))), 0
+    )

@@ -99,15 +99,43 @@ def affected_packages(advisories: DataFrame) -> DataFrame:
     )
 
 
+def affected_spans(advisories: DataFrame) -> DataFrame:
+    """(vuln_id, ecosystem, key, low, high, last): spans of versions, with the keys they compare by.
+
+    A version is affected when it is at least ``low``, below ``high`` and at most ``last`` (NULL: no such bound). A
+    span begins with each introduction and ends with the next fix of its range; keys are made once per event.
+    """
+    packages = affected_packages(advisories).select("vuln_id", "ecosystem", "key", F.explode("ranges").alias("r"))
+    events, ecosystem = F.col("r.events"), F.col("ecosystem")
+
+    def keys(field: str) -> Column:
+        named = F.filter(events, lambda e: e[field].isNotNull() & (e[field] != "0"))
+        return F.transform(named, lambda e: V.sort_key(e[field], ecosystem))
+
+    always = F.when(F.exists(events, lambda e: e["introduced"] == "0"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    bounds = packages.select(
+        "vuln_id", "ecosystem", "key", F.concat(always, keys("introduced")).alias("_lows"), keys("fixed").alias("_fixes"), F.array_min(keys("last_affected")).alias("last")
+    )
+    spans = F.transform("_lows", lambda low: F.struct(low.alias("low"), F.array_min(F.filter("_fixes", lambda f: f >= low)).alias("high")))
+    rows = bounds.select("vuln_id", "ecosystem", "key", "last", F.inline(spans)).where("high IS NULL OR high > low")
+    return rows.select("vuln_id", "ecosystem", "key", "low", "high", "last").distinct()
+
+
 def match(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """(ecosystem, key, version, vuln_id) of every distinct dependency an advisory covers."""
+    """(ecosystem, key, version, vuln_id) of every distinct dependency an advisory covers.
+
+    Each version and each event is made into a key once; a pair of one package costs comparisons of two texts.
+    """
     distinct = dependencies.select(
         "ecosystem", V.canonical_name(F.col("name"), F.col("ecosystem")).alias("key"), "version"
     ).distinct()
-    hits = distinct.join(affected_packages(advisories), ["ecosystem", "key"]).where(
-        is_affected(F.col("version"), F.col("ecosystem"), F.col("versions"), F.col("ranges"))
-    )
-    return hits.select("ecosystem", "key", "version", "vuln_id").distinct()
+    at = F.col("_at")
+    keyed = distinct.withColumn("_at", V.sort_key(F.col("version"), F.col("ecosystem")))
+    inside = (at >= F.col("low")) & (F.col("high").isNull() | (at < F.col("high"))) & (F.col("last").isNull() | (at <= F.col("last")))
+    in_span = keyed.join(affected_spans(advisories), ["ecosystem", "key"]).where(inside).select("ecosystem", "key", "version", "vuln_id")
+    listed = affected_packages(advisories).select("vuln_id", "ecosystem", "key", F.explode("versions").alias("version")).distinct()
+    by_name = distinct.join(listed, ["ecosystem", "key", "version"]).select("ecosystem", "key", "version", "vuln_id")
+    return in_span.unionByName(by_name).distinct()
 
 
 def advised(matches: DataFrame, details: DataFrame) -> DataFrame:
