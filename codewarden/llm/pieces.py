@@ -8,7 +8,10 @@ column for each that may lie across its end, and holds the weight of the best pa
 combine associatively, and their product tells which piece really lies across each boundary. Every chunk is
 then traced back by itself between its two boundary pieces.
 
-Inside a chunk no piece reaches over the start of a word, so words are segmented once per worker.
+The matrices of a document are small and quickly made: they are combined in halves where the document is split,
+and each chunk leaves with its two states. Chunks are then spread over all tasks, whatever document they are of,
+and traced; a document of one chunk is traced where it is read. Inside a chunk no piece reaches over the start of
+a word, so each distinct word is encoded once per worker, by the model itself.
 
 Defined results: a null text is empty and has no ids; characters that the model lacks become byte pieces;
 repeated rows are documents of their own; a null id is carried; an empty table gives no rows; other columns
@@ -18,14 +21,12 @@ are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.llm.text import map_rows, worker_store
-from codewarden.session import cut_lineage
 
 CHUNK = 8192
 SPACE = "▁"
@@ -49,10 +50,6 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         self.stable: dict[tuple[str, str], bool] = {}
         self.whole = {p: True for p in self.ids if self.merged(p) == [p]}  # pieces that the merges arrive at
-        # Two characters that stand together in no piece are never merged: a word is cut between them.
-        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        # Ends of pieces, and which of them are pieces: a longer piece needs all its shorter ends here.
-        self.ends = {p[k:]: False for p in self.whole for k in range(1, len(p))} | self.whole
         self.words: dict[str, bytes] = {}
         self.text = [b""] * n
         for p, i in self.ids.items():
@@ -89,34 +86,6 @@ class Vocabulary:
             known = self.stable[a, b] = self.merged(a + b) == [a, b]
         return known
 
-    def segment(self, word: str) -> list[str]:
-        """Pieces of a text between two cuts. Every beginning of it has one last piece, which is stable after the one before."""
-        last: list[str] = [""]
-        ends, stable = self.ends, self.stable
-        for end in range(1, len(word) + 1):
-            starts = [end - 1]
-            for start in range(end - 2, -1, -1):
-                kind = ends.get(word[start:end])
-                if kind is None:
-                    break
-                if kind:
-                    starts.append(start)
-            for start in reversed(starts):  # the longest first
-                piece = word[start:end]
-                if not start:
-                    break
-                before = stable.get((last[start], piece))
-                if before or (before is None and self.is_stable(last[start], piece)):
-                    break
-            else:
-                raise ValueError(f"no segmentation of {word[:end]!r}")
-            last.append(piece)
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
-
     def piece_ids(self, pieces: list[str]) -> bytes:
         out: list[int] = []
         for p in pieces:
@@ -125,28 +94,20 @@ class Vocabulary:
         return np.array(out, "<u4").tobytes()
 
     def word_ids(self, words: list[str]) -> bytes:
+        """Ids of words, each of which begins with a space and stands between two cuts."""
         known = self.words
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > _CACHE_WORDS:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._new_word(w)
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            # The model sets the first space itself; a lone one is its own piece.
+            found = self.model.encode([w.replace(SPACE, " ")[1:] for w in new], num_threads=1)
+            lone = [self.ids[SPACE]]
+            known.update((w, np.array(lone if w == SPACE else ids, "<u4").tobytes()) for w, ids in zip(new, found))
             return b"".join(map(known.__getitem__, words))
 
-    def _new_word(self, word: str) -> bytes:
-        joined, known = self.joined, self.words
-        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined), len(word)]
-        if len(cuts) == 2:
-            return self.piece_ids(self.segment(word))
-        parts = [word[a:b] for a, b in zip(cuts, cuts[1:])]
-        for part in parts:
-            if part not in known:
-                known[part] = self.piece_ids(self.segment(part))
-        return b"".join(map(known.__getitem__, parts))
-
     def normalized(self, text: str) -> str:
         return self.model.normalize(text) if text else ""
 
@@ -273,6 +234,27 @@ def boundaries(matrices: list[np.ndarray]) -> list[int]:
     return [int(np.argmax(x + y)) for x, y in zip(left, reversed(right))]
 
 
+def states(matrices: list[np.ndarray]) -> list[int]:
+    """:func:`boundaries` by halves: products of halves say what lies between them, and so on inside each half."""
+    known = [0] * (len(matrices) + 1)
+
+    def product(low: int, high: int) -> tuple:
+        if high - low == 1:
+            return matrices[low], None, None
+        middle = (low + high) // 2
+        left, right = product(low, middle), product(middle, high)
+        return combined(left[0], right[0]), left, right
+
+    pending = [(0, len(matrices), product(0, len(matrices)))]
+    while pending:
+        low, high, (_, left, right) = pending.pop()
+        if left is not None:
+            middle = (low + high) // 2
+            known[middle] = int(np.argmax(left[0][known[low]] + right[0][:, known[high]]))
+            pending += [(low, middle, left), (middle, high, right)]
+    return known
+
+
 def trace(v: Vocabulary, text: str, start: int, stop: int, state_in: tuple[int, int], state_out: tuple[int, int]) -> bytes:
     """Ids of the pieces that start in [start, stop), between two known boundary pieces."""
     first, last = _edges_of(text, start, stop)
@@ -329,41 +311,29 @@ def decode_ids(ids: bytes, path: str) -> str:
 def encode(docs: DataFrame, path: str, size: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, chunk, chunks, n_chars, ids: one row per chunk of each row.
 
-    Chunks are rows with the characters that a piece across a boundary may need; their matrices are computed
-    side by side, the small matrices of a document meet, and the chunks are traced back side by side again.
+    Chunks of longer documents move once, as text with the characters around them that a piece across a boundary may
+    need and with their two states.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    short = F.char_length("text") < size
+
+    def whole(it):
+        v = vocabulary(path)
+        for doc_id, text in it:
+            plain = v.normalized(text)
+            yield doc_id, 0, 1, len(text), trace(v, plain, 0, len(plain), CUT, CUT) if plain else b""
 
     def split(it):
         v = vocabulary(path)
         for doc_id, text in it:
             plain = v.normalized(text)
             starts = _starts(plain, size)
-            if len(starts) == 1:  # both ends are the document's: nothing to ask other chunks
-                ids = trace(v, plain, 0, len(plain), CUT, CUT) if plain else b""
-                yield doc_id, None, 0, 1, len(text), ids, None, 0, 0, None
-                continue
-            key = f"{doc_id} {zlib.crc32(text.encode('utf-8', 'surrogatepass')):08x} {len(text)}"
-            for k, start in enumerate(starts):
-                stop = min(len(plain), start + size)
+            stops = [min(len(plain), start + size) for start in starts]
+            found = states([transfer(v, plain, start, stop) for start, stop in zip(starts, stops)])
+            for k, (start, stop) in enumerate(zip(starts, stops)):
                 low, high = max(0, start - 2 * v.longest), min(len(plain), stop + 2 * v.longest)
-                m = transfer(v, plain, start, stop)
-                yield doc_id, key, k, len(starts), len(text), None, plain[low:high], start - low, stop - low, _packed(m)
-
-    ddl = "doc_id long, key string, chunk int, chunks int, n_chars long, ids binary, part string, lo int, hi int, matrix binary"
-    rows = cut_lineage(map_rows(own, split, ddl, 500))
-    done = rows.where("key IS NULL").select("doc_id", "chunk", "chunks", "n_chars", "ids")
-    parts = rows.where("key IS NOT NULL")
-
-    def states(frame):
-        import pandas as pd
-
-        frame = frame.drop_duplicates("chunk").sort_values("chunk")
-        found = boundaries([_unpacked(m) for m in frame.matrix])
-        return pd.DataFrame({"key": frame.key, "chunk": frame.chunk, "state_in": found[:-1], "state_out": found[1:]})
-
-    known = cut_lineage(parts.select("key", "chunk", "matrix").groupBy("key").applyInPandas(states, "key string, chunk int, state_in int, state_out int"))
+                yield doc_id, k, len(starts), len(text), plain[low:high], start - low, stop - low, found[k], found[k + 1]
 
     def back(it):
         v = vocabulary(path)
@@ -371,18 +341,10 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK, id_col: str = "doc_id"
             # Contexts end in the middle of words: states are counted on the context as on the whole text.
             yield doc_id, chunk, chunks, n, trace(v, part, lo, hi, boundary_states(v, part, lo)[state_in], boundary_states(v, part, hi)[state_out])
 
-    joined = parts.join(known, ["key", "chunk"]).select("doc_id", "chunk", "chunks", "n_chars", "part", "lo", "hi", "state_in", "state_out")
-    return done.unionByName(map_rows(joined, back, "doc_id long, chunk int, chunks int, n_chars long, ids binary", 500))
-
-
-def _packed(m: np.ndarray) -> bytes:
-    return np.array(m.shape, "<u4").tobytes() + np.packbits(m == 0).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    a, b = np.frombuffer(data[:8], "<u4").tolist()
-    bits = np.unpackbits(np.frombuffer(data[8:], np.uint8))[: a * b].reshape(a, b)
-    return np.where(bits, 0.0, -np.inf)
+    ddl = "doc_id long, chunk int, chunks int, n_chars long, ids binary"
+    parts = map_rows(own.where(~short), split, "doc_id long, chunk int, chunks int, n_chars long, part string, lo int, hi int, state_in int, state_out int", 500)
+    spread = parts.withColumn("_row", F.monotonically_increasing_id()).repartition("_row").drop("_row")
+    return map_rows(own.where(short), whole, ddl, 500).unionByName(map_rows(spread, back, ddl, 500))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

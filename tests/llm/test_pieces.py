@@ -56,3 +56,11 @@ def test_chunks_of_a_table(docs_of, odd):
 
 def test_empty_table(docs_of):
     assert pieces.digest(pieces.encode(docs_of([]), PATH), PATH).count() == 0
+
+
+def test_states_by_halves_are_the_states_along_the_line():
+    v, rnd = pieces.vocabulary(PATH), random.Random(5)
+    for size in (2, 7, 17, 40):
+        text = "▁" + "".join(rnd.choice(PARTS[:5] + ["▁x"]) for _ in range(120))
+        m = [pieces.transfer(v, text, s, min(len(text), s + size)) for s in range(0, len(text), size)]
+        assert pieces.states(m) == pieces.boundaries(m)
