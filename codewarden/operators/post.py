@@ -75,9 +75,14 @@ def merge_engines(native: DataFrame, reported: DataFrame) -> DataFrame:
     return native.unionByName(fresh, allowMissingColumns=True)
 
 
+def emission() -> Column:
+    """Where a finding stands among those of its repository: scanner, file (by its number, then its path), place in it."""
+    return F.struct(F.col("emit_seq.scanner"), F.col("emit_seq.file_seq"), F.col("file"), F.col("emit_seq"))
+
+
 def sort_key() -> list[Column]:
     """Severity first, ties in emission order."""
-    return [severity_rank(F.col("severity")), F.col("emit_seq")]
+    return [severity_rank(F.col("severity")), emission()]
 
 
 def sort(findings: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def badge(severity: Column) -> Column:
 
 def numbered(findings: DataFrame) -> DataFrame:
     """Adds ``seq``, the 1-based position of a finding in its repository's sorted report."""
-    order = [severity_rank(F.col("severity")), F.col("emit_seq"), F.col("file"), F.col("line"), F.col("title")]
+    order = [severity_rank(F.col("severity")), post.emission(), F.col("line"), F.col("title")]
     return range_rank(findings, ["repo"], order, "seq")
 
 
@@ -137,7 +137,7 @@ def json_document(
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """Distinct rules of each repository with their index in first-seen order."""
     keyed = findings.withColumn("rule_id", X.finding_id(F.col("scanner"), F.col("title")))
-    seen = F.struct(severity_rank(F.col("severity")).alias("r"), F.col("emit_seq").alias("s"), F.col("file").alias("f"), F.col("line").alias("l"))
+    seen = F.struct(severity_rank(F.col("severity")).alias("r"), post.emission().alias("s"), F.col("line").alias("l"))
     first = keyed.groupBy("repo", "rule_id").agg(
         F.min(seen).alias("seen"),
         F.min_by(F.struct("title", "description", "severity", "fix_summary", "references", "scanner"), seen).alias("f"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
@@ -11,16 +13,13 @@ from workload import corpus
 from workload.corpus import quoted as q
 
 ROOT = "/work/r"
+GATES = {"critical": 0, "HIGH": 1, "medium": 2, "low": 3, "never": -1}
 
 
 def found(spark, sf):
     return corpus.findings(spark, sf)
 
 
-def own(spark, sf):
-    return found(spark, sf).where(F.col("scanner") != "semgrep")
-
-
 def seq():
     return F.col("emit_seq.file_seq").alias("e2")
 
@@ -72,11 +71,18 @@ def ai_apply(spark, sf):
     return applied.select("repo", "file", "line", "title", "severity", "ai_confirmed", seq())
 
 
+def gate_exit_code(spark, sf):
+    """The gate of every repository at each level, those without findings included."""
+    rows, everyone = found(spark, sf), repos(spark, sf)
+    by_level = [post.exit_code(rows, level, everyone).select("repo", F.lit(level).alias("level"), "exit_code") for level in GATES]
+    return reduce(lambda a, b: a.unionByName(b), by_level)
+
+
 def baseline_keys(spark, sf):
     return baseline.with_keys(found(spark, sf), ROOT).select("repo", "id", "file", "line", "hash")
 
 
-def known(spark, sf):
+def knfound(spark, sf):
     return baseline.entries(found(spark, sf).where("severity IN ('LOW', 'HIGH')"), ROOT)
 
 
@@ -87,15 +93,15 @@ def baseline_write(spark, sf):
 
 
 def baseline_filter(spark, sf):
-    kept = baseline.filter_known(found(spark, sf), known(spark, sf), ROOT)
+    kept = baseline.filter_known(found(spark, sf), knfound(spark, sf), ROOT)
     return kept.select("repo", "file", "line", "title", "severity", seq())
 
 
 def documents_of(document):
-    """Document rows of own findings, collapsed to one row per key so that their order is total."""
+    """Document rows of all findings, collapsed to one row per key so that their order is total."""
 
     def query(spark, sf):
-        unique = post.dedupe(own(spark, sf))
+        unique = post.dedupe(found(spark, sf))
         return document(unique)
 
     return query
@@ -112,29 +118,29 @@ def repos(spark, sf):
 
 
 def report_json(spark, sf):
-    return report.json_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), ROOT, repos(spark, sf))
+    return report.json_document(post.dedupe(found(spark, sf)), files_scanned(spark, sf), ROOT, repos(spark, sf))
 
 
 def report_sarif(spark, sf):
-    unique = post.dedupe(own(spark, sf))
+    unique = post.dedupe(found(spark, sf))
     return report.sarif_results(unique).select("repo", "seq", "rule_id", "rule_index", "result")
 
 
 def report_sarif_rules(spark, sf):
-    rules = report.sarif_rules(post.dedupe(own(spark, sf)))
+    rules = report.sarif_rules(post.dedupe(found(spark, sf)))
     return rules.select("repo", "rule_id", "rule_index", "title", "severity")
 
 
 def report_sarif_document(spark, sf):
-    return report.sarif_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), repos(spark, sf))
+    return report.sarif_document(post.dedupe(found(spark, sf)), files_scanned(spark, sf), repos(spark, sf))
 
 
 def report_markdown(spark, sf):
-    return report.markdown_document(post.dedupe(own(spark, sf)), files_scanned(spark, sf), "2024-01-01 00:00 UTC", repos(spark, sf))
+    return report.markdown_document(post.dedupe(found(spark, sf)), files_scanned(spark, sf), "2024-01-01 00:00 UTC", repos(spark, sf))
 
 
 def report_prompts(spark, sf):
-    return report.prompt_document(post.dedupe(own(spark, sf)), repos(spark, sf))
+    return report.prompt_document(post.dedupe(found(spark, sf)), repos(spark, sf))
 
 
 def case_findings(spark, sf):
@@ -194,7 +200,7 @@ def names(spark, sf):
 QUERIES = {
     "post_sort": post_sort,
     "post_dedupe": post_dedupe,
-    "gate_exit_code": lambda spark, sf: post.exit_code(found(spark, sf).where("severity <> 'CRITICAL' OR repo IN ('r1', 'r2')").where("severity <> 'HIGH' OR repo = 'r3'"), "high"),
+    "gate_exit_code": gate_exit_code,
     "agg_phase": lambda spark, sf: post.phase_counts(found(spark, sf)),
     "agg_headline": lambda spark, sf: post.headline(post.severity_counts(found(spark, sf))).select("repo", "critical", "high", "medium", "low", "headline"),
     "merge_engines": merge_engines,
@@ -223,10 +229,9 @@ QUERIES = {
 # --- DuckDB side ----------------------------------------------------------------------------------
 
 _F = f"WITH found AS ({corpus.findings_sql()})"
-_ORDER = "srank, e1, e2, e3, e4, e5"
+_ORDER = "srank, e1, e2, file, e3, e4, e5"
 _ID = corpus.finding_id_sql()
-_UNIQUE = f"""{_F}, own AS (SELECT * FROM found WHERE scanner <> 'semgrep'),
-uniq AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY repo, file, line, scanner, title ORDER BY {_ORDER}) = 1),
+_UNIQUE = f"""{_F}, uniq AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY repo, file, line, scanner, title ORDER BY {_ORDER}) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}, file, line, title) AS seq FROM uniq),
 scanned AS (SELECT repo, count(DISTINCT file) AS files_scanned FROM found GROUP BY repo UNION ALL SELECT 'clean-' || lower(r_name), NULL FROM region),
 counts AS (SELECT repo, count(title) AS total, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
@@ -324,7 +329,9 @@ _SARIF_HEAD = (
 ORACLES = {
     "post_sort": f"{_F} SELECT repo, file, line, title, severity, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}, file, line, title) AS seq FROM found",
     "post_dedupe": f"{_F} SELECT repo, file, line, scanner, title, severity, e2 FROM found QUALIFY row_number() OVER (PARTITION BY repo, file, line, scanner, title ORDER BY {_ORDER}) = 1",
-    "gate_exit_code": f"{_F} SELECT repo, CAST(max(CASE WHEN srank <= 1 THEN 1 ELSE 0 END) AS INTEGER) AS exit_code FROM found WHERE (severity <> 'CRITICAL' OR repo IN ('r1', 'r2')) AND (severity <> 'HIGH' OR repo = 'r3') GROUP BY repo",
+    "gate_exit_code": f"""{_F}, levels(level, most) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in GATES.items())}),
+everyone AS (SELECT repo, min(srank) AS worst FROM found GROUP BY repo UNION ALL SELECT 'clean-' || lower(r_name), 99 FROM region)
+SELECT repo, level, CAST(CASE WHEN worst <= most THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM everyone, levels""",
     "agg_phase": f"{_F} SELECT repo, fix_phase, count(*) AS n FROM found GROUP BY ALL",
     "agg_headline": f"""{_F}, counts AS (SELECT repo, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
   count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low FROM found GROUP BY repo)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
+from codewarden.functions.ordering import range_rank
 from codewarden.operators import post, select
 from codewarden.rules import taint as T
+from codewarden.sources.files import file_seq
 from workload import corpus
 from workload.corpus import quoted as q
 
@@ -26,7 +28,14 @@ def collected(spark, sf):
     return select.collect(corpus.tree(spark, sf), EXCLUDE)
 
 
+def src_path_order(spark, sf):
+    """The collected files of each repository in the order that readers of file trees give them."""
+    numbered = collected(spark, sf).withColumn("seq", file_seq(F.col("path"))).select("repo", "path", "seq").distinct()
+    return range_rank(numbered, ["repo"], [F.col("seq"), F.col("path")], "nth").select("repo", "path", "nth")
+
+
 QUERIES = {
+    "src_path_order": src_path_order,
     "src_collect": lambda spark, sf: collected(spark, sf).select(*COLUMNS),
     "src_named": where(lambda: select.is_named(F.col("path"))),
     "src_skipdirs": where(lambda: ~select.in_skipped_dir(F.col("path"))),
@@ -55,6 +64,7 @@ _OUT = "repo, path, file_seq"
 _LANGUAGE = "CASE suffix " + " ".join(f"WHEN {q(s)} THEN {q(v)}" for s, v in X.LANGUAGE_BY_SUFFIX.items()) + " ELSE '' END"
 
 ORACLES = {
+    "src_path_order": f"{_COLLECTED}, paths AS (SELECT DISTINCT repo, path FROM collected) SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS nth FROM paths",
     "src_collect": f"{_COLLECTED} SELECT {_OUT} FROM collected",
     "src_named": f"{_TREE} SELECT {_OUT} FROM tree WHERE {_NAMED}",
     "src_skipdirs": f"{_TREE} SELECT {_OUT} FROM tree WHERE NOT {_SKIP}",
