@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codewarden import schemas
 from codewarden.functions.text import lookup, strip
+from codewarden.session import cut_lineage
 
 # Severity names and score bands of the report formats.
 SEMGREP_SEVERITY = {
@@ -119,43 +120,60 @@ def _score_severity(score: Column, level: Column) -> Column:
     return F.when(usable, banded).otherwise(lookup(F.lower(F.coalesce(level, F.lit(""))), SARIF_LEVELS, "MEDIUM"))
 
 
-def sarif(reports: DataFrame, root: str = "") -> DataFrame:
-    """Findings of SARIF reports; each result is joined to its rule inside its own run."""
+def sarif_rows(reports: DataFrame) -> DataFrame:
+    """Rules and results of SARIF reports as rows of one table: repo, doc, run, nth, is_rule, rule_id and their fields."""
     parsed, _ = documents(reports)
     runs = parsed.select("repo", "doc", F.posexplode(objects(field(F.col("_v"), "runs"))).alias("run", "r"))
-    rules = F.map_from_entries(
-        F.aggregate(
-            F.transform(
-                objects(field(F.col("r"), "tool.driver.rules")),
-                lambda e: F.struct(F.coalesce(text(e, "id"), F.lit("None")).alias("key"), e.alias("value")),
-            ),
-            F.array().cast("array<struct<key:string,value:variant>>"),
-            lambda kept, e: F.array_append(F.filter(kept, lambda k: k["key"] != e["key"]), e),
-        )
-    )
-    rows = runs.withColumn("_rules", rules).select(
-        "repo", "doc", "run", "_rules", F.posexplode(objects(field(F.col("r"), "results"))).alias("nth", "x")
-    )
-    x = F.col("x")
-    rule_id = F.coalesce(F.when(text(x, "ruleId") != "", text(x, "ruleId")), F.lit("codeql-rule"))
-    rule = F.col("_rules")[rule_id]
-    physical = field(F.get(elements(field(x, "locations")), 0), "physicalLocation")
-    uri = F.coalesce(text(physical, "artifactLocation.uri"), F.lit(""))
-    line = integer(physical, "region.startLine")
-    message = strip(F.coalesce(text(x, "message.text"), F.lit("")))
-    score = F.try_variant_get(rule, "$.properties['security-severity']", "string").try_cast("double")
-    help_uri = text(rule, "helpUri")
+    none = F.lit(None).cast("string")
+
+    def row(nth: Column, is_rule: bool, rule_id: Column, score=none, help_uri=none, level=none, message=none, uri=none, line=F.lit(None).cast("int"), snippet=none) -> Column:
+        values = {"score": score, "help_uri": help_uri, "level": level, "message": message, "uri": uri, "line": line.cast("int"), "snippet": snippet}
+        return F.struct(nth.alias("nth"), F.lit(is_rule).alias("is_rule"), rule_id.alias("rule_id"), *[c.alias(n) for n, c in values.items()])
+
+    def rule(e: Column, nth: Column) -> Column:
+        return row(nth, True, F.coalesce(text(e, "id"), F.lit("None")), F.try_variant_get(e, "$.properties['security-severity']", "string"), text(e, "helpUri"))
+
+    def result(x: Column, nth: Column) -> Column:
+        physical = field(F.get(elements(field(x, "locations")), 0), "physicalLocation")
+        line = integer(physical, "region.startLine")
+        return row(
+            nth, False, F.coalesce(F.when(text(x, "ruleId") != "", text(x, "ruleId")), F.lit("codeql-rule")), none, none, text(x, "level"),
+            strip(F.coalesce(text(x, "message.text"), F.lit(""))), F.coalesce(text(physical, "artifactLocation.uri"), F.lit("")),
+            F.when(line > 0, line).otherwise(F.lit(1)), strip(F.coalesce(text(physical, "region.snippet.text"), F.lit(""))),
+        )
+
+    rules = F.transform(objects(field(F.col("r"), "tool.driver.rules")), rule)
+    results = F.transform(objects(field(F.col("r"), "results")), result)
+    return runs.select("repo", "doc", "run", F.inline(F.concat(rules, results)))
+
+
+def sarif(reports: DataFrame, root: str = "") -> DataFrame:
+    """Findings of SARIF reports; each result is joined to its rule inside its own run.
+
+    A report is parsed once into rows of rules and results, which are written and split. Of a run's rules with one id
+    the last holds; those that say something (a score, an address) are one row each, and a run with very many results
+    or rules is no group: the join on (run, rule) is split where a rule is hot.
+    """
+    rows = cut_lineage(sarif_rows(reports))
+    key = ["repo", "doc", "run", "rule_id"]
+    last = rows.where("is_rule").groupBy(*key).agg(F.max_by(F.struct("score", "help_uri"), "nth").alias("r"))
+    rules = last.select(*key, "r.*").where("score IS NOT NULL OR help_uri IS NOT NULL")
+    found = rows.where("NOT is_rule").drop("score", "help_uri")
+    named = rules.select(*[F.col(c).alias(f"_{c}") for c in key], "score", "help_uri")
+    met = [found[c].eqNullSafe(named[f"_{c}"]) if c in ("repo", "doc") else found[c] == named[f"_{c}"] for c in key]
+    joined = found.join(named, met, "left")
+    rule_id, message, help_uri = F.col("rule_id"), F.col("message"), F.col("help_uri")
     prefix = F.lit(f"{root}/" if root else "")
     return schemas.as_findings(
-        rows.select(
+        joined.select(
             "repo",
-            F.when(uri != "", F.concat(prefix, normal_path(uri))).otherwise(F.lit(root or ".")).alias("file"),
-            F.when(line > 0, line).otherwise(F.lit(1)).cast("int").alias("line"),
-            _score_severity(score, text(x, "level")).alias("severity"),
+            F.when(F.col("uri") != "", F.concat(prefix, normal_path(F.col("uri")))).otherwise(F.lit(root or ".")).alias("file"),
+            "line",
+            _score_severity(F.col("score").try_cast("double"), F.col("level")).alias("severity"),
             rule_id.alias("title"),
             F.when(message != "", message).otherwise(F.concat(F.lit("CodeQL rule "), rule_id, F.lit(" matched."))).alias("description"),
             F.lit("codeql").alias("scanner"),
-            strip(F.coalesce(text(physical, "region.snippet.text"), F.lit(""))).alias("snippet"),
+            "snippet",
             F.lit(3).alias("fix_phase"),
             F.concat(F.lit("See CodeQL rule "), rule_id, F.lit(".")).alias("fix_summary"),
             F.when(help_uri != "", F.array(help_uri)).otherwise(F.array().cast("array<string>")).alias("references"),
