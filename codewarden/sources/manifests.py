@@ -145,6 +145,15 @@ def lock_entries(lockfiles: DataFrame) -> DataFrame:
     )
 
 
+def broken_lockfiles(lockfiles: DataFrame) -> DataFrame:
+    """(repo, path, reason) of lockfiles ``(repo, path, content)`` that hold no entries to read: a warning per file."""
+    parsed = F.try_parse_json("content")
+    kind = F.schema_of_variant(parsed)
+    reason = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", F.lit("empty file")).when(parsed.isNull(), F.lit("invalid JSON"))
+    reason = reason.when(~kind.startswith("OBJECT"), F.lit("not an object"))
+    return lockfiles.select("repo", "path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def preferred_lockfiles(files: DataFrame) -> DataFrame:
     """One lockfile per directory: package-lock.json before npm-shrinkwrap.json."""
     name = X.file_name(F.col("path"))

@@ -163,6 +163,25 @@ def lock(name):
     return query
 
 
+_BROKEN = "CASE p_partkey % 7 WHEN 1 THEN substr(content, 1, length(content) - 3) WHEN 2 THEN ' ' WHEN 3 THEN concat('[', content, ']') ELSE content END"
+
+
+def broken(spark, sf):
+    """The lockfiles, some of them cut short, blank, or inside a list."""
+    number = F.expr("cast(substr(repo, 2) AS bigint)").alias("p_partkey")
+    locks = files(spark, sf).where(F.col("path").rlike("(package-lock|npm-shrinkwrap)[.]json$"))
+    return locks.select("repo", "path", "content", number).withColumn("content", F.expr(_BROKEN))
+
+
+def deps_rejects(spark, sf):
+    return M.broken_lockfiles(broken(spark, sf))
+
+
+def deps_broken_entries(spark, sf):
+    """What the readable ones among them give."""
+    return M.lock_entries(broken(spark, sf)).select("repo", "path", "line", "name", "version", "raw")
+
+
 def fix_pin(spark, sf):
     return fix.pin_fixes(found(spark, sf), files(spark, sf)).select("repo", "file", "line", "title", "old_line", "new_line", "new_content", "summary")
 
@@ -185,6 +204,8 @@ QUERIES = {
     "deps_pins": lambda spark, sf: M.pins(files(spark, sf).where(F.col("path").endswith("requirements.txt"))).select("repo", "path", "line", "name", "version", "raw"),
     "deps_lock_v3": lock("package-lock.json"),
     "deps_lock_v1": lock("npm-shrinkwrap.json"),
+    "deps_rejects": deps_rejects,
+    "deps_broken_entries": deps_broken_entries,
     "deps_missing_lock": lambda spark, sf: M.missing_lockfiles(files(spark, sf)),
     "deps_vulns": lambda spark, sf: found(spark, sf).select(*COLUMNS),
     "deps_first_fix": deps_first_fix,
@@ -227,6 +248,9 @@ ORACLES = {
     "deps_pins": f"{_P} SELECT {_ENTRY} FROM ({_PINS})",
     "deps_lock_v3": f"{_P} SELECT {_ENTRY} FROM ({_V3})",
     "deps_lock_v1": f"{_P} SELECT {_ENTRY} FROM ({_V1})",
+    "deps_rejects": f"""{_P} SELECT repo, dir || file AS path, CASE p_partkey % 7 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'empty file' ELSE 'not an object' END AS reason
+FROM (SELECT *, 'package-lock.json' AS file FROM p WHERE {_FLAT} UNION ALL SELECT *, 'npm-shrinkwrap.json' FROM p WHERE {_NEST}) WHERE p_partkey % 7 IN (1, 2, 3)""",
+    "deps_broken_entries": f"{_P} SELECT {_ENTRY} FROM (SELECT * FROM ({_V3}) UNION ALL SELECT * FROM ({_V1})) WHERE p_partkey % 7 NOT IN (1, 2, 3)",
     "deps_missing_lock": f"{_P} SELECT repo, regexp_replace(dir, '/$', '') AS root, 'package.json without a lockfile; npm dependencies not scanned (generate one with `npm install --package-lock-only`)' AS warning FROM p WHERE {_PKG} AND NOT ({_FLAT}) AND NOT ({_NEST})",
     "deps_vulns": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_SEVERITY} AS severity, {_TITLE} AS title, {_SUMMARY} || ' (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || ' to >=' || {_FIXED} AS fix_summary FROM hit",
     "deps_first_fix": "SELECT 'GHSA-' || replace(p_name, ' ', '-') AS id, eco AS ecosystem, CASE eco WHEN 'PyPI' THEN '1.25.0' ELSE '1.5.0-rc.1' END AS fixed FROM (SELECT DISTINCT p_name FROM part), (VALUES ('PyPI'), ('npm')) AS e(eco)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -135,6 +136,13 @@ def report_sarif_document(spark, sf):
     return report.sarif_document(post.dedupe(found(spark, sf)), files_scanned(spark, sf), repos(spark, sf))
 
 
+def report_written(spark, sf):
+    """The SARIF documents as files: written by the sink, and their lines read back."""
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    report.write_documents(report_sarif_document(spark, sf), path)
+    return spark.read.schema("value string, repo string").text(path).select("repo", F.col("value").alias("text"))
+
+
 def report_markdown(spark, sf):
     return report.markdown_document(post.dedupe(found(spark, sf)), files_scanned(spark, sf), "2024-01-01 00:00 UTC", repos(spark, sf))
 
@@ -216,6 +224,7 @@ QUERIES = {
     "report_sarif": report_sarif,
     "report_sarif_document": report_sarif_document,
     "report_sarif_rules": report_sarif_rules,
+    "report_written": report_written,
     "report_markdown": report_markdown,
     "report_prompts": report_prompts,
     "report_diagnostics": lambda spark, sf: report.diagnostics(found(spark, sf), "/ws"),
@@ -387,3 +396,4 @@ parts AS (SELECT category, CASE WHEN hit THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE
 sums AS (SELECT coalesce(category, 'all') AS category, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM parts GROUP BY ROLLUP (category))
 SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM sums""",
 }
+ORACLES["report_written"] = f"SELECT repo, text FROM ({ORACLES['report_sarif_document']})"
