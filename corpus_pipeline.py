@@ -2,13 +2,17 @@
 
 All stages but the last return the columns of ``documents``. A row with a null id stays where a stage
 cannot judge it. Texts that a stage shortens keep their row, and ``n_chars`` follows the text.
+
+Defined results: a null text is no toxic one and has no copies, passages or secrets, and is packed as its end id
+alone; so is an empty one. Long texts are read whole. Of rows with one id and one text one stays; rows of one id with
+different texts all stay unless the id is a copy of a smaller one. Empty documents, or labels, give a model that
+rejects nothing, and empty stages. Other columns are left out by the first stage, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows of one id and text, the one with the smallest language, source and size stays.
     """
     gone = neardup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct()
-    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
-    named = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*").join(gone, "doc_id", "left_anti")
+    # Rows of an id are told apart by a digest: keys are short, and a text is carried once.
+    digest = F.md5(F.coalesce("text", F.lit(""))).alias("_digest")
+    first = F.min_by(F.struct("text", "lang", "source", "n_chars"), F.struct("lang", "source", "n_chars")).alias("first")
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    named = kept.groupBy("doc_id", digest, F.col("text").isNull().alias("_none")).agg(first).select("doc_id", "first.*")
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
@@ -51,6 +58,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 2048 token ids."""
+    import public_tokenizers
+
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text_key")
 
 
