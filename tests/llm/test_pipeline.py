@@ -59,3 +59,27 @@ def test_rows_of_one_id(spark, prose):
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text, r.lang, r.source) for r in C.drop_near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, texts[0], "en", "a"), (1, texts[1], "en", "b"), (2, texts[2], "en", "s"), (4, None, "en", "s")], key=str)
+
+
+def test_empty_tables_and_odd_rows(spark, tmp_path, prose):
+    """No rows, no labels, nulls, empty and very long texts, repeated rows, and columns with names of the stages' own."""
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("none", "odd"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert C.run(spark, f"{tmp_path}/none").count() == 0
+    same, long = prose(80, 5), " ".join(prose(300, i) for i in range(40))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, same), (6, same), (6, same), (None, same), (None, None), (7, long)]
+    odd = spark.createDataFrame([(i, t, "en", None, len(t or ""), "x", 1, "y") for i, t in rows], f"{ddl}, _score string, _digest int, first string")
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs = odd
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd")
+        assert docs.columns == COLUMNS
+        docs.write.parquet(f"{tmp_path}/step")
+        docs = spark.createDataFrame(spark.read.parquet(f"{tmp_path}/step").collect(), ddl)
+        spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{tmp_path}/step"), True)
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == sorted([1, 2, 3, 4, 5, 7, None, None], key=str)
+    pieces = C.run(spark, f"{tmp_path}/odd").collect()
+    tokens = {p.doc_id: p.doc_tokens for p in pieces}
+    assert tokens[1] == tokens[2] == 1 and sum(p.length for p in pieces if p.doc_id == 7) == tokens[7] > 20_000
