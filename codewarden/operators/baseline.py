@@ -39,15 +39,16 @@ def write(findings: DataFrame, path: str, root: str | None = None) -> None:
 
 
 def read(spark, path: str) -> DataFrame:
-    """Entries of a written baseline; a row without all of its fields is an error."""
+    """Entries of a written baseline; a row without all of its fields is an error, raised here and not in a later job."""
     rows = spark.read.schema("repo string, id string, file string, hash string, _bad string").option(
         "columnNameOfCorruptRecord", "_bad"
     ).json(path)
     bad = F.col("_bad").isNotNull() | F.col("id").isNull() | F.col("file").isNull() | F.col("hash").isNull()
-    message = F.lit(f"baseline {path} has a malformed entry; write it again")
-    return rows.select(
-        *[F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col(c)).alias(c) for c in KEY]
-    )
+    entry = F.struct(*KEY, "_bad")
+    first = rows.select(entry.alias("entry"), bad.alias("bad")).where("bad").select(F.to_json("entry").alias("entry")).take(1)
+    if first:
+        raise ValueError(f"baseline {path} has a malformed entry; write it again: {first[0]['entry']}")
+    return rows.select(*KEY)
 
 
 def filter_known(findings: DataFrame, known: DataFrame, root: str | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def _emitted(names: tuple[str, ...], signals: bool) -> Column:
 
 
 def rule_texts(spark, scanners: Sequence[str], rules: Sequence[custom.CustomRule] = ()) -> DataFrame:
-    """The rule dimension: a few dozen fixed rows and the user's own rules."""
+    """The rule dimension: a few dozen fixed rows and the user's own rules, which are settings of the driver."""
     rows = []
     for name in scanners:
         found = custom.rule_rows(rules) if name == "custom" else _MODULES[name].rule_rows()

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own below the shared one for all that ``cut_lineage`` writes inside; removed at the end.
+
+    Write or collect results before the end: they read the tables in it.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    held = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(held)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder, and read back.
 
     Survives lost executors, is read column by column, and has a known size for later joins. For
-    results that several branches of a plan read; the folder is the owner's to clean.
+    results that several branches of a plan read. Inside ``scratch`` the table goes with its folder; else the shared
+    folder is the owner's to clean.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
