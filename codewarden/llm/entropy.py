@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,33 +82,48 @@ def _mixed(text: str) -> bool:
     return any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
 
 
+def _union(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans joined where they overlap or touch, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _rest(lo: int, hi: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What ``taken`` leaves of a span."""
-    out = []
-    for a, b in sorted(t for t in taken if t[0] < hi and lo < t[1]):
+    """What ``taken`` (in order, apart from each other) leaves of a span; only spans that meet it are looked at."""
+    out, i = [], max(0, bisect_right(taken, (lo, math.inf)) - 1)
+    while i < len(taken) and taken[i][0] < hi:
+        a, b = taken[i]
         if a > lo:
             out.append((lo, a))
-        lo = max(lo, b)
+        lo, i = max(lo, b), i + 1
     return out + [(lo, hi)] if lo < hi else out
 
 
 def entropy_spans(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
-    taken = [(a, b) for _, a, b in known]
+    before = _union([(a, b) for _, a, b in known])
     for m in CANDIDATE.finditer(text):
         if any(p.fullmatch(m[0]) for p in ALLOW):
             continue
+        fresh: list[tuple[int, int]] = []  # spans of this candidate by the classes so far
         for kind, characters, width, bits in CLASSES:
+            mine: list[tuple[int, int]] = []
             for run in characters.finditer(text, m.start(), m.end()):
                 for lo, hi in windows(text, run.start(), run.end(), width, bits):
                     inner = text[lo:hi]
                     if not _mixed(inner):
                         continue
-                    rest = _rest(lo, hi, taken)
+                    rest = [left for part in _rest(lo, hi, before) for left in _rest(*part, fresh)]
                     if rest != [(lo, hi)]:  # what stands beside a known span may be its name
                         rest = [(a, b) for a, b in rest if not any(p.fullmatch(text[a:b].strip("+/_.=-")) for p in ALLOW) and _mixed(text[a:b])]
-                    out += [(kind, a, b) for a, b in rest]
-                    taken += rest
+                    mine += rest
+            out += [(kind, a, b) for a, b in mine]
+            fresh = _union(fresh + mine)
     return out
 
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from codewarden.llm import entropy
 
@@ -58,6 +59,57 @@ def test_what_a_known_span_leaves_of_a_run():
     assert [k for k, _, _ in entropy.spans(text)] == ["entropy_base64", "access", "entropy_base64"]
 
 
+def _by_all_spans(text):
+    """Entropy spans with every span so far looked at for each window."""
+    out, taken = [], [(a, b) for _, a, b in entropy.base_spans(text)]
+    for m in entropy.CANDIDATE.finditer(text):
+        if any(p.fullmatch(m[0]) for p in entropy.ALLOW):
+            continue
+        for kind, characters, width, bits in entropy.CLASSES:
+            for run in characters.finditer(text, m.start(), m.end()):
+                for lo, hi in entropy.windows(text, run.start(), run.end(), width, bits):
+                    if not entropy._mixed(text[lo:hi]):
+                        continue
+                    free = [i for i in range(lo, hi) if not any(a <= i < b for a, b in taken)]
+                    rest = [(free[i], free[j]) for i, j in _stretches(free)]
+                    rest = [(a, b + 1) for a, b in rest]
+                    if rest != [(lo, hi)]:
+                        rest = [(a, b) for a, b in rest if not any(p.fullmatch(text[a:b].strip("+/_.=-")) for p in entropy.ALLOW) and entropy._mixed(text[a:b])]
+                    out += [(kind, a, b) for a, b in rest]
+                    taken += rest
+    return out
+
+
+def _stretches(places):
+    cuts = [i for i in range(1, len(places)) if places[i] != places[i - 1] + 1]
+    return list(zip([0, *cuts], [*(c - 1 for c in cuts), len(places) - 1])) if places else []
+
+
+def test_spans_are_those_of_looking_at_all():
+    rnd = random.Random(8)
+    hexa, wide = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randint(1, 6)):
+            kind = rnd.randint(0, 4)
+            parts.append(["".join(rnd.choice(hexa) for _ in range(rnd.randint(20, 60))), "".join(rnd.choice(wide) for _ in range(rnd.randint(10, 60))), "AKIA" + "ABCDEFGH12345678", "tok" + "en=" + "".join(rnd.choice(wide) for _ in range(12)), "word"][kind])
+            parts.append(rnd.choice(["/", "-", " ", ".", "_", ""]))
+        text = "".join(parts)
+        assert entropy.entropy_spans(text, entropy.base_spans(text)) == _by_all_spans(text), text
+
+
+def test_very_many_secrets_of_one_text_are_linear():
+    rnd = random.Random(9)
+    one = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    took = []
+    for n in (5_000, 20_000):
+        text = " ".join("AKIA" + "ABCDEFGH12345678/" + one() for _ in range(n))
+        start = time.process_time()
+        assert len(entropy.spans(text)) >= 2 * n - n // 50
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]
+
+
 def test_whole_texts_against_the_contract(spark, docs_of, odd, prose):
     secret = "TOK" + "EN: '" + KEY + "'"
     rows = [*odd, (20, secret), (21, "x " * 60_000 + secret + " ſecret=" + "a" * 9 + " api" + "key=short to" + "ken=" + "a" * 8), (22, "0" * 31 + " " + "f" * 40 + "é" + "a" * 32)]
