@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from codewarden.llm.text import map_rows
 from codewarden.session import cut_lineage
 
-#: Labelled rows that the model is fitted on (chosen by a hash of the id), and terms of the lexicon, at most.
-SAMPLE_ROWS, MAX_TERMS = 24_000, 4_000
+#: Labelled rows that the model is fitted on (chosen by a hash of the id), at most; they bound the terms of the lexicon.
+SAMPLE_ROWS = 24_000
 PREFIXES = range(4, 9)
 MIN_TOXIC, MIN_SHARE = 4, 0.9
 WINDOW = 60  # characters on either side of a match
@@ -88,7 +88,7 @@ def choose(counts: dict[str, tuple[int, int]], base: float, tried: int) -> dict[
         # A whole word that is most of its beginning's documents stays: it can be matched with edits.
         if not covered or (term.startswith("=") and len(word) >= 5 and any(strong[term][0] >= 0.5 * strong[s][0] for s in shorter if s in kept)):
             kept[term] = weight(strong[term])
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
+    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
 class Automaton:
