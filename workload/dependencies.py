@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codewarden.operators import deps, fix
+from codewarden.session import shared_dir
 from codewarden.sources import manifests as M
 from workload import corpus
 from workload.corpus import quoted as q
@@ -148,6 +151,18 @@ def deps_no_details(spark, sf):
     return deps.findings_of(everything, matches, known.where("length(id) % 2 = 0")).select(*COLUMNS)
 
 
+def deps_read_advisories(spark, sf):
+    """The advisories as published files, one object each, and what the reader takes from them."""
+    path = f"{shared_dir(spark)}/advisories-{uuid.uuid4().hex}"
+    extra = F.struct(F.lit("1.6.0").alias("schema_version"), F.array(F.lit("CVE-1")).alias("aliases"))
+    advisories(spark, sf).withColumn("_more", extra).write.option("maxRecordsPerFile", 1).json(path)
+    read = deps.read_advisories(spark, path)
+    entries = deps.affected_packages(read)
+    return entries.groupBy("vuln_id").agg(
+        F.count(F.lit(1)).alias("packages"), F.sum(F.size("ranges")).alias("ranges"), F.sum(F.coalesce(F.size("versions"), F.lit(0))).alias("versions")
+    )
+
+
 def deps_first_fix(spark, sf):
     a = advisories(spark, sf)
     rows = a.select("id", "affected", F.explode(F.array(F.lit("PyPI"), F.lit("npm"))).alias("ecosystem"))
@@ -209,6 +224,7 @@ QUERIES = {
     "deps_missing_lock": lambda spark, sf: M.missing_lockfiles(files(spark, sf)),
     "deps_vulns": lambda spark, sf: found(spark, sf).select(*COLUMNS),
     "deps_first_fix": deps_first_fix,
+    "deps_read_advisories": deps_read_advisories,
     "deps_no_details": deps_no_details,
     "fix_pin": fix_pin,
     "fix_pin_verify": fix_pin_verify,
@@ -253,6 +269,7 @@ FROM (SELECT *, 'package-lock.json' AS file FROM p WHERE {_FLAT} UNION ALL SELEC
     "deps_broken_entries": f"{_P} SELECT {_ENTRY} FROM (SELECT * FROM ({_V3}) UNION ALL SELECT * FROM ({_V1})) WHERE p_partkey % 7 NOT IN (1, 2, 3)",
     "deps_missing_lock": f"{_P} SELECT repo, regexp_replace(dir, '/$', '') AS root, 'package.json without a lockfile; npm dependencies not scanned (generate one with `npm install --package-lock-only`)' AS warning FROM p WHERE {_PKG} AND NOT ({_FLAT}) AND NOT ({_NEST})",
     "deps_vulns": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_SEVERITY} AS severity, {_TITLE} AS title, {_SUMMARY} || ' (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || ' to >=' || {_FIXED} AS fix_summary FROM hit",
+    "deps_read_advisories": "SELECT DISTINCT 'GHSA-' || replace(p_name, ' ', '-') AS vuln_id, 2 AS packages, 4 AS ranges, 1 AS versions FROM part",
     "deps_first_fix": "SELECT 'GHSA-' || replace(p_name, ' ', '-') AS id, eco AS ecosystem, CASE eco WHEN 'PyPI' THEN '1.25.0' ELSE '1.5.0-rc.1' END AS fixed FROM (SELECT DISTINCT p_name FROM part), (VALUES ('PyPI'), ('npm')) AS e(eco)",
     "deps_no_details": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, CASE WHEN length(id) % 2 = 0 THEN {_SEVERITY} ELSE 'HIGH' END AS severity, {_TITLE} AS title, CASE WHEN length(id) % 2 = 0 THEN {_SUMMARY} ELSE 'Known vulnerability (details unavailable).' END || ' (source: OSV.dev)' AS description, raw AS snippet, 'Upgrade ' || name || CASE WHEN length(id) % 2 = 0 THEN ' to >=' || {_FIXED} ELSE ' to a patched release' END AS fix_summary FROM hit",
     "fix_pin_verify": f"{_DEPS} SELECT repo, path AS file, CAST(line AS INTEGER) AS line, {_TITLE} AS title, length(repo) % 2 <> 0 AS fixed FROM hit WHERE eco = 'PyPI'",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codewarden.functions import text as X
 from codewarden.functions.ordering import range_rank
 from codewarden.operators import post, select
 from codewarden.rules import taint as T
-from codewarden.sources.files import file_seq
+from codewarden.session import shared_dir
+from codewarden.sources.files import file_seq, read_tree
 from workload import corpus
 from workload.corpus import quoted as q
 
@@ -34,7 +37,24 @@ def src_path_order(spark, sf):
     return range_rank(numbered, ["repo"], [F.col("seq"), F.col("path")], "nth").select("repo", "path", "nth")
 
 
+def src_read_tree(spark, sf):
+    """A note per supplier as a file of a tree, read back: their repositories, order and texts.
+
+    File names are the writer's, so texts tell the files apart.
+    """
+    path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("repo"), "s_suppkey", "s_name")
+    text = F.concat("s_name", F.lit("\n"), F.expr("cast(unhex('c3a9') AS string)"), F.lit(" "), F.col("s_suppkey").cast("string"))
+    s.select("repo", text.alias("value")).write.partitionBy("repo").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    rows = read_tree(spark, path).where(F.col("path").endswith(".txt")).select(F.regexp_replace("repo", "^repo=", "").alias("repo"), "path", "content", "file_seq")
+    ordered = range_rank(rows, ["repo"], [F.col("file_seq"), F.col("path")], "nth")
+    by_path = range_rank(rows, ["repo"], [F.col("path")], "by_path").select(F.col("repo").alias("_r"), F.col("path").alias("_p"), "by_path")
+    both = ordered.join(by_path, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")))
+    return both.select("repo", "content", (F.col("nth") == F.col("by_path")).alias("in_path_order"))
+
+
 QUERIES = {
+    "src_read_tree": src_read_tree,
     "src_path_order": src_path_order,
     "src_collect": lambda spark, sf: collected(spark, sf).select(*COLUMNS),
     "src_named": where(lambda: select.is_named(F.col("path"))),
@@ -64,6 +84,7 @@ _OUT = "repo, path, file_seq"
 _LANGUAGE = "CASE suffix " + " ".join(f"WHEN {q(s)} THEN {q(v)}" for s, v in X.LANGUAGE_BY_SUFFIX.items()) + " ELSE '' END"
 
 ORACLES = {
+    "src_read_tree": """SELECT 's' || CAST(s_nationkey AS VARCHAR) AS repo, s_name || chr(10) || 'é ' || CAST(s_suppkey AS VARCHAR) || chr(10) AS content, true AS in_path_order FROM supplier""",
     "src_path_order": f"{_COLLECTED}, paths AS (SELECT DISTINCT repo, path FROM collected) SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path) AS nth FROM paths",
     "src_collect": f"{_COLLECTED} SELECT {_OUT} FROM collected",
     "src_named": f"{_TREE} SELECT {_OUT} FROM tree WHERE {_NAMED}",
