@@ -58,3 +58,23 @@ def test_bounds_never_lose_a_candidate():
     scores = q @ c.T
     want = [(i * 30, int(scores[i, j]), j) for i in range(30) for j in [x for x in np.lexsort((ids, -scores[i])) if x != i * 30][:5]]
     assert sorted(got) == sorted(want)
+
+
+def test_all_finite_values(spark):
+    """Components whose products are beyond 2**53, and beyond 64 bits, where a score is the largest number there is."""
+    rnd = random.Random(6)
+    big = [(i, [rnd.choice([1, -1]) * 10 ** rnd.uniform(3, 6) for _ in range(6)]) for i in range(120)]
+    rows = big + [(200 + i, [float(rnd.randint(-3, 3)) for _ in range(6)]) for i in range(60)] + [(300, [3e9] + [0.0] * 5), (301, [3e9, 1.0, 0.0, 0.0, 0.0, 0.0]), (305, [3.0e38] * 6), (306, [-3.0e38] * 6)]
+    low, high = -(1 << 63), (1 << 63) - 1
+    clipped = lambda x: int(np.floor(max(-9223372036854774784.0, min(9223372036854774784.0, 256 * float(np.float32(x))))))
+    whole = {i: [clipped(x) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in whole if i % 5 == 0):
+        scores = sorted((-min(high, max(low, sum(a * b for a, b in zip(whole[q], whole[c])))), c) for c in whole if c != q)
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scores[:5])}
+    block, queries = topk.BLOCK, topk.QUERIES
+    try:
+        for topk.BLOCK, topk.QUERIES in ((block, queries), (16, 8)):
+            assert _got(topk.top_k(_table(spark, rows), F.col("vec_id") % 5 == 0)) == want
+    finally:
+        topk.BLOCK, topk.QUERIES = block, queries
