@@ -7,8 +7,8 @@ optional, and texts are slots that keep how often and how long they are, and how
 Alignment is associative in what it counts, so wrappers are inferred per input partition and host and then
 merged per host; a host with a third of all pages is a few wrappers by then.
 
-From a host's wrapper follow the paths of its main text: the article or main element if the host has one,
-else the group with most text outside links, without the host's template: the texts that stand at one place (by
+From a host's wrapper follow the paths of its main text: the main element if the host has one, or the articles in it
+where they hold most of its text; else the articles; else the group with most text outside links, without the host's template: the texts that stand at one place (by
 tags, marks and classes) on most of its pages, at least three, where the pages differ. Menus, headers, footers, asides, notices, adverts, forms,
 scripts, styles and reader comments are groups of their own label and never part of it. Elements tell this by
 their tag; a class, id or role only says so ('?', or '~' beside words that say something else), and the host's
@@ -35,7 +35,7 @@ from codewarden.session import cut_lineage
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math select object canvas".split())
+RAW = frozenset("script style template iframe textarea title select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -43,7 +43,7 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"br", "html", "body"}
 # An open element of the key ends where one of these starts (in the same parent list).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-ASIDE_TAGS = frozenset("nav header footer aside form button menu dialog fieldset label input head".split())
+ASIDE_TAGS = frozenset("nav header footer aside form button menu fieldset input head".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer "
     "footer form header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related reply replies respond "
@@ -288,30 +288,33 @@ def judged(wrapper: list) -> tuple[set[int], list[str]]:
 
 
 def region(wrapper: list) -> str:
-    """What to extract: 'tag:article', 'tag:main', 'mark' or 'path:' with labels from the root; then, a line each,
-    the paths of marked groups that are part of it all the same."""
-    found: set[str] = set()
+    """What to extract: 'tag:main/article' (articles in the main element), 'tag:main', 'tag:article', 'mark' or 'path:' with
+    labels from the root; then, a line each, the paths of marked groups that are part of it all the same."""
+    found = dict.fromkeys(("main", "main/article", "article", "*"), 0)
     dropped, kept = judged(wrapper)
 
-    def look(group):
+    def look(group, within=frozenset()):
         if group[LABEL].endswith("!") or id(group) in dropped:
             return
-        name = _tag(group[LABEL])
-        if name in MAIN_TAGS and _text_chars(group, dropped)[0]:
-            found.add(name)
-        if group[LABEL].endswith("*") and _text_chars(group, dropped)[0]:
-            found.add("*")
+        name, chars = _tag(group[LABEL]), _text_chars(group, dropped)[0]
+        if name in MAIN_TAGS and name not in within:  # one inside another of its kind is part of it
+            found[name] += chars
+            if name == "article" and "main" in within:
+                found["main/article"] += chars
+        if group[LABEL].endswith("*"):
+            found["*"] += chars
         for inner in group[INNER]:
-            look(inner)
+            look(inner, within | {name})
 
     def rule(text):
         return "\n".join([text, *kept])
 
     look(wrapper)
-    for name in MAIN_TAGS:
-        if name in found:
-            return rule(f"tag:{name}")
-    if "*" in found:
+    if found["main"]:
+        return rule("tag:main/article" if found["main/article"] >= 0.8 * found["main"] else "tag:main")
+    if found["article"]:
+        return rule("tag:article")
+    if found["*"]:
         return rule("mark")
     path, group = [], wrapper
     while True:  # down to the smallest group that still holds nearly all text outside links
@@ -361,7 +364,8 @@ def blocks_of(html: str, rule: str) -> list[tuple[str, str]]:
     def main(label):
         name = _tag(label)
         if kind == "tag":
-            return name == value
+            *around, wanted = path
+            return name == wanted and all(any(_tag(t) == outer for t in trail) for outer in around)
         if kind == "mark":
             return label.endswith("*")
         return trail == path
@@ -397,8 +401,8 @@ def blocks_of(html: str, rule: str) -> list[tuple[str, str]]:
                 if not inside:
                     close_block()
     close_block()
-    if not seen:
-        return blocks_of(html, "\n".join(["path:", *kept]))
+    if not seen:  # a page without the host's region
+        return blocks_of(html, "\n".join([f"tag:{path[0]}" if kind == "tag" and len(path) > 1 else "path:", *kept]))
     return blocks
 
 

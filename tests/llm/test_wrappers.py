@@ -19,6 +19,25 @@ def test_article():
     assert _one(PAGE) == "Head\nOne & two\nThree four\nx < y — z"
 
 
+def test_main_and_articles_by_their_text():
+    words = "A long paragraph of the story itself, and more of it. " * 4
+    main = f"<main><h1>Head</h1><p>{words}</p><article>short related piece</article></main>"
+    assert _one(f"<body>{main}</body>") == f"Head\n{words.strip()}\nshort related piece"
+    teaser = "<article>Another story begins here</article>"
+    assert _one(f"<body><main><article><h1>Head</h1><p>{words}</p></article><p>Share</p></main>{teaser}</body>") == f"Head\n{words.strip()}"
+    assert _one(f"<body><main><p>{words}</p></main>{teaser}</body>") == words.strip()
+    # A page whose main element has no article, on a host whose pages have: the main element.
+    held = f"<body><main><article><p>{words}</p></article></main></body>"
+    assert _one(f"<body><main><p>{words}</p></main>{teaser}</body>", [held, held]) == words.strip()
+    assert _one(f"<body><article><p>one</p></article>{teaser}</body>") == "one\nAnother story begins here"
+
+
+def test_nothing_else_is_dropped():
+    page = "<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then <label>so</label> <svg><text>drawn</text></svg>.</p><noscript>Fallback <b>text</b></noscript><object>in place</object><dialog open>said</dialog></article>"
+    assert _one(page) == "If x=1 then so drawn.\nFallback textin place\nsaid"
+    assert _one("<article><p>a</p><form><label>Mail</label> <select><option>x</select></form><button>Go</button><template>t</template></article>") == "a"
+
+
 def test_main_by_mark_and_by_text():
     menu = "<div class=menu><a href=1>Home</a> <a href=2>News</a></div>"
     assert _one(f"<body>{menu}<div id='main-column'><p>Long text here</div><div>other</div>") == "Long text here"
