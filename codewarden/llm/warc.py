@@ -60,9 +60,13 @@ def archives(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2024-01-
         F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html")
     ).withColumn("sha", F.sha1("html"))
     large = F.octet_length("html") >= min_revisit_bytes
-    firsts = cut_lineage(own.where(large).groupBy("sha").agg(F.min("page_id").alias("first")))
-    joined = own.join(firsts, "sha", "left")
-    revisit = F.coalesce(large & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))) & F.col("first").isNotNull(), F.lit(False))
+    # Which rows are revisits is found on ids and digests; payloads then meet that by their own id, so that no payload
+    # that very many pages have is dealt into one task. The hint keeps one plan at all sizes.
+    small = own.where(large).select("page_id", "sha")
+    firsts = cut_lineage(small.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL"))
+    again = small.join(firsts, "sha").where("page_id IS NULL OR page_id > first").select(F.col("page_id").alias("id"), F.col("sha").alias("of"), "first").distinct()
+    joined = own.join(again.hint("merge"), own["page_id"].eqNullSafe(F.col("id")) & (own["sha"] == F.col("of")), "left")
+    revisit = F.col("of").isNotNull()
 
     def rows(it):
         part, archive, block, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
