@@ -19,9 +19,8 @@ LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json")
 GITIGNORE = ".gitignore"
 PIN = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*==\s*([^\s;#]+)"
 
-_ENTRY = "array<struct<name:string,version:string,line:int,raw:string>>"
 # A JSON key with its colon, and the brace that may open its value.
-KEYS = re.compile(r'("(?:[^"\\]|\\.)*":)( \{)?')
+KEY = r'"(?:[^"\\]++|\\.)*+":(?: \{)?'
 
 
 def special_files(files: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
@@ -102,47 +101,63 @@ def _walk(document: dict):
             todo.extend((name, meta) for name, meta in reversed(inner.items()) if isinstance(meta, dict))
 
 
-def _parse_lock(text: str | None) -> list[dict]:
-    """Concrete entries, first occurrence per name and version, with the first line of their anchor.
-
-    Line numbers come from one index of the text's keys, not from a search per entry.
-    """
+def _entries(text: str | None) -> list[dict]:
+    """Name, version (where it is a text) and anchor of every entry of a lockfile, in document order."""
     try:
         document = json.loads(text or "")
     except (ValueError, RecursionError):
         return []
     if not isinstance(document, dict):
         return []
+    return [{"name": name, "version": version if isinstance(version, str) else None, "anchor": anchor} for name, version, anchor in _walk(document)]
+
+
+def _parse_lock(text: str | None) -> list[dict]:
+    """The plain form of :func:`lock_entries` for one text: what its joins and aggregates are compared with."""
     found: dict[tuple[str, str], str] = {}
-    for name, version, anchor in _walk(document):
-        if isinstance(version, str) and re.match(CONCRETE, version):
-            found.setdefault((name, version), anchor)
+    for e in _entries(text):
+        if e["version"] is not None and re.match(CONCRETE, e["version"]):
+            found.setdefault((e["name"], e["version"]), e["anchor"])
     at: dict[str, tuple[int, str]] = {}
     for number, line in enumerate(text.splitlines() if found else [], start=1):
-        for key, opens in KEYS.findall(line):
-            for anchor in (key, key + opens) if opens else (key,):
+        for key in re.findall(KEY, line):
+            for anchor in (key, key.removesuffix(" {")):
                 at.setdefault(anchor, (number, line.strip()))
-    return [
-        {"name": name, "version": version, "line": at.get(anchor, (1, anchor))[0], "raw": at.get(anchor, (1, anchor))[1]}
-        for (name, version), anchor in found.items()
-    ]
+    places = {pair: at.get(anchor, (1, anchor)) for pair, anchor in found.items()}
+    return [{"name": name, "version": version, "line": line, "raw": raw} for (name, version), (line, raw) in places.items()]
 
 
 def lock_entries(lockfiles: DataFrame) -> DataFrame:
     """Concrete entries of npm lockfiles ``(repo, path, content)``, first occurrence per name and version.
 
-    Arbitrarily nested JSON with line numbers has no built-in operator, so an Arrow-batched helper
-    reads each lockfile inside its own row; nothing is shuffled.
+    Nested JSON in document order has no built-in operator, so an Arrow-batched helper lists what stands in a lockfile;
+    the rest are columns, aggregates and a join: which versions are concrete, which occurrence is the first, and the
+    first line of each key. Entries and lines are rows, so a lockfile of any size is no group.
     """
 
-    @F.pandas_udf(_ENTRY)
-    def parse(contents: pd.Series) -> pd.Series:
-        return contents.map(_parse_lock)
-
-    rows = lockfiles.select("repo", "path", F.posexplode(parse("content")).alias("ord", "e"))
-    return rows.select(
-        "repo", "path", "e.line", "e.name", "e.version", "e.raw", F.lit("npm").alias("ecosystem"), F.col("ord").cast("bigint").alias("ord")
-    )
+    @F.pandas_udf("array<struct<name:string,version:string,anchor:string>>")
+    def entries(contents: pd.Series) -> pd.Series:
+        return contents.map(_entries)
+
+    rows = lockfiles.select("repo", "path", F.posexplode(entries("content")).alias("ord", "e")).select("repo", "path", "ord", "e.*")
+    concrete = rows.where(F.col("version").rlike(CONCRETE)).groupBy("repo", "path", "name", "version")
+    firsts = concrete.agg(F.min("ord").alias("ord"), F.min_by("anchor", "ord").alias("anchor"))
+    at = anchor_lines(lockfiles).select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("anchor").alias("_a"), "at")
+    met = firsts.join(at, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & (F.col("anchor") == F.col("_a")), "left")
+    return met.select(
+        "repo", "path", F.coalesce("at.line", F.lit(1)).alias("line"), "name", "version", F.coalesce("at.raw", "anchor").alias("raw"),
+        F.lit("npm").alias("ecosystem"), F.col("ord").cast("bigint").alias("ord"),
+    )
+
+
+def anchor_lines(lockfiles: DataFrame) -> DataFrame:
+    """(repo, path, anchor, at): the first line of each JSON key with its colon, and of each key that a brace follows."""
+    lines = lockfiles.select("repo", "path", F.posexplode(X.split_lines(F.col("content"))).alias("i", "text")).where(F.contains("text", F.lit('":')))
+    keys = lines.withColumn("anchor", F.explode(F.regexp_extract_all("text", F.lit(KEY), F.lit(0))))
+    # A key that a brace follows is an anchor with the brace and without it.
+    both = F.when(F.col("anchor").endswith(" {"), F.array("anchor", F.expr("substr(anchor, 1, length(anchor) - 2)"))).otherwise(F.array("anchor"))
+    place = F.struct((F.col("i") + 1).alias("line"), X.strip(F.col("text")).alias("raw"))
+    return keys.select("repo", "path", F.explode(both).alias("anchor"), place.alias("at")).groupBy("repo", "path", "anchor").agg(F.min("at").alias("at"))
 
 
 def broken_lockfiles(lockfiles: DataFrame) -> DataFrame:
