@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden import schemas
-from codewarden.functions.severity import severity_rank
 from codewarden.functions.sizes import broadcast_if_small
 from codewarden.operators import custom
 from codewarden.plans import file_pass
@@ -63,10 +62,6 @@ def diffs_scanned(log: DataFrame) -> DataFrame:
     return pairs.groupBy("repo").agg(F.count(F.lit(1)).alias("files_scanned"))
 
 
-def sorted_by_severity(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("repo", severity_rank(F.col("severity")), "emit_seq")
-
-
 def only_changed_files(files: DataFrame, changed: DataFrame) -> DataFrame:
     """The files a diff touches, taken before the scan so that nothing else is read."""
     touched = broadcast_if_small(changed.select("repo", "path").distinct())

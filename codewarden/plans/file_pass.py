@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from codewarden import schemas
 from codewarden.functions import matching as M
 from codewarden.functions import text as X
+from codewarden.functions.sizes import BROADCAST_LIMIT
 from codewarden.operators import custom, headers, injection, secrets
 from codewarden.rules import headers as header_texts
 from codewarden.rules import taint as T
@@ -97,15 +98,17 @@ def _emitted(names: tuple[str, ...], signals: bool) -> Column:
 
 
 def rule_texts(spark, scanners: Sequence[str], rules: Sequence[custom.CustomRule] = ()) -> DataFrame:
-    """The rule dimension: a few dozen fixed rows and the user's own rules, which are settings of the driver."""
+    """The rule dimension: a few dozen fixed rows, and the user's own rules. Broadcast up to the limit of all broadcasts."""
     rows = []
     for name in scanners:
         found = custom.rule_rows(rules) if name == "custom" else _MODULES[name].rule_rows()
         rows += [(_scanner(name), number, name, *texts) for number, *texts in found]
-    return spark.createDataFrame(
+    texts = spark.createDataFrame(
         rows,
         "scanner_no int, rule int, scanner string, title string, severity string, fix_phase int, description string, fix_summary string",
     )
+    size = sum(len(str(value)) for row in rows for value in row)  # rules are settings, so this is no job
+    return F.broadcast(texts) if size <= BROADCAST_LIMIT else texts
 
 
 def findings(
@@ -126,7 +129,7 @@ def findings(
         scan_columns(files, names, rules, signals)
         .select("repo", "path", "file_seq", *keep, _emitted(names, signals))
         .select("repo", "path", "file_seq", *keep, "x.*")
-        .join(F.broadcast(rule_texts(files.sparkSession, names, rules)), ["scanner_no", "rule"])
+        .join(rule_texts(files.sparkSession, names, rules), ["scanner_no", "rule"])
         .withColumnRenamed("path", "file")
         .withColumn(
             "emit_seq",

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codewarden.functions.sizes import broadcast_if_small
-from codewarden.operators import baseline, post
-from codewarden.plans import file_pass
 from codewarden.plans.scan import Options, scan
 
 VERSIONS_DDL = (
@@ -51,14 +49,6 @@ def without_repeats(versions: DataFrame, delay: str = "1 hour") -> DataFrame:
     return hashed.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["repo", "path", "mtime", "content_hash"]).drop("content_hash")
 
 
-def scan_versions(versions: DataFrame, known: DataFrame | None = None, scanners: Sequence[str] = file_pass.SCANNERS) -> DataFrame:
-    """Findings of the per-file scanners on file versions, with the version's ``mtime``."""
-    live = versions.where(~F.coalesce(F.col("deleted"), F.lit(False)))
-    found = file_pass.findings(live, scanners, keep=("mtime",))
-    kept = post.dedupe(post.suppress(found))
-    return kept if known is None else baseline.filter_known(kept, known)
-
-
 def bucket_of(repo: Column) -> Column:
     return F.pmod(F.xxhash64(repo), F.lit(BUCKETS)).cast("int")
 

@@ -87,6 +87,7 @@ QUERIES = {
     "hist_files": lambda spark, sf: history.diffs_scanned(log(spark, sf)),
     "diff_changed_lines": changed,
     "diff_changed_ranges": ranges,
+    "diff_files": lambda spark, sf: history.files_in_diff(ranges(spark, sf)),
     "diff_filter": diff_filter,
 }
 
@@ -139,6 +140,7 @@ QUALIFY row_number() OVER (PARTITION BY repo, sha, path, new_line, title ORDER B
     "diff_changed_ranges": f"""WITH {_CHANGED} SELECT DISTINCT repo, path, start AS first, CAST(start + n - 1 AS INTEGER) AS last FROM hunks h WHERE raw LIKE '@@%' AND n > 0
   AND NOT EXISTS (SELECT 1 FROM extra e WHERE e.repo = h.repo AND e.path = h.path) UNION ALL SELECT repo, path, NULL, NULL FROM changed WHERE line IS NULL""",
     "diff_changed_lines": f"WITH {_CHANGED} SELECT * FROM changed",
+    "diff_files": f"WITH {_CHANGED} SELECT repo, count(DISTINCT path) AS files_scanned FROM changed GROUP BY repo",
     "diff_filter": f"""WITH {_CHANGED}, found AS (SELECT * REPLACE (replace(file, '/work/r/', '') AS file) FROM ({corpus.findings_sql()}))
 SELECT repo, file, line, title, e2 FROM found f WHERE NOT project_level
   AND EXISTS (SELECT 1 FROM changed c WHERE c.repo = f.repo AND c.path = f.file AND (c.line IS NULL OR c.line = f.line))""",
