@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codewarden.functions.sizes import broadcast_if_small
 from codewarden.plans.scan import Options, scan
+from codewarden.session import cut_lineage, scratch
 
 VERSIONS_DDL = (
     "repo string, path string, file_seq bigint, content string, mtime timestamp, deleted boolean"
@@ -128,8 +129,9 @@ def watch(
             named = broadcast_if_small(spark.read.schema("repo string").parquet(f"{out}/repos/batch={epoch}"))
             latest = before.join(named, "repo", "left_semi").unionByName(latest)
         files = latest_versions(latest).where(~F.col("deleted")).select("repo", "path", "file_seq", "content")
-        found = scan(files, options, advisories, known=known)
-        found.write.mode("overwrite").parquet(f"{out}/findings/batch={epoch}")
+        with scratch(spark):  # the current files are put together once, and go with the scan's other tables
+            found = scan(cut_lineage(files), options, advisories, known=known)
+            found.write.mode("overwrite").parquet(f"{out}/findings/batch={epoch}")
         if on_batch:
             on_batch(spark.read.schema(found.schema).parquet(f"{out}/findings/batch={epoch}"), epoch)
 
