@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codewarden.functions.batches import by_row
+
 # Node that is reached from the start.
 ROOT = "*"
 
@@ -48,21 +49,19 @@ def reached(edges: Iterable[Sequence]) -> list[str]:
 def forward_names(definitions: Column) -> Column:
     """:func:`forward` over ``array<struct<src,names,uses>>``; a file without a source is not sent to Python."""
 
-    @F.pandas_udf("array<string>")
-    def walk(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda rows: None if rows is None else forward((r["src"], r["names"], r["uses"]) for r in rows))
+    def walk(rows):
+        return None if rows is None else forward((r["src"], r["names"], r["uses"]) for r in rows)
 
     plain = F.transform(definitions, lambda d: F.struct(d["src"].alias("src"), d["names"].alias("names"), d["uses"].alias("uses")))
-    found = walk(F.when(F.exists(definitions, lambda d: d["src"]), plain))
+    found = by_row(walk, "array<string>", F.when(F.exists(definitions, lambda d: d["src"]), plain))
     return F.when(definitions.isNotNull(), _or_empty(found))
 
 
 def reached_names(edges: Column) -> Column:
     """:func:`reached` over ``array<struct<srcs,dst>>``, ROOT among them; a file without a source is not sent to Python."""
 
-    @F.pandas_udf("array<string>")
-    def walk(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda rows: None if rows is None else reached((r["srcs"], r["dst"]) for r in rows))
+    def walk(rows):
+        return None if rows is None else reached((r["srcs"], r["dst"]) for r in rows)
 
-    found = walk(F.when(F.exists(edges, lambda e: F.array_contains(e["srcs"], ROOT)), edges))
+    found = by_row(walk, "array<string>", F.when(F.exists(edges, lambda e: F.array_contains(e["srcs"], ROOT)), edges))
     return F.when(edges.isNotNull(), _or_empty(found))
