@@ -126,9 +126,9 @@ def match(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
 
     Each version and each event is made into a key once; a pair of one package costs comparisons of two texts.
     """
-    distinct = dependencies.select(
-        "ecosystem", V.canonical_name(F.col("name"), F.col("ecosystem")).alias("key"), "version"
-    ).distinct()
+    triples = dependencies.select("ecosystem", V.canonical_name(F.col("name"), F.col("ecosystem")).alias("key"), "version")
+    # Written: else the test that a version has a key is pushed below the aggregate, and keys are made for every row.
+    distinct = cut_lineage(triples.distinct())
     at = F.col("_at")
     keyed = distinct.withColumn("_at", V.sort_key(F.col("version"), F.col("ecosystem")))
     inside = (at >= F.col("low")) & (F.col("high").isNull() | (at < F.col("high"))) & (F.col("last").isNull() | (at <= F.col("last")))
@@ -199,5 +199,6 @@ def dependencies(manifests: DataFrame, collected: DataFrame) -> DataFrame:
 
 
 def findings(manifests: DataFrame, collected: DataFrame, advisories: DataFrame) -> DataFrame:
-    found = dependencies(manifests, collected)
+    # Written once: the matching and the rows of findings read it, and manifests are costly to parse.
+    found = cut_lineage(dependencies(manifests, collected))
     return findings_of(found, match(found, advisories), advisories)

@@ -37,6 +37,14 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, r"(?s)/?[^/]*\z", "")
 
 
+def _moved(side: DataFrame) -> DataFrame:
+    """A side with rows for every repository: joined by moving both sides, never broadcast.
+
+    Its rows are alike, so the shuffled bytes that a broadcast is chosen by can be few where the rows are millions.
+    """
+    return side.hint("merge")
+
+
 def project_roots(files: DataFrame, collected: DataFrame) -> DataFrame:
     """Per repository the nearest ancestor directory of its first collected file that holds a manifest.
 
@@ -56,12 +64,12 @@ def project_roots(files: DataFrame, collected: DataFrame) -> DataFrame:
         .select("repo", directory(F.col("path")).alias("dir"))
         .distinct()
     )
-    return ancestors.join(manifests, ["repo", "dir"]).groupBy("repo").agg(F.max_by("dir", "depth").alias("root"))
+    return ancestors.join(_moved(manifests), ["repo", "dir"]).groupBy("repo").agg(F.max_by("dir", "depth").alias("root"))
 
 
 def _at_root(files: DataFrame, roots: DataFrame, names) -> DataFrame:
     named = files.where(X.file_name(F.col("path")).isin(*names))
-    return named.withColumn("root", directory(F.col("path"))).join(roots, ["repo", "root"])
+    return named.withColumn("root", directory(F.col("path"))).join(_moved(roots), ["repo", "root"])
 
 
 def pins(manifests: DataFrame) -> DataFrame:
@@ -143,7 +151,7 @@ def lock_entries(lockfiles: DataFrame) -> DataFrame:
     concrete = rows.where(F.col("version").rlike(CONCRETE)).groupBy("repo", "path", "name", "version")
     firsts = concrete.agg(F.min("ord").alias("ord"), F.min_by("anchor", "ord").alias("anchor"))
     at = anchor_lines(lockfiles).select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("anchor").alias("_a"), "at")
-    met = firsts.join(at, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & (F.col("anchor") == F.col("_a")), "left")
+    met = firsts.join(_moved(at), (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & (F.col("anchor") == F.col("_a")), "left")
     return met.select(
         "repo", "path", F.coalesce("at.line", F.lit(1)).alias("line"), "name", "version", F.coalesce("at.raw", "anchor").alias("raw"),
         F.lit("npm").alias("ecosystem"), F.col("ord").cast("bigint").alias("ord"),
@@ -204,4 +212,4 @@ def requirement_files(files: DataFrame, roots: DataFrame) -> DataFrame:
 
 def lockfiles_at(files: DataFrame, roots: DataFrame) -> DataFrame:
     chosen = preferred_lockfiles(files)
-    return chosen.join(roots, ["repo", "root"]).select("repo", "path", "content")
+    return chosen.join(_moved(roots), ["repo", "root"]).select("repo", "path", "content")
