@@ -10,7 +10,7 @@ from codewarden.functions import text as X
 from codewarden.functions.ordering import range_rank
 from codewarden.operators import post, select
 from codewarden.rules import taint as T
-from codewarden.session import shared_dir
+from codewarden.session import cut_lineage, shared_dir
 from codewarden.sources.files import file_seq, read_tree
 from workload import corpus
 from workload.corpus import quoted as q
@@ -43,10 +43,11 @@ def src_read_tree(spark, sf):
     File names are the writer's, so texts tell the files apart.
     """
     path = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
-    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("repo"), "s_suppkey", "s_name")
+    s = corpus.table(spark, sf, "supplier", "s_suppkey").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("repo"), "s_suppkey", "s_name")
     text = F.concat("s_name", F.lit("\n"), F.expr("cast(unhex('c3a9') AS string)"), F.lit(" "), F.col("s_suppkey").cast("string"))
     s.select("repo", text.alias("value")).write.partitionBy("repo").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
-    rows = read_tree(spark, path).where(F.col("path").endswith(".txt")).select(F.regexp_replace("repo", "^repo=", "").alias("repo"), "path", "content", "file_seq")
+    read = read_tree(spark, path).where(F.col("path").endswith(".txt")).select(F.regexp_replace("repo", "^repo=", "").alias("repo"), "path", "content", "file_seq")
+    rows = cut_lineage(read)  # every file is opened once: both orders, and the samples that their ranges are cut by, read this
     ordered = range_rank(rows, ["repo"], [F.col("file_seq"), F.col("path")], "nth")
     by_path = range_rank(rows, ["repo"], [F.col("path")], "by_path").select(F.col("repo").alias("_r"), F.col("path").alias("_p"), "by_path")
     both = ordered.join(by_path, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")))
