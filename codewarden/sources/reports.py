@@ -54,16 +54,19 @@ def truthy(value: Column) -> Column:
     return F.coalesce(value.isNotNull() & ~body.isin("null", "false", "0", "0.0", '""', "[]", "{}"), F.lit(False))
 
 
-def elements(value: Column) -> Column:
-    """array<variant> of a JSON array, empty for anything else."""
-    return F.coalesce(
-        F.when(kind(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")),
-        F.array().cast("array<variant>"),
-    )
+def elements(value: Column, path: str = "") -> Column:
+    """array<variant> of the JSON array at a path, empty for anything else."""
+    at = f"$.{path}" if path else "$"
+    return F.coalesce(F.try_variant_get(value, at, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def is_object(value: Column) -> Column:
+    """Whether a value is a JSON object. Nothing of it is read: its schema would be all of it, at every level anew."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
-def objects(value: Column) -> Column:
-    return F.filter(elements(value), lambda e: kind(e).startswith("OBJECT"))
+def objects(value: Column, path: str = "") -> Column:
+    return F.filter(elements(value, path), is_object)
 
 
 def normal_path(path: Column) -> Column:
@@ -76,21 +79,21 @@ def normal_path(path: Column) -> Column:
 def documents(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parsed, rejected): documents that are JSON objects, and the others with a reason."""
     parsed = reports.withColumn("_v", F.try_parse_json("json"))
-    good = kind(F.col("_v")).startswith("OBJECT")
+    good = is_object(F.col("_v"))
     reason = F.when(F.col("_v").isNull(), F.lit("invalid JSON")).otherwise(F.lit("not an object"))
     return parsed.where(good), parsed.where(~good).select("repo", "doc", reason.alias("reason"))
 
 
 def semgrep(reports: DataFrame) -> DataFrame:
     """Findings of semgrep JSON reports."""
-    parsed, _ = documents(reports)
-    rows = parsed.select("repo", "doc", F.posexplode(objects(field(F.col("_v"), "results"))).alias("nth", "r"))
+    # What is no JSON object has no array there; a filter on the parsed value would parse it a second time.
+    rows = reports.select("repo", "doc", F.posexplode(objects(F.try_parse_json("json"), "results")).alias("nth", "r"))
     r = F.col("r")
     rule = F.coalesce(F.when(text(r, "check_id") != "", text(r, "check_id")), F.lit("semgrep-rule"))
     line = integer(r, "start.line")
     message = strip(F.coalesce(text(r, "extra.message"), F.lit("")))
     refs = F.transform(
-        F.filter(elements(field(r, "extra.metadata.references")), lambda e: kind(e) == "STRING"),
+        F.filter(elements(r, "extra.metadata.references"), lambda e: kind(e) == "STRING"),
         lambda e: F.try_variant_get(e, "$", "string"),
     )
     return schemas.as_findings(
@@ -121,30 +124,45 @@ def _score_severity(score: Column, level: Column) -> Column:
 
 
 def sarif_rows(reports: DataFrame) -> DataFrame:
-    """Rules and results of SARIF reports as rows of one table: repo, doc, run, nth, is_rule, rule_id and their fields."""
-    parsed, _ = documents(reports)
-    runs = parsed.select("repo", "doc", F.posexplode(objects(field(F.col("_v"), "runs"))).alias("run", "r"))
-    none = F.lit(None).cast("string")
-
-    def row(nth: Column, is_rule: bool, rule_id: Column, score=none, help_uri=none, level=none, message=none, uri=none, line=F.lit(None).cast("int"), snippet=none) -> Column:
-        values = {"score": score, "help_uri": help_uri, "level": level, "message": message, "uri": uri, "line": line.cast("int"), "snippet": snippet}
-        return F.struct(nth.alias("nth"), F.lit(is_rule).alias("is_rule"), rule_id.alias("rule_id"), *[c.alias(n) for n, c in values.items()])
-
-    def rule(e: Column, nth: Column) -> Column:
-        return row(nth, True, F.coalesce(text(e, "id"), F.lit("None")), F.try_variant_get(e, "$.properties['security-severity']", "string"), text(e, "helpUri"))
-
-    def result(x: Column, nth: Column) -> Column:
-        physical = field(F.get(elements(field(x, "locations")), 0), "physicalLocation")
-        line = integer(physical, "region.startLine")
-        return row(
-            nth, False, F.coalesce(F.when(text(x, "ruleId") != "", text(x, "ruleId")), F.lit("codeql-rule")), none, none, text(x, "level"),
-            strip(F.coalesce(text(x, "message.text"), F.lit(""))), F.coalesce(text(physical, "artifactLocation.uri"), F.lit("")),
-            F.when(line > 0, line).otherwise(F.lit(1)), strip(F.coalesce(text(physical, "region.snippet.text"), F.lit(""))),
-        )
-
-    rules = F.transform(objects(field(F.col("r"), "tool.driver.rules")), rule)
-    results = F.transform(objects(field(F.col("r"), "results")), result)
-    return runs.select("repo", "doc", "run", F.inline(F.concat(rules, results)))
+    """Rules and results of SARIF reports as rows of one table: repo, doc, run, nth, is_rule, rule_id and their fields.
+
+    The arrays are cut into rows first, and fields are read from these, in compiled code: inside an array function each
+    would be interpreted, element by element.
+    """
+    # What is no JSON object has no array there; a filter on the parsed value would parse it a second time.
+    runs = reports.select("repo", "doc", F.posexplode(objects(F.try_parse_json("json"), "runs")).alias("run", "r"))
+
+    def entries(path: str, is_rule: bool) -> Column:
+        return F.transform(objects(F.col("r"), path), lambda e, nth: F.struct(nth.alias("nth"), F.lit(is_rule).alias("is_rule"), e.alias("e")))
+
+    rows = runs.select("repo", "doc", "run", F.inline(F.concat(entries("tool.driver.rules", True), entries("results", False))))
+    e, physical = F.col("e"), "locations[0].physicalLocation"
+
+    def of_rule(value: Column) -> Column:
+        return F.when(F.col("is_rule"), value)
+
+    def of_result(value: Column) -> Column:
+        return F.when(~F.col("is_rule"), value)
+
+    read = rows.select(
+        "repo", "doc", "run", "nth", "is_rule",
+        F.when(F.col("is_rule"), text(e, "id")).otherwise(text(e, "ruleId")).alias("id"),
+        of_rule(F.try_variant_get(e, "$.properties['security-severity']", "string")).alias("score"),
+        of_rule(text(e, "helpUri")).alias("help_uri"),
+        of_result(text(e, "level")).alias("level"),
+        of_result(text(e, "message.text")).alias("message"),
+        of_result(text(e, f"{physical}.artifactLocation.uri")).alias("uri"),
+        of_result(integer(e, f"{physical}.region.startLine")).alias("line"),
+        of_result(text(e, f"{physical}.region.snippet.text")).alias("snippet"),
+    )
+    named = F.when(F.col("is_rule"), F.coalesce("id", F.lit("None"))).when(F.col("id") != "", F.col("id")).otherwise(F.lit("codeql-rule"))
+    line = F.when(F.col("line") > 0, F.col("line")).otherwise(F.lit(1)).cast("int")
+    empty = F.lit("")
+    return read.select(
+        "repo", "doc", "run", "nth", "is_rule", named.alias("rule_id"), "score", "help_uri", "level",
+        of_result(strip(F.coalesce("message", empty))).alias("message"), of_result(F.coalesce("uri", empty)).alias("uri"),
+        of_result(line).alias("line"), of_result(strip(F.coalesce("snippet", empty))).alias("snippet"),
+    )
 
 
 def sarif(reports: DataFrame, root: str = "") -> DataFrame:

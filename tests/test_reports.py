@@ -35,3 +35,21 @@ def test_very_many_rules_of_one_run(spark):
     start = time.time()
     counts = {r.severity: r["count"] for r in _read(spark, [{"runs": [_run(rules, results)]}]).groupBy("severity").count().collect()}
     assert counts == {"CRITICAL": n} and time.time() - start < 40
+
+
+def test_a_report_is_parsed_once_and_no_array_function_takes_schemas(spark):
+    """A schema of a value is all of the value, so one per level reads a report again at each."""
+    plan = reports.sarif_rows(spark.createDataFrame([], "repo string, doc bigint, json string"))._jdf.queryExecution().optimizedPlan().toString()
+    cuts = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(cuts) == 2 and not any("chemaofvariant" in line.lower().replace("_", "") for line in cuts)
+    assert plan.lower().replace("_", "").count("parsejson") == 1
+
+
+def test_entries_of_other_types_lose_no_neighbour(spark):
+    place = lambda **x: [{"physicalLocation": x}]
+    results = [5, {"ruleId": 3}, {"locations": {"0": 1}}, {"locations": place(region={"startLine": 4, "snippet": "x"}, artifactLocation=[])}, {"message": "m"},
+               {"locations": [7, *place(region={"startLine": 9})]}, {"message": {"text": " t "}, "locations": place(region={"startLine": 6, "snippet": {"text": " s "}}, artifactLocation={"uri": "u"})}]
+    found = _read(spark, [{"runs": [1, _run({"id": "a"}, results), {"tool": [], "results": {}}]}]).collect()
+    got = sorted((r.emit_seq.a, r.title, r.file, r.line, r.snippet) for r in found)
+    rest = ("codeql-rule", ".")
+    assert got == [(0, *rest, 1, ""), (1, *rest, 1, ""), (2, *rest, 4, ""), (3, *rest, 1, ""), (4, *rest, 1, ""), (5, "codeql-rule", "u", 6, "s")]
