@@ -39,3 +39,15 @@ def spread_if_few(df: DataFrame, *keys: str, partition_bytes: int = 16 << 20) ->
     if estimated_bytes(df) >= cores * partition_bytes:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+def spread_rows(df: DataFrame, *keys: str, rows: int = 1 << 20) -> DataFrame:
+    """A table as read, spread as :func:`spread_if_few` does and also where its partitions hold more than ``rows``.
+
+    Numbers compress so well that one split of a file holds many million rows, and what sorts them (an aggregate over
+    texts does) takes memory by the row. The count reads the files' footers only. Tables of contents have few rows a
+    partition and are not moved.
+    """
+    few = spread_if_few(df, *keys)
+    pieces = -(-df.count() // rows)
+    return df.repartition(pieces, *keys) if pieces > few.rdd.getNumPartitions() else few

@@ -16,6 +16,7 @@ from codewarden.functions.ordering import range_rank
 from codewarden.functions.severity import severity_rank
 from codewarden.functions.text import lookup
 from codewarden.operators import post
+from codewarden.session import cut_lineage
 
 TOOL = "codewarden"
 VERSION = "0.1.0"
@@ -106,6 +107,7 @@ def json_document(
 
     ``repos`` names the repositories that get a document; those without findings get an empty one.
     """
+    findings = cut_lineage(findings)  # the order and the counts read them
     sorted_rows = numbered(findings)
     counts = findings.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.functions.sizes import spread_if_few
+from codewarden.functions.sizes import spread_rows
 
 # (suffix, how the document's text joins the code, code). In the code, @HEX@ and @HEXU@ stand for
 # the digest of the document's number, and @ID@ for the number.
@@ -247,9 +247,9 @@ N = len(TEMPLATES)
 
 
 def table(spark: SparkSession, sf: str, name: str, *keys: str) -> DataFrame:
-    """A given table, spread by its row key while it is too small to fill the cores by itself."""
+    """A given table, spread by its row key while it is too small to fill the cores, or has too many rows a partition."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread_if_few(df, *keys) if keys else df
+    return spread_rows(df, *keys) if keys else df
 
 
 def template_no(column: str = "doc_id") -> str:
