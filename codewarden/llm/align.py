@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import uuid
 from array import array
 from itertools import accumulate
@@ -96,6 +97,7 @@ class Vocabularies:
         ]
         joined = {p[k : k + 2] for i, p in enumerate(pieces) if not (special[i] or m.is_byte(i)) for k in range(len(p) - 1)}
         self.names_a, self.names_b = ([str(i).encode() for i in range(len(x))] for x in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = ([len(x) for x in tokens] for tokens in (self.bytes_a, self.bytes_b))
         self.encode_a = _chunk_encoder(path_a)
         self.stretches = _stretches(joined)
         self.pairs = _pair_numbers(self.bytes_a, self.bytes_b)
@@ -104,26 +106,26 @@ class Vocabularies:
     def ids_b(self, units: list[str]) -> list[list[int]]:
         """B's ids of each stretch; the space that B sets in front is the stretch's own, or is taken off."""
         blank = self.model.piece_to_id(_META)
-        own = [u[:1] == " " for u in units]
-        found = self.model.encode([u[1:] if o else u for u, o in zip(units, own)], num_threads=1)
-        return [[blank] if u == " " else ids if o else ids[1:] for u, ids, o in zip(units, found, own)]
+        found = self.model.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        return [ids[1:] if u[0] != " " else ids if len(u) > 1 else [blank] for u, ids in zip(units, found)]
 
     def align(self, data: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes, int, int] | None:
         """Groups as text, link numbers, and how many A and B tokens; None where the bytes differ."""
-        parts_a, parts_b = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
-        if b"".join(parts_a) != data or b"".join(parts_b) != data:
+        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
             return None
-        if len(a) == 1 or len(b) == 1:
-            cuts = [(len(a) - 1, len(b) - 1)]  # only the end of the stretch is left to share
-        else:
-            cuts = common_ends(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
-        name_a, name_b = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
+        n_a, n_b, names_a, names_b, pairs = len(a), len(b), self.names_a, self.names_b, self.pairs
+        if n_a == 1 or n_b == 1:  # only the end of the stretch is left to share
+            text = b",".join(map(names_a.__getitem__, a)) + b"|" + b",".join(map(names_b.__getitem__, b))
+            return text, struct.pack("i", pairs[a[-1], b[-1]]), n_a, n_b
         texts, links, from_a, from_b = [], [], 0, 0
-        for i, j in cuts:
-            texts.append(b",".join(name_a[from_a : i + 1]) + b"|" + b",".join(name_b[from_b : j + 1]))
-            links.append(self.pairs[a[i], b[j]])
+        for i, j in common_ends(list(accumulate(map(self.sizes_a.__getitem__, a))), list(accumulate(map(self.sizes_b.__getitem__, b)))):
+            last_a, last_b = a[i], b[j]
+            x = names_a[last_a] if i == from_a else b",".join(map(names_a.__getitem__, a[from_a : i + 1]))
+            y = names_b[last_b] if j == from_b else b",".join(map(names_b.__getitem__, b[from_b : j + 1]))
+            texts.append(x + b"|" + y)
+            links.append(pairs[last_a, last_b])
             from_a, from_b = i + 1, j + 1
-        return b";".join(texts), array("i", links).tobytes(), len(a), len(b)
+        return b";".join(texts), array("i", links).tobytes(), n_a, n_b
 
     def aligned(self, text: str) -> list[tuple[bytes, bytes, int, int]] | None:
         """The stretches of a text, each aligned; None for a text that a vocabulary does not give back."""

@@ -61,9 +61,16 @@ def _chunk_encoder(path: str):
         return lambda chunks: [e.ids for e in whole.encode_batch(chunks, add_special_tokens=False)]
     letters, find, model = _byte_letters(), regex.compile(_BYTE_LEVEL).findall, whole.model
 
+    tokenize, blank = model.tokenize, letters[0x20]
+
     def encode(chunks):
         for chunk in chunks:
-            yield [t.id for piece in find(chunk) for t in model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+            if chunk.isascii():  # letters behind a blank at most are one piece, and only the blank has another letter
+                rest = chunk[1:] if chunk[:1] == " " else chunk
+                if rest.isalpha():
+                    yield [t.id for t in tokenize(chunk if rest is chunk else blank + rest)]
+                    continue
+            yield [t.id for piece in find(chunk) for t in tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
 
     return encode
 

@@ -94,3 +94,17 @@ def test_kept_groups_and_no_rows(spark, docs_of):
     assert row.groups_sha256 == hashlib.sha256(row.groups.encode()).hexdigest() and row.n_groups == row.groups.count("|")
     assert align.linked(docs_of([]), A, B).collect() == []
     assert sorted(align.linked(docs_of([(1, None), (2, "")]), A, B).collect()) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_plain_words_have_the_library_s_ids():
+    """Words that the encoder takes whole have the ids that the library gives, beside texts that its pattern cuts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from codewarden.llm.packing import _chunk_encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    chunks = [" word", "word", " Word's", " a", "a", " ", "  two", " x1", "1", " é", "\nline", " kalominetu", "thisthshntre", " under_score", "don't", ""]
+    assert list(_chunk_encoder(path)(chunks)) == [e.ids for e in whole.encode_batch(chunks, add_special_tokens=False)]
