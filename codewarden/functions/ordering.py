@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codewarden.functions.sizes import broadcast_if_small
 from codewarden.session import cut_lineage
 
 
@@ -64,6 +65,23 @@ def carry_forward(df: DataFrame, keys: list[str], pos: str, states: dict[str, Co
     return joined.select(*df.columns, *[F.coalesce(F.col(n), F.col(f"_c_{n}")).alias(n) for n in states])
 
 
+def block_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """1-based position of each row within ``keys`` in the given order, which goes up with the blocks of ``df``.
+
+    Rows are numbered inside their block, where the steps before have left them, and written once. Only a key that
+    meets a block after its first has an offset there, and rows are joined with those; the block is dropped. Keys must
+    not be NULL.
+    """
+    here = W.partitionBy(*keys, BLOCK).orderBy(*order)
+    stored = cut_lineage(df.withColumn("_local", F.row_number().over(here)))
+    totals = stored.groupBy(*keys, BLOCK).agg(F.max("_local").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1))
+    offsets = cut_lineage(totals.withColumn("_before", before.cast("bigint")).where("_before IS NOT NULL").drop("_n"))
+    joined = stored.join(broadcast_if_small(offsets), [*keys, BLOCK], "left")
+    kept = [c for c in df.columns if c != BLOCK]
+    return joined.select(*kept, (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_local")).cast("bigint").alias(out))
+
+
 def count_since(df: DataFrame, keys: list[str], pos: str, flag: Column, start: Column, out: str) -> DataFrame:
     """``out`` = last non-NULL ``start`` at or before a row, plus the flagged rows after it up to this row.
 

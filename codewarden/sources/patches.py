@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codewarden.functions.ordering import carry_forward, count_since, range_rank, with_blocks
+from codewarden.functions.ordering import BLOCK, block_rank, carry_forward, count_since, with_blocks
 from codewarden.functions.text import strip
 from codewarden.session import cut_lineage
 
@@ -30,6 +30,11 @@ def _target(raw: Column) -> Column:
 
 def added_lines(log: DataFrame, block_rows: int = 100_000) -> DataFrame:
     """(repo, sha, path, new_line, text, pos) of every line a commit adds."""
+    return _added(log, block_rows).drop(BLOCK)
+
+
+def _added(log: DataFrame, block_rows: int) -> DataFrame:
+    """Added lines with the number of their block, each block's lines in one partition."""
     raw = F.col("raw")
     is_commit, is_file = raw.startswith(COMMIT), raw.startswith("+++ ")
     is_hunk = ~is_commit & ~is_file & raw.startswith("@@")
@@ -42,7 +47,8 @@ def added_lines(log: DataFrame, block_rows: int = 100_000) -> DataFrame:
     is_added = raw.startswith("+") & ~is_file & (F.col("path") != "") & (F.col("sha") != "")
     start = F.coalesce(F.regexp_extract(raw, HUNK_START, 1).try_cast("bigint"), F.lit(0))
     flagged = carried.withColumn("_added", F.coalesce(is_added, F.lit(False)))
-    placed = count_since(flagged, ["repo"], "pos", F.col("_added"), F.when(is_hunk, start), "_next")
+    counted = flagged.where(F.col("_added") | is_hunk)  # other lines neither count nor start a count
+    placed = count_since(counted, ["repo"], "pos", F.col("_added"), F.when(is_hunk, start), "_next")
     return placed.where("_added").select(
         "repo",
         "sha",
@@ -50,6 +56,7 @@ def added_lines(log: DataFrame, block_rows: int = 100_000) -> DataFrame:
         (F.col("_next") - 1).cast("int").alias("new_line"),
         F.substr(raw, F.lit(2)).alias("text"),
         "pos",
+        BLOCK,
     )
 
 
@@ -62,7 +69,7 @@ def added_texts(log: DataFrame, lines: int = 2000, halo: int = 100, block_rows:
     """
     if not 0 <= halo <= lines:
         raise ValueError("a halo reaches into the next stretch only")
-    ranked = range_rank(added_lines(log, block_rows), ["repo", "sha", "path"], [F.col("pos")], "nth")
+    ranked = block_rank(_added(log, block_rows).where(F.col("repo").isNotNull()), ["repo", "sha", "path"], [F.col("pos"), F.col("new_line")], "nth")
     added = ranked.withColumn("nth", F.col("nth") - 1)
     number = F.floor(F.col("nth") / lines)
     before = F.when((F.col("nth") % lines < halo) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))

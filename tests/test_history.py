@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from codewarden.functions import ordering
 from codewarden.operators import custom, history
 from codewarden.schemas import as_findings
 from codewarden.sources import patches
@@ -63,3 +64,33 @@ def test_ranges_against_plain_comparison(spark):
     short = [r for r in ranges if r[2] is None or r[3] - r[2] < 3]
     assert few == sum(not level and any(p == f and (a is None or a <= n <= b) for _, p, a, b in short) for _, f, n, t, _, level in rows)
     assert history.on_changed_lines(as_findings(spark.createDataFrame(rows, FOUND)), changed.where("false")).count() == 0
+
+
+def test_lines_of_a_file_in_many_blocks_are_numbered_in_order(spark):
+    """A commit's file goes on over blocks and comes back after others; a log without a repository has no texts."""
+    rnd, log, want = random.Random(3), [], {}
+    for part in range(40):
+        sha, path = f"c{rnd.randrange(3)}", f"f{rnd.randrange(2)}.py"
+        log += [f"COMMIT {sha}", f"+++ b/{path}", "@@ -1 +5 @@"]
+        for n in range(rnd.randint(0, 9)):
+            log.append(f"+line {part} {n}")
+            want.setdefault((sha, path), []).append((5 + n, f"line {part} {n}"))
+            log += ["-gone"] * rnd.randint(0, 2)
+    both = _log(spark, log).unionByName(_log(spark, log).withColumn("repo", F.lit(None).cast("string")))
+    rows = patches.added_texts(both, 4, 2, block_rows=7)
+    plan = rows._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan.lower()
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: r.entries[0]["nth"]):
+        assert r.repo == "r" and len(r.entries) - r.own <= 2
+        got.setdefault((r.sha, r.path), []).extend((e["new_line"], e["text"]) for e in r.entries[: r.own])
+    assert got == want
+
+
+def test_block_rank_needs_no_range_partitions(spark, monkeypatch):
+    """The rows are numbered where their blocks lie: one shuffle by block before, none by range and no sample."""
+    written = []
+    cut = ordering.cut_lineage
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: (written.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    patches.added_texts(_log(spark, ["COMMIT a", "+++ b/x.py", "@@ -1 +1 @@", "+one", "+two"])).collect()
+    assert not any("rangepartitioning" in plan for plan in written)
