@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codewarden.functions.sizes import broadcast_if_small
+from codewarden.operators import baseline
 from codewarden.plans.scan import Options, scan
 from codewarden.session import cut_lineage, scratch
 
@@ -108,7 +109,12 @@ def watch(
     on_batch: Callable[[DataFrame, int], None] | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the scan of a stream of file versions; results go below ``out``."""
+    """Start the scan of a stream of file versions; results go below ``out``.
+
+    The identities of ``known`` are written once at the start: micro-batches read them and do not make them again.
+    """
+    if known is not None:
+        known = cut_lineage(known.select(*baseline.KEY).distinct())
     source = versions.where(~F.col("path").isin(*skip_paths)) if skip_paths else versions
     if "version" not in source.columns:
         source = source.withColumn("version", F.lit(None).cast("bigint"))

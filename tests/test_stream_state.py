@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from codewarden.operators import baseline
 from codewarden.plans import file_pass
 from codewarden.streaming import watch
 
@@ -58,3 +59,18 @@ def test_every_choice_of_scanners_runs(files_of):
                 mine = sorted(map(str, (r for r in rows if r.scanner == name)))
                 assert per_scanner.setdefault(name, mine) == mine
     assert len(per_scanner["injection"]) == 3
+
+
+def test_the_baseline_is_made_once_and_not_in_every_batch(spark, tmp_path, monkeypatch):
+    given, scan = [], watch.scan
+    monkeypatch.setattr(watch, "scan", lambda *args, known, **rest: (given.append(known), scan(*args, known=known, **rest))[1])
+    source = str(tmp_path / "in")
+    rows = [("r", "a.py", 0, "eval(x)\nexec(y)", datetime.datetime(2024, 1, 1), False)]
+    files = spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in rows], "repo string, path string, file_seq bigint, content string")
+    known = baseline.entries(scan(files).where("title = 'eval() usage'"))
+    spark.createDataFrame(rows, watch.VERSIONS_DDL).write.parquet(source)
+    stream = spark.readStream.schema(watch.VERSIONS_DDL).parquet(source)
+    watch.watch(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), known, availableNow=True).awaitTermination()
+    assert [r.title for r in watch.current_findings(spark, str(tmp_path / "out")).collect()] == ["exec() usage"]
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Relation") and "Aggregate" not in plan  # a written table, read as it is

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codewarden.operators import baseline
 from codewarden.plans.scan import Options, scan
-from codewarden.session import shared_dir
+from codewarden.session import cut_lineage, shared_dir
 from codewarden.streaming import watch
 from workload import checks, corpus, dependencies
 
@@ -62,7 +62,7 @@ def stream_scan(spark, sf):
 
 def stream_new(spark, sf):
     before = scan(corpus.files(spark, sf), Options(scanners=("injection",)))
-    known = baseline.entries(before.where(F.col("title").isin("eval() usage", "Path traversal")))
+    known = cut_lineage(baseline.entries(before.where(F.col("title").isin("eval() usage", "Path traversal"))))  # one for all waves
     return _run(spark, sf, known).select("repo", "file", "line", "scanner", "title", "severity")
 
 
