@@ -184,10 +184,15 @@ class Selection:
     """
 
     def __init__(self, files: DataFrame, exclude: Sequence[str], ignore_files: DataFrame, limit: int = BROADCAST_LIMIT):
+        self._exclude = exclude
         self._patterns = gitignore_patterns(ignore_files)
         self._small = measured_bytes(self._patterns) <= limit
-        keep = by_path(files, exclude)
-        self.files = _without(keep, F.broadcast(self._patterns)) if self._small else keep
+        self.files = self.of(files)
+
+    def of(self, files: DataFrame) -> DataFrame:
+        """Those of ``files`` that are selected; with large patterns, ignored ones are still among them."""
+        keep = by_path(files, self._exclude)
+        return _without(keep, F.broadcast(self._patterns)) if self._small else keep
 
     def rows(self, found: DataFrame, path: str = "file") -> DataFrame:
         """``found`` (with repo and a path) without rows of ignored files."""
@@ -198,9 +203,9 @@ class Selection:
         gone = met.select(F.col("repo").alias("_gone"), "_path")
         return found.join(gone, (F.col("repo") == F.col("_gone")) & (F.col(path) == F.col("_path")), "left_anti")
 
-    def paths(self) -> DataFrame:
-        """(repo, path, file_seq) of the selected files; only these columns are read."""
-        return self.rows(self.files.select("repo", "path", "file_seq"), "path")
+    def paths(self, *more: str) -> DataFrame:
+        """(repo, path, file_seq) of the selected files, and columns named besides; only these columns are read."""
+        return self.rows(self.files.select("repo", "path", "file_seq", *more), "path")
 
 
 def single(files: DataFrame, path: str, repo: str | None = None) -> DataFrame:

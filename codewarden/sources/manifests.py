@@ -28,8 +28,12 @@ def special_files(files: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
 
     Callers materialize this once; otherwise each use would read the contents of all files again.
     """
-    named = X.file_name(F.col("path")).isin(*ROOT_MANIFESTS, *LOCKFILES, GITIGNORE)
-    return files.where(named | F.col("path").isin(*paths) if paths else named)
+    return files.where(is_special(F.col("path"), paths))
+
+
+def is_special(path: Column, paths: Sequence[str] = ()) -> Column:
+    named = X.file_name(path).isin(*ROOT_MANIFESTS, *LOCKFILES, GITIGNORE)
+    return named | path.isin(*paths) if paths else named
 
 
 def directory(path: Column) -> Column:

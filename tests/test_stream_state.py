@@ -1,6 +1,7 @@
 """The state of a continuous scan: folders per bucket, snapshots of touched buckets, reruns."""
 
 import datetime
+import random
 import re
 from itertools import combinations
 
@@ -74,3 +75,55 @@ def test_the_baseline_is_made_once_and_not_in_every_batch(spark, tmp_path, monke
     assert [r.title for r in watch.current_findings(spark, str(tmp_path / "out")).collect()] == ["exec() usage"]
     plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Relation") and "Aggregate" not in plan  # a written table, read as it is
+
+
+def _save(spark, tmp_path, rows, **settings):
+    spark.createDataFrame(rows, watch.VERSIONS_DDL).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(watch.VERSIONS_DDL).parquet(str(tmp_path / "in"))
+    watch.watch(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), availableNow=True, **settings).awaitTermination()
+    return sorted(((r.repo, r.file, r.line, r.title) for r in watch.current_findings(spark, str(tmp_path / "out")).collect()), key=str)
+
+
+@pytest.fixture
+def scanned(monkeypatch):
+    """Paths that the per-file pass is given, a list per pass."""
+    given, findings = [], file_pass.findings
+    monkeypatch.setattr(file_pass, "findings", lambda files, *args, **rest: (given.append(sorted(r.path for r in files.select("path").collect())), findings(files, *args, **rest))[1])
+    return given
+
+
+def test_a_batch_scans_only_files_of_new_contents(spark, tmp_path, scanned):
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    row = lambda path, text, n, seq=0: ("r", path, seq, text, at(n), False)
+    ignores = lambda text, n: row(".gitignore", text, n)
+    a, b, c = ("r", "a.py", 1, "eval() usage"), ("r", "b.py", 1, "eval() usage"), ("r", "c.py", 1, "eval() usage")
+    assert _save(spark, tmp_path, [row("a.py", "eval(x)", 0), row("b.py", "eval(x)", 0), row("c.py", "eval(x)", 0), ignores("c.py\n", 0)]) == [a, b]
+    assert _save(spark, tmp_path, [row("b.py", "x = 1", 1)]) == [a]
+    assert _save(spark, tmp_path, [row("a.py", "eval(x)", 2), row("b.py", "eval(x)", 0)]) == [a]  # the same again, and an old one
+    assert _save(spark, tmp_path, [row("b.py", "eval(x)", 3)]) == [a, b]  # back to a content whose rows are there
+    assert _save(spark, tmp_path, [ignores("a.py\n", 4)]) == [b, c]  # a file that was never scanned, one that is ignored
+    assert _save(spark, tmp_path, [ignores("", 5)]) == [a, b, c]
+    assert _save(spark, tmp_path, [row("a.py", "eval(x)", 6, 7)]) == [a, b, c]  # its number is part of its rows
+    assert scanned == [["a.py", "b.py"], ["b.py"], [], [], ["c.py"], [], ["a.py"]]
+    rest = watch.Options(scanners=("secrets",))
+    assert _save(spark, tmp_path, [row("d.py", "", 8)], options=rest) == []  # rows of other settings are not taken
+    assert scanned[-1] == ["a.py", "b.py", "c.py", "d.py"]
+
+
+def test_findings_after_every_batch_are_those_of_a_scan(spark, tmp_path, every_two):
+    rnd = random.Random(3)
+    texts = ["eval(x)\n", "exec(y)\nq = 1\n", "", None, "from flask import Flask\napp = Flask(__name__)\nsession['a'] = 1\n", "csrf = CSRFProtect(app)\n"]
+    ignores = ["", "f1.py\n", "f*.py\n!f2.py\n"]
+    newest = {}
+    for batch in range(6):
+        rows = []
+        for n in range(8):
+            repo, path = rnd.choice(["r", "s"]), rnd.choice([".gitignore", *(f"f{i}.py" for i in range(4)), None])
+            when = datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=10 * batch + n - 15 * (rnd.random() < 0.3), seconds=n)
+            row = (repo, path, rnd.choice([1, 2]), rnd.choice(ignores if path == ".gitignore" else texts), when, rnd.random() < 0.2)
+            rows.append(row)
+            newest[repo, path] = max(newest.get((repo, path), row), row, key=lambda r: r[4])
+        got = _save(spark, tmp_path, rows)
+        live = [r[:4] for r in newest.values() if not r[5]]
+        files = spark.createDataFrame(live, "repo string, path string, file_seq bigint, content string")
+        assert got == sorted(((r.repo, r.file, r.line, r.title) for r in watch.scan(files).collect()), key=str)
