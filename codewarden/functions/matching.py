@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Three noncharacters in a row: text that is valid for interchange never holds them.
 MARK = "\ufdd0\ufdd1\ufdd2"
 
+# Matches "i" where case is ignored, but lower case makes two characters of it.
+DOTTED_I = "\u0130"
+
 
 def java_regex(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     """Flags under which the JVM engine reads a pattern as a Unicode pattern with "\\n" line ends."""
@@ -22,7 +25,9 @@ def java_regex(pattern: str, ignore_case: bool = False, multiline: bool = False)
 
 def fold_case(text: Column) -> Column:
     """Lower case, with the two letters that match ASCII letters only when case is ignored."""
-    return F.replace(F.replace(F.lower(text), F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))
+    low = F.lower(text)  # of no other letter lower case makes one of the two
+    two = F.contains(text, F.lit("\u017f")) | F.contains(text, F.lit("\u0131"))
+    return F.when(two, F.replace(F.replace(low, F.lit("\u017f"), F.lit("s")), F.lit("\u0131"), F.lit("i"))).otherwise(low)
 
 
 def sql_text(value: str) -> str:
@@ -30,10 +35,40 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
+# Letters of texts and programs, the frequent ones first; all other characters are rare.
+_FREQUENT = " etaoinsrhldcumpfgwyb.,v_()kxjqz"
+
+
+def _tail(literal: str) -> str:
+    """The end of a literal, of three characters at least, that begins with the rarest character."""
+    starts = range(max(1, len(literal) - 2))
+    rank = lambda i: _FREQUENT.find(literal[i]) % (len(_FREQUENT) + 1)
+    return literal[max(starts, key=lambda i: (rank(i), -i)) :]
+
+
+def has_sql(hay: str, literal: str) -> str:
+    """Whether a literal occurs. It is compared wherever its first byte stands, so an end of it that begins with a rarer
+    letter is looked for first: a text without that end does not have the whole."""
+    found, tail = f"contains({hay}, {sql_text(literal)})", _tail(literal)
+    return found if tail == literal else f"(contains({hay}, {sql_text(tail)}) AND {found})"
+
+
+def has(hay: Column, literal: str) -> Column:
+    """:func:`has_sql` of a column."""
+    found, tail = F.contains(hay, F.lit(literal)), _tail(literal)
+    return found if tail == literal else F.contains(hay, F.lit(tail)) & found
+
+
+def starting(start: str, regex: str) -> str:
+    """``regex``, at whose matches' start another pattern matches: a few character classes (with both cases of a letter
+    where case is ignored), which are quick to fail, so that the engine tries nothing else at most characters."""
+    return f"(?={start}){regex}" if start else regex
+
+
 def gate_sql(text: str, folded: str, anchors, ignore_case: bool) -> str:
     """Cheap necessary condition of a match: for each group, one of its literals occurs."""
     hay = folded if ignore_case else text
-    groups = [" OR ".join(f"contains({hay}, {sql_text(x)})" for x in group) for group in anchors]
+    groups = [" OR ".join(has_sql(hay, x) for x in group) for group in anchors]
     return " AND ".join(f"({g})" for g in groups) or "true"
 
 
@@ -86,5 +121,5 @@ def hits_of(marked: Column) -> Column:
 
 def first_match_line(content: Column, regex: str) -> Column:
     """1-based line of the first match (call it only where there is one)."""
-    before = F.get(F.split(content, regex, 2), 0)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    newlines = lambda before: F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    return F.get(F.transform(F.array(F.get(F.split(content, regex, 2), 0)), newlines), 0) + 1  # what stands before is cut off once

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,23 @@ TRAILING_BREAK = r"(?:" + LINE_BREAK + r")\z"
 COMMENT_START = r"^[\s\x1C-\x1F\x85\xA0]*+(?:#|//|\*|/\*)"
 
 
+# Those of them that files seldom hold.
+RARE_BREAKS = "\x0b\f\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def split_lines(content: Column) -> Column:
-    """Lines without their separators; a final separator adds no empty line, '' has no lines."""
-    return F.when(F.length(content) == 0, F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(content, TRAILING_BREAK, ""), LINE_BREAK, -1)
-    )
+    """Lines without their separators; a final separator adds no empty line, '' has no lines.
+
+    A text whose only separators are "\\n" and "\\r\\n" is cut at a fixed text: no pattern is tried at each of its characters.
+    """
+    returns, crlf, lf = F.contains(content, F.lit("\r")), F.lit("\r\n"), F.lit("\n")
+    alone = returns & F.contains(F.replace(content, crlf, F.lit("")), F.lit("\r"))
+    rare = reduce(lambda a, b: a | b, [F.contains(content, F.lit(c)) for c in RARE_BREAKS]) | alone
+    ended = F.when(F.endswith(content, crlf), F.left(content, F.length(content) - 2)).when(F.endswith(content, lf), F.left(content, F.length(content) - 1))
+    whole = ended.otherwise(content)
+    plain = F.split(F.when(returns, F.replace(whole, crlf, lf)).otherwise(whole), "\n", -1)
+    by_pattern = F.split(F.regexp_replace(content, TRAILING_BREAK, ""), LINE_BREAK, -1)
+    return F.when(F.length(content) == 0, F.array().cast("array<string>")).when(rare, by_pattern).otherwise(plain)
 
 
 def newline_count(text: Column) -> Column:

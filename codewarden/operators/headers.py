@@ -21,13 +21,14 @@ from codewarden.rules import headers as R
 HITS = "_hdr_hits"
 CHECKS = ("django", "helmet", "flask", "fastapi", "cors")
 _LAST = (1 << 63) - 1
+# The first characters of what the patterns match (see ``matching.starting``).
+FRAMEWORK_START = "[rfi][erm]"
+STARTS = {R.HELMET: "[rf][er]", R.FLASK_APP: "Fl", R.FASTAPI_APP: "Fa", R.WILDCARD_CORS: "[coA][orc]"}
 
 
 def frameworks(content: Column) -> dict[str, Column]:
     """One flag per web framework."""
-    return {
-        name: F.contains(content, F.lit(name)) & content.rlike(regex) for name, regex in R.FRAMEWORKS.items()
-    }
+    return {name: M.has(content, name) & content.rlike(M.starting(FRAMEWORK_START, regex)) for name, regex in R.FRAMEWORKS.items()}
 
 
 def any_framework(content: Column) -> Column:
@@ -48,31 +49,36 @@ def _checks() -> Column:
     def check(order: int, condition: Column, line: Column) -> Column:
         return F.when(condition, F.struct(F.lit(order).alias("ord"), line.alias("line")))
 
+    def hardened(regex: str, words: str) -> Column:
+        """Whether a sign of hardening is there, in whatever case: the pattern only runs where one of its words occurs."""
+        return _any_word(F.col("_low"), (*words.split(), M.DOTTED_I)) & content.rlike(regex)
+
     web = F.col("_web")
+    helmet, flask_app, fastapi_app, wildcard = (M.starting(start, regex) for regex, start in STARTS.items())
     found = [
         check(
             0,
-            F.contains(content, F.lit("INSTALLED_APPS"))
+            M.has(content, "INSTALLED_APPS")
             & content.rlike(R.DJANGO_SETTINGS)
             & content.rlike(R.DJANGO_CONTRIB)
             & ~content.rlike(R.DJANGO_HARDENED),
             M.first_match_line(content, R.DJANGO_SETTINGS),
         ),
-        check(1, web & frameworks(content)["express"] & ~content.rlike(R.HELMET), F.lit(1)),
+        check(1, web & frameworks(content)["express"] & ~(M.has(content, "helmet") & content.rlike(helmet)), F.lit(1)),
         check(
             2,
-            web & content.rlike(R.FLASK_APP) & ~content.rlike(R.SECURITY_HEADERS),
-            M.first_match_line(content, R.FLASK_APP),
+            web & M.has(content, "Flask") & content.rlike(flask_app) & ~hardened(R.SECURITY_HEADERS, R.SECURITY_WORDS),
+            M.first_match_line(content, flask_app),
         ),
         check(
             3,
-            web & content.rlike(R.FASTAPI_APP) & ~content.rlike(R.FASTAPI_SECURITY),
-            M.first_match_line(content, R.FASTAPI_APP),
+            web & M.has(content, "FastAPI") & content.rlike(fastapi_app) & ~hardened(R.FASTAPI_SECURITY, R.FASTAPI_WORDS),
+            M.first_match_line(content, fastapi_app),
         ),
         check(
             4,
-            web & M.gate("content", "content", R.CORS_ANCHORS, False) & content.rlike(R.WILDCARD_CORS),
-            M.first_match_line(content, R.WILDCARD_CORS),
+            web & M.gate("content", "content", R.CORS_ANCHORS, False) & content.rlike(wildcard),
+            M.first_match_line(content, wildcard),
         ),
     ]
     return F.array_compact(F.array(*found))
@@ -116,10 +122,9 @@ SIGNAL_TITLE = "(signals)"
 
 
 def signal_step() -> dict[str, Column]:
-    bits = sum(
-        (F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(signals(F.col("content"), F.col("_low")).values())),
-        F.lit(0),
-    )
+    framework = F.when(F.col("_code"), F.col("_web")).otherwise(any_framework(F.col("content")))  # known of code files
+    flags = signals(F.col("content"), F.col("_low"), framework).values()
+    bits = sum((F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)) for i, flag in enumerate(flags)), F.lit(0))
     return {"_signals": bits}
 
 
@@ -151,15 +156,15 @@ def signals_of(rows: DataFrame) -> DataFrame:
 
 
 def _any_word(folded: Column, words) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(folded, F.lit(word)) for word in words])
+    return reduce(lambda a, b: a | b, [M.has(folded, word) for word in words])
 
 
-def signals(content: Column, folded: Column) -> dict[str, Column]:
+def signals(content: Column, folded: Column, framework: Column | None = None) -> dict[str, Column]:
     """What a file says about the repository's need for CSRF protection (any suffix counts)."""
-    form = F.contains(folded, F.lit(R.FORM)) & content.rlike(R.SESSION_FORM)
+    form = M.has(folded, R.FORM) & content.rlike(R.SESSION_FORM)
     return {
-        "framework": any_framework(content),
-        "session": _any_word(folded, R.SESSION_WORDS) | form,
+        "framework": any_framework(content) if framework is None else framework,
+        "session": (_any_word(folded, R.SESSION_STEMS) & _any_word(folded, R.SESSION_WORDS)) | form,
         "csrf": _any_word(folded, R.CSRF_WORDS),
     }
 

@@ -147,7 +147,7 @@ def after_lines() -> list[dict[str, Column]]:
             HITS: F.concat(
                 where(py, taint_py.sink_hits(F.col("_facts"), F.col("_py_tainted"), F.col("_py_constants"))),
                 where(marked, pattern_hits),
-                where((F.col("_open") | py) & F.contains(content, F.lit("andom")), _weak_random_hits(F.col("_lines"))),
+                where((F.col("_open") | py) & M.has(content, "andom"), _weak_random_hits(F.col("_lines"))),
                 where(F.col("_source"), taint_js.sink_hits(F.col("_lines"), F.col("_tainted"))),
             )
         },

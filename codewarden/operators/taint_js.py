@@ -12,13 +12,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codewarden.functions.matching import gate
+from codewarden.functions.matching import gate, starting
 from codewarden.functions.text import is_comment
 from codewarden.operators.closure import forward_names
 from codewarden.rules import taint as T
 from codewarden.rules.injection import INDEX
 
 _NO_TEXTS = "array<string>"
+SOURCE = starting("[rcwldp][etior][qxnco][u.dac]", T.JS_SOURCE)
 HITS_DDL = "array<struct<rule:int,line:int,part:int,a:bigint,b:bigint,c:bigint,reachable:boolean>>"
 
 
@@ -29,7 +30,7 @@ def identifiers(text: Column) -> Column:
 
 
 def has_source(text: Column) -> Column:
-    return text.rlike(T.JS_SOURCE)
+    return text.rlike(SOURCE)
 
 
 def source_gate(content: str, folded: str) -> Column:

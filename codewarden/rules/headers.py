@@ -19,6 +19,8 @@ SESSION_WORDS = (
     "set_cookie response.cookies request.cookies session[ flask_login render_template app.secret_key session_cookie "
     "express-session cookie-session req.session"
 ).split()
+# Each of them holds one of these.
+SESSION_STEMS = "cookie session flask_login render_template app.secret_key".split()
 FORM = "<form"
 CSRF_WORDS = ("csrf", "csurf")
 FLASK_APP = _j(r"\bFlask\s*\(")
@@ -28,11 +30,14 @@ SECURITY_HEADERS = _j(
     r"X-Frame-Options|X-Content-Type-Options",
     ignore_case=True,
 )
+# Literals (in lower case) of which a text that matches holds one.
+SECURITY_WORDS = "talisman strict-transport-security content-security-policy x-frame-options x-content-type-options"
 FASTAPI_SECURITY = _j(
     r"add_middleware|HTTPSRedirectMiddleware|TrustedHostMiddleware|"
     r"import\s+secure|from\s+secure|Strict-Transport-Security|Content-Security-Policy",
     ignore_case=True,
 )
+FASTAPI_WORDS = "add_middleware httpsredirectmiddleware trustedhostmiddleware secure strict-transport-security content-security-policy"
 DJANGO_SETTINGS = _j(r"^\s*INSTALLED_APPS\s*=", multiline=True)
 DJANGO_CONTRIB = _j(r"""['"]django\.(?:contrib|middleware)""")
 DJANGO_HARDENED = _j(r"SECURE_SSL_REDIRECT|SECURE_HSTS_SECONDS")

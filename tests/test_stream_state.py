@@ -5,6 +5,7 @@ import random
 import re
 from itertools import combinations
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,20 @@ def test_findings_after_every_batch_are_those_of_a_scan(spark, tmp_path, every_t
         live = [r[:4] for r in newest.values() if not r[5]]
         files = spark.createDataFrame(live, "repo string, path string, file_seq bigint, content string")
         assert got == sorted(((r.repo, r.file, r.line, r.title) for r in watch.scan(files).collect()), key=str)
+
+
+def test_several_tasks_read_a_file_of_the_state(spark, tmp_path, monkeypatch):
+    """Contents lie in groups of rows, and a micro-batch reads them in small pieces, whatever the session's pieces are."""
+    rnd, given = random.Random(1), []
+    scan = watch.scan
+    monkeypatch.setattr(watch, "scan", lambda *args, **rest: (given.append(args[0].sparkSession.conf.get("spark.sql.files.maxPartitionBytes")), scan(*args, **rest))[1])
+    monkeypatch.setitem(watch.STORED, "parquet.block.size", 1 << 18)
+    monkeypatch.setattr(watch, "SPLIT_BYTES", 1 << 18)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [("r", f"f{i}.py", i, f"eval(x)\n# {rnd.randbytes(4000).hex()}", at, False) for i in range(400)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert len(_save(spark, tmp_path, rows)) == 400
+    assert given == [f"{1 << 18}b"] and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    files = [*(tmp_path / "out" / "versions").rglob("*.parquet")]
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) >= 4 * len(files)
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(3).compression for f in files} == {"ZSTD"}

@@ -50,7 +50,7 @@ def _run(spark, sf, known=None, **settings):
     out = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
     documents = corpus.table(spark, sf, "documents", "doc_id").select("doc_id", "source", "text")
     for wave in range(3):
-        _versions(documents, wave).write.mode("append").parquet(f"{out}/in")
+        _versions(documents, wave).write.mode("append").options(**watch.STORED).parquet(f"{out}/in")
         stream = spark.readStream.schema(watch.VERSIONS_DDL).parquet(f"{out}/in")
         watch.watch(stream, f"{out}/state", f"{out}/checkpoint", known, availableNow=True, **settings).awaitTermination()
     return watch.current_findings(spark, f"{out}/state")
